@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from quillstone.llm.packing import op10_best_fit_packing
+from quillstone.llm.quality_gam import op2_quality_classifier
+from quillstone.llm.quality_rules import op5_quality_rules
 
-QUERIES = {f.__name__: f for f in (op10_best_fit_packing,)}
+QUERIES = {f.__name__: f for f in (op2_quality_classifier, op5_quality_rules, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {}
