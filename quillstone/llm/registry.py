@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from quillstone.llm import fingerprints, url_filters
 from quillstone.llm.packing import op10_best_fit_packing
 from quillstone.llm.quality_gam import op2_quality_classifier
 from quillstone.llm.quality_rules import op5_quality_rules
 
-QUERIES = {f.__name__: f for f in (op2_quality_classifier, op5_quality_rules, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_quality_classifier, url_filters.op4_url_filters, op5_quality_rules, fingerprints.op9_document_fingerprints, op10_best_fit_packing)
+}
+ORACLES: dict[str, str] = {"op4_url_filters": url_filters.ORACLE, "op9_document_fingerprints": fingerprints.ORACLE}
