@@ -215,13 +215,13 @@ class TableStore:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _pointer(self, name: str):
-        return self._path(f"{self.root}/{name}/_current")
+        return self._path(f"{self.root}/{name}/CURRENT")
 
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._pointer(name))
 
     def version(self, name: str) -> str:
-        return self.spark.read.text(f"{self.root}/{name}/_current").first()[0]
+        return self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/{self.version(name)}")
@@ -229,7 +229,7 @@ class TableStore:
     def write(self, name: str, df: DataFrame) -> str:
         version = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}/{version}")
-        new = self._path(f"{self.root}/{name}/_next-{version}")
+        new = self._path(f"{self.root}/{name}/NEXT-{version}")
         out = self._fs.create(new, True)
         out.write(bytearray(version.encode()))
         out.close()
