@@ -10,8 +10,8 @@ rates at every step; the steps run distributed over those groups, weighted with
 is the same fold over the steps' gradients. Tokens are runs of letters and digits.
 
 Defined results: null and empty texts have no tokens and a rate like their group's; repeated rows have equal rates;
-without labels the posteriors are uniform; an empty table gives no rows; further columns are kept by mix and ignored
-by document_rates; labels that are null, or have no id, are left out; of several labels of an id the largest count.
+without labels the posteriors are uniform; an empty table gives no rows; further columns are kept, those
+named like a result give way to it; labels that are null, or have no id, are left out; of several labels of an id the largest count.
 """
 
 from __future__ import annotations
@@ -66,12 +66,12 @@ def _share_bin(count: Column, size: Column) -> Column:
 
 
 def with_features(docs: DataFrame, lexicons: tuple[tuple[str, ...], ...]) -> DataFrame:
-    """docs with n_tokens and the binned features, all under names that begin with an underscore but n_tokens."""
+    """docs with _n, the number of tokens, and the binned features, under names that begin with an underscore."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn("_words", _words(text))
-    rows = rows.withColumn("n_tokens", F.size("_words").cast("long"))
+    rows = rows.withColumn("_n", F.size("_words").cast("long"))
     cols = {
-        "_length": F.least(F.floor(F.log2(F.col("n_tokens") + 1)), F.lit(15)).cast("int"),
+        "_length": F.least(F.floor(F.log2(F.col("_n") + 1)), F.lit(15)).cast("int"),
         "_symbols": _share_bin(F.regexp_count(text, F.lit(SYMBOLS)), F.char_length(text)),
         "_capitals": _share_bin(F.regexp_count(text, F.lit("[A-Z]")), F.char_length(text)),
     }
@@ -111,11 +111,18 @@ def train_posterior(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...]
     return Posterior(domains, tuple(lexicons), prior, tables)
 
 
-def with_posteriors(docs: DataFrame, model: Posterior) -> DataFrame:
-    """docs with n_tokens, _group (the bins) and _p (posteriors in order of the domains)."""
+def with_group(docs: DataFrame, model: Posterior) -> DataFrame:
+    """docs with _n and _group, the bins of all features."""
     rows = with_features(docs, model.lexicons)
     features = list(model.tables)
-    rows = rows.withColumn("_group", F.concat_ws(",", *features)).withColumn("_z", F.array(*model.logits())).drop(*features)
+    return rows.withColumn("_group", F.concat_ws(",", *features)).drop(*features)
+
+
+def with_posteriors(groups: DataFrame, model: Posterior) -> DataFrame:
+    """groups(_group, n_tokens) with _p: posteriors in order of the domains."""
+    bins = F.split("_group", ",")
+    rows = groups.withColumns({f: F.get(bins, F.lit(k)).cast("int") for k, f in enumerate(model.tables)})
+    rows = rows.withColumn("_z", F.array(*model.logits())).drop(*model.tables)
     rows = rows.withColumn("_e", F.transform("_z", lambda z: F.exp(z - F.array_max("_z"))))
     total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
     return rows.withColumn("_p", F.transform("_e", lambda x: x / total)).drop("_z", "_e")
@@ -160,26 +167,34 @@ def fit_rates(groups: DataFrame, weights: list[float], steps: int = STEPS, toler
     return history
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, steps: int = STEPS) -> DataFrame:
-    """docs with n_tokens, _p (posteriors in order of the targets) and rate."""
-    targets = targets or TARGETS
+def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column, steps: int) -> DataFrame:
+    """docs with _n (tokens), _p (posteriors in order of the targets) and _rate."""
     total = sum(targets.values())
-    model = train_posterior(docs, labels, tuple(targets), label_domain() if domain is None else domain)
-    rows = with_posteriors(docs, model)
-    groups = rows.groupBy("_group").agg(F.sum("n_tokens").alias("n_tokens"), F.first("_p").alias("_p"))
-    history = fit_rates(materialise(groups.coalesce(1), "mix_groups"), [w / total for w in targets.values()], steps)
-    return rows.withColumn("rate", _fold(history)["r"]).drop("_group")
+    model = train_posterior(docs, labels, tuple(targets), domain)
+    rows = with_group(docs, model)
+    groups = materialise(with_posteriors(rows.groupBy("_group").agg(F.sum("_n").alias("n_tokens")), model).coalesce(1), "mix_groups")
+    history = fit_rates(groups, [w / total for w in targets.values()], steps)
+    # one row for each combination of bins, so the side is bounded whatever the corpus
+    rates = materialise(groups.select("_group", "_p", _fold(history)["r"].alias("_rate")), "mix_rates")
+    return rows.join(F.broadcast(rates), "_group", "left").drop("_group")
+
+
+def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, steps: int = STEPS) -> DataFrame:
+    """docs with n_tokens, posteriors (in order of the targets) and rate; columns of these names give way."""
+    rows = _rated(docs, labels, targets or TARGETS, label_domain() if domain is None else domain, steps)
+    kept = [c for c in docs.columns if c not in ("n_tokens", "posteriors", "rate")]
+    return rows.select(*kept, F.col("_n").alias("n_tokens"), F.col("_p").alias("posteriors"), F.col("_rate").alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None) -> DataFrame:
-    """docs in as many copies as their rates say; the fraction is rounded by a hash of the row."""
-    rows = document_rates(docs, labels, targets, domain)
+    """docs in as many copies as their rates say; the fraction is rounded by a hash of the row. Columns stay as they are."""
+    rows = _rated(docs, labels, targets or TARGETS, label_domain() if domain is None else domain, STEPS)
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor(F.col("rate") + u).cast("int")
+    copies = F.floor(F.col("_rate") + u).cast("int")
     return rows.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = document_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rows.select("doc_id", "n_tokens", *[F.get("_p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate")
+    return rows.select("doc_id", "n_tokens", *[F.get("posteriors", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate")

@@ -37,10 +37,10 @@ def test_against_plain_projected_gradient(spark):
 
 def test_edges(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    docs = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "x y"), (3, "a " * 60000)], "doc_id long, text string").withColumn("domain", F.lit(1)).withColumn("rate_", F.lit(1))
-    for known in (labels, labels.filter("doc_id < 0"), labels.withColumn("quality", F.lit(None).cast("int"))):
-        rows = document_rates(docs, known).collect()
+    docs = spark.createDataFrame([(1, None), (1, None), (2, ""), (None, "x y"), (3, "a " * 60000)], "doc_id long, text string").withColumns({c: F.lit("q") for c in ("domain", "rate", "n_tokens", "y")})
+    for known in (labels.withColumn("text", F.lit(1)), labels.filter("doc_id < 0")):
+        rows = document_rates(docs, known, steps=3).collect()
         assert len(rows) == 5 and all(r["rate"] >= 0 for r in rows)
-    assert mix(docs, labels).columns == docs.columns
-    assert mix(docs.filter(F.lit(False)), labels).count() == 0
-    assert document_rates(docs.filter("n_tokens_ = 0") if "n_tokens_" in docs.columns else docs.filter("doc_id = 1"), labels).count() == 2
+    mixed = mix(docs, labels)
+    assert mixed.columns == docs.columns and mixed.filter("rate <> 'q' OR n_tokens <> 'q'").count() == 0
+    assert document_rates(docs.filter(F.lit(False)), labels).count() == 0
