@@ -108,30 +108,39 @@ def fit_ngram_model(rows: list[bytes], y: np.ndarray, rounds: int = 80, rate: fl
     weights = np.zeros(1 << BITS)
     if len(set(y.tolist())) < 2:
         return weights.astype(np.float32), 0.0, 30.0
-    feats = [np.frombuffer(r, [("s", "<u4"), ("v", "<f4")]) for r in rows]
+    rows = list(rows)
     fold = np.arange(len(y)) % 5 == 4
 
-    def packed(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = [feats[i] for i in np.flatnonzero(which)]
-        f = np.concatenate(own)
-        return f["s"].astype(np.int64), f["v"].astype(np.float64) * _GAIN, np.repeat(np.arange(len(own)), [len(x) for x in own])
-
-    slot, value, row = packed(~fold)
-    goal = y[~fold].astype(float)
-    share = goal.mean()
+    def blocks(which: np.ndarray, most: int = 256) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(slots, values, rows within the block, rows of all) of some rows, in blocks, so that a step's temporaries stay small."""
+        out, own = [], np.flatnonzero(which)
+        for at in (own[i : i + most] for i in range(0, len(own), most)):
+            feats = [np.frombuffer(rows[i], [("s", "<u4"), ("v", "<f4")]) for i in at]
+            f = np.concatenate(feats)
+            out.append((f["s"].astype(np.int32), f["v"] * np.float32(_GAIN), np.repeat(np.arange(len(at), dtype=np.int32), [len(x) for x in feats]), at))
+        return out
+
+    train, check = blocks(~fold), blocks(fold) if fold.any() else None
+    rows.clear()
+    goal = y.astype(float)
+    share = goal[~fold].mean()
     cost = np.where(goal == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
-    cost /= cost.sum()
+    cost /= cost[~fold].sum()
+    n_train = int((~fold).sum())
     bias, m, v = 0.0, np.zeros(len(weights)), np.zeros(len(weights))
     for t in range(1, rounds + 1):
-        z = np.bincount(row, value * weights[slot], minlength=len(goal)) + bias
-        g = (_sigmoid(z) - goal) * cost
-        grad = np.bincount(slot, value * g[row], minlength=len(weights)) + decay * weights / len(goal)
+        grad, slope = decay * weights / n_train, 0.0
+        for slot, value, row, at in train:
+            z = np.bincount(row, value * weights[slot], minlength=len(at)) + bias
+            g = (_sigmoid(z) - goal[at]) * cost[at]
+            grad += np.bincount(slot, value * g[row], minlength=len(weights))
+            slope += g.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         weights = weights - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-        bias -= rate * g.sum()
-    slot, value, row = packed(fold) if fold.any() else (slot, value, row)
-    goal = y[fold] if fold.any() else y
-    z = np.bincount(row, value * weights[slot], minlength=len(goal))
+        bias -= rate * slope
+    check = check or train
+    z = np.concatenate([np.bincount(row, value * weights[slot], minlength=len(at)) for slot, value, row, at in check])
+    goal = y[np.concatenate([at for *_, at in check])]
     return weights.astype(np.float32), *platt(z, goal, bias)
 
 
