@@ -56,8 +56,8 @@ def top02(spark, sf):
     return text_hits(spark, sf).filter("pos <= 5").select("query_id", "doc_key", F.col("pos").cast("long").alias("pos"))
 
 
-# the first few vectors are the stated set of queries
-VECTORS = """vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 20),
+# the stated set of queries: every vector whose id is divisible by 100, numbered from 0
+VECTORS = """vq AS (SELECT vec_id // 100 AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
  vscored AS (SELECT query_id, 'doc:' || lpad(vec_id::VARCHAR, 8, '0') AS doc_key, round(list_sum(list_transform(list_zip(embedding, q), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS score FROM embeddings, vq),
  vector_hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_key) AS pos FROM vscored) WHERE pos <= 15)"""
 
@@ -65,7 +65,7 @@ VECTORS = """vq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WH
 def vector_hits(spark, sf):
     e = table(spark, sf, "embeddings")
     rows = e.select(F.concat(F.lit("doc:"), F.lpad(F.col("vec_id").cast("string"), 8, "0")).alias("doc_key"), "embedding")
-    return search.nearest(rows, e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))
+    return search.nearest(rows, e.filter("vec_id % 100 = 0").select(F.expr("vec_id div 100").alias("query_id"), F.col("embedding").alias("q")))
 
 
 @query("rt01_vector_search", f"WITH {VECTORS} SELECT query_id, doc_key, score FROM vector_hits")
@@ -296,10 +296,9 @@ def chk09(spark, sf):
     return table(spark, sf, "pages").select("page_id", html_to_markdown_udf()(F.col("html")).alias("markdown"))
 
 
-@query("str26_renumber", with_papers("SELECT doc_id, 1 AS title, 1 AS inherited FROM papers WHERE regexp_full_match(title, '[A-Za-z].*') AND NOT regexp_matches(pub, '^[0-9]') AND NOT ends_with(title, '#')"))
+@query("str26_renumber", with_papers("SELECT doc_id, 1 AS title, CASE WHEN trim(title) = '' THEN 0 ELSE 1 END AS inherited FROM papers"))
 def str26(spark, sf):
-    ok = F.col("title").rlike("^[A-Za-z].*$") & ~F.col("title").endswith("#")
-    return chunking.renumber_documents(views.papers(spark, sf).filter(ok)).select("doc_id", "title", "inherited")
+    return chunking.renumber_documents(views.papers(spark, sf)).select("doc_id", "title", "inherited")
 
 
 @query("str28_image_inventory", with_papers("SELECT doc_id, pos::INTEGER AS pos, 'fig' || pos || '.png' AS path, pub AS section FROM papers, range(0, 3) t(pos) WHERE pos <= doc_id % 3"))
@@ -421,11 +420,11 @@ def udf05(spark, sf):
     return c.select("query_id", "doc_key", F.round(search.lexical_score(F.col("query"), F.col("content")), 6).alias("score"))
 
 
-@query("udf06_router", "SELECT item_id AS query_id, item_id % 2 = 0 AS about_service, CASE WHEN item_id % 3 = 0 THEN array_to_string(string_split(text, ' ')[1:6], ' ') ELSE 'q ' || item_id END AS search_query FROM (SELECT item_id, text, item_id % 2 AS z FROM benchmark WHERE item_id % 3 <> 0)")
+@query("udf06_router", "SELECT item_id AS query_id, item_id % 2 = 0 AS about_service, 'q ' || item_id AS search_query FROM benchmark")
 def udf06(spark, sf):
     """A router's structured output, parsed with a fixed schema."""
     out = F.concat(F.lit('{"about_service": '), F.when(F.col("item_id") % 2 == 0, F.lit("true")).otherwise(F.lit("false")), F.lit(', "search_query": "q '), F.col("item_id").cast("string"), F.lit('"}'))
-    b = table(spark, sf, "benchmark").filter("item_id % 3 <> 0").select(F.col("item_id").alias("query_id"), F.from_json(out, "about_service boolean, search_query string").alias("d"))
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.from_json(out, "about_service boolean, search_query string").alias("d"))
     return b.select("query_id", "d.about_service", "d.search_query")
 
 

@@ -141,10 +141,10 @@ def str12(spark, sf):
     return views.papers(spark, sf).select("bib", F.array_join(T.without_title(h, F.col("title")), " > ").alias("path"))
 
 
-@query("str13_page_path", with_papers("SELECT bib, array_to_string(CASE WHEN lower(trim(h[1])) = lower(trim(title)) THEN h[2:] ELSE h END, ' > ') AS path FROM (SELECT bib, title, [CASE WHEN doc_id % 3 = 0 THEN ' ' || upper(title) ELSE 'Methods' END, pub] AS h FROM papers WHERE title NOT LIKE '%ß%')"))
+@query("str13_page_path", with_papers("SELECT bib, array_to_string(CASE WHEN lower(trim(h[1])) = lower(trim(title)) THEN h[2:] ELSE h END, ' > ') AS path FROM (SELECT bib, title, [CASE WHEN doc_id % 3 = 0 THEN ' ' || title || ' ' ELSE 'Methods' END, pub] AS h FROM papers)"))
 def str13(spark, sf):
-    h = F.array(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), F.upper("title"))).otherwise(F.lit("Methods")), "pub")
-    return views.papers(spark, sf).filter(~F.col("title").contains("ß")).select("bib", F.array_join(T.without_page_title(h, F.col("title")), " > ").alias("path"))
+    h = F.array(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), "title", F.lit(" "))).otherwise(F.lit("Methods")), "pub")
+    return views.papers(spark, sf).select("bib", F.array_join(T.without_page_title(h, F.col("title")), " > ").alias("path"))
 
 
 _think = "CASE WHEN doc_id % 3 = 0 THEN '<think>a' || chr(10) || 'b</think> ' || text WHEN doc_id % 3 = 1 THEN 'x <mm:think> ' || text ELSE text END"
@@ -192,11 +192,11 @@ def str17(spark, sf):
     return p.select("bib", line.alias("line"))
 
 
-@query("str18_format_docs", with_papers("""SELECT bib, '{"passage":' || (doc_id + 1) || ',"title":' || to_json(title) || ',"published":' || to_json(year) || CASE WHEN doc_id % 4 = 1 THEN ',"coverage":"abstract only"' ELSE '' END || '}' || chr(10) || text AS context FROM papers WHERE regexp_full_match(title, '[ -~]*')"""))
+@query("str18_format_docs", with_papers("""SELECT bib, '{"passage":' || (doc_id + 1) || ',"title":' || to_json(title) || ',"published":' || to_json(year) || CASE WHEN doc_id % 4 = 1 THEN ',"coverage":"abstract only"' ELSE '' END || '}' || chr(10) || text AS context FROM papers"""))
 def str18(spark, sf):
     from quillstone.operators.answers import format_passage
 
-    p = views.papers(spark, sf).filter(F.col("title").rlike("^[ -~]*$"))
+    p = views.papers(spark, sf)
     coverage = F.when(F.col("doc_id") % 4 == 1, F.lit("abstract only"))
     return p.select("bib", format_passage(F.col("doc_id") + 1, F.col("title"), F.col("year"), coverage, F.col("text")).alias("context"))
 
@@ -361,10 +361,10 @@ def str39(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.rot13(F.col("url")).alias("hidden"))
 
 
-@query("str40_url_codec", "SELECT page_id, url AS decoded, replace(replace(url, ':', '%3A'), '/', '%2F') AS encoded FROM pages WHERE NOT contains(url, '?') AND NOT contains(url, '#')")
+@query("str40_url_codec", "SELECT page_id, url AS decoded, url_encode(url) AS encoded FROM pages")
 def str40(spark, sf):
-    p = table(spark, sf, "pages").filter(~F.col("url").contains("?") & ~F.col("url").contains("#"))
-    return p.select("page_id", F.try_url_decode(T.url_encode_form(F.col("url"))).alias("decoded"), T.url_encode_form(F.col("url")).alias("encoded"))
+    encoded = T.url_encode_form(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", F.try_url_decode(encoded).alias("decoded"), encoded.alias("encoded"))
 
 
 @query("str41_escape_html", "SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS safe FROM pages")

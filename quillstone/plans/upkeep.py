@@ -130,13 +130,13 @@ def src14(spark, sf):
     return files.match_markdown(*_markdown_files(spark, sf))[0].select("bib", "name")
 
 
-@query("src15_crawl", "SELECT page_id, floor(log2(page_id + 1))::INTEGER AS depth FROM pages WHERE page_id < 1000 AND page_id % 7 <> 6")
+@query("src15_crawl", "SELECT page_id, floor(log2(page_id + 1))::INTEGER AS depth FROM pages")
 def src15(spark, sf):
-    """Breadth-first reach over a tree of links; pages of the last week day are never linked."""
-    n = table(spark, sf, "pages").filter("page_id < 1000")
-    links = n.selectExpr("(page_id - 1) div 2 AS src", "page_id AS dst").filter("dst > 0")
-    reach = site.crawl_frontier(links.selectExpr("cast(src as string) AS src", "cast(dst as string) AS dst"), spark.createDataFrame([("0",)], "url string"))
-    return reach.select(F.col("url").cast("long").alias("page_id"), "depth").filter("page_id % 7 <> 6")
+    """Breadth-first reach over a tree of links between all pages."""
+    n = table(spark, sf, "pages")
+    links = n.selectExpr("cast((page_id - 1) div 2 AS string) AS src", "cast(page_id AS string) AS dst").filter("dst <> '0'")
+    reach = site.crawl_frontier(links, spark.createDataFrame([("0",)], "url string"))
+    return reach.select(F.col("url").cast("long").alias("page_id"), "depth")
 
 
 @query("src16_article_blocks", "SELECT page_id, regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) AS block FROM pages")

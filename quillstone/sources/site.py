@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import word_count
+from quillstone.session import written
 
 MOST_PAGES = 300
 FURNITURE = 0.5
@@ -112,18 +113,19 @@ def crawl(home: str, fetch: Callable[[str], str], links_of: Callable[[str, str],
     return pages, failed
 
 
-def crawl_frontier(links: DataFrame, start: DataFrame, rounds: int = 10) -> DataFrame:
-    """url, depth of everything reachable in links(src, dst) from start(url): one join and one anti-join a round."""
-    from functools import reduce
+def crawl_frontier(links: DataFrame, start: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """url, depth of everything reachable in links(src, dst) from start(url): one join and one anti-join a round.
 
-    seen = [start.select("url", F.lit(0).alias("depth")).distinct()]
-    for d in range(1, rounds + 1):
-        known = reduce(DataFrame.unionAll, seen)
-        fresh = seen[-1].join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct().join(known.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
+    Every round is written to the shared folder, so its lineage is short. Raises where the rounds do not suffice.
+    """
+    seen = fresh = written(start.select("url", F.lit(0).alias("depth")).distinct(), "frontier")
+    for d in range(1, most_rounds + 1):
+        found = fresh.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
+        fresh = written(found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         if fresh.isEmpty():
-            break
-        seen.append(fresh)
-    return reduce(DataFrame.unionAll, seen)
+            return seen
+        seen = seen.unionAll(fresh)
+    raise RuntimeError(f"crawl: not ended after {most_rounds} rounds")
 
 
 def assemble_pages(pages: DataFrame, furniture: float = FURNITURE, least_words: int = LEAST_WORDS) -> DataFrame:
