@@ -75,6 +75,7 @@ def shorten(c: Column, limit: int = 400, mark: str = " …") -> Column:
     return F.when(F.length(c) > limit, F.concat(F.regexp_replace(F.substring(c, 1, limit), " [^ ]*$", ""), F.lit(mark))).otherwise(c)
 
 
+#: Forms of Markdown images and links.
 IMAGE = r"!\[(\\.|[^\]\\])*\]\([^)]*\)"
 LINK = r"\[((\\.|[^\]\\])*)\]\([^)]*\)"
 
@@ -128,6 +129,7 @@ def author_key(name: Column) -> Column:
     return fold_name(F.get(F.split(name, ","), F.lit(0)))
 
 
+#: Words of surnames that are no key by themselves.
 PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "el", "al", "bin", "ter", "ten", "zu", "af", "av")
 
 
@@ -206,6 +208,7 @@ def heading_text(c: Column, passes: int = 3) -> Column:
     return c
 
 
+#: Forms of numbered and appendix headings.
 NUMBERED = r"^([0-9]{1,2}(\.[0-9]{1,2})*)\.?[ \t]*([A-Za-zÀ-ɏ].*)$"
 APPENDIX = r"^([A-Z][0-9]{0,2}(\.[0-9]{1,2})*)\.?[ \t]+([A-Za-zÀ-ɏ].*)$"
 

@@ -147,13 +147,13 @@ def str13(spark, sf):
     return views.papers(spark, sf).select("bib", F.array_join(T.without_page_title(h, F.col("title")), " > ").alias("path"))
 
 
-_think = "CASE WHEN doc_id % 3 = 0 THEN '<think>a' || chr(10) || 'b</think> ' || text WHEN doc_id % 3 = 1 THEN 'x <mm:think> ' || text ELSE text END"
+_think = "CASE WHEN doc_id % 3 = 0 THEN '<think>a' || chr(10) || 'b</think> ' || text WHEN doc_id % 3 = 1 THEN 'x <x:think> ' || text ELSE text END"
 
 
 @query("str14_strip_reasoning", f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_think}, '(?is)<(\\w+:)?think>.*?</(\\w+:)?think>\\s*', '', 'g'), '(?is)^.*?<(\\w+:)?think>', ''), '^\\s+|\\s+$', '', 'g') AS answer FROM documents")
 def str14(spark, sf):
     d = F.col("doc_id") % 3
-    text = F.when(d == 0, F.concat(F.lit("<think>a\nb</think> "), "text")).when(d == 1, F.concat(F.lit("x <mm:think> "), "text")).otherwise(F.col("text"))
+    text = F.when(d == 0, F.concat(F.lit("<think>a\nb</think> "), "text")).when(d == 1, F.concat(F.lit("x <x:think> "), "text")).otherwise(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", T.strip_reasoning(text).alias("answer"))
 
 
