@@ -50,7 +50,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Cut a record batch so that a slice holds about `most` bytes of the text column (one row at least)."""
     _, off = utf8(batch.column(batch.schema.get_field_index(column)))
     n, i = batch.num_rows, 0
