@@ -27,3 +27,20 @@ def test_stage_by_stage(spark):
     whole(packed)
     assert sum(r["piece"] == 0 for r in packed) == len(mixed)
     assert sorted(map(str, corpus_pipeline.run(spark, d).select("doc_id", "piece", "ids_crc32").collect())) == sorted(str(r) for r in docs.select("doc_id", "piece", "ids_crc32").collect())
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    plain = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, plain, "en", "a", 1), (2, plain.upper(), None, None, None), (2, plain.upper(), None, None, None), (None, plain + " more", "en", "a", 1), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (None, None, None, None, None), (5, "x y " * 40000, "en", "a", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        empty = docs.isEmpty()
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = materialise(stage(spark, docs, sf_dir), "odd")
+            n = out.count()
+            assert (n == 0) == empty or k in (0, 1, 3)
+            if k == 2 and not empty:
+                # the three texts with the same or nearly the same words are one group; the texts without words stay
+                assert n == 5
+            if k == 4:
+                whole(out.collect())
