@@ -6,9 +6,9 @@ pages are aligned one after another: what one side lacks becomes an optional gro
 repeated group, and texts stay slots; the result is the host's wrapper. Wrappers are first inferred inside each
 partition, then merged by host and salt, then by host, so that no task sees more than the wrappers of its share.
 
-Of the wrapper's slots those of the main text are taken: slots in <article> or <main>, or, where the host has
-neither, in the deepest group that holds MOST of the host's text, and in no menu, header, footer, sidebar, notice, advert,
-form, script, style or comment group. Pages are then read with their host's slots: each block's text with character
+Of the wrapper's slots those of the main text are taken: slots in <article> or <main>, or, for a page without text
+there, slots in the deepest other group that holds MOST of the host's text; in no menu, header, footer, sidebar,
+notice, advert, form, script, style, comment or hidden group. Pages are then read with their host's slots: each block's text with character
 references decoded and white space collapsed, blocks joined by an empty line.
 
 Defined results: null and empty pages have no text; a null url has the host ''; repeated rows are read each by itself;
@@ -53,19 +53,26 @@ SKIP_TAGS = frozenset("nav header footer aside form head button select option di
 SKIP_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion reactions related replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets alert dialog".split()
 )
+#: Stems that mark such groups wherever they stand in a class or id.
+SKIP_STEMS = re.compile(r"advert|breadcrumb|comment|cookie|disclaimer|footer|gdpr|navbar|newsletter|paginat|paywall|promo|sidebar|signup|sponsor|subscri")
+HIDDEN = re.compile(r"\shidden(?=[\s=/>])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
 def label_of(tag: str, name: str) -> str:
     found = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(tag)] if "=" in tag else ()
-    return name + "".join(f"[{k}={DIGITS.sub('0', ' '.join(v.split()))[:60]}]" for k, v in found)
+    label = name + "".join(f"[{k}={DIGITS.sub('0', ' '.join(v.split()))[:60]}]" for k, v in found)
+    return label + "[hidden]" if " " in tag and HIDDEN.search(tag) else label
 
 
 def furniture(label: str) -> bool:
     name, _, rest = label.partition("[")
     if name in SKIP_TAGS:
         return True
-    return bool(rest) and name not in ("article", "main", "body", "html") and not SKIP_WORDS.isdisjoint(_WORD.findall(rest.lower()))
+    if not rest or name in ("article", "main", "body", "html"):
+        return False
+    rest = rest.lower()
+    return rest.endswith("hidden]") or bool(SKIP_STEMS.search(rest)) or not SKIP_WORDS.isdisjoint(_WORD.findall(rest))
 
 
 def stream(page: str) -> Iterator[tuple[str, str]]:
@@ -191,8 +198,8 @@ def expression(wrapper: list) -> str:
     return " ".join("#PCDATA" if p == "#" else f"({'<' + p[0] + '>'} {expression(p[2])} </{p[0].partition('[')[0]}>){p[1]}" for p in wrapper)
 
 
-def main_slots(wrapper: list, chars: dict[str, int]) -> list[str]:
-    """Paths of the slots that hold the main text."""
+def main_slots(wrapper: list, chars: dict[str, int]) -> tuple[list[str], list[str]]:
+    """Paths of the slots that hold the main text: in articles, and outside of them for pages that have none."""
     slots: list[tuple[str, ...]] = []
 
     def walk(parts: list, path: tuple[str, ...]) -> None:
@@ -205,19 +212,18 @@ def main_slots(wrapper: list, chars: dict[str, int]) -> list[str]:
     walk(wrapper, ())
     slots = list(dict.fromkeys(slots))
     inside = [s for s in slots if any(x.partition("[")[0] in ("article", "main") for x in s)]
-    if not inside and slots:
-        total = sum(chars.get("\t".join(s), 0) for s in slots)
-        root: tuple[str, ...] = ()
-        while True:
-            share: Counter = Counter()
-            for s in slots:
-                if s[: len(root)] == root and len(s) > len(root) + 1:
-                    share[s[: len(root) + 1]] += chars.get("\t".join(s), 0)
-            if not share or share.most_common(1)[0][1] < MOST * total:
-                break
-            root = share.most_common(1)[0][0]
-        inside = [s for s in slots if s[: len(root)] == root]
-    return ["\t".join(s) for s in inside]
+    outside = [s for s in slots if s not in set(inside)]
+    total = sum(chars.get("\t".join(s), 0) for s in outside)
+    root: tuple[str, ...] = ()
+    while True:
+        share: Counter = Counter()
+        for s in outside:
+            if s[: len(root)] == root and len(s) > len(root) + 1:
+                share[s[: len(root) + 1]] += chars.get("\t".join(s), 0)
+        if not share or share.most_common(1)[0][1] < MOST * total:
+            break
+        root = share.most_common(1)[0][0]
+    return ["\t".join(s) for s in inside], ["\t".join(s) for s in outside if s[: len(root)] == root]
 
 
 def main_text(page: str, slots: frozenset[str]) -> str:
@@ -294,21 +300,24 @@ def extract_main(pages: DataFrame) -> DataFrame:
     def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [main_slots(json.loads(w), json.loads(c)) for w, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.string()))], names=["host", "slots"])
+            lists = [pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["host", "slots", "others"])
 
-    slots = materialise(infer_wrappers(pages).mapInArrow(slots_of, "host string, slots array<string>"), "wrappers")
-    bytes_all = slots.agg(F.sum(F.length(F.array_join("slots", "\t")) + F.length("host") + 64)).first()[0] or 0
+    slots = materialise(infer_wrappers(pages).mapInArrow(slots_of, "host string, slots array<string>, others array<string>"), "wrappers")
+    bytes_all = slots.agg(F.sum(F.length(F.array_join(F.concat("slots", "others"), "\t")) + F.length("host") + 64)).first()[0] or 0
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host().alias("host"))
-    rows = rows.join(F.broadcast(slots) if bytes_all <= BROADCAST_BYTES else slots, "host", "left").select("page_id", "url", "html", "slots")
+    rows = rows.join(F.broadcast(slots) if bytes_all <= BROADCAST_BYTES else slots, "host", "left").select("page_id", "url", "html", "slots", "others")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[tuple, frozenset] = {}
         for whole in batches:
             for batch in slices(whole, "html"):
                 out = []
-                for page, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    key = tuple(s or ())
-                    out.append(main_text(page or "", cache.setdefault(key, frozenset(key))))
+                for page, *both in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+                    text = ""
+                    for key in (tuple(s or ()) for s in both):
+                        text = text or (main_text(page or "", cache.setdefault(key, frozenset(key))) if key else "")
+                    out.append(text)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.withColumns({"page_id": F.col("page_id").cast("long"), "url": F.col("url").cast("string")}).mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -33,7 +33,7 @@ def test_wrapper_inference():
     w = merge(wa, wb)
     text = expression(w)
     assert "(<li> #PCDATA </li>)+" in text and "(<h1> #PCDATA </h1>)?" in text and "(<p> #PCDATA </p>)+" in text and "(<nav>" in text
-    slots = frozenset(main_slots(w, ca + cb))
+    slots = frozenset(main_slots(w, ca + cb)[1])
     assert main_text(a, slots) == "one\n\ntwo" and main_text(b, slots) == "t\n\nthree"
 
 
@@ -42,7 +42,13 @@ def test_furniture_and_references():
       c&nbsp;d</p><aside>no</aside><div class="cookie-notice">no</div><form><p>no</form><script>if (a < b) "</p>"</script>
       <p title="x > y">last<br>line <section class="comments"><p>no</section></article><p>outside"""
     w, c = page_wrapper(page)
-    assert main_text(page, frozenset(main_slots(w, c))) == "T & t\n\nab c d\n\nlast line"
+    assert main_text(page, frozenset(main_slots(w, c)[0])) == "T & t\n\nab c d\n\nlast line"
+
+
+def test_pages_without_an_article(spark):
+    rows = [(1, "http://h/1", "<nav>n</nav><article><p>in article</article>"), (2, "http://h/2", "<nav>n</nav><div id=content><p>long text here</p><p hidden>no</p><ol class=commentlist><li>no</ol></div><div class=x>s</div>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract_main(pages).collect()} == {1: "in article", 2: "long text here"}
 
 
 def test_edges(spark):
