@@ -23,6 +23,10 @@ SECTION = 8
 LEAF = r"[^\n]{15,78}?[estn.,;:!?] |[^\n]{1,80}\n?|\n"
 ROWS_A_BUCKET = 512
 MOST_BUCKETS = 100_000
+#: An id of more rows than this has parts of its own, by the hash that orders its rows.
+HOT_ROWS = 4 * ROWS_A_BUCKET
+HOT_PARTS = 4096
+MOST_HEADS = 1_000_000
 
 
 def leaves(text: Column) -> Column:
@@ -58,7 +62,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Ids are cut into runs of equal width, about ROWS_A_BUCKET rows each, so that the order is found within
     partitions; the successor of a run's last row is the head of the next run that has rows. There are MOST_BUCKETS
-    runs at most, so the heads' ids are bounded.
+    runs at most, so the heads' ids are bounded. An id of more than HOT_ROWS rows is dealt to HOT_PARTS parts, which
+    stand in their run where the id stands.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     s = docs.agg(F.min("doc_id").cast("long").alias("lo"), F.max("doc_id").cast("long").alias("hi"), F.count(F.lit(1)).alias("n")).first()
@@ -71,8 +76,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     tie = F.conv(F.hex(F.xxhash64("text")), 16, 10).cast("decimal(20,0)")
     order = [F.col("doc_id").desc_nulls_last(), tie, F.col("text")]
     rows = rows.withColumn("bucket", bucket)
+    hot = materialise(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter((F.col("count") > HOT_ROWS) & F.col("doc_id").isNotNull()), "hot_ids")
+    by_run = hot.groupBy(((F.lit(hi) - F.col("doc_id")) / F.lit(width)).cast("long").alias("bucket")).agg(F.collect_list("doc_id").alias("hot"))
+    most = by_run.agg(F.max(F.size("hot"))).first()[0]
+    if most:
+        # places in a run: between, at and after its hot ids, of which there are few
+        above = F.size(F.filter("hot", lambda h: h > F.col("doc_id")))
+        part = F.shiftrightunsigned(F.xxhash64("text"), 64 - (HOT_PARTS.bit_length() - 1))
+        place = F.when(F.array_contains("hot", F.col("doc_id")), (2 * above + 1) * HOT_PARTS + part).otherwise(2 * above * HOT_PARTS)
+        rows = rows.join(by_run, "bucket", "left").withColumn("bucket", F.col("bucket") * ((2 * most + 2) * HOT_PARTS) + F.coalesce(place, F.lit(0))).drop("hot")
     first_ids = materialise(rows.groupBy("bucket").agg(F.max("doc_id").alias("head")), "heads")
-    heads = rows.join(F.broadcast(first_ids), (rows["bucket"] == first_ids["bucket"]) & rows["doc_id"].eqNullSafe(first_ids["head"])).drop(first_ids["bucket"]).drop("head")
+    side = F.broadcast(first_ids) if first_ids.count() <= MOST_HEADS else first_ids
+    heads = rows.join(side, (rows["bucket"] == first_ids["bucket"]) & rows["doc_id"].eqNullSafe(first_ids["head"])).drop(first_ids["bucket"]).drop("head")
     heads = heads.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(*order))).filter("k = 1").select("bucket", F.col("text").alias("head_text"))
     line = Window.orderBy("bucket")
     follows = first_ids.select("bucket", F.coalesce(F.lead("bucket").over(line), F.first("bucket").over(line)).alias("after"))

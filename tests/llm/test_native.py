@@ -48,6 +48,15 @@ def test_order_across_runs(spark):
     assert all(got[a] == f"t{b}" for a, b in zip(ids, ids[1:] + ids[:1]))
 
 
+def test_order_with_a_hot_id(spark):
+    ids = [(i, f"t{i}") for i in range(600)] + [(300, f"hot {i}") for i in range(5000)] + [(301, f"warm {i}") for i in range(3000)]
+    docs = spark.createDataFrame(ids, "doc_id long, text string")
+    got = fingerprints.with_next(docs)
+    tie = F.conv(F.hex(F.xxhash64("text")), 16, 10).cast("decimal(20,0)")
+    want = [r["text"] for r in docs.orderBy(F.desc("doc_id"), tie, "text").collect()]
+    assert {r["text"]: r["next_text"] for r in got.collect()} == dict(zip(want, want[1:] + want[:1]))
+
+
 def test_edited_section(spark):
     lines = [f"line {i}" for i in range(40)]
     changed = lines[:20] + ["other"] + lines[21:]
