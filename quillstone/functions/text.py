@@ -23,6 +23,11 @@ def _accents() -> tuple[str, str]:
     return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is worked out once, even where body uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """White space collapsed to single blanks, ends trimmed."""
     return F.trim(F.regexp_replace(c, BLANKS, " "))
@@ -59,15 +64,19 @@ def title_share(title: Column, text: Column, longer_than: int = 3) -> Column:
 
 def shingles(c: Column, n: int = 5) -> Column:
     """Distinct runs of n words."""
-    w = words(c)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def runs(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(each)).otherwise(none)
+
+    return let(words(c), runs)
 
 
 def abstract_share(abstract: Column, text: Column, n: int = 5, within: int = 30_000) -> Column:
     """Share of the abstract's distinct n-word runs that occur in the opening of the text; 1 where it has none."""
-    own = shingles(abstract, n)
-    return F.when(F.size(own) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(own, shingles(F.substring(text, 1, within), n))) / F.size(own))
+    rest = shingles(F.substring(text, 1, within), n)
+    return let(shingles(abstract, n), lambda own: F.when(F.size(own) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(own, rest)) / F.size(own)))
 
 
 def shorten(c: Column, limit: int = 400, mark: str = " …") -> Column:
@@ -184,10 +193,9 @@ def cited(c: Column) -> Column:
 
 def renumber_citations(c: Column) -> Column:
     """Citation tags replaced by [1], [2] ... in order of first use; each part of the text is read once."""
-    order = cited(c)
     parts = F.split(c, "(?s)<cite>|</cite>", -1)
     # odd parts lie inside tags
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit("["), F.array_position(order, F.trim(p)).cast("string"), F.lit("]"))).otherwise(p)), "")
+    return let(cited(c), lambda order: F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, F.concat(F.lit("["), F.array_position(order, F.trim(p)).cast("string"), F.lit("]"))).otherwise(p)), ""))
 
 
 def strip_citations(c: Column) -> Column:

@@ -51,8 +51,12 @@ def token_estimate(c: Column, chars: float = 2.5) -> Column:
 
 def unit(v: Column) -> Column:
     """A vector divided by its length; a zero vector as it is."""
-    n = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    return F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / n))
+    from quillstone.functions.text import let
+
+    def divided(both: Column) -> Column:
+        return F.transform(both["v"], lambda x: F.when(both["n"] == 0, x.cast("double")).otherwise(x.cast("double") / both["n"]))
+
+    return let(v, lambda u: let(F.struct(u.alias("v"), F.sqrt(F.aggregate(u, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("n")), divided))
 
 
 def dot(a: Column, b: Column) -> Column:

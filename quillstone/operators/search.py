@@ -149,9 +149,8 @@ def fresh_only(found: DataFrame, given: DataFrame, key: str = "doc_key") -> Data
 
 def embed_hashing(c: Column, dims: int = 64) -> Column:
     """A deterministic stand-in for an embedder: signed hashed term counts, of unit length."""
+    from quillstone.functions.text import let
     from quillstone.functions.values import unit
 
-    t = tokens(c)
-    at = F.transform(t, lambda x: F.pmod(F.xxhash64(x), F.lit(dims)).cast("int"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(at, lambda a: a == i)).cast("double"))
-    return unit(v)
+    at = F.transform(tokens(c), lambda x: F.pmod(F.xxhash64(x), F.lit(dims)).cast("int"))
+    return unit(let(at, lambda t: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(t, lambda a: a == i)).cast("double"))))
