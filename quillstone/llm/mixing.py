@@ -5,7 +5,8 @@ word lists is trained on a bounded, documented sample of labelled rows (SAMPLE)
 over the domains. Nonnegative rates per document are then fitted by projected gradient so that the expected tokens
 of each domain, the sum of rate * tokens * posterior, match the targets in the least-squares sense. Rates start at 1
 and steps are preconditioned by tokens and domain totals (the largest step that must converge), so the rates settle
-at the solution nearest to 1. As posteriors depend on the binned features alone, documents with equal bins have equal
+at the solution nearest to 1. A target may be a ceiling: it holds only where the expected share of all documents exceeds
+it, documents of such a domain (their most probable one) are never copied, and those of the others never left out. As posteriors depend on the binned features alone, documents with equal bins have equal
 rates at every step; the steps run distributed over those groups, weighted with their tokens, and a document's rate
 is the same fold over the steps' gradients. Tokens are runs of letters and digits.
 
@@ -128,22 +129,33 @@ def with_posteriors(groups: DataFrame, model: Posterior) -> DataFrame:
     return rows.withColumn("_p", F.transform("_e", lambda x: x / total)).drop("_z", "_e")
 
 
-def _fold(steps: list[list[float]]) -> Column:
+def _bounded(rate: Column, ceilings: list[int]) -> Column:
+    """The rate's nearest allowed value: at most 1 where a domain with a ceiling is the most probable, else at least 1."""
+    r = F.greatest(F.lit(0.0), rate)
+    if not ceilings:
+        return r
+    first = F.array_position("_p", F.array_max("_p")) - 1
+    return F.when(first.isin(ceilings), F.least(F.lit(1.0), r)).otherwise(F.greatest(F.lit(1.0), r))
+
+
+def _fold(steps: list[list[float]], ceilings: list[int]) -> Column:
     """(r, y) after the steps, each a gradient and the momentum that follows it: the rate, and the point of the next gradient."""
     history = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
 
     def step(at: Column, g: Column) -> Column:
         # zip_with pads the posteriors with a null for the momentum, which the sum leaves out
         move = F.aggregate(F.zip_with("_p", g, lambda p, x: F.coalesce(p * x, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-        r = F.greatest(F.lit(0.0), at["y"] - move)
+        r = _bounded(at["y"] - move, ceilings)
         return F.struct(r.alias("r"), (r + F.element_at(g, -1) * (r - at["r"])).alias("y"))
 
     return F.aggregate(history, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)
 
 
-def fit_rates(groups: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE) -> list[list[float]]:
+def fit_rates(groups: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE, ceilings: list[int] | None = None) -> list[list[float]]:
     """Gradients and momentum of every step over groups(_p, n_tokens); targets are weights * all tokens.
 
+    The weights of domains in ceilings are lowered to their expected shares; the others take what is left, in proportion.
+
     Accelerated projected gradient (Nesterov). Errors are taken relative to each domain's share, which makes the
     largest eigenvalue 1, so whole steps converge.
     """
@@ -155,11 +167,17 @@ def fit_rates(groups: DataFrame, weights: list[float], steps: int = STEPS, toler
     if not total:
         return history
     own = [first[f"y{i}"] / total for i in range(k)]
+    if ceilings:
+        held = {i: min(weights[i], own[i]) for i in ceilings}
+        if all(held[i] == own[i] for i in ceilings):
+            return history
+        rest = sum(w for i, w in enumerate(weights) if i not in held)
+        weights = [held[i] if i in held else w / rest * (1 - sum(held.values())) for i, w in enumerate(weights)]
     at, t = list(own), 1.0
     while len(history) < steps:
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
         history.append([(at[i] - weights[i]) / max(own[i], 1e-9) for i in range(k)] + [(t - 1) / after])
-        rated = groups.withColumn("_f", _fold(history))
+        rated = groups.withColumn("_f", _fold(history, ceilings or []))
         row = rated.agg(*[F.sum(p * F.col(f"_f.{c}")).alias(f"{c}{i}") for i, p in enumerate(part) for c in ("r", "y")]).first()
         at, t = [row[f"y{i}"] / total for i in range(k)], after
         if max(abs(row[f"r{i}"] / total - weights[i]) for i in range(k)) < tolerance:
@@ -167,15 +185,16 @@ def fit_rates(groups: DataFrame, weights: list[float], steps: int = STEPS, toler
     return history
 
 
-def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column, steps: int) -> DataFrame:
+def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column, steps: int, ceilings: frozenset[str] = frozenset()) -> DataFrame:
     """docs with _n (tokens), _p (posteriors in order of the targets) and _rate."""
     total = sum(targets.values())
     model = train_posterior(docs, labels, tuple(targets), domain)
     rows = with_group(docs, model)
     groups = materialise(with_posteriors(rows.groupBy("_group").agg(F.sum("_n").alias("n_tokens")), model).coalesce(1), "mix_groups")
-    history = fit_rates(groups, [w / total for w in targets.values()], steps)
+    capped = [i for i, d in enumerate(targets) if d in ceilings]
+    history = fit_rates(groups, [w / total for w in targets.values()], steps, ceilings=capped)
     # one row for each combination of bins, so the side is bounded whatever the corpus
-    rates = materialise(groups.select("_group", "_p", _fold(history)["r"].alias("_rate")), "mix_rates")
+    rates = materialise(groups.select("_group", "_p", _fold(history, capped)["r"].alias("_rate")), "mix_rates")
     return rows.join(F.broadcast(rates), "_group", "left").drop("_group")
 
 
@@ -186,9 +205,9 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     return rows.select(*kept, F.col("_n").alias("n_tokens"), F.col("_p").alias("posteriors"), F.col("_rate").alias("rate"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, ceilings: frozenset[str] = frozenset()) -> DataFrame:
     """docs in as many copies as their rates say; the fraction is rounded by a hash of the row. Columns stay as they are."""
-    rows = _rated(docs, labels, targets or TARGETS, label_domain() if domain is None else domain, STEPS)
+    rows = _rated(docs, labels, targets or TARGETS, label_domain() if domain is None else domain, STEPS, ceilings)
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("_rate") + u).cast("int")
     return rows.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 from quillstone.llm.common import materialise
 from tests.llm.test_ngram_join import brute
@@ -44,3 +46,15 @@ def test_stages_on_odd_rows(spark, sf_dir):
                 assert n == 5
             if k == 4:
                 whole(out.collect())
+
+
+def test_mix_holds_toxic_share_down_only(spark, tmp_path):
+    """A corpus under the toxic ceiling stays as it is; above it, every clean document stays and no toxic one is copied."""
+    for n_toxic, bound in ((8, False), (120, True)):
+        rows = [(i, f"slur{i % 3} insult{i % 5} " * 20 if i < n_toxic else f"paper{i % 7} result{i % 5} " * 20) for i in range(400)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        spark.createDataFrame([(i, int(i < n_toxic), 1) for i, _ in rows], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/{n_toxic}/labels.parquet")
+        got = Counter(r["doc_id"] for r in corpus_pipeline.mix(spark, docs, f"{tmp_path}/{n_toxic}").collect())
+        assert all(got[i] >= 1 for i in range(n_toxic, 400)) and all(got[i] <= 1 for i in range(n_toxic))
+        kept = sum(got[i] for i in range(n_toxic))
+        assert kept < n_toxic / 4 if bound else got == Counter(range(400))
