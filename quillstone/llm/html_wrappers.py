@@ -21,6 +21,7 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -57,11 +58,24 @@ SKIP_WORDS = frozenset(
 SKIP_STEMS = re.compile(r"advert|breadcrumb|comment|cookie|disclaimer|footer|gdpr|navbar|newsletter|paginat|paywall|promo|sidebar|signup|sponsor|subscri")
 HIDDEN = re.compile(r"\shidden(?=[\s=/>])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _WORD = re.compile(r"[a-z]+")
+_CUT_WORD = re.compile(r"[A-Za-z]+$")
+
+
+def _telling(value: str) -> bool:
+    value = value.lower()
+    return bool(SKIP_STEMS.search(value)) or not SKIP_WORDS.isdisjoint(_WORD.findall(value))
+
+
+def _short(value: str) -> str:
+    """Values of up to 60 characters as they are; of longer ones the whole words of the head, a hash of all, and whether all of it marks furniture."""
+    if len(value) <= 60:
+        return value
+    return f"{_CUT_WORD.sub('', value[:60])}~{zlib.crc32(value.encode('utf-8', 'replace'))}" + ("~furniture" if _telling(value) else "")
 
 
 def label_of(tag: str, name: str) -> str:
     found = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(tag)] if "=" in tag else ()
-    label = name + "".join(f"[{k}={DIGITS.sub('0', ' '.join(v.split()))[:60]}]" for k, v in found)
+    label = name + "".join(f"[{k}={_short(DIGITS.sub('0', ' '.join(v.split())))}]" for k, v in found)
     return label + "[hidden]" if " " in tag and HIDDEN.search(tag) else label
 
 
@@ -71,8 +85,7 @@ def furniture(label: str) -> bool:
         return True
     if not rest or name in ("article", "main", "body", "html"):
         return False
-    rest = rest.lower()
-    return rest.endswith("hidden]") or bool(SKIP_STEMS.search(rest)) or not SKIP_WORDS.isdisjoint(_WORD.findall(rest))
+    return rest.lower().endswith("hidden]") or "~furniture]" in rest or _telling(rest)
 
 
 def stream(page: str) -> Iterator[tuple[str, str]]:

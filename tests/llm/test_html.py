@@ -60,3 +60,13 @@ def test_edges(spark):
     assert extract_main(pages).count() == len(rows)
     none = pages.filter(F.lit(False))
     assert extract_main(none).count() == infer_wrappers(none).count() == 0
+
+
+def test_long_class_lists():
+    """The telling word counts wherever it stands, and a word that only the cut makes does not."""
+    utility = " ".join(f"u-{c * 6}" for c in "abcdefghijk")
+    assert len(utility) > 90
+    page = f"<article><p>body</p><div class='{utility} comments'><p>no</p></div><div class='{utility} lead'><p>yes</p></div><div class='{'x' * 50} w-zzzz adaptive'><p>kept</p></div></article>"
+    w, c = page_wrapper(page)
+    assert main_text(page, frozenset(main_slots(w, c)[0])) == "body\n\nyes\n\nkept"
+    assert len({p[0] for p in w[0][2]}) == 4
