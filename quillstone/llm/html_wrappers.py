@@ -7,7 +7,8 @@ repeated group, and texts stay slots; the result is the host's wrapper. Wrappers
 partition, then merged by host and salt, then by host, so that no task sees more than the wrappers of its share.
 
 Of the wrapper's slots those of the main text are taken: slots in <article> or <main>, or, for a page without text
-there, slots in the deepest other group that holds MOST of the host's text; in no menu, header, footer, sidebar,
+there, slots in the deepest other group that holds MOST of the text of the host's pages of that kind, or, for a page
+without text there too, slots in the deepest group that holds MOST of its own text; in no menu, header, footer, sidebar,
 notice, advert, form, script, style, comment or hidden group. Pages are then read with their host's slots: each block's text with character
 references decoded and white space collapsed, blocks joined by an empty line.
 
@@ -211,6 +212,16 @@ def expression(wrapper: list) -> str:
     return " ".join("#PCDATA" if p == "#" else f"({'<' + p[0] + '>'} {expression(p[2])} </{p[0].partition('[')[0]}>){p[1]}" for p in wrapper)
 
 
+def _in_article(path: tuple[str, ...]) -> bool:
+    return any(x.partition("[")[0] in ("article", "main") for x in path)
+
+
+def outside_chars(chars: Counter) -> Counter:
+    """A page's characters by path as they count for pages without an article: none if it has text in one."""
+    paths = [tuple(p.split("\t")) for p in chars]
+    return Counter() if any(_in_article(p) and not any(map(furniture, p)) for p in paths) else chars
+
+
 def main_slots(wrapper: list, chars: dict[str, int]) -> tuple[list[str], list[str]]:
     """Paths of the slots that hold the main text: in articles, and outside of them for pages that have none."""
     slots: list[tuple[str, ...]] = []
@@ -224,9 +235,11 @@ def main_slots(wrapper: list, chars: dict[str, int]) -> tuple[list[str], list[st
 
     walk(wrapper, ())
     slots = list(dict.fromkeys(slots))
-    inside = [s for s in slots if any(x.partition("[")[0] in ("article", "main") for x in s)]
+    inside = [s for s in slots if _in_article(s)]
     outside = [s for s in slots if s not in set(inside)]
     total = sum(chars.get("\t".join(s), 0) for s in outside)
+    if not total:
+        return ["\t".join(s) for s in inside], []
     root: tuple[str, ...] = ()
     while True:
         share: Counter = Counter()
@@ -268,12 +281,18 @@ def main_text(page: str, slots: frozenset[str]) -> str:
     return "\n\n".join(blocks)
 
 
+def own_text(page: str) -> str:
+    """The text of a page whose host's slots hold none of it, by its own wrapper."""
+    wrapper, chars = page_wrapper(page)
+    return main_text(page, frozenset(main_slots(wrapper, chars)[1]))
+
+
 def _host() -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), "://([^/?#]*)", 1))
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), chars (JSON: characters of text by path) of every host."""
+    """host, wrapper (JSON), chars (JSON: characters of text by path on pages without an article) of every host."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[list, Counter]] = {}
@@ -282,6 +301,7 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
             for batch in slices(whole, "html"):
                 for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     wrapper, chars = page_wrapper(page or "")
+                    chars = outside_chars(chars)
                     shape = (host, json.dumps(wrapper))
                     if host not in known:
                         known[host] = (wrapper, chars)
@@ -330,7 +350,7 @@ def extract_main(pages: DataFrame) -> DataFrame:
                     text = ""
                     for key in (tuple(s or ()) for s in both):
                         text = text or (main_text(page or "", cache.setdefault(key, frozenset(key))) if key else "")
-                    out.append(text)
+                    out.append(text or own_text(page or ""))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.withColumns({"page_id": F.col("page_id").cast("long"), "url": F.col("url").cast("string")}).mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -70,3 +70,14 @@ def test_long_class_lists():
     w, c = page_wrapper(page)
     assert main_text(page, frozenset(main_slots(w, c)[0])) == "body\n\nyes\n\nkept"
     assert len({p[0] for p in w[0][2]}) == 4
+
+
+def test_layouts_of_one_host(spark):
+    """Pages of a host's smaller layout keep their text, and boxes of pages with an article are no main text of the others."""
+    long = "words of the body " * 6
+    rows = [(i, f"<body><div class=post><p>{long}{i}</div>") for i in range(6)] + [(i, f"<body><div class=entry><p>entry {i}</div>") for i in (6, 7)]
+    rows += [(i, f"<body><div class=box>{long * 3}</div><article><p>article {i}</article>") for i in range(8, 28)]
+    rows += [(28, "<body><div class=box>short box</div><div class=post><p>post of the last page</div>")]
+    pages = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in rows], "page_id long, url string, html string")
+    want = {i: f"{long}{i}" for i in range(6)} | {i: f"entry {i}" for i in (6, 7)} | {i: f"article {i}" for i in range(8, 28)} | {28: "post of the last page"}
+    assert {r["page_id"]: r["text"] for r in extract_main(pages).collect()} == want
