@@ -1,7 +1,8 @@
-"""HTML extraction (operator 6): a wrapper for each host by union-free regular-expression inference.
+"""HTML extraction (operator 6): a wrapper for each host by union-free regular-expression inference over its tags.
 
 A page is cut into a stream of tags and texts. Tags that never close get the ends that HTML implies, so the stream
-nests. Equal neighbours of a level fold into a repeated group, and texts are slots. The folded streams of a host's
+nests. Equal neighbours of a level fold into a repeated group, and all texts are slots: no texts are compared, so
+constant ones are not told from others. The folded streams of a host's
 pages are aligned one after another: what one side lacks becomes an optional group, what follows itself a
 repeated group, and texts stay slots; the result is the host's wrapper. Wrappers are first inferred inside each
 partition, then merged by host and salt, then by host, so that no task sees more than the wrappers of its share.
