@@ -406,10 +406,10 @@ def udf09(spark, sf):
 
 @query("udf11_entry_point")
 def udf11(spark, sf):
-    """A question answered end to end with the stand-in models: reply and source lines."""
+    """Every question answered end to end with the stand-in models: reply and source lines."""
     from quillstone.plans.retrieval import answered
 
-    return answered(spark, sf, 1).select("query_id", T.renumber_citations(F.col("reply")).alias("reply"), F.size(T.cited(F.col("reply"))).alias("sources"))
+    return answered(spark, sf).select("query_id", T.renumber_citations(F.col("reply")).alias("reply"), F.size(T.cited(F.col("reply"))).alias("sources"))
 
 
 @query("udf13_spans", "SELECT user_id, count(*) AS spans, round(max(value), 2)::DOUBLE AS longest FROM events GROUP BY user_id")
