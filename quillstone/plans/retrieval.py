@@ -406,7 +406,7 @@ def udf02(spark, sf):
 
 @query("udf03_document_embedder")
 def udf03(spark, sf):
-    e = search.embed_hashing(F.substring("text", 1, 400))
+    e = search.embed_hashing(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.transform(e, lambda x: F.round(x, 6)).alias("embedding"))
 
 
