@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences (operator 10).
 
-Bulk-synchronous best-fit: pieces are kept in order of length and gaps in order of size, both as runs of
+Best-fit decreasing in sweeps: pieces are kept in order of length and gaps in order of size, both as runs of
 equal values, since equal pieces and equal gaps are interchangeable. A sweep gives the longest remaining run
-its successor among the gaps (the smallest that is large enough), pieces and gaps that compete are matched
-rank by rank, the gaps shrink, and sweeps repeat until every piece lies in a sequence. There are at most
-`capacity` runs of either kind, so the state of the sweeps is bounded whatever the corpus size; the ranks of
+its successor among the gaps (the smallest that is large enough), pieces and gaps are matched rank by rank, the
+gaps shrink, and sweeps repeat until every piece lies in a sequence. The sweeps run on the driver over the counts
+by length: at most `capacity` runs of pieces and, as a length opens one run of sequences and splits one run of
+gaps at most, 2 * `capacity` runs of gaps, whatever the corpus size; the ranks of
 the pieces within their run come from distributed prefix sums and every row finds its own place.
 
 Defined results: a null text counts as empty and gives one piece (the end id alone); repeated rows are packed
