@@ -1,21 +1,27 @@
-"""HTML extraction (operator 6): a wrapper for each host by union-free regular-expression inference over its tags.
-
-A page is cut into a stream of tags and texts. Tags that never close get the ends that HTML implies, so the stream
-nests. Equal neighbours of a level fold into a repeated group, and all texts are slots: no texts are compared, so
-constant ones are not told from others. The folded streams of a host's
-pages are aligned one after another: what one side lacks becomes an optional group, what follows itself a
-repeated group, and texts stay slots; the result is the host's wrapper. Wrappers are first inferred inside each
-partition, then merged by host and salt, then by host, so that no task sees more than the wrappers of its share.
-
-Of the wrapper's slots those of the main text are taken: slots in <article> or <main>, or, for a page without text
-there, slots in the deepest other group that holds MOST of the text of the host's pages of that kind, or, for a page
-without text there too, slots in the deepest group that holds MOST of its own text; in no menu, header, footer, sidebar,
-notice, advert, form, script, style, comment or hidden group. Pages are then read with their host's slots: each block's text with character
-references decoded and white space collapsed, blocks joined by an empty line.
-
-Defined results: null and empty pages have no text; a null url has the host ''; repeated rows are read each by itself;
-an unclosed comment, script or style reaches to the end of the page; an empty table gives no rows; further columns are
-ignored.
+"""HTML extraction (operator 6): a wrapper for each host by union-free regular-expression inference over its pages.
+
+A page is cut into a nested stream of tags and texts (one pass; tags that never close get the ends that HTML implies).
+The first page of a host is its first wrapper. Every further page is aligned with it, level by level: equal tags match in
+order; what one side lacks becomes an optional group; a run of one or more tags that follows itself, where the pages
+disagree on how often, becomes a repeated group; a text on which two pages disagree becomes a slot, and one that is the
+same everywhere stays template text. Wrappers are inferred inside each partition and then merged by host in rounds
+of fewer and fewer salts, one wrapper at a time, so no task holds more than the wrapper that it builds.
+
+Every page is then matched against its host's wrapper, and the texts that are bound to slots are candidates; template
+text is left out (only where at least INDEPENDENT different pages agree on it; headings always stay). Of the candidates
+those in <article> or <main> are the main text. A page without any takes those in the host's main group, the deepest
+wrapper group that holds MOST of the slot characters (outside links) of the host's pages of that kind, so a menu and an
+article in the same tags are told apart by what varies. A page without text there takes its own such group. A text that
+the wrapper does not know counts as a slot. Groups that HTML itself names as menus, headers, footers, asides or forms, and
+hidden ones, are never main text; groups whose class, id or role names them so (see `marked`) neither, unless they hold
+nearly all slot characters of the host.
+
+Bounds: beyond MOST_NODES a wrapper drops the optional groups of the fewest pages. Their texts are slots then, like any that a
+wrapper does not know, and lie in the main group if what holds them does.
+
+Defined results: null and empty pages have no text; a null url has the host ''; repeated rows are read each by itself; an
+unclosed comment, script or style reaches to the end of the page, an unclosed quote in a tag to its first '>'; an empty
+table gives no rows; further columns are ignored. Time and memory are linear in a page, whatever its depth or width.
 """
 
 from __future__ import annotations
@@ -24,337 +30,794 @@ import html as html_lib
 import json
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialise, slices
 
+ROUNDS = (1024, 32, 1)
 SALTS = 32
 MOST = 0.6
+LEAST = 0.1
+#: A group named as furniture counts as main text only where it holds this many characters a page and nearly all there are.
+BODY = 400
+INDEPENDENT = 5
+LONG_RUN = 16
+PERIOD = 8
+SKETCH = 64
+PROSE = 60
+MOST_NODES = 50_000
+FLUSH_NODES = 400_000
 BROADCAST_BYTES = 16 << 20
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<[a-zA-Z/!?](?:\"[^\"]*\"|'[^']*'|[^'\">])*>|<[a-zA-Z/!?][^>]*>|[^<]+|<",
-    re.S | re.I,
-)
-NAME = re.compile(r"</?\s*([a-zA-Z][^\s/>]*)")
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-DIGITS = re.compile(r"\d+")
-#: Fixed values of HTML: elements without content, inline elements, and which open elements a start tag ends.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var".split())
+
+#: Fixed values of HTML: elements without content, inline elements, elements whose content is no text, which open elements a start tag ends.
+VOID = frozenset("area base col embed hr img input link meta source track".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea iframe svg title".split())
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}} | {
     t: {"p"} for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()
 }
 LIMITS = frozenset("html body article section main div table td th ul ol dl blockquote nav header footer aside form".split())
-SKIP_TAGS = frozenset("nav header footer aside form head button select option dialog menu object canvas script style noscript template textarea iframe svg title".split())
-SKIP_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion reactions related replies respond search share sharing sidebar social sponsor sponsored subscribe toolbar widget widgets alert dialog".split()
+PARAGRAPHS = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 tr td th pre blockquote figcaption caption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PLAIN = frozenset("html body head main article".split())
+#: Fixed values of HTML: elements that are no main text by their meaning.
+SKIP_TAGS = frozenset("nav header footer aside form head button select option dialog menu object canvas".split()) | RAW
+SKIP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
+#: Words that name a group when they are a whole class or id, or the last word of one.
+SKIP_HEADS = frozenset(
+    "ad ads advert adverts advertisement advertisements banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pagination paywall popup promo promos reactions related replies respond search share sharing sidebar signup social sponsor sponsored sponsors subscribe toolbar widget widgets".split()
 )
-#: Stems that mark such groups wherever they stand in a class or id.
-SKIP_STEMS = re.compile(r"advert|breadcrumb|comment|cookie|disclaimer|footer|gdpr|navbar|newsletter|paginat|paywall|promo|sidebar|signup|sponsor|subscri")
-HIDDEN = re.compile(r"\shidden(?=[\s=/>])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+#: Words that name a group where a class or id begins with them.
+SKIP_FIRST = frozenset("advert breadcrumb breadcrumbs comment comments disqus gdpr nav navbar newsletter pagination paywall sidebar sponsor sponsored".split())
+#: Pairs of a first and a last word that name a group.
+SKIP_PAIRS = {
+    **dict.fromkeys(("related", "recommended", "popular"), frozenset("articles content items links news pages posts stories".split())),
+    **dict.fromkeys(("social", "share", "sharing"), frozenset("bar buttons icons links media tools".split())),
+}
+_START = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*[\"']")
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = re.compile(r"\shidden(?=[\s=/>])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _WORD = re.compile(r"[a-z]+")
-_CUT_WORD = re.compile(r"[A-Za-z]+$")
+_CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
-def _telling(value: str) -> bool:
-    value = value.lower()
-    return bool(SKIP_STEMS.search(value)) or not SKIP_WORDS.isdisjoint(_WORD.findall(value))
+def marked(value: str) -> bool:
+    """Whether a class or id (one token) names a menu, advert, comment or the like."""
+    words = _WORD.findall(_CAMEL.sub(" ", value).lower())
+    if not words:
+        return False
+    return words[-1] in SKIP_HEADS or words[0] in SKIP_FIRST or words[-1] in SKIP_PAIRS.get(words[0], ())
 
 
-def _short(value: str) -> str:
-    """Values of up to 60 characters as they are; of longer ones the whole words of the head, a hash of all, and whether all of it marks furniture."""
-    if len(value) <= 60:
-        return value
-    return f"{_CUT_WORD.sub('', value[:60])}~{zlib.crc32(value.encode('utf-8', 'replace'))}" + ("~furniture" if _telling(value) else "")
+class Item:
+    """A part of a wrapper or page: a tag, a text ('#') or a group of tags that repeats together (key starts with \\x1e)."""
 
+    __slots__ = ("key", "how", "pages", "seqs", "text", "link", "chars", "out", "prose", "bound", "keys", "singles", "groups", "template", "root")
 
-def label_of(tag: str, name: str) -> str:
-    found = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(tag)] if "=" in tag else ()
-    label = name + "".join(f"[{k}={_short(DIGITS.sub('0', ' '.join(v.split())))}]" for k, v in found)
-    return label + "[hidden]" if " " in tag and HIDDEN.search(tag) else label
+    def __init__(self, key: str, how: str = "", pages: int = 1):
+        self.key, self.how, self.pages = key, how, pages
+        self.seqs: list[list[Item]] = []
+        self.text = self.bound = self.keys = None
+        self.link = self.chars = self.out = self.prose = 0
+        self.template = self.root = False
 
+    @property
+    def kids(self) -> list[Item]:
+        return self.seqs[0] if self.seqs else []
 
-def furniture(label: str) -> bool:
-    name, _, rest = label.partition("[")
-    if name in SKIP_TAGS:
-        return True
-    if not rest or name in ("article", "main", "body", "html"):
-        return False
-    return rest.lower().endswith("hidden]") or "~furniture]" in rest or _telling(rest)
 
+def tag_name(key: str) -> str:
+    return key.partition(" ")[0].rstrip("!~")
 
-def stream(page: str) -> Iterator[tuple[str, str]]:
-    """('open' | 'close' | 'break' | 'text', label or text), nested properly."""
-    stack: list[tuple[str, str]] = []
-    for m in TOKEN.finditer(page):
-        token = m.group()
-        if token[0] != "<" or len(token) == 1:
-            yield "text", token
-            continue
-        if m.group(1) or token[1] in "!?":
+
+def skipped(key: str, words: bool = True) -> bool:
+    """Furniture: by tag or role or as hidden ('~'), or by its words ('!')."""
+    name = key.partition(" ")[0]
+    return name.endswith("~") or (words and name.endswith("!"))
+
+
+_KEYS: dict[str, str] = {}
+
+
+def key_of(tag: str, name: str) -> str:
+    """The name, '~' for furniture by meaning, '!' by words, and the class, id and role words that pages share (no digits)."""
+    key = _KEYS.get(tag)
+    if key is not None:
+        return key
+    found = [(k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(tag)] if "=" in tag else []
+    by_meaning = name in SKIP_TAGS or (" " in tag and bool(_HIDDEN.search(tag))) or any(k == "role" and v.lower() in SKIP_ROLES for k, v in found)
+    words = name not in HEADINGS and name not in ("html", "body", "main") and any(marked(t) for k, v in found if k != "role" for t in v.split())
+    shared = () if name in PLAIN else sorted({f"{k}={t}" for k, v in found for t in v.split() if not any(c.isdigit() for c in t)})
+    rest = " ".join(shared)
+    if len(rest) > 200:
+        rest = f"{zlib.crc32(rest.encode('utf-8', 'replace'))}"
+    key = name + ("~" if by_meaning else "!" if words else "") + (" " + rest if rest else "")
+    if len(_KEYS) < 20_000 and len(tag) < 500:
+        _KEYS[tag] = key
+    return key
+
+
+def parse(page: str) -> Item:
+    """The page as a tree of tags and texts; iterative, one pass."""
+    top = Item("")
+    kids: list[Item] = []
+    top.seqs.append(kids)
+    stack: list[tuple[str, list[Item]]] = [("", kids)]
+    places: dict[str, list[int]] = defaultdict(list)
+    limits = [0]
+    pieces: list[str] = []
+    link = [0]
+    in_link = broken = False
+    last = page.rfind(">")
+
+    def flush() -> None:
+        if pieces:
+            text = " ".join(html_lib.unescape("".join(pieces)).split())
+            pieces.clear()
+            if text:
+                item = Item("#")
+                item.text, item.link, item.chars = text, min(link[0], len(text)), len(text)
+                stack[-1][1].append(item)
+        link[0] = 0
+
+    def close_to(depth: int) -> None:
+        flush()
+        while len(stack) > depth:
+            name, _ = stack.pop()
+            places[name].pop()
+            if limits[-1] == len(stack):
+                limits.pop()
+
+    i, n = 0, len(page)
+    while i < n:
+        j = page.find("<", i)
+        over = j < 0 or j > last  # no tag can end any more, but a comment may open
+        if over:
+            j = page.find("<!--", i)
+            j = n if j < 0 else j
+        if j > i:
+            pieces.append(page[i:j])
+            if in_link:
+                link[0] += j - i
+        if over:
+            break
+        m = _START.match(page, j)
+        if not m:
+            if page.startswith("<!--", j):
+                k = page.find("-->", j + 4)
+                i = n if k < 0 else k + 3
+            elif page[j + 1] in "!?/":
+                i = page.find(">", j) + 1
+            else:
+                pieces.append("<")
+                i = j + 1
             continue
-        name = NAME.match(token)
-        if not name:
+        end = m.end()
+        while not broken:
+            stop = _STOP.search(page, end)
+            if stop and stop.group() == ">":
+                end = stop.start()
+                break
+            end = page.find(stop.group()[-1], stop.end()) + 1 if stop else 0
+            broken = not end
+        if broken:
+            end = page.find(">", m.end())
+        tag, name, i = page[j : end + 1], m.group(2).lower(), end + 1
+        if name in RAW:
+            if not m.group(1) and not (name == "svg" and tag.endswith("/>")):
+                close = _CLOSE[name].search(page, i)
+                i = close.end() if close else n
             continue
-        name = name.group(1).lower()
         if name in INLINE:
+            if name == "a":
+                in_link = not m.group(1)
             continue
-        if name == "br" or name == "wbr":
-            if name == "br":
-                yield "text", " "
+        if name == "br":
+            pieces.append(" ")
             continue
-        if token[1] == "/":
-            if any(n == name for n, _ in stack):
-                while True:
-                    n, label = stack.pop()
-                    yield "close", label
-                    if n == name:
-                        break
+        if m.group(1):
+            if places.get(name):
+                close_to(places[name][-1])
             elif name == "p":
-                yield "break", ""
+                flush()
             continue
-        ends = ENDS.get(name)
-        if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    while len(stack) > k:
-                        yield "close", stack.pop()[1]
-                    break
-                if stack[k][0] in LIMITS:
-                    break
+        ends = ENDS.get(name, ())
+        while (at := max((places[e][-1] for e in ends if places.get(e)), default=0)) and at >= limits[-1]:
+            close_to(at)
+        flush()
         if name in VOID:
-            yield "break", ""
             continue
-        label = label_of(token, name)
-        stack.append((name, label))
-        yield "open", label
-    while stack:
-        yield "close", stack.pop()[1]
-
+        item = Item(key_of(tag, name))
+        kids = []
+        item.seqs.append(kids)
+        stack[-1][1].append(item)
+        if name in LIMITS:
+            limits.append(len(stack))
+        places[name].append(len(stack))
+        stack.append((name, kids))
+    flush()
+    return top
 
-# A group is [label, how, parts]: how is "" for once, "+" repeated, "?" optional, "*" both. A slot is the string "#".
 
+# alignment ---------------------------------------------------------------------------------------------------------
 
-def _fold(parts: list) -> list:
-    out: list = []
-    for p in parts:
-        if out and p != "#" and out[-1] != "#" and out[-1][0] == p[0]:
-            out[-1] = [p[0], _how(out[-1][1], p[1], True), merge(out[-1][2], p[2])]
-        elif not (p == "#" and out and out[-1] == "#"):
-            out.append(p)
-    return out
 
-
-def _how(a: str, b: str, again: bool = False, missing: bool = False) -> str:
-    plus, maybe = again or "+" in a + b or "*" in a + b, missing or "?" in a + b or "*" in a + b
+def _how(*hows: str) -> str:
+    plus, maybe = any(h in ("+", "*") for h in hows), any(h in ("?", "*") for h in hows)
     return "*" if plus and maybe else "+" if plus else "?" if maybe else ""
 
 
-def page_wrapper(page: str) -> tuple[list, Counter]:
-    """(folded stream, characters of text by path) of one page."""
-    top: list = []
-    levels, path, chars = [top], [], Counter()
-    for kind, what in stream(page):
-        if kind == "open":
-            levels.append([])
-            path.append(what)
-        elif kind == "close":
-            parts = _fold(levels.pop())
-            levels[-1].append([what, "", parts])
-            path.pop()
-        elif kind == "text" and not what.isspace():
-            levels[-1].append("#")
-            chars["\t".join(path)] += len(what)
-    return _fold(top), chars
-
-
-def _name(part) -> str:
-    return part if part == "#" else part[0]
-
-
-def _optional(part):
-    return part if part == "#" else [part[0], _how(part[1], "", missing=True), part[2]]
-
-
-def merge(a: list, b: list) -> list:
-    """Align two folded streams: the longest common subsequence is kept, the rest becomes optional, repeats fold."""
-    if a == b:
-        return a
-    n, m = len(a), len(b)
-    names_a, names_b = [_name(x) for x in a], [_name(x) for x in b]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if names_a[i] == names_b[j] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if names_a[i] == names_b[j]:
-            out.append("#" if a[i] == "#" else [a[i][0], _how(a[i][1], b[j][1]), merge(a[i][2], b[j][2])])
+def pairs(a: list[str], b: list[str]) -> Iterator[tuple[int, int]]:
+    """Places of both sides in order, -1 where one lacks the other's; after a mismatch the nearer place of agreement is taken."""
+    i = j = 0
+    where: tuple[dict, dict] | None = None
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            yield i, j
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append(_optional(a[i]))
+            continue
+        if where is None:
+            where = defaultdict(list), defaultdict(list)
+            for side, keys in zip(where, (a, b), strict=True):
+                for k, key in enumerate(keys):
+                    side[key].append(k)
+        in_a, in_b = where[0].get(b[j], ()), where[1].get(a[i], ())
+        p, q = bisect_left(in_a, i), bisect_left(in_b, j)
+        skip_a = in_a[p] - i if p < len(in_a) else len(a) + len(b)
+        skip_b = in_b[q] - j if q < len(in_b) else len(a) + len(b)
+        if skip_a == skip_b == len(a) + len(b):
+            yield i, -1
+            yield -1, j
+            i, j = i + 1, j + 1
+        elif skip_a <= skip_b:
+            for k in range(i, i + skip_a):
+                yield k, -1
+            i += skip_a
+        else:
+            for k in range(j, j + skip_b):
+                yield -1, k
+            j += skip_b
+    for k in range(i, len(a)):
+        yield k, -1
+    for k in range(j, len(b)):
+        yield -1, k
+
+
+def _period(key: str) -> list[str]:
+    return key[1:].split("\x1f")
+
+
+def _repeats(items: list[Item]) -> tuple[set[str], dict[str, list[str]]]:
+    """(keys that repeat alone, periods by key of the groups that repeat together) of a level."""
+    singles = {x.key for x in items if x.how in ("+", "*") and x.key[0] != "\x1e"}
+    return singles, {x.key: _period(x.key) for x in items if x.key[0] == "\x1e"}
+
+
+def _absorb(x: Item, y: Item, most: int, again: bool = False) -> None:
+    """y becomes part of x; again: both stand on the same pages."""
+    if again:
+        x.how = "*" if x.how in ("?", "*") and y.how in ("?", "*") else "+"
+    else:
+        x.how = _how(x.how, y.how)
+    x.pages = max(x.pages, y.pages) if again else min(most, x.pages + y.pages)
+    x.seqs += y.seqs
+    if x.key == "#":
+        if x.text != y.text:
+            x.text = None
+        x.link, x.chars, x.out = x.link + y.link, x.chars + y.chars, x.out + y.out
+
+
+def _units(items: list[Item], singles: set[str], groups: dict[str, list[str]]) -> list[Item]:
+    """The level with its runs of repeating keys and periods put together."""
+    out: list[Item] = []
+    for x in items:
+        if out and x.key in singles and out[-1].key == x.key:
+            _absorb(out[-1], x, x.pages, True)
+        else:
+            out.append(x)
+    if not groups:
+        return out
+    heads = defaultdict(list)
+    for key, period in groups.items():
+        heads[period[0]].append((len(period), key, period))
+    items, out, i = out, [], 0
+    keys = [x.key for x in items]
+    while i < len(items):
+        hit = next(((size, key) for size, key, period in sorted(heads.get(keys[i], ()), reverse=True) if keys[i : i + size] == period), None)
+        if hit:
+            unit = Item(hit[1], "", max(x.pages for x in items[i : i + hit[0]]))
+            unit.seqs.append(items[i : i + hit[0]])
+            i += hit[0]
+        else:
+            unit = items[i]
             i += 1
+        if out and unit.key == out[-1].key and unit.key[0:1] == "\x1e":
+            _absorb(out[-1], unit, unit.pages, True)
         else:
-            out.append(_optional(b[j]))
-            j += 1
-    out += [_optional(x) for x in a[i:]] + [_optional(x) for x in b[j:]]
-    return _fold(out)
-
-
-def expression(wrapper: list) -> str:
-    """The wrapper as a union-free regular expression over tags and #PCDATA."""
-    return " ".join("#PCDATA" if p == "#" else f"({'<' + p[0] + '>'} {expression(p[2])} </{p[0].partition('[')[0]}>){p[1]}" for p in wrapper)
-
-
-def _in_article(path: tuple[str, ...]) -> bool:
-    return any(x.partition("[")[0] in ("article", "main") for x in path)
+            out.append(unit)
+    return out
 
 
-def outside_chars(chars: Counter) -> Counter:
-    """A page's characters by path as they count for pages without an article: none if it has text in one."""
-    paths = [tuple(p.split("\t")) for p in chars]
-    return Counter() if any(_in_article(p) and not any(map(furniture, p)) for p in paths) else chars
+def _fold(items: list[Item]) -> list[Item]:
+    """Neighbours that repeat, where pages disagree on how often (one is optional) or the run is long, become repeated groups."""
+    if len(items) < LONG_RUN and not any(x.how for x in items):
+        return items
+    out: list[Item] = []
+    i = 0
+    while i < len(items):
+        j = i + 1
+        while j < len(items) and items[j].key == items[i].key:
+            j += 1
+        run = items[i:j]
+        if len(run) >= LONG_RUN or (len(run) > 1 and any(x.how for x in run)):
+            always = any(x.how in ("", "+") for x in run)
+            for x in run[1:]:
+                _absorb(run[0], x, x.pages, True)
+            run[0].how = "+" if always else "*"
+            out.append(run[0])
+        else:
+            out += run
+        i = j
+    for size in range(2, PERIOD + 1):
+        keys = [x.key for x in out]
+        if len(keys) < 2 * size:
+            break
+        items, out, i = out, [], 0
+        while i < len(items):
+            times = 1
+            if i + size < len(keys) and keys[i] == keys[i + size] and not any(k[0] == "\x1e" for k in keys[i : i + size]):
+                period = keys[i : i + size]
+                while keys[i + times * size : i + (times + 1) * size] == period:
+                    times += 1
+            span = items[i : i + times * size]
+            if times > 1 and (times >= LONG_RUN or any(x.how in ("?", "*") for x in span)):
+                never = all(x.how in ("?", "*") for x in span)
+                group = Item("\x1e" + "\x1f".join(period), "*" if never else "+", max(x.pages for x in span))
+                for x in span:
+                    x.how = {"?": "", "*": "+"}.get(x.how, x.how)
+                group.seqs = [span[k : k + size] for k in range(0, len(span), size)]
+                out.append(group)
+                i += times * size
+            else:
+                out.append(items[i])
+                i += 1
+    return out
 
 
-def main_slots(wrapper: list, chars: dict[str, int]) -> tuple[list[str], list[str]]:
-    """Paths of the slots that hold the main text: in articles, and outside of them for pages that have none."""
-    slots: list[tuple[str, ...]] = []
+def _merge_level(a: list[Item], b: list[Item], most: int) -> list[Item]:
+    keys_a, keys_b = [x.key for x in a], [x.key for x in b]
+    if keys_a == keys_b:
+        for x, y in zip(a, b, strict=True):
+            _absorb(x, y, most)
+        return a
+    singles, groups = _repeats(a + b)
+    if singles or groups:
+        a, b = _units(a, singles, groups), _units(b, singles, groups)
+        keys_a, keys_b = [x.key for x in a], [x.key for x in b]
+    out: list[Item] = []
+    for i, j in pairs(keys_a, keys_b):
+        x = a[i] if i >= 0 else b[j]
+        if i >= 0 and j >= 0:
+            _absorb(x, b[j], most)
+        else:
+            x.how = _how(x.how, "?")
+        out.append(x)
+    return _fold(out)
 
-    def walk(parts: list, path: tuple[str, ...]) -> None:
-        for p in parts:
-            if p == "#":
-                slots.append(path)
-            elif not furniture(p[0]):
-                walk(p[2], (*path, p[0]))
 
-    walk(wrapper, ())
-    slots = list(dict.fromkeys(slots))
-    inside = [s for s in slots if _in_article(s)]
-    outside = [s for s in slots if s not in set(inside)]
-    total = sum(chars.get("\t".join(s), 0) for s in outside)
-    if not total:
-        return ["\t".join(s) for s in inside], []
-    root: tuple[str, ...] = ()
+def settle(top: Item, everything: bool = False) -> Item:
+    """Merge every item's pending levels into one, from the top down; iterative. everything: fold long runs of all levels too."""
+    todo = [top]
+    while todo:
+        x = todo.pop()
+        if len(x.seqs) > 1:
+            level = x.seqs[0]
+            for other in x.seqs[1:]:
+                level = _merge_level(level, other, x.pages)
+            x.seqs = [level]
+        if x.seqs:
+            if everything:
+                x.seqs[0] = _fold(x.seqs[0])
+            todo += [k for k in x.seqs[0] if len(k.seqs) > 1 or (everything and k.seqs)]
+    return top
+
+
+def merge(a: Item, b: Item) -> Item:
+    """The wrapper of both sides' pages; uses up both."""
+    _absorb(a, b, a.pages + b.pages)
+    a.text = sorted({*a.text, *b.text})[:SKETCH]
+    a.prose, a.out = a.prose + b.prose, a.out + b.out
+    return settle(a)
+
+
+def _walk(top: Item) -> Iterator[tuple[int, Item]]:
+    """(depth, item) in order, without the top."""
+    todo = [(0, x) for x in reversed(top.kids)]
+    while todo:
+        depth, x = todo.pop()
+        yield depth, x
+        todo += [(depth + 1, k) for k in reversed(x.kids)]
+
+
+def bounded(top: Item, most: int = MOST_NODES) -> Item:
+    """The wrapper without the optional groups of the fewest pages, as far as it has more than `most` items."""
+    least = 1
+    while sum(1 for _ in _walk(top)) > most:
+        todo, gone = [top], 0
+        while todo:
+            x = todo.pop()
+            for level in x.seqs:
+                kept = [k for k in level if not (k.how in ("?", "*") and k.pages <= least)]
+                gone += len(level) - len(kept)
+                level[:] = kept
+                todo += [k for k in level if k.key != "#"]
+        if not gone and least >= top.pages:
+            break
+        least *= 2
+    return top
+
+
+def _text_hash(text: str) -> int:
+    raw = text.encode("utf-8", "replace")
+    return zlib.crc32(raw) | (len(raw) & 0xFFFFF) << 32
+
+
+def as_wrapper(page: Item) -> Item:
+    """A parsed page as a wrapper of its own: texts are hashed, and the top keeps a sketch of its long texts."""
+    sketch, texts = set(), list(_texts(page))
+    inside = any(ok and article for ok, article, *_ in texts)
+    for ok, *_, x in texts:
+        h = _text_hash(x.text)
+        if ok and x.chars >= PROSE:
+            page.prose += 1
+            sketch.add(h & 0xFFFFFFFF)
+        x.out = 0 if inside else max(0, x.chars - x.link)
+        x.text = h
+    page.text, page.out = sorted(sketch)[:SKETCH], int(not inside)
+    return settle(page, True)
+
+
+def _texts(page: Item, words: bool = True) -> Iterator[tuple[bool, bool, bool, Item]]:
+    """(not in furniture, in an article, in the host's main group, text) of the texts of a page, in order."""
+    todo: list[tuple[Item, bool, bool, bool]] = [(x, True, False, page.root) for x in reversed(page.kids)]
+    while todo:
+        x, ok, article, root = todo.pop()
+        root = x.bound.root if x.bound else root
+        if x.key == "#":
+            yield ok, article, root, x
+            continue
+        ok = ok and not skipped(x.key, words)
+        article = article or tag_name(x.key) in ("article", "main")
+        todo += [(k, ok, article, root) for k in reversed(x.kids)]
+
+
+def dump(top: Item) -> str:
+    rows = [[d, x.key, x.how, x.pages, *((x.text, x.link, x.chars, x.out) if x.key == "#" else ())] for d, x in _walk(top)]
+    return json.dumps([[top.pages, top.prose, top.out, top.text], *rows], separators=(",", ":"))
+
+
+def load(text: str) -> Item:
+    (pages, prose, out, sketch), *rows = json.loads(text)
+    top = Item("", "", pages)
+    top.prose, top.out, top.text = prose, out, sketch
+    top.seqs.append([])
+    line = [top]
+    for depth, key, how, pages, *more in rows:
+        x = Item(key, how, pages)
+        if more:
+            x.text, x.link, x.chars, x.out = more
+        else:
+            x.seqs.append([])
+        del line[depth + 1 :]
+        line[depth].seqs[0].append(x)
+        line.append(x)
+    return top
+
+
+def expression(top: Item) -> str:
+    """The wrapper as a union-free regular expression over tags, template text (as its hash) and #PCDATA."""
+    out: list[str] = []
+    todo: list[Item | str] = list(reversed(top.kids))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif x.key == "#":
+            out.append(("#PCDATA" if x.text is None else f"'{x.text}'") + x.how)
+        elif x.key[0] == "\x1e":
+            out.append("(")
+            todo += [")" + x.how, *reversed(x.kids)]
+        else:
+            out.append(f"(<{x.key}>")
+            todo += [f"</{tag_name(x.key)}>)" + x.how, *reversed(x.kids)]
+    return " ".join(out)
+
+
+# main text ---------------------------------------------------------------------------------------------------------
+
+
+def plan(top: Item) -> str:
+    """What reading needs of a wrapper: per item its depth, key, how and a mark: 1 template, 2 in the host's main group."""
+    distinct = len(top.text) if len(top.text) < SKETCH else (SKETCH - 1) / (top.text[-1] / 2**32)
+    independent = top.pages * min(1.0, distinct / top.prose) if top.prose else 0
+    items = list(_walk(top))
+    n_items = len(items)
+    up, end, line = [-1] * n_items, [n_items] * n_items, []
+    for n, (depth, _) in enumerate(items):
+        for k in line[depth:]:
+            end[k] = n
+        del line[depth:]
+        up[n] = line[-1] if line else -1
+        line.append(n)
+    name, ok, by_words, template = [""] * n_items, [True] * n_items, [False] * n_items, [False] * n_items
+    for n, (_, x) in enumerate(items):
+        above = up[n]
+        group = x.key[0] == "\x1e"
+        if above >= 0:
+            name[n], ok[n], by_words[n] = name[above], ok[above], by_words[above]
+        if x.key == "#":
+            template[n] = x.text is not None and x.pages >= INDEPENDENT <= independent and name[n] not in HEADINGS
+        elif not group:
+            label = x.key.partition(" ")[0]
+            name[n], ok[n], by_words[n] = tag_name(x.key), ok[n] and not label.endswith("~"), by_words[n] or label.endswith("!")
+    # characters of slots outside links, of pages without an article; groups marked by words count only where little else is left
+    mass = [x.out if x.key == "#" and ok[n] and not template[n] else 0 for n, (_, x) in enumerate(items)]
+    plain = sum(m for m, w in zip(mass, by_words, strict=True) if not w)
+    words = plain >= LEAST * sum(mass) or sum(mass) < BODY * top.out
+    if words:
+        mass = [0 if w else m for m, w in zip(mass, by_words, strict=True)]
+    whole = sum(mass)
+    for n in range(n_items - 1, -1, -1):
+        if up[n] >= 0:
+            mass[up[n]] += mass[n]
+    lo, hi = 0, n_items if whole else 0
+    at = lo
+    while at < hi:
+        x = items[at][1]
+        if mass[at] >= MOST * whole and x.how in ("", "?") and x.key != "#" and x.key[0] != "\x1e" and name[at] not in PARAGRAPHS:
+            lo, hi = at + 1, end[at]
+            at = lo
+        else:
+            at = end[at]
+    rows = [[d, x.key, x.how, template[n] + 2 * (lo - 1 <= n < hi)] for n, (d, x) in enumerate(items)]
+    return json.dumps([[words, whole > 0 and lo == 0], *rows], separators=(",", ":"))
+
+
+def read_plan(text: str | None) -> tuple[bool, Item]:
+    (words, root), *rows = json.loads(text or "[[true, false]]")
+    top = Item("")
+    top.root = root
+    top.seqs.append([])
+    line, groups = [top], [top]
+    for depth, key, how, mark in rows:
+        x = Item(key, how)
+        x.template, x.root = bool(mark & 1), bool(mark & 2)
+        x.seqs.append([])
+        del line[depth + 1 :]
+        line[depth].seqs[0].append(x)
+        line.append(x)
+        groups.append(x)
+    for x in groups:
+        x.keys = [k.key for k in x.kids]
+        x.singles, x.groups = _repeats(x.kids)
+    return words, top
+
+
+def bind(wrapper: Item, page: Item) -> None:
+    """Match a page with the wrapper: every text that has a place in it is bound to it."""
+    page.root = wrapper.root
+    todo = [(wrapper, page.kids)]
+    while todo:
+        w, kids = todo.pop()
+        keys = [x.key for x in kids]
+        if keys == w.keys:
+            matched = zip(w.kids, ([x] for x in kids), strict=True)
+        else:
+            runs: list[tuple[str, list]] = []
+            for x in kids:
+                if runs and x.key in w.singles and runs[-1][0] == x.key:
+                    runs[-1][1].append(x)
+                else:
+                    runs.append((x.key, [x]))
+            if w.groups:
+                keys, units, i = [k for k, _ in runs], [], 0
+                heads = sorted(((len(p), g, p) for g, p in w.groups.items()), reverse=True)
+                while i < len(runs):
+                    hit = next(((n, g) for n, g, p in heads if keys[i : i + n] == p), None)
+                    if hit:
+                        part = [x for _, run in runs[i : i + hit[0]] for x in run]
+                        if units and units[-1][0] == hit[1]:
+                            units[-1][1].append(part)
+                        else:
+                            units.append((hit[1], [part]))
+                        i += hit[0]
+                    else:
+                        units.append(runs[i])
+                        i += 1
+                runs = units
+            matched = [(w.kids[i], runs[j][1]) for i, j in pairs(w.keys, [k for k, _ in runs]) if i >= 0 and j >= 0]
+        for place, found in matched:
+            for x in found:
+                if isinstance(x, list):
+                    todo.append((place, x))
+                    continue
+                x.bound = place
+                if x.key != "#":
+                    todo.append((place, x.kids))
+
+
+def _own_group(page: Item, chosen: set[int]) -> set[int]:
+    """Of the chosen texts (by id) those in the deepest group of equal paths that holds MOST of their characters."""
+    order: list[tuple[Item, int]] = []
+    todo = [(x, -1) for x in page.kids]
+    while todo:
+        x, up = todo.pop()
+        order.append((x, up))
+        todo += [(k, len(order) - 1) for k in x.kids]
+    mass = [0] * len(order)
+    for plain in (True, False):
+        for n, (x, _) in enumerate(order):
+            mass[n] = (max(0, x.chars - x.link) if plain else x.chars) if id(x) in chosen else 0
+        if any(mass):
+            break
+    for n in range(len(order) - 1, -1, -1):
+        if order[n][1] >= 0:
+            mass[order[n][1]] += mass[n]
+    kids: dict[int, list[int]] = defaultdict(list)
+    for n, (_, up) in enumerate(order):
+        kids[up].append(n)
+    group, whole = [-1], sum(mass[n] for n in kids[-1])
     while True:
-        share: Counter = Counter()
-        for s in outside:
-            if s[: len(root)] == root and len(s) > len(root) + 1:
-                share[s[: len(root) + 1]] += chars.get("\t".join(s), 0)
-        if not share or share.most_common(1)[0][1] < MOST * total:
+        share: dict[str, list[int]] = defaultdict(list)
+        for g in group:
+            for n in kids[g]:
+                if order[n][0].key != "#" and mass[n]:
+                    share[order[n][0].key].append(n)
+        best = max(share, key=lambda k: sum(mass[n] for n in share[k]), default=None)
+        if best is None or tag_name(best) in PARAGRAPHS or len(share[best]) > len(group) or sum(mass[n] for n in share[best]) < MOST * whole:
             break
-        root = share.most_common(1)[0][0]
-    return ["\t".join(s) for s in inside], ["\t".join(s) for s in outside if s[: len(root)] == root]
-
+        group = share[best]
+    inside, todo = set(), list(group)
+    while todo:
+        n = todo.pop()
+        if n >= 0:
+            inside.add(id(order[n][0]))
+        todo += kids[n]
+    return inside & chosen
+
+
+def main_text(page: str, wrapper: tuple[bool, Item]) -> str:
+    """The main text of a page by its host's wrapper."""
+    words, top = wrapper
+    tree = parse(page)
+    bind(top, tree)
+    texts = list(_texts(tree, words))
+    slots = [(article, root, x) for ok, article, root, x in texts if ok and not (x.bound and x.bound.template)]
+    found = [x for article, _, x in slots if article] or [x for _, root, x in slots if root] or [x for ok, article, _, x in texts if ok and article]
+    if not found:
+        own = _own_group(tree, {id(x) for *_, x in slots})
+        found = [x for *_, x in slots if id(x) in own]
+    return "\n\n".join(x.text for x in found)
 
-def main_text(page: str, slots: frozenset[str]) -> str:
-    """The text of the page's blocks that lie in the slots."""
-    blocks: list[str] = []
-    current: list[str] = []
-    path: list[str] = []
-    on = "" in slots
 
-    def flush() -> None:
-        if current:
-            text = " ".join(html_lib.unescape("".join(current)).split())
-            if text:
-                blocks.append(text)
-            current.clear()
-
-    for kind, what in stream(page):
-        if kind == "text":
-            if on:
-                current.append(what)
-            continue
-        flush()
-        if kind == "open":
-            path.append(what)
-        elif kind == "close":
-            path.pop()
-        on = "\t".join(path) in slots
-    flush()
-    return "\n\n".join(blocks)
+def _host() -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), "://([^/?#]*)", 1))
 
 
-def own_text(page: str) -> str:
-    """The text of a page whose host's slots hold none of it, by its own wrapper."""
-    wrapper, chars = page_wrapper(page)
-    return main_text(page, frozenset(main_slots(wrapper, chars)[1]))
+def _pages(pages: DataFrame) -> DataFrame:
+    return pages.select(_host().alias("host"), F.col("html").cast("string").alias("html"))
 
 
-def _host() -> Column:
-    return F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), "://([^/?#]*)", 1))
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n in ("page_id", "n_chars") else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON), chars (JSON: characters of text by path on pages without an article) of every host."""
+    """host, wrapper (see dump) of every host."""
+    kind = "host string, wrapper string"
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list, Counter]] = {}
-        seen: set[tuple[str, str]] = set()
+        known: dict[str, Item] = {}
+        size = 0
         for whole in batches:
             for batch in slices(whole, "html"):
                 for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    wrapper, chars = page_wrapper(page or "")
-                    chars = outside_chars(chars)
-                    shape = (host, json.dumps(wrapper))
-                    if host not in known:
-                        known[host] = (wrapper, chars)
+                    new = as_wrapper(parse(page or ""))
+                    old = known.get(host)
+                    if old is None:
+                        known[host] = new
+                        size += 32 + sum(1 for _ in _walk(new))
                     else:
-                        old, total = known[host]
-                        total.update(chars)
-                        known[host] = (old if shape in seen else merge(old, wrapper), total)
-                    seen.add(shape)
+                        known[host] = merge(old, new)
+                        if old.pages % 64 == 0:
+                            bounded(old)
+                            size += 32
+                if size > FLUSH_NODES:
+                    yield _batch(kind, [(h, dump(bounded(w))) for h, w in known.items()])
+                    known, size = {}, 0
         if known:
-            rows = [(h, json.dumps(w), json.dumps(c)) for h, (w, c) in known.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["host", "wrapper", "chars"])
+            yield _batch(kind, [(h, dump(bounded(w))) for h, w in known.items()])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One wrapper of each run of rows of a host, which stand together."""
+        at, held = None, None
+        for batch in batches:
+            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if held is not None and host == at:
+                    held = bounded(merge(held, load(text)))
+                else:
+                    if held is not None:
+                        yield _batch(kind, [(at, dump(held))])
+                    at, held = host, load(text)
+        if held is not None:
+            yield _batch(kind, [(at, dump(held))])
+
+    out = _pages(pages).mapInArrow(local, kind)
+    for salts in ROUNDS:
+        salted = out.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)))
+        out = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "wrapper").select("host", "wrapper").mapInArrow(joined, kind)
+    return out
 
-    def joined(rows: pd.DataFrame) -> pd.DataFrame:
-        wrapper, chars = None, Counter()
-        for w, c in sorted(zip(rows["wrapper"], rows["chars"], strict=True)):
-            wrapper = json.loads(w) if wrapper is None else merge(wrapper, json.loads(w))
-            chars.update(json.loads(c))
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "wrapper": [json.dumps(wrapper)], "chars": [json.dumps(chars)]})
 
-    kind = "host string, wrapper string, chars string"
-    parts = pages.select(_host().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(local, kind)
-    salted = parts.groupBy("host", F.pmod(F.xxhash64("wrapper", "chars"), F.lit(SALTS)).alias("salt")).applyInPandas(joined, kind)
-    return salted.groupBy("host").applyInPandas(joined, kind)
+def wrapper_plans(pages: DataFrame) -> DataFrame:
+    """host, plan (see plan) of every host; written to the shared folder."""
 
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield _batch("host string, plan string", [(h, plan(load(w))) for h, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
 
-def extract_main(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    return materialise(infer_wrappers(pages).mapInArrow(planned, "host string, plan string"), "wrappers")
 
-    def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [main_slots(json.loads(w), json.loads(c)) for w, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
-            lists = [pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["host", "slots", "others"])
 
-    slots = materialise(infer_wrappers(pages).mapInArrow(slots_of, "host string, slots array<string>, others array<string>"), "wrappers")
-    bytes_all = slots.agg(F.sum(F.length(F.array_join(F.concat("slots", "others"), "\t")) + F.length("host") + 64)).first()[0] or 0
-    rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host().alias("host"))
-    rows = rows.join(F.broadcast(slots) if bytes_all <= BROADCAST_BYTES else slots, "host", "left").select("page_id", "url", "html", "slots", "others")
+def _reader(plans: dict[str, str] | None) -> Callable:
+    """A reader of (page_id, url, html, host, plan) batches; a plan comes from the dict, or in a row of its own before its pages."""
+    kind = "page_id long, url string, text string, n_chars long"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[tuple, frozenset] = {}
+        held: dict[str, tuple[bool, Item]] = {}
         for whole in batches:
             for batch in slices(whole, "html"):
-                out = []
-                for page, *both in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                    text = ""
-                    for key in (tuple(s or ()) for s in both):
-                        text = text or (main_text(page or "", cache.setdefault(key, frozenset(key))) if key else "")
-                    out.append(text or own_text(page or ""))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array(list(map(len, out)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return rows.withColumns({"page_id": F.col("page_id").cast("long"), "url": F.col("url").cast("string")}).mapInArrow(read, "page_id long, url string, text string, n_chars long")
+                rows = []
+                for page_id, url, page, host, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                    if text is not None:
+                        held = {host: read_plan(text)}
+                        continue
+                    if host not in held:
+                        if len(held) >= 256 or plans is None:
+                            held.clear()
+                        held[host] = read_plan(plans.get(host) if plans is not None else None)
+                    text = main_text(page or "", held[host])
+                    rows.append((page_id, url, text, len(text)))
+                if rows:
+                    yield _batch(kind, rows)
+
+    return read
+
+
+def extract_main(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url, text, n_chars of every page. Plans of more than broadcast_bytes meet their pages by a shuffle instead."""
+    kind = "page_id long, url string, text string, n_chars long"
+    plans = wrapper_plans(pages)
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host().alias("host"))
+    rows = rows.withColumn("plan", F.lit(None).cast("string"))
+    size = plans.agg(F.sum(F.octet_length("plan") + F.octet_length("host") + 64)).first()[0] or 0
+    if size <= broadcast_bytes:
+        return rows.mapInArrow(_reader({r["host"]: r["plan"] for r in plans.collect()}), kind)
+    # pages of a host are dealt to SALTS runs; a run starts with the plan
+    deal = F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS))
+    first = plans.select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "host", "plan", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("deal"))
+    both = rows.withColumn("deal", deal.cast("long")).unionByName(first).repartition("host", "deal").sortWithinPartitions("host", "deal", F.col("plan").isNull())
+    return both.select("page_id", "url", "html", "host", "plan").mapInArrow(_reader(None), kind)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import html
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm.html_wrappers import expression, extract_main, infer_wrappers, main_slots, main_text, merge, op6_html_extraction, page_wrapper
+from quillstone.llm import html_wrappers as H
 
 
 def brute(page):
@@ -16,9 +18,23 @@ def brute(page):
     return "\n\n".join(b for b in blocks if b)
 
 
+def host_texts(pages):
+    """The texts of one host's pages."""
+    wrapper = None
+    for p in pages:
+        new = H.as_wrapper(H.parse(p))
+        wrapper = new if wrapper is None else H.merge(wrapper, new)
+    plan = H.read_plan(H.plan(H.load(H.dump(wrapper))))
+    return [H.main_text(p, plan) for p in pages], H.expression(H.load(H.dump(wrapper)))
+
+
+def words(k, n=30):
+    return " ".join(f"w{(k * 7919 + i * 104729) % 9973}" for i in range(n))
+
+
 def test_against_brute_force(spark, sf_dir):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
-    rows = op6_html_extraction(spark, sf_dir).collect()
+    rows = H.op6_html_extraction(spark, sf_dir).collect()
     assert len(rows) == len(pages)
     for r in rows:
         assert r["text"] == brute(pages[r["page_id"]])
@@ -27,49 +43,97 @@ def test_against_brute_force(spark, sf_dir):
 
 def test_wrapper_inference():
     a = "<body><nav><ul><li>x<li>y</ul></nav><div id=main><p>one<p>two</div></body>"
-    b = "<body><div class='ad'>buy</div><div id=main><h1>t</h1><p>three</div><div class=comments><p>bad</p></div></body>"
-    wa, ca = page_wrapper(a)
-    wb, cb = page_wrapper(b)
-    w = merge(wa, wb)
-    text = expression(w)
-    assert "(<li> #PCDATA </li>)+" in text and "(<h1> #PCDATA </h1>)?" in text and "(<p> #PCDATA </p>)+" in text and "(<nav>" in text
-    slots = frozenset(main_slots(w, ca + cb)[1])
-    assert main_text(a, slots) == "one\n\ntwo" and main_text(b, slots) == "t\n\nthree"
+    b = "<body><nav><ul><li>x<li>z<li>u</ul></nav><div class='ad'>buy</div><div id=main><h1>t</h1><p>three</div><div class=comments><p>bad</p></div></body>"
+    texts, wrapper = host_texts([a, b])
+    assert texts == ["one\n\ntwo", "t\n\nthree"]
+    assert "(<li> #PCDATA </li>)+" in wrapper and "(<h1> '" in wrapper and "</h1>)?" in wrapper and "(<p> #PCDATA </p>)+" in wrapper
+
+
+def test_repeats_of_several_elements():
+    pages = ["<article><h1>t</h1>" + "".join(f"<h2>{words(k * 9 + i, 3)}</h2><p>{words(k * 9 + i)}" for i in range(k)) + "</article>" for k in (2, 3, 1, 5)]
+    texts, wrapper = host_texts(pages)
+    assert "( (<h2> #PCDATA </h2>) (<p> #PCDATA </p>) )+" in wrapper
+    assert texts == [brute(p) for p in pages]
 
 
 def test_furniture_and_references():
     page = """<article><header>no</header><h1>T &amp; t</h1><p>a<b>b</b>
       c&nbsp;d</p><aside>no</aside><div class="cookie-notice">no</div><form><p>no</form><script>if (a < b) "</p>"</script>
       <p title="x > y">last<br>line <section class="comments"><p>no</section></article><p>outside"""
-    w, c = page_wrapper(page)
-    assert main_text(page, frozenset(main_slots(w, c)[0])) == "T & t\n\nab c d\n\nlast line"
+    assert host_texts([page])[0] == ["T & t\n\nab c d\n\nlast line"]
+
+
+def test_words_name_a_group_only_by_their_meaning():
+    page = "<article><h1>t</h1><h2 id='related-work'>kept</h2><section class='social-science'><p>kept too</p></section><div class='related-posts'>no</div><article class='comment'><p>a reader</p></article><div class='userComments'>no</div></article>"
+    assert host_texts([page])[0] == ["t\n\nkept\n\nkept too"]
+    one = "<body><nav>n</nav><div class='layout-sidebar has-comments sidebar-left'><p>" + words(1, 90) + "</p><p>" + words(2, 90) + "</p></div>"
+    assert host_texts([one])[0] == [words(1, 90) + "\n\n" + words(2, 90)]
+
+
+def test_only_alignment_can_tell():
+    """The same tags hold a menu on one host and the article on another."""
+    menu = "<p>Home and news</p><p>All about us</p><p>Where we are and how to reach us by train, by car and on foot, at all hours of the day</p>"
+    body = lambda k: f"<p>{words(k)}</p><p>{words(k + 50)}</p>"
+    first, _ = host_texts([f"<body><div>{menu}</div><div>{body(k)}</div></body>" for k in range(8)])
+    second, _ = host_texts([f"<body><div>{body(k)}</div><div>{menu}</div></body>" for k in range(8)])
+    want = [f"{words(k)}\n\n{words(k + 50)}" for k in range(8)]
+    assert first == want and second == want
+
+
+def test_template_text_goes_and_copies_keep_theirs():
+    note = "<div>Please share this page with everybody whom you know</div>"
+    pages = [f"<article><h1>The daily page</h1><p>{words(k)}</p>{note}</article>" for k in range(8)]
+    assert host_texts(pages)[0] == [f"The daily page\n\n{words(k)}" for k in range(8)]
+    copies = [f"<article><h1>One text</h1><p>{words(1)}</p>{note}</article>"] * 12
+    assert host_texts(copies)[0] == [brute(p) for p in copies]
+    few = pages[:3]
+    assert host_texts(few)[0] == [brute(p) for p in few]
 
 
 def test_pages_without_an_article(spark):
     rows = [(1, "http://h/1", "<nav>n</nav><article><p>in article</article>"), (2, "http://h/2", "<nav>n</nav><div id=content><p>long text here</p><p hidden>no</p><ol class=commentlist><li>no</ol></div><div class=x>s</div>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    assert {r["page_id"]: r["text"] for r in extract_main(pages).collect()} == {1: "in article", 2: "long text here"}
+    assert {r["page_id"]: r["text"] for r in H.extract_main(pages).collect()} == {1: "in article", 2: "long text here"}
 
 
-def test_edges(spark):
+@pytest.mark.parametrize("bytes_", [H.BROADCAST_BYTES, 0])
+def test_edges(spark, bytes_):
     rows = [(1, None, None), (1, "http://a/x", ""), (None, "http://A/y", "<article><p>é &lt;x&gt;"), (2, "http://a/z", "plain < text"), (2, "http://a/z", "plain < text"), (3, "http://b/", "<article>" + "<p>w</p>" * 20000 + "<!-- open")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("slots", F.lit(2))
-    got = {(r["page_id"], r["url"]): r["text"] for r in extract_main(pages).collect()}
-    assert got[1, None] == got[1, "http://a/x"] == "" and got[None, "http://A/y"] == "é <x>"
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("plan", F.lit(2))
+    got = {(r["page_id"], r["url"]): r["text"] for r in H.extract_main(pages, bytes_).collect()}
+    assert got[1, None] == got[1, "http://a/x"] == "" and got[None, "http://A/y"] == "é <x>" and got[2, "http://a/z"] == "plain < text"
     assert got[3, "http://b/"] == "\n\n".join(["w"] * 20000)
-    assert extract_main(pages).count() == len(rows)
+    assert H.extract_main(pages, bytes_).count() == len(rows)
     none = pages.filter(F.lit(False))
-    assert extract_main(none).count() == infer_wrappers(none).count() == 0
+    assert H.extract_main(none, bytes_).count() == H.infer_wrappers(none).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, n",
+    [
+        ("<div>" * 50000 + "deep", 4),
+        ("".join(f"<div>t{i}" for i in range(20000)), None),
+        ("<article>" + "<h2>a</h2><p>b</p>" * 25000, 25000 * 6 - 2),
+        ("".join(f"<x{i}>a</x{i}>" for i in range(20000)), 20000 * 3 - 2),
+        ("<a '" * 20000, None),
+        ("<a b='" * 20001, None),
+        ("<p>text " + "<a b='" * 20001 + ">", None),
+        ("<ul>" + "<li><div>" * 20000, 0),
+        ("<" * 50000, 50000),
+    ],
+)
+def test_deep_flat_and_unclosed(page, n):
+    start = time.time()
+    texts, _ = host_texts([page, page[: len(page) // 2]])
+    assert time.time() - start < 20
+    assert n is None or len(texts[0]) == n
 
 
 def test_long_class_lists():
-    """The telling word counts wherever it stands, and a word that only the cut makes does not."""
+    """The telling word counts wherever it stands."""
     utility = " ".join(f"u-{c * 6}" for c in "abcdefghijk")
-    assert len(utility) > 90
     page = f"<article><p>body</p><div class='{utility} comments'><p>no</p></div><div class='{utility} lead'><p>yes</p></div><div class='{'x' * 50} w-zzzz adaptive'><p>kept</p></div></article>"
-    w, c = page_wrapper(page)
-    assert main_text(page, frozenset(main_slots(w, c)[0])) == "body\n\nyes\n\nkept"
-    assert len({p[0] for p in w[0][2]}) == 4
+    assert host_texts([page])[0] == ["body\n\nyes\n\nkept"]
 
 
 def test_layouts_of_one_host(spark):
@@ -80,4 +144,16 @@ def test_layouts_of_one_host(spark):
     rows += [(28, "<body><div class=box>short box</div><div class=post><p>post of the last page</div>")]
     pages = spark.createDataFrame([(i, f"http://h/{i}", p) for i, p in rows], "page_id long, url string, html string")
     want = {i: f"{long}{i}" for i in range(6)} | {i: f"entry {i}" for i in (6, 7)} | {i: f"article {i}" for i in range(8, 28)} | {28: "post of the last page"}
-    assert {r["page_id"]: r["text"] for r in extract_main(pages).collect()} == want
+    assert {r["page_id"]: r["text"] for r in H.extract_main(pages).collect()} == want
+
+
+def test_bounded_wrapper():
+    pages = [f"<article><p>{words(k)}</p><section class='c{chr(97 + k)}'><p>{words(k + 99)}</p></section></article>" for k in range(20)]
+    wrapper = None
+    for p in pages:
+        new = H.as_wrapper(H.parse(p))
+        wrapper = new if wrapper is None else H.merge(wrapper, new)
+    H.bounded(wrapper, 30)
+    assert sum(1 for _ in H._walk(wrapper)) <= 30
+    plan = H.read_plan(H.plan(wrapper))
+    assert [H.main_text(p, plan) for p in pages] == [brute(p) for p in pages]
