@@ -1,12 +1,18 @@
-"""Best-fit packing of token sequences (operator 10).
-
-Best-fit decreasing in sweeps: pieces are kept in order of length and gaps in order of size, both as runs of
-equal values, since equal pieces and equal gaps are interchangeable. A sweep gives the longest remaining run
-its successor among the gaps (the smallest that is large enough), pieces and gaps are matched rank by rank, the
-gaps shrink, and sweeps repeat until every piece lies in a sequence. The sweeps run on the driver over the counts
-by length: at most `capacity` runs of pieces and, as a length opens one run of sequences and splits one run of
-gaps at most, 2 * `capacity` runs of gaps, whatever the corpus size; the ranks of
-the pieces within their run come from distributed prefix sums and every row finds its own place.
+"""Best-fit packing of token sequences (operator 10), bulk-synchronous.
+
+Pieces are range-sorted by length and gaps (the free ends of open sequences) by size, both as runs of equal values: equal
+pieces are interchangeable, and so are equal gaps. In a sweep every run of pieces looks for its successor among the gaps, the
+smallest that is large enough. Where several runs meet on the same gaps, ranks decide: a run begins at its successor's
+rank or behind the runs before it (a running maximum over prefix sums), so every gap gets one piece, and pieces that find
+no gap wait. Then all gaps are updated and the next sweep begins. Pieces take part by classes of
+length, long ones first (as in best-fit decreasing); short ones of equal length travel in bundles first, so a
+large gap fills in few sweeps. When no piece of a class finds a gap any more, as many sequences are opened as its rest needs.
+
+A sweep is a DataFrame query over the runs (`sweep`). Its state is bounded by the capacity, not by the corpus: at most
+`capacity` runs of pieces, and every sweep adds at most one run of gaps for each run of pieces in its class; between sweeps
+the driver holds these runs. The pieces themselves are never collected or sorted: a piece's rank within its run comes from
+counts by shard and length (prefix sums by length), and its place from the matches of its length, which are broadcast:
+at most `capacity` rows of bounded arrays.
 
 Defined results: a null text counts as empty and gives one piece (the end id alone); repeated rows are packed
 like any others, each by itself; ties of length are ordered by input shard and position; an empty table gives
@@ -17,8 +23,8 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,56 +111,113 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, json_path: str | Non
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECES)
 
 
-def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Sweeps of best-fit over runs. counts: pieces by length. Returns (length, first rank, n, first sequence, offset)."""
-    out: list[tuple[int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # size of gap -> runs (first sequence, sequences)
-    present = np.zeros(capacity + 1, bool)
+MATCH = "rank long, n long, first long, offset long, q long"
+
+
+def sweep(pieces: DataFrame, gaps: DataFrame, total: int) -> DataFrame:
+    """One sweep over runs of pieces(size, k) and of gaps(size, first, n), `total` gaps in all.
+
+    Every gap appears once in the result: first, n and size of a run of gaps, and the size of the pieces they take with the
+    number of pieces of that size before them (at), null where they take none.
+    """
+    # one partition: the runs are bounded by the capacity
+    both = pieces.selectExpr("size", "0 AS kind", "k", "0L AS first", "0L AS n").unionAll(gaps.selectExpr("size", "1", "0L", "first", "n")).coalesce(1)
+    # by size, pieces before gaps of the same size: the gaps before a piece are those that are too small for it
+    upto = "OVER (ORDER BY size, kind, first ROWS UNBOUNDED PRECEDING)"
+    both = both.selectExpr("*", f"sum(n) {upto} - n AS gap", f"sum(k) {upto} - k AS piece")
+    both = both.selectExpr("*", f"max(CASE WHEN kind = 0 THEN gap - piece END) {upto} AS shift")
+    both = both.selectExpr("*", f"CASE WHEN kind = 0 THEN least(piece + shift, {total}L) ELSE gap END AS start")
+    # the runs of both sides as intervals of ranks of gaps, cut at every start and at every stop of a run of pieces (size 0)
+    none = "cast(null AS long)"
+    named = lambda *v: "struct(" + ", ".join(f"{x} AS {n}" for x, n in zip(v, ("at", "o", "run", "run_at", "gap", "first", "gap_at"), strict=True)) + ")"
+    begin, end = named("start", "1", "size", "start", none, none, none), named(f"least(start + k, {total}L)", "0", "0L", "0L", none, none, none)
+    cut = both.selectExpr(f"inline(CASE WHEN kind = 0 THEN array({begin}, {end}) ELSE array({named('start', '2', none, none, 'size', 'first', 'start')}) END)")
+    held = "OVER (ORDER BY at, o ROWS UNBOUNDED PRECEDING)"
+    kept = [f"last({c}, true) {held} AS {c}" for c in ("run", "run_at", "gap", "first", "gap_at")]
+    cut = cut.selectExpr("at", f"lead(at, 1, {total}L) OVER (ORDER BY at, o) - at AS n", *kept)
+    return cut.filter("n > 0").selectExpr("first + at - gap_at AS first", "n", "gap AS size", "nullif(run, 0L) AS piece", "at - run_at AS at")
+
+
+def classes(capacity: int) -> list[tuple[int, int]]:
+    """(lower, upper] bounds of lengths: of 1 to 8 pieces a sequence, then by halves."""
+    uppers = [capacity // k for k in range(1, 9)] + [capacity >> k for k in range(4, capacity.bit_length())]
+    uppers = sorted({u for u in uppers if u}, reverse=True)
+    return list(zip(uppers[1:] + [0], uppers, strict=True))
+
+
+def plan_sequences(counts: dict[int, int], sweep_runs: Callable, capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """Matches (length, rank, n, first, offset, q) of all pieces, counted by length: the pieces of these ranks lie q to a sequence from `first` on.
+
+    sweep_runs maps runs of pieces (size, k) and of gaps (size, first, n) to the rows of `sweep`.
+    """
+    left, rank = {k: n for k, n in counts.items() if n > 0}, dict.fromkeys(counts, 0)
+    gaps: list[tuple[int, int, int]] = []
+    matches: list[tuple[int, int, int, int, int, int]] = []
     sequences = 0
-    for length in sorted((k for k in counts if counts[k] > 0), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            fit = np.flatnonzero(present[length:])
-            if len(fit):
-                gap = length + int(fit[0])  # the successor
-                first, n = gaps[gap].pop()
-            else:
-                gap, first, n = capacity, sequences, -(-left // (capacity // length))
-                sequences += n
-            took = min(n, left)
-            out.append((length, rank, took, first, capacity - gap))
-            if took < n:
-                gaps[gap].append((first + took, n - took))
-            present[gap] = bool(gaps[gap]) and gap <= capacity
-            if gap > length:
-                gaps[gap - length].append((first, took))
-                present[gap - length] = True
-            rank, left = rank + took, left - took
-    return out
+    for lower, upper in classes(capacity):
+        most = capacity // upper
+        bundles = sorted({most, *(1 << k for k in range(most.bit_length()))}, reverse=True)
+        while any(lower < k <= upper for k in left):
+            for q in bundles:
+                while True:
+                    lengths = {k * q: k for k in left if lower < k <= upper and left[k] >= q}
+                    least = min(lengths, default=capacity + 1)
+                    large = [g for g in gaps if g[0] >= least]
+                    if not large:
+                        break
+                    gaps = [g for g in gaps if g[0] < least]
+                    took: Counter = Counter()
+                    for first, n, size, piece, at in sweep_runs([(s, left[k] // q) for s, k in lengths.items()], large):
+                        if piece is not None:
+                            length = lengths[piece]
+                            matches.append((length, rank[length] + at * q, n * q, first, capacity - size, q))
+                            took[length] += n * q
+                            size -= piece
+                        if size:
+                            gaps.append((size, first, n))
+                    for length, n in took.items():
+                        rank[length] += n
+                        left[length] -= n
+                        if not left[length]:
+                            del left[length]
+            rest = sum(n for k, n in left.items() if lower < k <= upper)
+            if rest:
+                fresh = -(-rest // most)
+                gaps.append((capacity, sequences, fresh))
+                sequences += fresh
+    return matches
+
+
+def spark_sweeps(spark: SparkSession) -> Callable:
+    """Sweeps in the session; the runs go in as local relations."""
+
+    def local(rows: list[tuple], names: list[str]) -> DataFrame:
+        return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names))
+
+    def run(pieces: list[tuple[int, int]], gaps: list[tuple[int, int, int]]) -> list[tuple]:
+        return [tuple(r) for r in sweep(local(pieces, ["size", "k"]), local(gaps, ["size", "first", "n"]), sum(g[2] for g in gaps)).collect()]
+
+    return run
 
 
 def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, json_path: str | None = None, rank_path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece's place in sequences of at most `capacity` ids."""
+    spark = docs.sparkSession
     pieces = materialise(token_pieces(docs, capacity, json_path, rank_path, end_id), "pieces")
     runs = pieces.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = materialise(runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")), "runs")
     counts = {r["length"]: r["n"] for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    plan = sorted(plan_sequences(counts, capacity))
-    length, rank, _, first, offset = (np.array(c, np.int64) for c in zip(*plan, strict=True)) if plan else [np.zeros(0, np.int64)] * 5
-    key = length * (1 << 48) + rank
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                col = {k: b.column(i) for i, k in enumerate(b.schema.names)}
-                mine = col["length"].to_numpy() * (1 << 48) + col["rank"].to_numpy()
-                at = np.searchsorted(key, mine, side="right") - 1
-                seq, off = first[at] + (mine - key[at]), offset[at]
-                yield pa.RecordBatch.from_arrays([col[k] for k in ("doc_id", "piece", "start", "length", "ids_crc32")] + [pa.array(seq), pa.array(off)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    ranked = pieces.join(runs.drop("n"), ["shard", "length"]).withColumn("rank", F.col("local") + F.col("before"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    matches = spark.createDataFrame(plan_sequences(counts, spark_sweeps(spark), capacity), f"length long, {MATCH}")
+    places = matches.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "n", "first", "offset", "q"))).alias("places"))
+    places = F.broadcast(materialise(places.coalesce(1), "places"))
+    # counts by shard grow with the shards, so they meet the pieces by a shuffle
+    ranked = pieces.join(runs.drop("n").hint("merge"), ["shard", "length"]).withColumn("rank", F.col("local") + F.col("before")).join(places, "length")
+    place = F.element_at(F.filter("places", lambda p: p["rank"] <= F.col("rank")), -1)
+    ranked = ranked.withColumn("place", place).withColumn("i", F.col("rank") - F.col("place.rank"))
+    sequence = (F.col("place.first") + F.floor(F.col("i") / F.col("place.q"))).cast("long")
+    offset = F.col("place.offset") + F.pmod("i", F.col("place.q")) * F.col("length")
+    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), offset.cast("long").alias("offset"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

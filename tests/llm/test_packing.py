@@ -1,9 +1,12 @@
+import bisect
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillstone.llm.packing import _public, best_fit_pack, op10_best_fit_packing, plan_sequences
+from quillstone.llm.packing import _public, best_fit_pack, classes, op10_best_fit_packing, plan_sequences, spark_sweeps
 
 
 def whole(rows, cap=2048):
@@ -19,11 +22,64 @@ def whole(rows, cap=2048):
     return len(seqs)
 
 
-def test_plan_is_best_fit():
-    plan = plan_sequences({6: 2, 5: 1, 4: 2, 3: 3, 1: 1}, 10)
-    rows = [{"sequence_id": s + j, "offset": o, "length": n} for n, _, k, s, o in plan for j in range(k)]
-    assert len(rows) == 9
-    assert whole(rows, 10) == 4
+def placed(matches):
+    """A row for each piece of the matches."""
+    return [{"length": k, "rank": r + i, "sequence_id": s + i // q, "offset": o + i % q * k} for k, r, n, s, o, q in matches for i in range(n)]
+
+
+def brute_sequences(lengths, cap):
+    """Best-fit decreasing, one piece after another."""
+    free = []
+    for k in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(free, k)
+        gap = free.pop(at) if at < len(free) else cap
+        if gap > k:
+            bisect.insort(free, gap - k)
+        brute_sequences.n = getattr(brute_sequences, "n", 0) + (gap == cap)
+    n, brute_sequences.n = brute_sequences.n, 0
+    return n
+
+
+def test_sweep_gives_successors(spark):
+    """One sweep against the plain form: pieces in order of size, each takes the smallest gap that is left and large enough."""
+    rng, run = random.Random(5), spark_sweeps(spark)
+    for _ in range(8):
+        pieces = [(k, rng.randint(1, 6)) for k in rng.sample(range(1, 40), rng.randint(1, 12))]
+        gaps, first = [], 0
+        for _ in range(rng.randint(1, 12)):
+            n = rng.randint(1, 6)
+            gaps.append((rng.randint(1, 45), first, n))
+            first += n
+        free, want = sorted(g for g, _, n in gaps for _ in range(n)), []
+        for k in sorted(k for k, n in pieces for _ in range(n)):
+            at = bisect.bisect_left(free, k)
+            if at < len(free):
+                want.append((free.pop(at), k))
+        rows = run(pieces, gaps)
+        assert sorted((size, piece) for _, n, size, piece, _ in rows if piece for _ in range(n)) == sorted(want)
+        seen = sorted(x for f, n, *_ in rows for x in range(f, f + n))
+        assert seen == list(range(first))
+        size_of = {x: g for g, f, n in gaps for x in range(f, f + n)}
+        assert all(size_of[x] == size for f, n, size, *_ in rows for x in range(f, f + n))
+        ranks = sorted((p, at + i) for _, n, _, p, at in rows if p for i in range(n))
+        assert len(set(ranks)) == len(ranks) and all((p, i) in set(ranks) for p, at in ranks for i in range(at))
+
+
+def test_plan_against_best_fit(spark):
+    rng, run = random.Random(7), spark_sweeps(spark)
+    shapes = [Counter({6: 2, 5: 1, 4: 2, 3: 3, 1: 1}), Counter(rng.randint(1, 100) for _ in range(3000)), Counter(min(100, int(rng.expovariate(0.08)) + 1) for _ in range(3000)), Counter({100: 7}), Counter({3: 500}), Counter({51: 40, 49: 41})]
+    for counts in shapes:
+        cap = 10 if 6 in counts and len(counts) == 5 else 100
+        rows = placed(plan_sequences(dict(counts), run, cap))
+        assert Counter(r["length"] for r in rows) == counts
+        assert sorted((r["length"], r["rank"]) for r in rows) == sorted((k, i) for k, n in counts.items() for i in range(n))
+        best = brute_sequences(list(counts.elements()), cap)
+        assert whole(rows, cap) <= best * 1.02 + 1
+
+
+def test_classes_cover_all_lengths():
+    for cap in (1, 2, 7, 512, 2048):
+        assert sorted(k for lo, up in classes(cap) for k in range(lo + 1, up + 1)) == list(range(1, cap + 1))
 
 
 def test_against_brute_force(spark, sf_dir):
@@ -42,7 +98,7 @@ def test_against_brute_force(spark, sf_dir):
             want[d["doc_id"], k] = (at, n, zlib.crc32(ids[at : at + n].tobytes()))
             at, k = at + n, k + 1
     assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want
-    assert whole(rows) <= total / 2048 * 1.02 + 2
+    assert whole(rows) <= min(total / 2048 * 1.02 + 2, brute_sequences([r["length"] for r in rows], 2048) * 1.02 + 1)
 
 
 def test_edges(spark):
