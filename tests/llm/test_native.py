@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,8 +59,45 @@ def test_order_with_a_hot_id(spark):
     assert {r["text"]: r["next_text"] for r in got.collect()} == dict(zip(want, want[1:] + want[:1]))
 
 
-def test_edited_section(spark):
-    lines = [f"line {i}" for i in range(40)]
+def test_order_with_outliers_and_extreme_ids(spark):
+    ids = [*range(20000), 10**15, -(2**63), 2**63 - 1, None]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
+    rows = fingerprints.with_next(docs)
+    want = sorted((i for i in ids if i is not None), reverse=True) + [None]
+    assert {r["doc_id"]: r["next_text"] for r in rows.collect()} == {a: f"t{b}" for a, b in zip(want, want[1:] + want[:1])}
+    assert fingerprints.fingerprints(docs.filter("doc_id IS NULL OR doc_id NOT BETWEEN 0 AND 10000000000")).count() == 4
+
+
+def test_runs_follow_the_rows(spark):
+    ids = [*range(20000), 10**15]
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / 40 for k in range(1, 40)], 800).alias("q")).first()["q"]))
+    sizes = [r["count"] for r in docs.groupBy(fingerprints._run_of(cuts).alias("run")).count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 700
+    want = {i: sum(c >= i for c in cuts) for i in ids}
+    assert {r["doc_id"]: r["run"] for r in docs.select("doc_id", fingerprints._run_of(cuts).alias("run")).collect()} == want
+
+
+def prints(spark, a, b):
+    rows = fingerprints.tree(fingerprints.tree(spark.createDataFrame([(a, b)], "a string, b string"), "a", "x"), "b", "y")
+    rows = fingerprints.with_likeness(rows, "x_leaves", "y_leaves", "near").withColumns({k: fingerprints.fingerprint(k) for k in "xy"})
+    return rows.select("near", fingerprints.edited_paragraphs(F.col("x"), F.col("y")).alias("places")).first()
+
+
+def test_edit_located_from_two_fingerprints(spark):
+    lines = [f"line {i} of the text" for i in range(40)]
     changed = lines[:20] + ["other"] + lines[21:]
-    row = spark.createDataFrame([("\n".join(lines), "\n".join(changed))], "a string, b string").select(fingerprints.edited_places(F.col("a"), F.col("b")).alias("s")).first()
-    assert row["s"] == [2]
+    row = prints(spark, "\n".join(lines), "\n".join(changed))
+    assert row["places"] == [20] and 0.9 < row["near"] < 1
+    assert prints(spark, "\n".join(lines), "\n".join(lines))["places"] == []
+    assert prints(spark, "\n".join(lines), "\n".join([*lines, "more", "and more"]))["places"] == [40, 41]
+    moved = prints(spark, "\n".join(lines), "\n".join(["first", *lines]))
+    assert moved["near"] > 0.95 and len(moved["places"]) == 41
+    assert prints(spark, "a", "b")["near"] == 0.0
+
+
+def test_many_lines_take_linear_time(spark):
+    lines = [f"{i} word" for i in range(100_000)]
+    start = time.time()
+    row = prints(spark, "\n".join(lines), "\n".join(lines[:50_000] + ["new"] + lines[50_001:]))
+    assert row["places"] == [50_000] and time.time() - start < 30
