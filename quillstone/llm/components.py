@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialise
+from quillstone.llm.common import discard, materialise
 
 
 def _minimum(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.filter("u <> v").distinct()
         small = large.join(_minimum(large), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(small.select("u", F.col("m").alias("v")))
-        e = materialise(small.filter("u <> v").distinct(), "edges")
+        old, e = e, materialise(small.filter("u <> v").distinct(), "edges")
+        discard(old)
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             roots = e.select(F.col("u").alias("v"), F.col("v").alias("root"))

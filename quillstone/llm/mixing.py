@@ -185,10 +185,10 @@ def fit_rates(groups: DataFrame, weights: list[float], steps: int = STEPS, toler
     return history
 
 
-def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column, steps: int, ceilings: frozenset[str] = frozenset()) -> DataFrame:
+def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column, steps: int, ceilings: frozenset[str] = frozenset(), train_on: DataFrame | None = None) -> DataFrame:
     """docs with _n (tokens), _p (posteriors in order of the targets) and _rate."""
     total = sum(targets.values())
-    model = train_posterior(docs, labels, tuple(targets), domain)
+    model = train_posterior(docs if train_on is None else train_on, labels, tuple(targets), domain)
     rows = with_group(docs, model)
     groups = materialise(with_posteriors(rows.groupBy("_group").agg(F.sum("_n").alias("n_tokens")), model).coalesce(1), "mix_groups")
     capped = [i for i, d in enumerate(targets) if d in ceilings]
@@ -205,9 +205,12 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     return rows.select(*kept, F.col("_n").alias("n_tokens"), F.col("_p").alias("posteriors"), F.col("_rate").alias("rate"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, ceilings: frozenset[str] = frozenset()) -> DataFrame:
-    """docs in as many copies as their rates say; the fraction is rounded by a hash of the row. Columns stay as they are."""
-    rows = _rated(docs, labels, targets or TARGETS, label_domain() if domain is None else domain, STEPS, ceilings)
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, ceilings: frozenset[str] = frozenset(), train_on: DataFrame | None = None) -> DataFrame:
+    """docs in as many copies as their rates say; the fraction is rounded by a hash of the row. Columns stay as they are.
+
+    train_on: the documents that the domains are learnt from, where docs are a part of them only.
+    """
+    rows = _rated(docs, labels, targets or TARGETS, label_domain() if domain is None else domain, STEPS, ceilings, train_on)
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("_rate") + u).cast("int")
     return rows.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import materialise, slices, utf8
+from quillstone.llm.common import discard, materialise, slices, utf8
 from quillstone.llm.components import components
 from quillstone.llm.textstats import Words, mix, windows, words_of
 
@@ -320,6 +320,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bloc
     classes = reps.select("k1", "k2", "rep", "copies").join(linked, ["k1", "k2"], "left")
     group = F.coalesce(F.concat(F.lit("c"), "root"), F.concat_ws(":", "k1", "k2"))
     classes = materialise(classes.select("k1", "k2", group.alias("group"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "answers")
+    discard(reps, groups, alive, wanted, own_sets, forest, nodes)
     rows = base.select("doc_id", "th", "k1", "k2", "size").join(classes, ["k1", "k2"], "left")
     alone = F.col("size") == 0
     group = F.when(alone, F.concat_ws(":", F.lit("e"), "doc_id", "th")).otherwise(F.col("group"))

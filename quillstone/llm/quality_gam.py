@@ -188,9 +188,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return scored.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
-def keep_predicted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs with a score of the threshold or more, with the columns of docs."""
-    gam = train(docs, labels, sample)
+def keep_predicted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE, train_on: DataFrame | None = None) -> DataFrame:
+    """The rows of docs with a score of the threshold or more, with the columns of docs.
+
+    train_on: the documents to learn from, where docs are what an earlier filter has left and hold one label only.
+    """
+    gam = train(docs if train_on is None else train_on, labels, sample)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

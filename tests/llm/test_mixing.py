@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillstone.llm import mixing
 from quillstone.llm.mixing import TARGETS, document_rates, fit_rates, mix, op7_mixing_sources
 
 
@@ -44,3 +45,41 @@ def test_edges(spark, sf_dir):
     mixed = mix(docs, labels)
     assert mixed.columns == docs.columns and mixed.filter("rate <> 'q' OR n_tokens <> 'q'").count() == 0
     assert document_rates(docs.filter(F.lit(False)), labels).count() == 0
+
+
+def test_posteriors_against_plain_naive_bayes(spark):
+    """Bins, counts and posteriors of every document against a plain version of the model."""
+    import math
+    import re
+    from collections import Counter
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet")
+    domains = tuple(mixing.TARGETS)
+    model = mixing.train_posterior(docs, labels, domains, mixing.label_domain())
+
+    def share(n, size):
+        s = n / max(1, size)
+        return sum(s > c for c in (0.001, 0.02, 0.06, 0.2))
+
+    def bins(text):
+        text = text or ""
+        words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+        out = [min(15, int(math.log2(len(words) + 1))), share(len(re.findall(r"[#*$%&|<>]", text)), len(text)), share(len(re.findall("[A-Z]", text)), len(text))]
+        return len(words), tuple(out + [min(3, len(set(words) & set(w))) for w in model.lexicons])
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    domain = {r["doc_id"]: "toxic" if r["toxic"] == 1 else "poor" if r["quality"] == 0 else "clean" for r in labels.collect()}
+    seen, totals = Counter(), Counter()
+    for i, k in domain.items():
+        if i in texts:
+            totals[k] += 1
+            for f, b in enumerate(bins(texts[i])[1]):
+                seen[f, b, k] += 1
+    sizes = [16, 5, 5] + [4] * len(model.lexicons)
+    for r in mixing.document_rates(docs, labels).collect():
+        n, b = bins(texts[r["doc_id"]])
+        z = [math.log((totals[k] + 1) / (sum(totals.values()) + 3)) + sum(math.log((seen[f, v, k] + 1) / (totals[k] + sizes[f])) for f, v in enumerate(b)) for k in domains]
+        e = [math.exp(v - max(z)) for v in z]
+        assert r["n_tokens"] == n
+        assert all(abs(p - v / sum(e)) < 1e-9 for p, v in zip(r["posteriors"], e))

@@ -58,3 +58,16 @@ def test_mix_holds_toxic_share_down_only(spark, tmp_path):
         assert all(got[i] >= 1 for i in range(n_toxic, 400)) and all(got[i] <= 1 for i in range(n_toxic))
         kept = sum(got[i] for i in range(n_toxic))
         assert kept < n_toxic / 4 if bound else got == Counter(range(400))
+
+
+def test_classifier_removes_what_the_rules_kept(spark):
+    """The stage learns from the original documents, so it tells poor ones among survivors of one label too."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    poor, good = (docs.join(labels.filter(f"quality = {q}").select("doc_id"), "doc_id", "left_semi").select(docs.columns) for q in (0, 1))
+    n_poor, n_good = poor.count(), good.count()
+    assert corpus_pipeline.classifier(spark, poor, d).count() <= 0.1 * n_poor
+    assert corpus_pipeline.classifier(spark, good, d).count() >= 0.95 * n_good
+    both = corpus_pipeline.classifier(spark, poor.unionAll(good), d)
+    assert both.join(labels, "doc_id").filter("quality = 0").count() <= 0.1 * n_poor
