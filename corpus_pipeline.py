@@ -1,7 +1,13 @@
 """Corpus pipeline: quality rules, quality classifier, n-gram Jaccard join, mixing to target weights, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read back as the next
-stage's docs. All but the last return the columns of documents.
+stage's docs. All but the last return the columns of documents. The models of all stages learn from the labelled rows of the
+original documents: those that a filter has left hold one label only.
+
+Defined results of every stage: a null text counts as empty (the rules reject it, as it has too few words); a null id, lang or source
+is kept as it is, and a row without an id has no label; repeated rows are judged alike, and one of them stays after the near-duplicate stage;
+ties go to the smaller id, then the smaller hash of the text; an empty table gives no rows; further columns are carried
+along, also those named like a column that an operator adds.
 """
 
 from __future__ import annotations
@@ -17,6 +23,10 @@ TARGETS = {"clean": 0.97, "toxic": 0.03}
 CEILINGS = frozenset({"toxic"})
 
 
+def _original(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -24,7 +34,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
-    return quality_gam.keep_predicted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_gam.keep_predicted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), train_on=_original(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the numbers of copies that bring the domains' tokens to TARGETS; clean ones all stay, toxic ones are never copied."""
     domain = F.when(F.col("toxic") == 1, "toxic").otherwise("clean")
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, domain, CEILINGS)
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, domain, CEILINGS, _original(spark, sf_dir))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = _original(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
