@@ -1,7 +1,8 @@
 """Markdown documents to header-aware, token-bounded chunks; heading repair; image inventory.
 
-The state of a document is sequential (open headers, fences, the last numbered level), so a document is handled by one
-Python call and documents spread over Arrow batches.
+Lines are classified once (`scan`): heading, fenced or plain. A section's paragraphs are measured once, and packing only decides
+boundaries: spans of paragraph numbers found by binary search in prefix sums of their tokens. Heading repair is a
+query over a DataFrame of lines. Python handles a document at a time, in Arrow batches, where a tokenizer is called.
 """
 
 from __future__ import annotations
@@ -9,16 +10,21 @@ from __future__ import annotations
 import datetime as dt
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from itertools import accumulate, pairwise
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Forms of Markdown headings, fences, table captions and rules.
-ATX = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)(?:[ \t]+#+)?[ \t]*$")
+from quillstone.functions import text as T
+
+#: Forms of Markdown headings, fences, paragraph breaks, table captions and rules.
+ATX = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
 FENCE = re.compile(r" {0,3}(?:`{3,}|~{3,})")
+BREAK = re.compile(r"\n[ \t]*\n")
 CAPTION = re.compile(r"\s*(?:table|tab\.)\s*\d+", re.I)
 RULE = re.compile(r"[\s|:-]*-[\s|:-]*$")
 #: Sections that are not worth indexing, by their heading.
@@ -43,34 +49,39 @@ def estimate(text: str) -> int:
 
 
 def is_table(paragraph: str) -> bool:
-    rows = [x for x in paragraph.splitlines() if x.strip()]
-    return len(rows) >= 3 and sum(x.count("|") >= 3 for x in rows) >= 0.8 * len(rows)
+    """Three lines or more, four in five of them with three bars or more."""
+    barred = [line.count("|") > 2 for line in paragraph.splitlines() if line.strip()]
+    return len(barred) > 2 and 5 * sum(barred) >= 4 * len(barred)
+
+
+def scan(markdown: str) -> Iterator[tuple[str, int, str, bool]]:
+    """(line, level, title, fenced) of every line; level 0 for what is no heading, which fenced lines never are.
+
+    A fence is closed by a fence of the same character only.
+    """
+    fence = ""
+    for line in markdown.splitlines():
+        mark = FENCE.match(line)
+        if mark:
+            char = mark.group().lstrip()[0]
+            fence = {"": char, char: ""}.get(fence, fence)
+        fenced = bool(mark or fence)
+        found = None if fenced else ATX.match(line)
+        yield (line, len(found.group(1)), found.group(2).strip(), False) if found else (line, 0, "", fenced)
 
 
 def sections(markdown: str, levels: tuple[int, ...] = (1, 2, 3, 4, 5, 6)) -> Iterator[tuple[list[str], str]]:
     """(open headers, body) of every section with a body; headings inside fences are content."""
-    open_: dict[int, str] = {}
-    body: list[str] = []
-    fenced = False
-    for line in [*(markdown or "").splitlines(), None]:
-        found = None
-        if line is not None:
-            if FENCE.match(line):
-                fenced = not fenced
-            elif not fenced:
-                found = ATX.match(line)
-                if found and len(found.group(1)) not in levels:
-                    found = None
-        if line is None or found:
-            text = "\n".join(body).strip("\n")
-            if text.strip():
-                yield [open_[k] for k in sorted(open_)], text
-            body = []
-        if found:
-            level = len(found.group(1))
-            open_ = {k: v for k, v in open_.items() if k < level} | {level: found.group(2).strip()}
-        elif line is not None:
-            body.append(line)
+    lines = list(scan(markdown or ""))
+    cuts = [k for k, (_, level, *_) in enumerate(lines) if level in levels]
+    path: tuple[tuple[int, str], ...] = ()
+    for a, b in pairwise([-1, *cuts, len(lines)]):
+        if a >= 0:
+            _, level, title, _ = lines[a]
+            path = (*(p for p in path if p[0] < level), (level, title))
+        body = "\n".join(line for line, *_ in lines[a + 1 : b]).strip("\n")
+        if body.strip():
+            yield [title for _, title in path], body
 
 
 def split_words(text: str, limit: int, count: Callable[[str], int]) -> list[str]:
@@ -107,70 +118,78 @@ def split_table(table: str, limit: int, count: Callable[[str], int]) -> list[str
     return out or [table]
 
 
+def fill(tokens: list[int], start: int, most: int, overlap: int) -> list[tuple[int, int]]:
+    """Spans [a, b) that cover all paragraphs, numbered from `start`, each at most `most` tokens; a span begins with the last
+    paragraphs of the one before, as many as the overlap allows, if the next paragraph leaves room for them."""
+    at = [0, *accumulate(tokens)]
+    n, a, out = len(tokens), 0, []
+    while (b := bisect_right(at, at[a] + most) - 1) < n:
+        out.append((start + a, start + b))
+        shared = bisect_left(at, at[b] - overlap, a, b)
+        a = shared if at[b + 1] - at[shared] <= most else b
+    return [*out, (start + a, start + n)]
+
+
+def boundaries(tokens: list[int], kinds: list[str], settings: ChunkSettings) -> list[tuple[int, int]]:
+    """Spans [a, b) of paragraphs for the chunks of a section. kinds: 'text', 'caption', 'table' or 'long'.
+
+    Tables and paragraphs over the budget stand alone. A table takes what waits before it: all of it if that is small,
+    else its last paragraph if that is a caption.
+    """
+    alone = [k for k, kind in enumerate(kinds) if kind in ("table", "long")]
+    out: list[tuple[int, int]] = []
+    for before, k in pairwise([-1, *alone, len(kinds)]):
+        first = k
+        if before + 1 < k:
+            *done, (a, b) = fill(tokens[before + 1 : k], before + 1, settings.max, settings.overlap)
+            out += done
+            if k < len(kinds) and kinds[k] == "table":
+                first = a if sum(tokens[a:b]) <= settings.min else b - 1 if kinds[b - 1] == "caption" else k
+            if a < first:
+                out.append((a, first))
+        if k < len(kinds):
+            out.append((first, k + 1))
+    return out
+
+
 def pack(text: str, settings: ChunkSettings = ChunkSettings(), count: Callable[[str], int] = estimate, atomic: Callable[[str], bool] = is_table) -> list[tuple[str, int]]:
     """(chunk, tokens): paragraphs filled up to the budget, with overlap; tables by themselves with their caption."""
+    paragraphs = [p for p in map(str.strip, BREAK.split(text)) if p]
+    tokens = [count(p) for p in paragraphs]
+    kinds = ["table" if atomic(p) else "long" if n > settings.max else "caption" if CAPTION.match(p) else "text" for p, n in zip(paragraphs, tokens, strict=True)]
     out: list[tuple[str, int]] = []
-    held: list[tuple[str, int]] = []
-
-    def total(parts: list[tuple[str, int]]) -> int:
-        return sum(n for _, n in parts)
+    for a, b in boundaries(tokens, kinds, settings):
+        size, last = sum(tokens[a:b]), kinds[b - 1]
+        if last == "long":
+            out += [(piece, count(piece)) for piece in split_words(paragraphs[a], settings.max, count)]
+        elif last == "table" and settings.atomic_max is not None and size > settings.atomic_max:
+            lead, above = paragraphs[a : b - 1], sum(tokens[a : b - 1])
+            first, *rest = split_table(paragraphs[b - 1], settings.atomic_max - above, count)
+            out += [("\n\n".join([*lead, first]), count(first) + above), *((piece, count(piece)) for piece in rest)]
+        else:
+            out.append(("\n\n".join(paragraphs[a:b]), size))
+    return coalesce_small(out, settings)
 
-    def flush() -> None:
-        if held:
-            out.append(("\n\n".join(p for p, _ in held), total(held)))
-            held.clear()
 
-    for paragraph in (p.strip() for p in re.split(r"\n[ \t]*\n", text)):
-        if not paragraph:
-            continue
-        tokens = count(paragraph)
-        if atomic(paragraph):
-            before: list[tuple[str, int]] = []
-            if held and total(held) <= settings.min:
-                before, held[:] = list(held), []
-            elif held and CAPTION.match(held[-1][0]):
-                before = [held.pop()]
-                flush()
-            else:
-                flush()
-            lead = [p for p, _ in before]
-            if settings.atomic_max is None or total(before) + tokens <= settings.atomic_max:
-                out.append(("\n\n".join([*lead, paragraph]), total(before) + tokens))
-            else:
-                for k, piece in enumerate(split_table(paragraph, settings.atomic_max - total(before), count)):
-                    whole = "\n\n".join([*lead, piece]) if k == 0 else piece
-                    out.append((whole, count(piece) + (total(before) if k == 0 else 0)))
-            continue
-        if tokens > settings.max:
-            flush()
-            out += [(piece, count(piece)) for piece in split_words(paragraph, settings.max, count)]
+def joined(sizes: list[int], least: int, most: int) -> list[tuple[int, int]]:
+    """Spans of pieces that belong together: one under `least` is open and takes the next piece if both fit; if it cannot,
+    it goes to the span before it, if they fit."""
+    spans: list[tuple[int, int]] = []
+    at, a = [0, *accumulate(sizes)], 0
+    for b in range(1, len(at)):
+        small = at[b] - at[a] < least
+        if small and b < len(sizes) and at[b + 1] - at[a] <= most:
             continue
-        if held and total(held) + tokens > settings.max:
-            carry: list[tuple[str, int]] = []
-            for part in reversed(held):
-                if total(carry) + part[1] > settings.overlap:
-                    break
-                carry.insert(0, part)
-            flush()
-            if total(carry) + tokens <= settings.max:
-                held += carry
-        held.append((paragraph, tokens))
-    flush()
-    return coalesce_small(out, settings)
+        if small and spans and at[b] - at[spans[-1][0]] <= most:
+            a = spans.pop()[0]
+        spans.append((a, b))
+        a = b
+    return spans
 
 
 def coalesce_small(pieces: list[tuple[str, int]], settings: ChunkSettings) -> list[tuple[str, int]]:
     """Pieces under the minimum join the next one if both fit, else the one before, else stay."""
-    todo, out = list(pieces), []
-    while todo:
-        text, n = todo.pop(0)
-        if n < settings.min and todo and n + todo[0][1] <= settings.max:
-            todo[0] = (text + "\n\n" + todo[0][0], n + todo[0][1])
-        elif n < settings.min and out and n + out[-1][1] <= settings.max:
-            out[-1] = (out[-1][0] + "\n\n" + text, out[-1][1] + n)
-        else:
-            out.append((text, n))
-    return out
+    return [("\n\n".join(t for t, _ in pieces[a:b]), sum(n for _, n in pieces[a:b])) for a, b in joined([n for _, n in pieces], settings.min, settings.max)]
 
 
 def chunks(markdown: str, settings: ChunkSettings = ChunkSettings(), drop: re.Pattern | None = DROPPED, count: Callable[[str], int] = estimate) -> list[tuple[list[str], str, int, int, int]]:
@@ -202,66 +221,38 @@ def chunk_documents(docs: DataFrame, settings: ChunkSettings = ChunkSettings(),
 
 # headings -----------------------------------------------------------------------------------------------------------
 
-#: Forms of heading mark-up and section numbers.
-_ANCHOR = re.compile(r"<(span|a)\b[^>]*>\s*</\1>")
-_EMPHASIS = re.compile(r"\s*(\*{1,3}|_{1,3})(.+?)\1\s*$")
-_NUMBER = re.compile(r"(\d{1,2}(?:\.\d{1,2})*)\.?\s*([^\W\d_].*)$")
-_LETTER = re.compile(r"([A-Z]\d{0,2}(?:\.\d{1,2})*)\.?\s+([^\W\d_].*)$")
 #: Headings at section level although they have no number.
-MATTER = frozenset("abstract references bibliography acknowledgement acknowledgements acknowledgments appendix".split())
-
-
-def bare_heading(text: str) -> str:
-    text = _ANCHOR.sub("", text).strip()
-    while found := _EMPHASIS.match(text):
-        text = found.group(2).strip()
-    return text
-
-
-def numbered(text: str) -> tuple[int, str] | None:
-    """(depth, text with one blank after the number) of a numbered heading."""
-    found = _NUMBER.match(text)
-    plain = bool(found)
-    found = found or _LETTER.match(text)
-    if not found:
-        return None
-    parts = found.group(1).split(".")
-    if len(parts) > 4 or plain and int(parts[0]) > 30:
-        return None
-    return len(parts), f"{found.group(1)} {found.group(2)}"
+MATTER = ("abstract", "references", "bibliography", "acknowledgement", "acknowledgements", "acknowledgments", "appendix")
+KINDS = ("title", "numbered", "front_back", "inherited", "demoted")
 
 
-def not_a_heading(text: str) -> bool:
-    return text[:1] in "•-*–—" or text.endswith(":") or len(text) > 120 or not any(c.isalpha() for c in text)
+def heading_lines(docs: DataFrame) -> DataFrame:
+    """The lines of docs(doc_id, markdown): row (an input row), doc_id, pos, line and, of headings, their text and kind."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "markdown")
+    lines = rows.select("row", "doc_id", F.posexplode(F.split(F.coalesce("markdown", F.lit("")), "\n", -1)).alias("pos", "line"))
+    lines = lines.withColumn("text", F.nullif(T.heading_text(F.regexp_extract("line", "^" + ATX.pattern, 2)), F.lit("")))
+    matter = F.lower(F.trim(F.regexp_replace("text", ":+$", ""))).isin(*MATTER) | F.lower("text").startswith("appendix")
+    first = F.row_number().over(Window.partitionBy("row", F.col("text").isNull()).orderBy("pos")) == 1
+    kind = F.when(first, "title").when(~matter & T.false_heading(F.col("text")), "demoted").when(T.section_depth(F.col("text")).isNotNull(), "numbered").when(matter, "front_back").otherwise("inherited")
+    return lines.withColumn("kind", F.when(F.col("text").isNotNull(), kind))
 
 
-def renumber(markdown: str, first_is_title: bool = True) -> tuple[str, dict[str, int]]:
-    """Heading levels rewritten from section numbers, and how many headings of each kind there were."""
-    kinds = dict.fromkeys(("title", "numbered", "front_back", "inherited", "demoted"), 0)
-    last, out = 1, []
-    for line in markdown.split("\n"):
-        found = ATX.match(line)
-        text = bare_heading(found.group(2)) if found else ""
-        if not text:
-            out.append(line)
-            continue
-        matter = text.rstrip(":").strip().lower() in MATTER or text.lower().startswith("appendix")
-        number = numbered(text)
-        if first_is_title and not kinds["title"]:
-            kind, line = "title", f"# {text}"
-        elif not matter and not_a_heading(text):
-            kind, line = "demoted", f"**{text}**"
-        elif number:
-            last = min(number[0] + 1, 6)
-            kind, line = "numbered", "#" * last + " " + number[1]
-        elif matter:
-            kind, line = "front_back", f"## {text}"
-        else:
-            kind, line = "inherited", "#" * min(last + 1, 6) + " " + text
-        kinds[kind] += 1
-        out.append(line)
-    return "\n".join(out), kinds
-
+def renumber_documents(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, markdown) with heading levels from section numbers, and how many headings of each kind there were."""
+    lines = heading_lines(docs)
+    own = F.when(F.col("kind") == "numbered", F.least(T.section_depth(F.col("text")) + 1, F.lit(6)))
+    last = F.coalesce(F.last(own, True).over(Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), F.lit(1))
+    marks = {"title": F.lit(1), "numbered": own, "front_back": F.lit(2), "inherited": F.least(last + 1, F.lit(6))}
+    line = F.when(F.col("kind") == "demoted", F.concat(F.lit("**"), "text", F.lit("**")))
+    for kind, level in marks.items():
+        line = line.when(F.col("kind") == kind, F.concat(F.repeat(F.lit("#"), level), F.lit(" "), T.numbered_heading(F.col("text")) if kind == "numbered" else F.col("text")))
+    lines = lines.select("row", "doc_id", "pos", "kind", line.otherwise(F.col("line")).alias("line"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("markdown")
+    counts = [F.count_if(F.coalesce(F.col("kind") == k, F.lit(False))).cast("int").alias(k) for k in KINDS]
+    return lines.groupBy("row", "doc_id").agg(whole, *counts).drop("row")
+
+
+# dates and images ---------------------------------------------------------------------------------------------------
 
 _DATE = re.compile(r"\s*\(?\s*([A-Z][a-z]+ \d{1,2}, \d{4}|\d{1,2} [A-Z][a-z]+ \d{4})\s*\)?\s*$")
 
@@ -295,29 +286,17 @@ _IMAGE = re.compile(r"!\[([^\]]*)\]\(([^)\s]+)")
 
 
 def images(markdown: str) -> list[dict]:
-    """path, caption and section of every image, in order."""
-    out, open_ = [], {}
-    for line in markdown.splitlines():
-        found = ATX.match(line)
-        if found:
-            level = len(found.group(1))
-            open_ = {k: v for k, v in open_.items() if k < level} | {level: found.group(2)}
-        out += [{"path": p, "caption": c, "section": [open_[k] for k in sorted(open_)]} for c, p in _IMAGE.findall(line)]
+    """path, caption and section of every image outside fences, in order."""
+    out: list[dict] = []
+    path: tuple[tuple[int, str], ...] = ()
+    for line, level, title, fenced in scan(markdown or ""):
+        if level:
+            path = (*(p for p in path if p[0] < level), (level, title))
+        if not fenced:
+            out += [{"path": p, "caption": c, "section": [t for _, t in path]} for c, p in _IMAGE.findall(line)]
     return out
 
 
-def renumber_documents(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, markdown) with renumbered headings and the counts of the kinds."""
-    kinds = ["title", "numbered", "front_back", "inherited", "demoted"]
-
-    def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            done = [renumber(m or "") for m in frame["markdown"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "markdown": [m for m, _ in done]} | {k: [s[k] for _, s in done] for k in kinds})
-
-    return docs.select("doc_id", "markdown").mapInPandas(apply, "doc_id long, markdown string, " + ", ".join(f"{k} int" for k in kinds))
-
-
 def image_inventory(docs: DataFrame) -> DataFrame:
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -343,8 +322,6 @@ def header_stack(lines: DataFrame) -> DataFrame:
 
     Declarative form of the fold: a level's header is the last heading of that level, unless a shallower one came since.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     out = lines
     for k in range(1, 7):

@@ -3,7 +3,7 @@ import datetime as dt
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillstone.operators.chunking import ChunkSettings, chunks, coalesce_small, estimate, images, is_table, later_than, numbered, pack, renumber, sections, split_table, strip_false_dates
+from quillstone.operators.chunking import ChunkSettings, boundaries, chunks, coalesce_small, estimate, images, is_table, joined, later_than, pack, renumber_documents, sections, split_table, strip_false_dates
 
 MD = """intro
 
@@ -61,12 +61,47 @@ def test_coalesce():
     assert coalesce_small([("a", 6), ("b", 2), ("c", 9)], s) == [("a\n\nb", 8), ("c", 9)]
 
 
-def test_renumber():
-    md = "# **My title**\n# 2.1Planets\n# Notes\n# Abstract\n# 1. Intro:\n# A1 More\n# 28.02.2014\n### Refer\n"
-    out, kinds = renumber(md)
-    assert out.split("\n")[:-1] == ["# My title", "### 2.1 Planets", "#### Notes", "## Abstract", "**1. Intro:**", "## A1 More", "**28.02.2014**", "### Refer"]
-    assert kinds == {"title": 1, "numbered": 2, "front_back": 1, "inherited": 2, "demoted": 2}
-    assert numbered("31 Late") is None and numbered("1.2.3.4.5 Deep") is None
+def test_renumber(spark):
+    md = "# **My title**\n# 2.1Planets\n# Notes\n# Abstract\n# 1. Intro:\n# A1 More\n# 28.02.2014\n### Refer\n# 31 Late\n# 1.2.3.4.5 Deep\n#\nplain"
+    docs = spark.createDataFrame([(1, md), (1, md), (2, None), (3, "no heading")], "doc_id long, markdown string")
+    rows = sorted(renumber_documents(docs).collect(), key=lambda r: r["doc_id"])
+    want = ["# My title", "### 2.1 Planets", "#### Notes", "## Abstract", "**1. Intro:**", "## A1 More", "**28.02.2014**", "### Refer", "### 31 Late", "### 1.2.3.4.5 Deep", "#", "plain"]
+    assert [r["doc_id"] for r in rows] == [1, 1, 2, 3]
+    assert rows[0]["markdown"].split("\n") == rows[1]["markdown"].split("\n") == want
+    assert rows[2]["markdown"] == "" and rows[3]["markdown"] == "no heading"
+    assert {k: rows[0][k] for k in ("title", "numbered", "front_back", "inherited", "demoted")} == {"title": 1, "numbered": 2, "front_back": 1, "inherited": 4, "demoted": 2}
+
+
+def test_fences_close_by_their_own_character():
+    md = "# T\n```\n~~~\n# not a heading\n```\n# C#\nbody\n~~~~ x\n```\n## nor this\n![no](n.png)\n~~~\n## S ##\n![yes](y.png)"
+    assert list(sections(md)) == [(["T"], "```\n~~~\n# not a heading\n```"), (["C"], "body\n~~~~ x\n```\n## nor this\n![no](n.png)\n~~~"), (["C", "S"], "![yes](y.png)")]
+    assert images(md) == [{"path": "y.png", "caption": "yes", "section": ["C", "S"]}]
+
+
+def test_boundaries_by_hand():
+    s = ChunkSettings(max=10, overlap=4, min=3)
+    text = ["text"] * 6
+    assert boundaries([4, 4, 4, 4, 2, 9], text, s) == [(0, 2), (1, 3), (2, 5), (5, 6)]
+    assert boundaries([2, 50, 5], ["text", "table", "text"], s) == [(0, 2), (2, 3)]
+    assert boundaries([5, 4, 50], ["text", "caption", "table"], s) == [(0, 1), (1, 3)]
+    assert boundaries([5, 4, 50], ["text", "text", "table"], s) == [(0, 2), (2, 3)]
+    assert boundaries([4, 11, 4], ["text", "long", "text"], s) == [(0, 1), (1, 2), (2, 3)]
+    assert boundaries([], [], s) == []
+    assert joined([2, 1, 9, 2, 9, 2], 3, 10) == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
+    assert joined([5, 2, 9, 1, 9], 3, 10) == [(0, 2), (2, 3), (3, 5)]
+
+
+def test_expected_chunks():
+    """Sections, packing, coalescing and numbering of one document, as a fixed table."""
+    md = "# Paper\n\nshort lead\n\n## 1 Data\n\n" + "\n\n".join(f"para {k} " + "w " * 20 for k in range(4)) + "\n\nTable 1. Stars\n\n| a | b | c |\n|---|---|---|\n| 1 | 2 | 3 |\n\n## References\n\n[1] x"
+    got = chunks(md, ChunkSettings(max=50, overlap=20, min=8))
+    assert [(h, text.split("\n\n")[0].split(" w")[0], part, parts) for h, text, part, parts, _ in got] == [
+        (["Paper"], "short lead", 1, 1),
+        (["Paper", "1 Data"], "para 0", 1, 4),
+        (["Paper", "1 Data"], "para 1", 2, 4),
+        (["Paper", "1 Data"], "para 2", 3, 4),
+        (["Paper", "1 Data"], "Table 1. Stars", 4, 4),
+    ]
 
 
 def test_false_dates_and_images():
