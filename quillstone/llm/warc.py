@@ -1,24 +1,26 @@
 """WARC fixity audit (operator 3): Merkle trees over records and ordered offset ranges of archive files.
 
-A record's hash is the SHA-256 of its content. Records are put in ranges of SPAN offsets; a range's digest is the
-hash of its records' offsets and hashes in order, and FANOUT neighbouring nodes make a node of the next level until a
+A record's hash is the SHA-256 of its content. All records of an offset (one, in a sound file) are summed up by their number and
+the sums of their hashes' quarters, so any number of them needs bounded state. Records are put in ranges of SPAN offsets; a
+range's digest is the hash of its offsets' sums in order, and FANOUT neighbouring nodes make a node of the next level until a
 file has one root. Two replicas are compared from the roots down: of a level only the children of nodes that differ
-are looked at, and only records in differing ranges are compared at last. Digests are written once per replica; the
-levels are joined on (file, node), so a large file is spread over tasks.
+are looked at, and only offsets in differing ranges are compared at last. Sums and digests are written once per replica; the
+levels are joined on (file, node), so a large file is spread over tasks. `read_warc` decompresses a file piece by piece and
+hands on its records in batches of bounded size.
 
-Defined results: a null content hashes like an empty one; a null file or offset is a file '' or offset 0 of its own;
+Defined results: a null content hashes like an empty one; a null file is a file '' and a null offset is offset 0;
 repeated records (same file, offset and content) count, so a different number of them is a corruption; two empty
 replicas agree; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import gzip
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import materialise
@@ -28,21 +30,62 @@ FANOUT = 8
 FILE_RECORDS = 4096
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[int, int, str, str, bytes]]:
-    """(offset, length, type, uri, block) of the records of an uncompressed or gzipped WARC file."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+#: Bytes of a file that are decompressed at once, and bytes of records that are handed on at once.
+PIECE, BATCH_BYTES = 1 << 20, 8 << 20
+
+
+def inflated(data: memoryview) -> Iterator[bytes]:
+    """The file's bytes in pieces, of a gzipped file (of any number of members) decompressed."""
+    if bytes(data[:2]) != b"\x1f\x8b":
+        yield from (bytes(data[i : i + PIECE]) for i in range(0, len(data), PIECE))
+        return
     at = 0
-    while (start := data.find(b"WARC/", at)) >= 0:
-        head_end = data.find(b"\r\n\r\n", start)
-        if head_end < 0:
-            return
-        head = dict(re.findall(r"^([\w-]+):[ \t]*(.*?)\r?$", data[start:head_end].decode("utf-8", "replace"), re.M))
+    while at < len(data) and bytes(data[at : at + 2]) == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(data):
+            piece = bytes(data[at : at + PIECE])
+            out = member.decompress(piece, PIECE)
+            yield out
+            while member.unconsumed_tail and not member.eof:
+                out = member.decompress(member.unconsumed_tail, PIECE)
+                yield out
+            at += len(piece) - len(member.unused_data)
+
+
+def parse_warc(data: bytes) -> Iterator[tuple[int, int, str, str, bytes]]:
+    """(offset, length, type, uri, block) of the records of an uncompressed or gzipped WARC file; offsets are those of the decompressed bytes.
+
+    Holds one record and one piece at a time; a record that the file cuts off gives what there is of it.
+    """
+    pieces = inflated(memoryview(data))
+    held, gone = bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (start := held.find(b"WARC/")) < 0:
+            drop = max(0, len(held) - 4)
+            del held[:drop]
+            gone += drop
+            if not more():
+                return
+        while (head_end := held.find(b"\r\n\r\n", start)) < 0:
+            if not more():
+                return
+        head = dict(re.findall(r"^([\w-]+):[ \t]*(.*?)\r?$", held[start:head_end].decode("utf-8", "replace"), re.M))
         fields = {k.lower(): v for k, v in head.items()}
-        size = int(fields.get("content-length", "0") or 0)
-        block = data[head_end + 4 : head_end + 4 + size]
-        yield start, head_end + 4 + size - start, fields.get("warc-type", ""), fields.get("warc-target-uri", ""), block
-        at = head_end + 4 + size
+        size = fields.get("content-length", "0")
+        stop = head_end + 4 + (int(size) if size.isdigit() else 0)
+        while len(held) < stop and more():
+            pass
+        block = bytes(held[head_end + 4 : stop])
+        yield gone + start, stop - start, fields.get("warc-type", ""), fields.get("warc-target-uri", ""), block
+        stop = min(stop, len(held))
+        del held[:stop]
+        gone += stop
 
 
 def write_record(uri: str, block: bytes, kind: str = "resource") -> bytes:
@@ -52,28 +95,45 @@ def write_record(uri: str, block: bytes, kind: str = "resource") -> bytes:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, length, type, uri, content of every record under the path."""
+    names = ["file", "offset", "length", "type", "uri", "content"]
 
     def records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, content in zip(frame["path"], frame["content"], strict=True):
-                rows = [(name.rsplit("/", 1)[-1], *r) for r in parse_warc(bytes(content))]
-                yield pd.DataFrame(rows, columns=["file", "offset", "length", "type", "uri", "content"])
+                rows, size = [], 0
+                for r in parse_warc(content):
+                    rows.append((name.rsplit("/", 1)[-1], *r))
+                    size += len(r[-1]) + 200
+                    if size > BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(records, "file string, offset long, length long, type string, uri string, content binary")
 
 
+def _node(lines: Column) -> Column:
+    """The digest of a bounded group's lines in order."""
+    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(lines)), lambda x: x["line"]), ",").cast("binary"), 256)
+
+
+def _up(nodes: DataFrame, fanout: int) -> DataFrame:
+    child = F.struct("node", F.concat_ws(":", "node", "digest").alias("line"))
+    return materialise(nodes.groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(_node(child).alias("digest")), "nodes")
+
+
 def digests(records: DataFrame, span: int = SPAN, fanout: int = FANOUT) -> tuple[DataFrame, list[DataFrame]]:
-    """(records with hashes, node tables from the ranges up to the roots); all written to the shared folder."""
+    """(offsets with the sum of their records, node tables from the ranges up to the roots); all written to the shared folder."""
     content = F.coalesce(F.col("content").cast("binary"), F.lit(b""))
     rows = records.select(F.coalesce(F.col("file").cast("string"), F.lit("")).alias("file"), F.coalesce(F.col("offset").cast("long"), F.lit(0)).alias("offset"), F.sha2(content, 256).alias("hash"))
-    rows = materialise(rows.groupBy("file", "offset", "hash").agg(F.count(F.lit(1)).alias("n")), "records")
-    item = F.struct("offset", F.concat_ws(":", "offset", "hash", "n").alias("line"))
-    level = rows.groupBy("file", F.floor(F.col("offset") / span).alias("node")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["line"]), ",").cast("binary"), 256).alias("digest"))
+    quarters = [F.sum(F.conv(F.substring("hash", 16 * k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(4)]
+    rows = materialise(rows.groupBy("file", "offset").agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), *quarters).alias("sum")), "records")
+    item = F.struct("offset", F.concat_ws(":", "offset", "sum").alias("line"))
+    level = rows.groupBy("file", F.floor(F.col("offset") / span).alias("node")).agg(_node(item).alias("digest"))
     levels = [materialise(level, "nodes")]
     while levels[-1].agg(F.max("node")).first()[0]:
-        child = F.struct("node", F.concat_ws(":", "node", "digest").alias("line"))
-        up = levels[-1].groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda x: x["line"]), ",").cast("binary"), 256).alias("digest"))
-        levels.append(materialise(up, "nodes"))
+        levels.append(_up(levels[-1], fanout))
     return rows, levels
 
 
@@ -89,9 +149,7 @@ def audit(primary: DataFrame, replica: DataFrame, span: int = SPAN, fanout: int
     # replicas of different depth: the shallower tree's roots go up with the same rule until both have one level more
     while len(a) != len(b):
         short = a if len(a) < len(b) else b
-        child = F.struct("node", F.concat_ws(":", "node", "digest").alias("line"))
-        up = short[-1].groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(child)), lambda x: x["line"]), ",").cast("binary"), 256).alias("digest"))
-        short.append(materialise(up, "nodes"))
+        short.append(_up(short[-1], fanout))
     keys = ["file", "node"]
     roots = a[-1].withColumnRenamed("digest", "primary_root").join(b[-1].withColumnRenamed("digest", "replica_root"), keys, "full_outer").drop("node")
     bad = materialise(_differing(a[-1], b[-1], keys, "digest").select(*keys), "bad")
@@ -103,10 +161,9 @@ def audit(primary: DataFrame, replica: DataFrame, span: int = SPAN, fanout: int
         bad = materialise(_differing(below(la), below(lb), keys, "digest").select(*keys), "bad")
 
     def within(rows: DataFrame) -> DataFrame:
-        found = rows.withColumn("node", F.floor(F.col("offset") / span)).join(bad, keys, "left_semi")
-        return found.groupBy("file", "offset").agg(F.sort_array(F.collect_list(F.concat_ws(":", "hash", "n"))).alias("v"))
+        return rows.withColumn("node", F.floor(F.col("offset") / span)).join(bad, keys, "left_semi").select("file", "offset", "sum")
 
-    records = _differing(within(rows_a), within(rows_b), ["file", "offset"], "v")
+    records = _differing(within(rows_a), within(rows_b), ["file", "offset"], "sum")
     status = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").otherwise("corrupt")
     return roots, records.select("file", "offset", status.alias("status"))
 
@@ -136,9 +193,10 @@ def op3_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tree_sql(name: str, source: str) -> str:
+    quarters = " || ':' || ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 15))::HUGEINT)" for k in range(4))
     return f"""
-{name}_r AS (SELECT file, "offset", sha256(content) AS h, count(*) AS n FROM {source} GROUP BY ALL),
-{name}_0 AS (SELECT file, "offset" // {SPAN} AS node, sha256(string_agg("offset" || ':' || h || ':' || n, ',' ORDER BY "offset", h, n)) AS d FROM {name}_r GROUP BY ALL),
+{name}_r AS (SELECT file, "offset", count(*) || ':' || {quarters} AS s FROM (SELECT file, "offset", sha256(content) AS h FROM {source}) GROUP BY ALL),
+{name}_0 AS (SELECT file, "offset" // {SPAN} AS node, sha256(string_agg("offset" || ':' || s, ',' ORDER BY "offset")) AS d FROM {name}_r GROUP BY ALL),
 {name}_1 AS (SELECT file, node // {FANOUT} AS up, sha256(string_agg(node || ':' || d, ',' ORDER BY node)) AS d FROM {name}_0 GROUP BY ALL),
 {name}_2 AS (SELECT file, sha256(string_agg(up || ':' || d, ',' ORDER BY up)) AS d FROM {name}_1 GROUP BY file)"""
 

@@ -13,12 +13,23 @@ def test_sql(spark, sf_dir, name):
     assert compare(QUERIES[name](spark, sf_dir), ORACLES[name], duck(sf_dir)) > 0
 
 
-def test_cascade_is_exact(spark):
+@pytest.mark.parametrize("max_bits", [url_filters.MAX_BITS, 64])
+def test_cascade_is_exact(spark, max_bits):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    levels = url_filters.build_cascade(keys, 0.3)
-    assert len(levels) > 2
-    assert keys.filter(url_filters.member(F.col("key"), levels) != F.col("listed")).count() == 0
-    assert url_filters.build_cascade(keys, 0.3, max_bits=64) is None
+    cascade = url_filters.build_cascade(keys, 0.3, max_bits, 512)
+    assert len(cascade.levels) > 2 and (cascade.shards > 1) == (max_bits == 64)
+    rows = url_filters.with_membership(keys, cascade, "key", "got")
+    assert rows.count() == 5000 and rows.filter("got <> listed").count() == 0
+    for condition in ("true", "false"):
+        same = keys.withColumn("listed", F.expr(condition))
+        cascade = url_filters.build_cascade(same, 0.3, max_bits, 512)
+        assert url_filters.with_membership(same, cascade, "key", "got").filter("got <> listed").count() == 0
+
+
+def test_listed_domains(spark):
+    hosts = spark.createDataFrame([(h,) for h in ("a.b.c", "b.c", "xb.c", "c", "", "spam-farm.net")], "key string")
+    domains = spark.createDataFrame([(" B.c",), (None,), ("",), ("b.c",), ("zz",)], "domain string")
+    assert {r["key"]: r["listed"] for r in url_filters.host_universe(hosts, domains).collect()} == {"a.b.c": True, "b.c": True, "xb.c": False, "c": False, "": False, "spam-farm.net": False}
 
 
 def test_url_edges(spark):
