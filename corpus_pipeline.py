@@ -1,8 +1,9 @@
 """Corpus pipeline: quality rules, quality classifier, n-gram Jaccard join, mixing to target weights, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read back as the next
-stage's docs. All but the last return the columns of documents. The models of all stages learn from the labelled rows of the
-original documents: those that a filter has left hold one label only.
+stage's docs. All but the last return the columns of documents. The quality classifier learns from the labelled rows of the
+original documents, as those that the rules have left hold one quality label only; the rules and the mix learn from their own input,
+which holds both of their labels (toxic documents are of either quality).
 
 Defined results of every stage: a null text counts as empty (the rules reject it, as it has too few words); a null id, lang or source
 is kept as it is, and a row without an id has no label; repeated rows are judged alike, and one of them stays after the near-duplicate stage;
@@ -45,7 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the numbers of copies that bring the domains' tokens to TARGETS; clean ones all stay, toxic ones are never copied."""
     domain = F.when(F.col("toxic") == 1, "toxic").otherwise("clean")
-    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, domain, CEILINGS, _original(spark, sf_dir))
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, domain, CEILINGS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
