@@ -117,7 +117,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     n = min(MOST_BUCKETS, max(1, ids.count() // ROWS_A_BUCKET))
-    shares = F.array(*[F.lit(k / n) for k in range(1, n)]) if n <= 64 else F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda k: k / n)
+    # shares must be a constant: one literal, since a transform is none and an expression per share is long
+    shares = F.split(F.lit(",".join(str(k / n) for k in range(1, n))), ",").cast("array<double>")
     found = ids.agg(F.percentile_approx("doc_id", shares, 20 * n).alias("q")).first()["q"] if n > 1 else None
     cuts = sorted(set(found or ()))
     # the rows without an id come last, dealt by the hash that orders them

@@ -112,3 +112,11 @@ def test_many_lines_take_linear_time(spark):
     start = time.time()
     row = prints(spark, "\n".join(lines), "\n".join(lines[:50_000] + ["new"] + lines[50_001:]))
     assert row["places"] == [50_000] and time.time() - start < 30
+
+
+def test_next_document_over_many_runs(spark, monkeypatch):
+    """Rows are cut into runs at quantiles of the ids; the next document is the same however many runs there are."""
+    monkeypatch.setattr(fingerprints, "ROWS_A_BUCKET", 40)
+    docs = spark.createDataFrame([(3 * i, f"t{i}") for i in range(4000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["next_text"] for r in fingerprints.with_next(docs).collect()}
+    assert got == {3 * i: f"t{i - 1 if i else 3999}" for i in range(4000)}
