@@ -1,8 +1,8 @@
 """Retrieval: BM25 over postings, vectors, candidate union, reranking with fallback, faceted paper search.
 
 BM25: lower-cased runs of letters and digits, k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)), scores of the fields
-times their boosts added up; a query's repeated terms count once. Queries are few, so they are broadcast; the corpus
-is scanned once, and every top-k is found per query with a bounded window.
+times their boosts added up; a query's repeated terms count once. Queries are broadcast behind a check of their number; the
+postings of their terms are written once, and every top-k is found per query with a bounded window.
 """
 
 from __future__ import annotations
@@ -72,18 +72,23 @@ def top_k(scored: DataFrame, k: int, key: str = "doc_key") -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = PER_RETRIEVER, key: str = "doc_key") -> DataFrame:
     """query_id, key, score, pos: the k rows of vectors(key, embedding) nearest to each of queries(query_id, q), exact.
 
-    A stated set of queries against all rows: the queries are a broadcast side of proven size, and each partition
-    keeps its own best k before the shuffle.
+    A stated set of queries against all rows: the queries are taken in blocks of about MOST_QUERIES, each a broadcast side of
+    that size, and each partition keeps its own best k of a query before the shuffle.
     """
     from quillstone.functions.values import dot
 
-    many = queries.count()
-    if many > MOST_QUERIES:
-        raise ValueError(f"{many} queries; run them in blocks of {MOST_QUERIES}")
-    grouped = queries.groupBy().agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    each = vectors.join(F.broadcast(grouped)).select(key, "embedding", F.explode("qs").alias("x"))
-    scored = each.select(F.col("x.query_id").alias("query_id"), key, F.round(dot(F.col("embedding"), F.col("x.q")), 6).alias("score"))
-    return top_k(scored, k, key)
+    n = max(1, -(-queries.count() // MOST_QUERIES))
+    blocks = []
+    for block in range(n):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block)
+        grouped = own.groupBy().agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+        each = vectors.join(F.broadcast(grouped)).select(key, "embedding", F.explode("qs").alias("x"))
+        scored = each.select(F.col("x.query_id").alias("query_id"), key, F.round(dot(F.col("embedding"), F.col("x.q")), 6).alias("score"))
+        blocks.append(top_k(scored, k, key))
+    out = blocks[0]
+    for b in blocks[1:]:
+        out = out.unionByName(b)
+    return out
 
 
 def union_candidates(vector_hits: DataFrame, text_hits: DataFrame, key: str = "doc_key") -> DataFrame:

@@ -109,7 +109,7 @@ RERANKED = f"""{UNION}, qs AS (SELECT item_id AS query_id, list_distinct({_tok("
 
 
 def final(spark, sf):
-    c = candidates(spark, sf).join(F.broadcast(questions(spark, sf)), "query_id").join(corpus(spark, sf), "doc_key")
+    c = candidates(spark, sf).join(search.small(questions(spark, sf)), "query_id").join(corpus(spark, sf), "doc_key")
     return search.rerank(c.select("query_id", "doc_key", "place", "found_by", search.lexical_score(F.col("query"), F.col("content")).alias("score")))
 
 
@@ -249,9 +249,9 @@ def chk04(spark, sf):
                 out.append((s, sum(len(p.split("\n")) - 2 for p in pieces)))
             yield pd.DataFrame(out, columns=["source", "rows"])
 
-    d = table(spark, sf, "documents").select("source", F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), F.col("n_chars").cast("string"), F.lit(" | x |")).alias("row"))
-    # bounded groups: pieces of a source, cut by hash, are split one by one
-    parts = d.groupBy("source", F.pmod(F.xxhash64("row"), F.lit(16))).agg(F.collect_list("row").alias("rows"))
+    d = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), F.col("n_chars").cast("string"), F.lit(" | x |")).alias("row"))
+    # a part holds the rows of 4,096 ids at most, however many a source has
+    parts = d.groupBy("source", F.floor(F.col("doc_id") / 4096)).agg(F.collect_list("row").alias("rows"))
     return parts.select("source", "rows").mapInPandas(cut, "source string, rows long").groupBy("source").agg(F.sum("rows").alias("rows"))
 
 
@@ -395,13 +395,9 @@ def udf01(spark, sf):
 
 @query("udf02_atomic_predicate", "SELECT doc_id, len(l) >= 3 AND len(list_filter(l, lambda x: length(x) - length(replace(x, '|', '')) >= 3)) >= 0.8 * len(l) AS atomic FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)")
 def udf02(spark, sf):
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("boolean")
-    def atomic(s):
-        return s.map(lambda t: chunking.is_table(t or ""))
-
-    return table(spark, sf, "documents").select("doc_id", atomic("text").alias("atomic"))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
+    barred = F.size(F.filter("l", lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) > 2))
+    return table(spark, sf, "documents").select("doc_id", lines.alias("l")).select("doc_id", ((F.size("l") > 2) & (5 * barred >= 4 * F.size("l"))).alias("atomic"))
 
 
 @query("udf03_document_embedder")
@@ -417,7 +413,7 @@ def udf04(spark, sf):
 
 @query("udf05_pair_scores", f"WITH {RERANKED} SELECT query_id, doc_key, round(score, 6) AS score FROM pairs")
 def udf05(spark, sf):
-    c = candidates(spark, sf).join(F.broadcast(questions(spark, sf)), "query_id").join(corpus(spark, sf), "doc_key")
+    c = candidates(spark, sf).join(search.small(questions(spark, sf)), "query_id").join(corpus(spark, sf), "doc_key")
     return c.select("query_id", "doc_key", F.round(search.lexical_score(F.col("query"), F.col("content")), 6).alias("score"))
 
 

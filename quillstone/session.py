@@ -28,8 +28,10 @@ def builder(app: str = "quillstone"):
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset."""
+    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not base:
         if "dir" not in _OWN:
             _OWN["dir"] = tempfile.mkdtemp(prefix="quillstone-")
