@@ -62,6 +62,12 @@ def title_share(title: Column, text: Column, longer_than: int = 3) -> Column:
     return F.when(F.size(own) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(own, words(text))) / F.size(own))
 
 
+def opening(markdown: Column, n: int = 8000, headings: int = 3) -> Column:
+    """What a title is looked for in: the first n characters and the first headings, wherever they stand."""
+    found = F.regexp_extract_all(markdown, F.lit(r"(?m)^ {0,3}#{1,6}[ \t]+(.+)$"), F.lit(1))
+    return F.concat_ws("\n", F.substring(markdown, 1, n), F.array_join(F.slice(found, 1, headings), "\n"))
+
+
 def shingles(c: Column, n: int = 5) -> Column:
     """Distinct runs of n words."""
     none = F.array().cast("array<string>")

@@ -69,7 +69,7 @@ _own = f"list_distinct(list_filter({words_sql('title')}, lambda w: length(w) > 3
 
 @query("flt06_quality_gate", with_papers(f"SELECT bib, CASE WHEN len({_own}) > 0 AND len(list_intersect({_own}, {words_sql('substr(text, 1, 8000)')})) / len({_own}) < 0.5 THEN 'another text' WHEN {word_count_sql('text')} < 100 THEN 'too short' END AS problem FROM papers"))
 def flt06(spark, sf):
-    share = T.title_share(F.col("title"), F.substring("text", 1, 8000))
+    share = T.title_share(F.col("title"), T.opening(F.col("text")))
     return views.papers(spark, sf).select("bib", F.when(share < 0.5, "another text").when(T.word_count(F.col("text")) < 100, "too short").alias("problem"))
 
 
@@ -561,9 +561,9 @@ def set02(spark, sf):
     return views.index_state(spark, sf).select("parent_doc").distinct().subtract(views.papers(spark, sf).select(F.col("bib").alias("parent_doc")))
 
 
-@query("set03_intersection_size", with_papers(f"SELECT bib, len(list_intersect({words_sql('title')}, {words_sql('substr(text, 200, 2000)')}))::BIGINT AS n FROM papers"))
+@query("set03_intersection_size", with_papers(f"SELECT bib, len(list_intersect({words_sql('title')}, {words_sql('text')}))::BIGINT AS n FROM papers"))
 def set03(spark, sf):
-    return views.papers(spark, sf).select("bib", F.size(F.array_intersect(T.words(F.col("title")), T.words(F.substring("text", 200, 2000)))).cast("long").alias("n"))
+    return views.papers(spark, sf).select("bib", F.size(F.array_intersect(T.words(F.col("title")), T.words(F.col("text")))).cast("long").alias("n"))
 
 
 @query("set04_alias_union", with_papers("SELECT bib, array_to_string(list_sort(list_distinct(list_concat(aliases, list_filter(identifier, lambda x: regexp_matches(x, '^(doc|old):'))))), ',') AS aliases FROM papers"))

@@ -88,15 +88,15 @@ def str05(spark, sf):
     return views.papers(spark, sf).select("bib", F.round(T.title_share(F.col("title"), F.substring("text", 100, 8000)), 6).alias("share"))
 
 
-@query("str06_abstract_share", with_papers(f"SELECT bib, CASE WHEN len({shingles_sql('substr(abstract, 1, 600)')}) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect({shingles_sql('substr(abstract, 1, 600)')}, {shingles_sql('substr(substr(text, 200), 1, 30000)')})) / len({shingles_sql('substr(abstract, 1, 600)')}), 6)::DOUBLE END AS share FROM papers"))
+@query("str06_abstract_share", with_papers(f"SELECT bib, CASE WHEN len({shingles_sql('abstract')}) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect({shingles_sql('abstract')}, {shingles_sql('substr(substr(text, 200), 1, 30000)')})) / len({shingles_sql('abstract')}), 6)::DOUBLE END AS share FROM papers"))
 def str06(spark, sf):
-    share = T.abstract_share(F.substring("abstract", 1, 600), F.substring("text", 200, 10_000_000))
+    share = T.abstract_share(F.col("abstract"), F.expr("substring(text, 200)"))
     return views.papers(spark, sf).select("bib", F.round(share, 6).alias("share"))
 
 
-@query("str07_fold_name", f"SELECT doc_id, {fold_sql('substr(text, 1, 300)')} AS folded FROM documents")
+@query("str07_fold_name", f"SELECT doc_id, {fold_sql('text')} AS folded FROM documents")
 def str07(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.fold_name(F.substring("text", 1, 300)).alias("folded"))
+    return table(spark, sf, "documents").select("doc_id", T.fold_name(F.col("text")).alias("folded"))
 
 
 _w = f"list_filter(string_split({key_sql('a')}, ' '), lambda x: x <> '')"
