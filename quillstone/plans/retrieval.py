@@ -276,7 +276,7 @@ def chk07(spark, sf):
 def chk08(spark, sf):
     """Gate, fingerprint and chunks of all papers, with four counts."""
     p = views.papers(spark, sf)
-    gate = (T.title_share(F.col("title"), F.substring("text", 1, 8000)) >= 0.5) & (T.word_count(F.col("text")) >= 100)
+    gate = (T.title_share(F.col("title"), T.opening(F.col("text"))) >= 0.5) & (T.word_count(F.col("text")) >= 100)
     cut = chunking.chunk_documents(p.filter(gate).select("doc_id", "markdown")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     rows = p.select("doc_id", gate.alias("ok")).join(cut, "doc_id", "left")
     return rows.agg(F.count(F.lit(1)).alias("papers"), F.count_if("ok").alias("full_text"), F.count_if(~F.col("ok")).alias("abstract_only"), F.sum("n").alias("objects"))

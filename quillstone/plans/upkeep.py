@@ -100,14 +100,8 @@ def src11(spark, sf):
 
 @query("src12_landing_pdf", "SELECT page_id, 'https://h.example/pdf/' || page_id || '.pdf' AS pdf FROM pages")
 def src12(spark, sf):
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def link(s):
-        return s.map(lambda h: files.citation_pdf_url(h, "https://h.example/a/b"))
-
     tagged = F.concat(F.lit('<meta content="/pdf/'), F.col("page_id").cast("string"), F.lit('.pdf" name="citation_pdf_url">'), "html")
-    return table(spark, sf, "pages").select("page_id", link(tagged).alias("pdf"))
+    return table(spark, sf, "pages").select("page_id", files.landing_pdf(tagged, "https://h.example/a/b").alias("pdf"))
 
 
 @query("src13_metadata_scan", with_papers("SELECT bib, title FROM papers"))

@@ -10,10 +10,10 @@ import re
 import tarfile
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ARCHIVE_LIMIT = 1500 << 20
@@ -134,21 +134,41 @@ def tex_title_udf():
     return title
 
 
-def main_tex(files: dict[str, str], title: str, listed: Iterable[str] = ()) -> str | None:
-    """The file that is compiled: of those with a document, the listed ones if any, by share of the title, plain name and size."""
-    from quillstone.sources.files import tex_title as own_title
+#: Names of files that come with a paper but are not it.
+NOT_THE_PAPER = "guide|template|sample|example|response|reply|referee|cover|letter"
 
-    bare = {n: re.sub(r"(?<!\\)%.*", "", t) for n, t in files.items() if n.endswith(".tex")}
-    able = {n: t for n, t in bare.items() if "\\documentclass" in t and "\\begin{document}" in t}
-    able = {n: t for n, t in able.items() if n in set(listed)} or able
+
+def listed_files(files: dict[str, str]) -> set[str]:
+    """The files that a bundle's own README, in either of its forms, says are compiled; none where it cannot be read."""
+    if "00README.json" in files:
+        try:
+            entries = json.loads(files["00README.json"])["sources"]
+            return {e["filename"] for e in entries if e.get("usage") == "toplevel" and e.get("filename")}
+        except (ValueError, LookupError, TypeError, AttributeError):
+            return set()
+    return set(re.findall(r"^[ \t]*(\S+)[ \t]+toplevelfile\b", files.get("00README.XXX", ""), re.M))
+
+
+def main_tex(files: dict[str, str], title: str) -> str | None:
+    """The file of a bundle to compile, None if no file has a class and a body.
+
+    Those that the bundle's README lists go before all others; then the choice narrows to most of the title's words,
+    to names that are not NOT_THE_PAPER, to the largest and to the first by name.
+    """
+    bare = {n: re.sub(r"(?<!\\)%.*", "", t) for n, t in files.items() if n.lower().endswith(".tex")}
+    left = sorted(n for n, t in bare.items() if "\\documentclass" in t and "\\begin{document}" in t)
     wanted = {w for w in re.findall("[a-z0-9]+", title.lower()) if len(w) > 3}
 
-    def rank(n: str):
-        have = set(re.findall("[a-z0-9]+", (own_title(able[n]) or able[n][:4000]).lower()))
-        share = len(wanted & have) / len(wanted) if wanted else 1.0
-        return round(share, 2), not re.search("template|sample|example", n.lower()), len(able[n])
+    def words_found(n: str) -> int:
+        return len(wanted.intersection(re.findall("[a-z0-9]+", (tex_title(bare[n]) or "").lower())))
+
+    def plain(n: str) -> bool:
+        return not re.search(NOT_THE_PAPER, n.rsplit("/", 1)[-1], re.I)
 
-    return max(sorted(able), key=rank) if able else None
+    for worth in (listed_files(files).__contains__, words_found, plain, lambda n: len(files[n])):
+        most = max(map(worth, left), default=None)
+        left = [n for n in left if worth(n) == most]
+    return left[0] if left else None
 
 
 def citation_pdf_url(page: str, base: str) -> str | None:
@@ -162,6 +182,15 @@ def citation_pdf_url(page: str, base: str) -> str | None:
     return None
 
 
+def landing_pdf(page: Column, base: str) -> Column:
+    """citation_pdf_url as an expression; only addresses of the forms http(s)://..., /... and name are resolved."""
+    tag = F.regexp_extract(page, r"(?i)<meta\b(?=[^>]*name\s*=\s*[\"']?citation_pdf_url)[^>]*>", 0)
+    found = F.regexp_extract(tag, r"(?i)content\s*=\s*[\"']([^\"']+)", 1)
+    site, folder = re.match(r"\w+://[^/]*", base)[0], base.rsplit("/", 1)[0]
+    whole = F.when(found.rlike(r"^\w+://"), found).when(found.startswith("/"), F.concat(F.lit(site), found)).otherwise(F.concat(F.lit(folder + "/"), found))
+    return F.when(found != "", whole)
+
+
 def xml_licence(column: str = "xml"):
     """The licence of a harvested XML record, namespaces aside; an error record raises."""
     plain = F.regexp_replace(F.regexp_replace(F.col(column), r"\sxmlns(:\w+)?=\"[^\"]*\"", ""), r"<(/?)\w+:", "<$1")
@@ -203,9 +232,10 @@ class Fetcher:
 
 
 class TableStore:
-    """Versioned tables without a table format: every write is a new folder, a pointer file names the current one.
+    """Versioned tables without a table format: every write is a new folder, and an empty pointer file of its name.
 
-    The pointer is written through Spark's file system, last; a reader sees the old version or the new one. One writer.
+    The pointer is made through Spark's file system, last, and none is replaced: the current version is the pointer of the
+    largest name, so a reader or a crash at any time finds the old version or the new one. One writer.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -214,28 +244,26 @@ class TableStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _pointer(self, name: str):
-        return self._path(f"{self.root}/{name}/CURRENT")
+    def _versions(self, name: str) -> list[str]:
+        folder = self._path(f"{self.root}/{name}/_versions")
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
 
     def exists(self, name: str) -> bool:
-        return self._fs.exists(self._pointer(name))
+        return bool(self._versions(name))
 
     def version(self, name: str) -> str:
-        return self.spark.read.text(f"{self.root}/{name}/CURRENT").first()[0]
+        return self._versions(name)[-1]
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}/{self.version(name)}")
 
     def write(self, name: str, df: DataFrame) -> str:
-        version = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        held = self._versions(name)
+        # later than every version before it, whatever the clock says
+        number = max(time.time_ns(), int(held[-1][1:21]) + 1 if held else 0)
+        version = f"v{number:020d}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(f"{self.root}/{name}/{version}")
-        new = self._path(f"{self.root}/{name}/NEXT-{version}")
-        out = self._fs.create(new, True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        if self.exists(name):
-            self._fs.delete(self._pointer(name), False)
-        self._fs.rename(new, self._pointer(name))
+        self._fs.create(self._path(f"{self.root}/{name}/_versions/{version}"), False).close()
         return version
 
     def upsert(self, name: str, new: DataFrame, key: str) -> None:

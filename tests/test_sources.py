@@ -3,6 +3,7 @@ import io
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.operators import answers
 from quillstone.operators.records import RemovalRefused
@@ -113,3 +114,43 @@ def test_answer_loop_and_router():
     assert answers.route(lambda q: "no json", "raw")["search_query"] == "raw"
     assert answers.route(lambda q: '{"about_service": 0, "search_query": " a  b "}', "raw") == {"about_service": False, "search_query": "a b"}
     assert "User message: q" in answers.prompt("s", ["b", ""], "h", "q")
+
+
+def test_main_tex_of_a_bundle_with_letters_and_readme():
+    body = "\\documentclass{a}\n\\title{%s}\n\\begin{document}"
+    same = body % "A study of stars"
+    assert files.main_tex({"b/Reply_to_referee.tex": same + "x" * 99, "ms.tex": same}, "A study of stars") == "ms.tex"
+    listed = {"old.tex": same, "ms.tex": body % "Other", "00README.XXX": "ms.tex toplevelfile\nfig.tex ignore\n"}
+    assert files.main_tex(listed, "A study of stars") == "ms.tex"
+    assert files.listed_files({"00README.json": '{"sources": [{"usage": "toplevel", "filename": "ms.tex"}, {"usage": "ignore", "filename": "x.tex"}]}'}) == {"ms.tex"}
+    assert files.listed_files({"00README.json": "[1"}) == set()
+    assert files.main_tex({"a.txt": same}, "x") is None
+
+
+def test_title_may_stand_in_late_headings(spark):
+    from quillstone.functions import text as T
+
+    late = "word " * 2000 + "\n# The Mission of Plato\n\ntext"
+    fourth = "# one\n# two\n## three\n" + late
+    rows = spark.createDataFrame([(late,), (fourth,)], "t string").select(T.title_share(F.lit("The mission of Plato"), T.opening(F.col("t"))).alias("s")).collect()
+    assert [r["s"] for r in rows] == [1.0, 0.0]
+
+
+def test_table_store_versions(spark, tmp_path):
+    store = files.TableStore(spark, f"file://{tmp_path}")
+    assert not store.exists("t")
+    held = [store.write("t", spark.range(n)) for n in (1, 2, 3)]
+    assert held == sorted(held) and store.version("t") == held[-1] and store.read("t").count() == 3
+    # a folder without its pointer, as a crash leaves it, does not count
+    spark.range(9).write.parquet(f"file://{tmp_path}/t/v99999999999999999999-x")
+    assert store.read("t").count() == 3
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    from quillstone.operators import search
+
+    rows = spark.createDataFrame([(f"k{i}", [float(i), 1.0]) for i in range(30)], "doc_key string, embedding array<double>")
+    q = spark.createDataFrame([(i, [1.0, float(-i)]) for i in range(20)], "query_id long, q array<double>")
+    want = sorted(map(tuple, search.nearest(rows, q, 3).collect()))
+    monkeypatch.setattr(search, "MOST_QUERIES", 3)
+    assert sorted(map(tuple, search.nearest(rows, q, 3).collect())) == want and len(want) == 60
