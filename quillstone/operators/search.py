@@ -1,8 +1,8 @@
 """Retrieval: BM25 over postings, vectors, candidate union, reranking with fallback, faceted paper search.
 
 BM25: lower-cased runs of letters and digits, k1 = 1.2, b = 0.75, idf = ln(1 + (N - df + 0.5) / (df + 0.5)), scores of the fields
-times their boosts added up; a query's repeated terms count once. Queries are broadcast behind a check of their number; the
-postings of their terms are written once, and every top-k is found per query with a bounded window.
+times their boosts added up; a query's repeated terms count once. Queries are broadcast behind a check of their number; only
+postings of their terms are counted, and every top-k is found per query with a bounded window.
 """
 
 from __future__ import annotations
