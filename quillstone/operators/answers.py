@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -60,7 +62,7 @@ def route(model: Callable[[str], str], question: str, tries: int = 3) -> dict:
         try:
             got = json.loads(model(question))
             return {"about_service": bool(got["about_service"]), "search_query": " ".join(str(got["search_query"]).split())}
-        except (ValueError, KeyError, TypeError):
+        except Exception:  # the model is foreign code
             continue
     return {"about_service": False, "search_query": question}
 
@@ -98,6 +100,47 @@ def dispatch(call: dict, tools: dict[str, Callable[[dict], list]], given: set[st
     return fresh, None if fresh else NOTHING_NEW if found else "Nothing was found."
 
 
+def search_summary(filters: dict, shown: int, total: int, limit: int, weak: bool = False, given: list[int] | None = None) -> str:
+    """What a paper search tells the model: its filters, how many papers match, what was cut, and what it was given before."""
+    said = "; ".join(f"{k}: {v}" for k, v in filters.items() if v not in (None, "", False)) or "no filters"
+    if not total:
+        return f"{said}; no paper of the list matches"
+    if not shown:
+        return f"{said}; {total} papers match the filters, none of them the query"
+    if weak:
+        return f"{said}; no paper is clearly about this, the {shown} closest follow"
+    more = f"{total} papers match, the {shown} best follow" if shown < total else f"{total} papers match, all follow"
+    cut = f"; at most {limit} are shown" if shown == limit < total else ""
+    old = f"; given before: {', '.join(map(str, given))}" if given else ""
+    return f"{said}; {more}{cut}{old}"
+
+
+class Trace:
+    """Spans of a run as rows (span, kind, parent, seconds, error); parent is the row of the span around it, -1 for none."""
+
+    KINDS = ("CHAIN", "RETRIEVER", "RERANKER", "TOOL", "AGENT", "LLM")
+
+    def __init__(self, clock: Callable[[], float] = time.monotonic):
+        self.clock, self.rows, self._around = clock, [], [-1]
+
+    @contextmanager
+    def span(self, name: str, kind: str) -> Iterator[dict]:
+        if kind not in self.KINDS:
+            raise ValueError(f"no kind of span is named {kind}")
+        row = {"span": name, "kind": kind, "parent": self._around[-1], "seconds": 0.0, "error": None}
+        self._around.append(len(self.rows))
+        self.rows.append(row)
+        begun = self.clock()
+        try:
+            yield row
+        except Exception as e:
+            row["error"] = f"{type(e).__name__}: {e}"
+            raise
+        finally:
+            row["seconds"] = self.clock() - begun
+            self._around.pop()
+
+
 @dataclass
 class Answer:
     reply: str
@@ -105,17 +148,28 @@ class Answer:
     calls: list = field(default_factory=list)
 
 
-def answer_loop(model: ChatModel, question: str, first: list, tools: dict[str, Callable[[dict], list]], budget: int = FOLLOW_UPS) -> Answer:
-    """Rounds of completion; tools are offered while the budget lasts, calls of a round share it, passages count on."""
+def answer_loop(model: ChatModel, question: str, first: list, tools: dict[str, Callable[[dict], list]], budget: int = FOLLOW_UPS, trace: Trace | None = None) -> Answer:
+    """Rounds of completion; tools are offered while the budget lasts, calls of a round share it, passages count on.
+
+    The loop is recorded as a span, and in it every completion and every call.
+    """
+    trace = trace or Trace()
+    with trace.span("answer", "AGENT"):
+        return _answer(model, question, first, tools, budget, trace)
+
+
+def _answer(model: ChatModel, question: str, first: list, tools: dict[str, Callable[[dict], list]], budget: int, trace: Trace) -> Answer:
     docs, calls = list(first), []
     messages = [{"role": "context", "passages": list(range(1, len(docs) + 1))}, {"role": "user", "content": question}]
     while True:
-        out = model.complete(messages, list(tools) if budget > 0 else [])
+        with trace.span("completion", "LLM"):
+            out = model.complete(messages, list(tools) if budget > 0 else [])
         if "calls" not in out or budget <= 0:
             return Answer(out.get("text", ""), docs, calls)
         budget -= 1
         for call in out["calls"]:
-            fresh, message = dispatch(call, tools, {d["key"] for d in docs})
+            with trace.span(str(call.get("name")), "TOOL"):
+                fresh, message = dispatch(call, tools, {d["key"] for d in docs})
             numbers = list(range(len(docs) + 1, len(docs) + len(fresh) + 1))
             docs += fresh
             calls.append({"name": call.get("name"), "arguments": call.get("arguments"), "found": len(fresh)})

@@ -12,6 +12,7 @@ from quillstone.operators import answers, records, search
 from quillstone.plans import views
 from quillstone.plans.registry import query, table
 from quillstone.plans.scalar import class_sql, label_sql, openalex_sql, rank_sql, with_papers, word_count_sql, words_sql
+from quillstone.sources.files import BOT_CHECK
 
 TODAY = "2026-01-01"
 
@@ -165,7 +166,7 @@ def flt16(spark, sf):
 
 @query("flt18_bot_check", "SELECT page_id, regexp_matches(substr(html, 1, 20000), '(?i)captcha|are you a robot|casino') OR regexp_matches(url, '(?i)captcha|casino') AS blocked FROM pages")
 def flt18(spark, sf):
-    return table(spark, sf, "pages").select("page_id", (F.substring("html", 1, 20000).rlike("(?i)captcha|are you a robot|casino") | F.col("url").rlike("(?i)captcha|casino")).alias("blocked"))
+    return table(spark, sf, "pages").select("page_id", (F.substring("html", 1, 20000).rlike("(?i)" + BOT_CHECK) | F.col("url").rlike("(?i)captcha|casino")).alias("blocked"))
 
 
 @query("flt19_site_questions", f"WITH {views.GOLDEN} SELECT item_id, item_id % 3 = 0 AS about_site FROM golden")

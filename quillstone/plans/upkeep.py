@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import records
-from quillstone.plans import views
+from quillstone.plans import relational, views
 from quillstone.plans.registry import query, table
 from quillstone.plans.relational import TODAY, _remain, _sources, _tried, with_state
 from quillstone.plans.scalar import with_papers
@@ -77,15 +77,58 @@ def src08(spark, sf):
     return p.select("page_id", F.coalesce("b.link", F.get("b.records", F.lit(0))["url"]).alias("link"))
 
 
-@query("src09_polite_schedule", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS requests, (count(*) - 1)::DOUBLE AS seconds FROM pages GROUP BY 1")
+class _Clock:
+    """A clock that sleeping moves on, and nothing else."""
+
+    def __init__(self):
+        self.now = 0.0
+
+    def __call__(self):
+        return self.now
+
+    def sleep(self, seconds):
+        self.now += seconds
+
+
+def _polite():
+    clock = _Clock()
+    return files.Fetcher(lambda url: (200, {}, url.encode()), sleep=clock.sleep, clock=clock)
+
+
+@query("src09_polite_schedule", "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(*) AS requests, (count(*) - 1)::DOUBLE AS seconds, sum(strlen(url))::BIGINT AS bytes FROM pages GROUP BY 1")
 def src09(spark, sf):
-    p = table(spark, sf, "pages").groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.count(F.lit(1)).alias("requests"))
-    return p.select("host", "requests", (F.col("requests") - 1).cast("double").alias("seconds"))
+    """Every page fetched by the polite client, from a stand-in network that returns the address; a second's pause between requests to a host."""
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    got = files.fetched(table(spark, sf, "pages").select("url", host.alias("host")), _polite)
+    return got.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("requests"), F.sum("seconds").alias("seconds"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+_held = f"list_filter({_sources}, lambda s: NOT ((s = 'arxiv-tex' AND doc_id % 3 = 0) OR (s = 'arxiv-pdf' AND doc_id % 4 = 0)))"
+_missed = f"list_filter({_sources}, lambda s: (s = 'arxiv-tex' AND doc_id % 3 = 0) OR (s = 'arxiv-pdf' AND doc_id % 4 = 0))"
+
+
+def _gone(record):
+    raise OSError("status 404")
 
 
-@query("src10_fetch_dispatch", with_papers(f"SELECT bib, {_sources}[1] AS source FROM papers"))
+def _getters():
+    """Stand-in sources: some bundles are gone, some PDFs are a page that asks who reads it."""
+    pdf = lambda r: b"%PDF-1.5"
+    return {
+        "arxiv-tex": lambda r: _gone(r) if r["doc_id"] % 3 == 0 else gzip.compress(b"\\documentclass{article}"),
+        "arxiv-pdf": lambda r: b"<html>Are you a robot?" if r["doc_id"] % 4 == 0 else b"%PDF-1.5",
+        "author-pdf": pdf,
+        "publisher-pdf": pdf,
+    }
+
+
+@query("src10_fetch_dispatch", with_papers(f"""SELECT bib, source, CASE WHEN source LIKE '%-pdf' THEN 'pdf' WHEN source IS NOT NULL THEN 'tex' END AS kind,
+ array_to_string(list_transform(list_filter(missed, lambda s: source IS NULL OR list_position(sources, s) < list_position(sources, source)), lambda s: s || CASE s WHEN 'arxiv-tex' THEN ': status 404' ELSE ': a bot check' END), ',') AS errors
+ FROM (SELECT bib, {_sources} AS sources, {_missed} AS missed, {_held}[1] AS source FROM papers)"""))
 def src10(spark, sf):
-    return _tried(spark, sf).select("bib", F.get("sources", F.lit(0)).alias("source"))
+    """Each paper's sources tried in order until one gives its text."""
+    got = files.full_texts(_tried(spark, sf).select("bib", "doc_id", "sources"), _getters())
+    return got.withColumn("errors", F.array_join("errors", ","))
 
 
 @query("src11_archive_unpack", "SELECT doc_id, 'main.tex' AS name, sha256(text) AS digest FROM documents")
@@ -133,9 +176,14 @@ def src15(spark, sf):
     return reach.select(F.col("url").cast("long").alias("page_id"), "depth")
 
 
-@query("src16_article_blocks", "SELECT page_id, regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) AS block FROM pages")
+@query("src16_article_blocks", "SELECT page_id, regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1) AS block, 'News ' || page_id || ' (2024-01-' || lpad((1 + page_id % 28)::VARCHAR, 2, '0') || '): https://h.example/n/' || page_id AS news FROM pages")
 def src16(spark, sf):
-    return site.parse_pages(table(spark, sf, "pages"), "ad").select("page_id", F.get("blocks", F.lit(0)).alias("block"))
+    """Blocks of a class, and the news cards that are put before every page."""
+    n, day = F.col("page_id").cast("string"), F.lpad((1 + F.col("page_id") % 28).cast("string"), 2, "0")
+    card = F.concat(F.lit('<a title="News '), n, F.lit('" href="https://h.example/n/'), n, F.lit('"><b>News</b> <span class="x inner-date"> 2024-01-'), day, F.lit(" </span></a>"))
+    p = site.parse_pages(table(spark, sf, "pages").select("page_id", "url", F.concat(card, "html").alias("html")), "ad")
+    said = F.transform("news", lambda c: F.concat(c["title"], F.lit(" ("), c["date"], F.lit("): "), c["link"]))
+    return p.select("page_id", F.get("blocks", F.lit(0)).alias("block"), F.array_join(said, "\n").alias("news"))
 
 
 @query("src17_projected_scan", with_state("SELECT parent_doc, fingerprint FROM state"))
@@ -143,11 +191,17 @@ def src17(spark, sf):
     return views.index_state(spark, sf).select("parent_doc", "fingerprint")
 
 
-@query("src18_manifest_read", "SELECT 0 AS entries")
+@query("src18_manifest_read", with_papers("SELECT 0 AS before, count(*) AS entries, count(*) FILTER (doc_id % 3 = 0) AS failed FROM papers"))
 def src18(spark, sf):
+    """The manifest, empty where none was written yet, then as it was written."""
     store = files.TableStore(spark, shared_folder(spark, "manifest"))
-    m = store.read("manifest") if store.exists("manifest") else spark.createDataFrame([], "bib string, state string")
-    return m.agg(F.count(F.lit(1)).cast("int").alias("entries"))
+
+    def manifest():
+        return store.read("manifest") if store.exists("manifest") else spark.createDataFrame([], "bib string, state string")
+
+    before = manifest().count()
+    store.write("manifest", views.papers(spark, sf).select("bib", F.when(F.col("doc_id") % 3 == 0, "failed").otherwise("done").alias("state")))
+    return manifest().agg(F.lit(before).alias("before"), F.count(F.lit(1)).alias("entries"), F.count_if(F.col("state") == "failed").alias("failed"))
 
 
 @query("src19_results_read", "SELECT conv_id FROM conversations WHERE turn = 0 AND conv_id % 3 = 0")
@@ -172,9 +226,16 @@ def src21(spark, sf):
     return named.join(dropped, "file").groupBy("bib").agg(F.min_by("file", "pos").alias("file"))
 
 
-@query("src22_static_document", "SELECT conv_id, length('# About this service')::INTEGER AS n FROM conversations WHERE turn = 0")
+ABOUT = "# About this service\n\nIt answers questions over a list of papers."
+
+
+@query("src22_static_document", f"SELECT conv_id, length('{ABOUT}')::INTEGER AS n, sha256('{ABOUT}') AS digest FROM conversations WHERE turn = 0")
 def src22(spark, sf):
-    return table(spark, sf, "conversations").filter("turn = 0").select("conv_id", F.length(F.lit("# About this service")).alias("n"))
+    """A document read from its file, once, for every conversation."""
+    path = shared_folder(spark, "about")
+    spark.createDataFrame([(ABOUT,)], "value string").coalesce(1).write.text(path)
+    about = F.lit(files.read_document(spark, path))
+    return table(spark, sf, "conversations").filter("turn = 0").select("conv_id", F.length(about).alias("n"), F.sha2(about, 256).alias("digest"))
 
 
 @query("src23_settings", "SELECT 'a' AS key_one, 'b' AS key_two")
@@ -182,10 +243,17 @@ def src23(spark, sf):
     return spark.createDataFrame([(files.settings("ONE", {"ONE": "a"}), files.settings("TWO", {}, "X=1\nTWO = 'b'\n"))], "key_one string, key_two string")
 
 
-@query("src24_main_tex", "SELECT source, max(doc_id) AS doc_id FROM documents WHERE n_chars = (SELECT max(n_chars) FROM documents d WHERE d.source = documents.source) GROUP BY source")
+@query("src24_main_tex", "SELECT bundle, name FROM (SELECT doc_id // 4 AS bundle, CASE WHEN doc_id % 4 = 0 THEN 'template' ELSE 'd' END || doc_id || '.tex' AS name, row_number() OVER (PARTITION BY doc_id // 4 ORDER BY (doc_id % 8 = 2) DESC, doc_id % 4 = 0, length(text) DESC, doc_id::VARCHAR) AS k FROM documents) WHERE k = 1")
 def src24(spark, sf):
-    """The file that wins by three keys: here, of each source the largest, the later one on ties."""
-    return table(spark, sf, "documents").groupBy("source").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("doc_id"))
+    """The main file of bundles of four documents each: one by its title, else no template, else the largest, else the first by name."""
+    d = table(spark, sf, "documents")
+    n = F.col("doc_id").cast("string")
+    name = F.concat(F.when(F.col("doc_id") % 4 == 0, "template").otherwise("d"), n, F.lit(".tex"))
+    title = F.when(F.col("doc_id") % 8 == 2, "Spectra of comet dust").otherwise("Notes")
+    tex = F.concat(F.lit("\\documentclass{article}\n\\title{"), title, F.lit("}\n\\begin{document}\n"), F.coalesce("text", F.lit("")))
+    rows = d.filter("doc_id IS NOT NULL").groupBy(F.expr("doc_id div 4").alias("bundle"), name.alias("name")).agg(F.max(tex).alias("tex"))
+    bundles = rows.groupBy("bundle").agg(F.map_from_entries(F.collect_list(F.struct("name", "tex"))).alias("files"))
+    return files.main_files(bundles.withColumn("title", F.lit("Measured spectra of comet dust")))
 
 
 # sinks ---------------------------------------------------------------------------------------------------------------
@@ -275,10 +343,19 @@ def snk11(spark, sf):
 # incremental maintenance ---------------------------------------------------------------------------------------------
 
 
-@query("inc02_paper_sync", with_state("SELECT p.bib, CASE WHEN c.full_ THEN 'full text' ELSE 'abstract only' END AS coverage FROM papers p JOIN (SELECT a.bib, bool_or(coalesce(coverage, 'full text') = 'full text') AS full_ FROM state s JOIN aliases a ON a.alias = s.parent_doc GROUP BY a.bib) c ON c.bib = p.bib"))
+@query("inc02_paper_sync", with_state("SELECT p.bib, CASE WHEN c.full_ THEN 'full text' ELSE 'abstract only' END AS coverage, (SELECT count(*) FROM papers WHERE doc_id % 10 IN (1, 7)) AS written, 5 AS removed FROM papers p LEFT JOIN (SELECT a.bib, bool_or(coalesce(coverage, 'full text') = 'full text') AS full_ FROM state s JOIN aliases a ON a.alias = s.parent_doc GROUP BY a.bib) c ON c.bib = p.bib"))
 def inc02(spark, sf):
+    """The paper table brought to the list: some papers are new to it, some have changed, five have left the list."""
     p = views.papers(spark, sf)
-    return p.select("bib").join(records.coverage_of(views.index_state(spark, sf), records.alias_map(p)), "bib")
+    held = records.coverage_of(views.index_state(spark, sf), records.alias_map(p))
+    rows = p.select("bib", "doc_id", "title").join(held, "bib", "left").withColumn("coverage", F.coalesce("coverage", F.lit("abstract only")))
+    listing = rows.select("bib", "doc_id", "coverage", T.fingerprint(F.col("title"), F.col("coverage")).alias("fingerprint"))
+    old = listing.filter("doc_id % 10 <> 1").withColumn("fingerprint", F.when(F.col("doc_id") % 10 == 7, "stale").otherwise(F.col("fingerprint")))
+    gone = spark.range(5).selectExpr("concat('gone:', id) AS bib", "-id AS doc_id", "'full text' AS coverage", "'x' AS fingerprint")
+    store = files.TableStore(spark, shared_folder(spark, "papers"))
+    store.write("papers", old.unionByName(gone))
+    did = sync.sync_full(store, "papers", listing, "bib")
+    return store.read("papers").select("bib", "coverage", F.lit(did["written"]).cast("long").alias("written"), F.lit(did["removed"]).alias("removed"))
 
 
 @query("inc03_site_sync", "SELECT CASE WHEN page_id % 10 = 3 THEN 'new' WHEN page_id % 10 = 7 THEN 'write' WHEN page_id % 10 = 5 THEN 'failed' WHEN page_id % 10 = 9 THEN 'delete' ELSE 'keep' END AS action, count(*) AS n FROM pages GROUP BY 1")
@@ -338,15 +415,14 @@ def inc08(spark, sf):
     return spark.createDataFrame([(refused, gone)], "refused boolean, allowed int")
 
 
-@query("inc09_fetch_rounds", "SELECT * FROM (VALUES ('a', 'done'), ('b', 'failed'), ('c', 'done'), ('d', 'retry')) t(name, result)")
+@query("inc09_fetch_rounds", with_papers("SELECT bib, CASE doc_id % 4 WHEN 0 THEN 'done' WHEN 1 THEN 'failed' WHEN 2 THEN 'done' ELSE 'retry' END AS result FROM papers"))
 def inc09(spark, sf):
-    calls: dict[str, int] = {}
+    """All papers in rounds: done at once, failed for good, done in the third round, or still to be tried after it."""
 
-    def attempt(name):
-        calls[name] = calls.get(name, 0) + 1
-        return {"a": "done", "b": "failed", "c": "done" if calls[name] == 3 else "retry", "d": "retry"}[name]
+    def attempt(row, k):
+        return ("done", "failed", "done" if k == 3 else "retry", "retry")[row["doc_id"] % 4]
 
-    return spark.createDataFrame(list(sync.fetch_rounds(list("abcd"), attempt).items()), "name string, result string")
+    return sync.fetch_rounds_table(views.papers(spark, sf).select("bib", "doc_id"), attempt).select("bib", "result")
 
 
 @query("inc10_conversion_intake", "SELECT user_id::VARCHAR AS id, CASE WHEN count(*) FILTER (event_type = 'purchase') = 0 THEN 'running' ELSE 'done' END AS state FROM events GROUP BY user_id")
@@ -391,11 +467,21 @@ def inc14(spark, sf):
     return _tried(spark, sf).select("bib", F.array_join(F.array_union("sources", extra), ",").alias("sources"))
 
 
-@query("udf09_paper_search_text", "SELECT item_id, 'query: ' || array_to_string(string_split(text, ' ')[1:3], ' ') || '; 25 papers match, the 10 best follow' AS said FROM benchmark")
+@query("udf09_paper_search_text", with_papers("""SELECT 'years' AS search, 'years: 2005-2006; ' || count(*) || ' papers match, ' || CASE WHEN count(*) > 10 THEN 'the 10 best follow; at most 10 are shown' ELSE 'all follow' END AS said FROM papers WHERE year::INTEGER BETWEEN 2005 AND 2006 HAVING count(*) > 0
+ UNION ALL SELECT 'nobody', 'author: qqqq wwww; no paper of the list matches'
+ UNION ALL SELECT 'weak', 'query: qqqq wwww xxxx the; no paper is clearly about this, the 3 closest follow'"""))
 def udf09(spark, sf):
-    """The filters restated, the total and the cap."""
-    q = F.array_join(F.slice(F.split("text", " "), 1, 3), " ")
-    return table(spark, sf, "benchmark").select("item_id", F.format_string("query: %s; %d papers match, the %d best follow", q, F.lit(25), F.lit(10)).alias("said"))
+    """What three searches say of what they found: by years, by an author who is not listed, and on a topic that no paper has."""
+    from quillstone.operators import answers, search
+
+    def said(filters, **how):
+        rows, total, _ = search.find_papers(relational.paper_index(spark, sf), limit=10, **how)
+        got = rows.select("weak").collect()
+        return answers.search_summary(filters, len(got), total, 10, any(r["weak"] for r in got))
+
+    topic = "qqqq wwww xxxx the"
+    out = [("years", said({"years": "2005-2006"}, year_from=2005, year_to=2006)), ("nobody", said({"author": "qqqq wwww"}, author_key="qqqq wwww")), ("weak", said({"query": topic}, query=topic))]
+    return spark.createDataFrame(out, "search string, said string")
 
 
 @query("udf11_entry_point")
@@ -406,9 +492,23 @@ def udf11(spark, sf):
     return answered(spark, sf).select("query_id", T.renumber_citations(F.col("reply")).alias("reply"), F.size(T.cited(F.col("reply"))).alias("sources"))
 
 
-@query("udf13_spans", "SELECT user_id, count(*) AS spans, round(max(value), 2)::DOUBLE AS longest FROM events GROUP BY user_id")
+@query("udf13_spans", "SELECT item_id, kind, n, parents, failed FROM benchmark, (VALUES ('AGENT', 1, 0, 0), ('LLM', 2, 2, 0), ('TOOL', 1, 1, 0)) t(kind, n, parents, failed)")
 def udf13(spark, sf):
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("spans"), F.round(F.max("value"), 2).alias("longest"))
+    """Spans that the answer loop records for each question: by kind, how many there are, stand in another, and failed."""
+    from quillstone.operators import answers
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for item_id, text in zip(f["item_id"], f["text"], strict=True):
+                trace = answers.Trace()
+                answers.answer_loop(answers.RuleModel(), text, [], {"search_papers": lambda args: [{"key": "k"}]}, 1, trace)
+                out += [(item_id, r["kind"], r["parent"], r["error"]) for r in trace.rows]
+            yield pd.DataFrame(out, columns=["item_id", "kind", "parent", "error"])
+
+    spans = table(spark, sf, "benchmark").select("item_id", "text").mapInPandas(run, "item_id long, kind string, parent int, error string")
+    counts = {"n": F.lit(True), "parents": F.col("parent") >= 0, "failed": F.col("error").isNotNull()}
+    return spans.groupBy("item_id", "kind").agg(*[F.count_if(c).cast("int").alias(n) for n, c in counts.items()])
 
 
 @query("evl08_modes", f"WITH {views.RUNS} SELECT config, question, count(*) AS rows FROM runs WHERE question IN ('q1', 'q2', 'q3') GROUP BY config, question")

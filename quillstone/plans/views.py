@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.operators.search import small
 from quillstone.plans.registry import table
 
 
@@ -127,12 +128,24 @@ RUNS = """runs AS (SELECT event_id, 'm' || (user_id % 2) || ' -> a on c' AS conf
 
 
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Golden questions: benchmark passages and the papers that hold them. The benchmark is small by construction."""
-    from pyspark.sql.functions import broadcast
+    """Golden questions: benchmark passages and the papers that hold them.
 
+    Where a passage stands in a text, its inner words stand there whole: texts are looked up by a passage's second to fourth word, and
+    only those found are searched for all of it. Passages of fewer than five words, if there are any, are searched for in every text.
+    """
     docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text AS doc_text")
-    items = table(spark, sf_dir, "benchmark")
-    pairs = docs.join(broadcast(items), F.col("doc_text").contains(F.col("text")))
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.split("text", " ").alias("w"))
+    three = ["w1", "w2", "w3"]
+    long = items.filter(F.size("w") >= 5)
+    anchors = long.select("item_id", *[F.col("w")[k].alias(c) for k, c in enumerate(three, 1)])
+    rows = docs.select("doc_id", F.split("doc_text", " ").alias("w"))
+    shifted = rows.select("doc_id", *[F.slice("w", k, F.size("w")).alias(c) for k, c in enumerate(three, 1)])
+    runs = shifted.select("doc_id", F.explode(F.arrays_zip(*three)).alias("r")).select("doc_id", "r.*")
+    found = runs.join(small(anchors), three).select("doc_id", "item_id").distinct()
+    pairs = docs.join(found, "doc_id").join(small(long.select("item_id", "text")), "item_id").filter(F.col("doc_text").contains(F.col("text")))
+    short = items.filter(F.size("w") < 5).select("item_id", "text")
+    if not short.isEmpty():
+        pairs = pairs.select("item_id", "doc_id").unionByName(docs.join(small(short), F.col("doc_text").contains(F.col("text"))).select("item_id", "doc_id"))
     return pairs.groupBy("item_id").agg(F.array_sort(F.collect_list(F.concat(F.lit("doc:"), F.lpad(F.col("doc_id").cast("string"), 8, "0")))).alias("expected"))
 
 

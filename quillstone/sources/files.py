@@ -231,6 +231,80 @@ class Fetcher:
         raise OSError("no attempt left")
 
 
+def fetched(urls: DataFrame, client: Callable[[], Fetcher]) -> DataFrame:
+    """url, content, error, seconds of urls(url, host): each host's requests one after another in one task, by one client a task."""
+
+    def run(frames):
+        c = client()
+        for f in frames:
+            rows = []
+            for url in f["url"]:
+                begun = c.clock()
+                try:
+                    rows.append((url, c.fetch(url or ""), None, c.clock() - begun))
+                except OSError as e:
+                    rows.append((url, None, str(e), c.clock() - begun))
+            yield pd.DataFrame(rows, columns=["url", "content", "error", "seconds"])
+
+    dealt = urls.select("url", "host").repartition("host").sortWithinPartitions("host")
+    return dealt.select("url").mapInPandas(run, "url string, content binary, error string, seconds double")
+
+
+#: Signs of a page that asks whether its reader is a person.
+BOT_CHECK = "captcha|are you a robot|casino"
+
+
+def full_text(record: dict, getters: dict[str, Callable[[dict], bytes]]) -> dict:
+    """The first of a record's sources that gives its text, and why those before it did not.
+
+    A source whose name ends in -pdf has to give a PDF, any other a bundle with a TeX file; a source without a getter is an error of its own.
+    """
+    errors = []
+    for source in record["sources"]:
+        if source not in getters:
+            errors.append(f"{source}: no such source")
+            continue
+        try:
+            data = getters[source](record)
+            if source.endswith("-pdf"):
+                if sniff(data) != "pdf":
+                    page = data[:20000].decode("utf-8", "replace")
+                    raise OSError("a bot check" if re.search(BOT_CHECK, page, re.I) else "not a PDF")
+                return {"source": source, "kind": "pdf", "errors": errors}
+            if not any(n.endswith(".tex") for n in unpack(data)):
+                raise OSError("no TeX file")
+            return {"source": source, "kind": "tex", "errors": errors}
+        except (OSError, EOFError, ValueError, tarfile.TarError) as e:
+            errors.append(f"{source}: {e}")
+    return {"source": None, "kind": None, "errors": errors}
+
+
+def full_texts(papers: DataFrame, getters: dict[str, Callable[[dict], bytes]]) -> DataFrame:
+    """bib, source, kind, errors of papers(bib, sources, ...); a getter sees the whole row."""
+
+    def run(frames):
+        for f in frames:
+            got = [full_text(r | {"sources": list(r["sources"]) if r["sources"] is not None else []}, getters) for r in f.to_dict("records")]
+            yield pd.DataFrame({"bib": f["bib"]} | {k: [g[k] for g in got] for k in ("source", "kind", "errors")})
+
+    return papers.mapInPandas(run, "bib string, source string, kind string, errors array<string>")
+
+
+def main_files(bundles: DataFrame) -> DataFrame:
+    """bundle, name of the main TeX file, null where there is none, of bundles(bundle, title, files: map of name to text)."""
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({"bundle": f["bundle"], "name": [main_tex(dict(m), t or "") for m, t in zip(f["files"], f["title"], strict=True)]})
+
+    return bundles.select("bundle", "title", "files").mapInPandas(run, "bundle long, name string")
+
+
+def read_document(spark: SparkSession, path: str) -> str:
+    """A document that goes into prompts as a whole."""
+    return "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()).strip()
+
+
 class TableStore:
     """Versioned tables without a table format: every write is a new folder, and an empty pointer file of its name.
 

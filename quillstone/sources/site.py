@@ -7,6 +7,8 @@ import re
 from collections import deque
 from collections.abc import Callable
 from html.parser import HTMLParser
+from itertools import accumulate, takewhile
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -21,77 +23,109 @@ LEAST_WORDS = 5
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
-class PageParser(HTMLParser):
-    """Raw blocks of elements of a class, links, title and news cards of a page."""
+class _Events(HTMLParser):
+    """A page as a flat list of (kind, element, attributes, source); kind is open, close, empty or text."""
 
-    def __init__(self, block_class: str, tag: str = "div"):
+    def __init__(self):
         super().__init__(convert_charrefs=False)
-        self.block_class, self.tag = block_class, tag
-        self.blocks: list[str] = []
-        self.links: list[str] = []
-        self.title = self.og_title = ""
-        self._depth, self._raw, self._in_title = 0, [], False
+        self.seen: list[tuple[str, str, dict, str]] = []
 
     def handle_starttag(self, name, attrs):
-        a = dict(attrs)
-        if name == "a" and a.get("href"):
-            self.links.append(a["href"])
-        if name == "meta" and a.get("property") == "og:title":
-            self.og_title = a.get("content") or ""
-        self._in_title = name == "title"
-        if not self._depth and name == self.tag and self.block_class in (a.get("class") or "").split():
-            self._depth, self._raw = 1, []
-            return
-        if self._depth:
-            self._raw.append(self.get_starttag_text())
-            self._depth += name not in VOID
+        self.seen.append(("empty" if name in VOID else "open", name, dict(attrs), self.get_starttag_text()))
 
     def handle_startendtag(self, name, attrs):
-        self.handle_starttag(name, attrs)
-        if self._depth and name not in VOID:
-            self._depth -= 1
+        self.seen.append(("empty", name, dict(attrs), self.get_starttag_text()))
 
     def handle_endtag(self, name):
-        self._in_title = False
-        if self._depth and name not in VOID:
-            self._depth -= 1
-            if not self._depth:
-                self.blocks.append(re.sub(r"\?t=\d+", "", "".join(self._raw)))
-            else:
-                self._raw.append(f"</{name}>")
-
-    def _text(self, text: str) -> None:
-        if self._in_title:
-            self.title += html_lib.unescape(text)
-        if self._depth:
-            self._raw.append(text)
+        self.seen.append(("close", name, {}, "" if name in VOID else f"</{name}>"))
 
     def handle_data(self, data):
-        self._text(data)
+        self.seen.append(("text", "", {}, data))
 
     def handle_entityref(self, name):
-        self._text(f"&{name};")
+        self.seen.append(("text", "", {}, f"&{name};"))
 
     def handle_charref(self, name):
-        self._text(f"&#{name};")
+        self.seen.append(("text", "", {}, f"&#{name};"))
 
 
-def parse_page(page: str, block_class: str, tag: str = "div") -> dict:
-    p = PageParser(block_class, tag)
+def events_of(page: str | None) -> list[tuple[str, str, dict, str]]:
+    p = _Events()
     p.feed(page or "")
     p.close()
-    return {"title": p.og_title or p.title.strip(), "blocks": p.blocks, "links": p.links}
+    return p.seen
+
+
+def has_class(attrs: dict, name: str) -> bool:
+    return name in (attrs.get("class") or "").split()
+
+
+def blocks_of(events: list, block_class: str, tag: str = "div") -> list[str]:
+    """Sources of the outermost elements of a class that are closed, without the cache marks of their addresses."""
+    levels = list(accumulate((kind == "open") - (kind == "close" and bool(raw)) for kind, _, _, raw in events))
+    out, at = [], 0
+    while at < len(events):
+        kind, name, attrs, _ = events[at]
+        at += 1
+        if kind == "open" and name == tag and has_class(attrs, block_class):
+            end = next((i for i in range(at, len(events)) if levels[i] < levels[at - 1]), None)
+            if end is None:
+                break
+            out.append(re.sub(r"\?t=\d+", "", "".join(e[3] for e in events[at:end])))
+            at = end + 1
+    return out
+
+
+def title_of(events: list) -> str:
+    """What the page says of itself to others (og:title), else its title."""
+    shared = [a.get("content") or "" for kind, name, a, _ in events if name == "meta" and a.get("property") == "og:title"]
+    if shared and shared[-1]:
+        return shared[-1]
+    heads = [i for i, (kind, name, _, _) in enumerate(events) if kind == "open" and name == "title"]
+    texts = ("".join(e[3] for e in takewhile(lambda e: e[0] == "text", events[i + 1 :])) for i in heads)
+    return html_lib.unescape("".join(texts)).strip()
+
+
+def absolute(base: str, link: str) -> str:
+    """A link as an address, as it is where it cannot be resolved."""
+    try:
+        return urljoin(base, link)
+    except ValueError:
+        return link
+
+
+def news_of(events: list, base: str = "") -> list[dict]:
+    """title, link, date of the page's news cards: titled links around a span of class inner-date that is not empty."""
+    cards, dated = [], False
+    for kind, name, a, raw in events:
+        if kind == "open" and name == "a":
+            cards.append({"title": a.get("title") or "", "link": absolute(base, a.get("href") or ""), "date": "", "open": bool(a.get("title"))})
+        elif kind == "close" and name == "a" and cards:
+            cards[-1]["open"] = False
+        if name == "span" or name == "a":
+            dated = kind == "open" and name == "span" and has_class(a, "inner-date")
+        elif kind == "text" and dated and cards and cards[-1]["open"]:
+            cards[-1]["date"] += html_lib.unescape(raw).strip()
+    return [{k: c[k] for k in ("title", "link", "date")} for c in cards if c["date"]]
+
+
+def parse_page(page: str, block_class: str, tag: str = "div", base: str = "") -> dict:
+    """Title, blocks of a class and links of a page; links are resolved against a base where there is one."""
+    events = events_of(page)
+    links = [absolute(base, a["href"]) for kind, name, a, _ in events if kind == "open" and name == "a" and a.get("href")]
+    return {"title": title_of(events), "blocks": blocks_of(events, block_class, tag), "links": links}
 
 
 def parse_pages(pages: DataFrame, block_class: str, tag: str = "div") -> DataFrame:
-    """page_id, url, title, blocks, links of pages(page_id, url, html)."""
+    """page_id, url, title, blocks, links, news of pages(page_id, url, html); addresses are absolute."""
 
     def parse(frames):
         for f in frames:
-            got = [parse_page(h, block_class, tag) for h in f["html"]]
-            yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"]} | {k: [g[k] for g in got] for k in ("title", "blocks", "links")})
+            got = [parse_page(h, block_class, tag, u or "") | {"news": news_of(events_of(h), u or "")} for h, u in zip(f["html"], f["url"], strict=True)]
+            yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"]} | {k: [g[k] for g in got] for k in ("title", "blocks", "links", "news")})
 
-    return pages.select("page_id", "url", "html").mapInPandas(parse, "page_id long, url string, title string, blocks array<string>, links array<string>")
+    schema = "page_id long, url string, title string, blocks array<string>, links array<string>, news array<struct<title: string, link: string, date: string>>"
+    return pages.select("page_id", "url", "html").mapInPandas(parse, schema)
 
 
 def crawl(home: str, fetch: Callable[[str], str], links_of: Callable[[str, str], list[str]], keep: Callable[[str], bool], most: int = MOST_PAGES) -> tuple[dict[str, str], list[str]]:

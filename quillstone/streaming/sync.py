@@ -10,11 +10,14 @@ from __future__ import annotations
 import fcntl
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quillstone.operators.records import guard_removals
+from quillstone.session import written
 from quillstone.sources.files import TableStore
 
 
@@ -75,6 +78,30 @@ def fetch_rounds(pending: list[str], attempt: Callable[[str], str], rounds: int
     return results
 
 
+def fetch_rounds_table(pending: DataFrame, attempt: Callable[[dict, int], str], rounds: int = 3, pause: Callable[[], None] = lambda: None) -> DataFrame:
+    """pending(name, ...) with its result, for lists that do not fit on the driver.
+
+    attempt(row, round) runs on executors; 'retry' comes up again in the next round. Every round is written, so a lost executor repeats
+    no finished round, and rows that are done are not read again.
+    """
+    out, left = [], pending
+    for k in range(1, rounds + 1):
+        if k > 1:
+            pause()
+
+        def run(frames, k=k):
+            for f in frames:
+                yield f.assign(result=[attempt(r, k) for r in f.to_dict("records")])
+
+        tried = written(left.mapInPandas(run, StructType([*pending.schema.fields, StructField("result", StringType())])), "round")
+        final = tried if k == rounds else tried.filter("result <> 'retry'")
+        out.append(final)
+        left = tried.filter("result = 'retry'").select(*pending.columns)
+        if k < rounds and left.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out)
+
+
 @contextmanager
 def single_run(path: str) -> Iterator[None]:
     """Only one run at a time: raises BlockingIOError if another holds the lock."""

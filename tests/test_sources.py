@@ -154,3 +154,56 @@ def test_nearest_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, search.nearest(rows, q, 3).collect()))
     monkeypatch.setattr(search, "MOST_QUERIES", 3)
     assert sorted(map(tuple, search.nearest(rows, q, 3).collect())) == want and len(want) == 60
+
+
+def test_news_cards_and_absolute_links():
+    page = '<a title="A &amp; b" href="n/1"><b>x</b><span class="q inner-date"> 1 May </span></a><a title="no date" href="/2">y</a><span class="inner-date">stray</span><a href="http://[">z</a>'
+    assert site.news_of(site.events_of(page), "https://h.example/p/") == [{"title": "A & b", "link": "https://h.example/p/n/1", "date": "1 May"}]
+    assert site.parse_page(page, "b", base="https://h.example/p/")["links"] == ["https://h.example/p/n/1", "https://h.example/2", "http://["]
+    assert site.parse_page('<div class="b">never closed<div class="b">in it</div>', "b")["blocks"] == []
+    assert site.parse_page('<div class="b">1<br>2</br></div><div class="b">3</div>', "b")["blocks"] == ["1<br>2", "3"]
+    assert site.parse_page(None, "b") == {"title": "", "blocks": [], "links": []}
+
+
+def test_full_text_of_the_first_source_that_gives_one():
+    def fails(record):
+        raise OSError("status 404")
+
+    getters = {"tex": fails, "a-pdf": lambda r: b"<p>CAPTCHA", "b-pdf": lambda r: b"<p>", "c-pdf": lambda r: b"%PDF-1", "bad": lambda r: b"\x1f\x8bnot gzip"}
+    got = files.full_text({"sources": ["tex", "bad", "none", "a-pdf", "b-pdf", "c-pdf"]}, getters)
+    assert (got["source"], got["kind"]) == ("c-pdf", "pdf")
+    assert [e.split(":")[0] for e in got["errors"]] == ["tex", "bad", "none", "a-pdf", "b-pdf"] and got["errors"][3:] == ["a-pdf: a bot check", "b-pdf: not a PDF"]
+    assert files.full_text({"sources": []}, getters) == {"source": None, "kind": None, "errors": []}
+
+
+def test_fetch_rounds_over_a_table(spark):
+    names = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("a",)], "name string")
+    answers_of = {"a": ["done"], "b": ["failed"], "c": ["retry", "retry", "done"], "d": ["retry"] * 3}
+    got = sync.fetch_rounds_table(names, lambda row, k: answers_of[row["name"]][k - 1])
+    assert sorted(map(tuple, got.collect())) == [("a", "done"), ("a", "done"), ("b", "failed"), ("c", "done"), ("d", "retry")]
+    assert sync.fetch_rounds_table(names.limit(0), lambda row, k: "done").count() == 0
+
+
+def test_golden_questions_as_by_brute_force(spark, tmp_path):
+    from quillstone.plans import views
+
+    texts = [(1, "x a b c d e y"), (2, "xa b c d ey"), (3, None), (4, ""), (5, "b c d"), (6, "a b c d e a b c d e"), (6, "a b c d e"), (7, "p  q r s  t u"), (8, "no zebra here")]
+    items = [(1, "a b c d e"), (2, "zebra"), (3, "p  q r s  t"), (4, None), (5, "b c d"), (6, "not in any text at all"), (7, "a b c d e")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {i: sorted(f"doc:{d:08d}" for d, t in texts if t is not None and x in t) for i, x in items if x is not None}
+    assert {r["item_id"]: r["expected"] for r in views.golden(spark, str(tmp_path)).collect()} == {i: e for i, e in want.items() if e}
+
+
+def test_spans_and_search_summaries():
+    ticks = iter(range(99))
+    t = answers.Trace(lambda: float(next(ticks)))
+    with pytest.raises(OSError), t.span("a", "CHAIN"), t.span("b", "TOOL"):
+        raise OSError("gone")
+    assert [(r["span"], r["parent"], r["seconds"], r["error"]) for r in t.rows] == [("a", -1, 3.0, "OSError: gone"), ("b", 0, 1.0, "OSError: gone")]
+    with pytest.raises(ValueError), t.span("c", "nothing"):
+        pass
+    assert answers.search_summary({}, 2, 2, 10) == "no filters; 2 papers match, all follow"
+    assert answers.search_summary({"author": "x"}, 0, 4, 10) == "author: x; 4 papers match the filters, none of them the query"
+    assert answers.search_summary({"query": "q"}, 10, 30, 10, given=[1, 3]).endswith("30 papers match, the 10 best follow; at most 10 are shown; given before: 1, 3")
+    assert answers.route(lambda q: 1 / 0, "raw")["search_query"] == "raw"
