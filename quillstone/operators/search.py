@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.session import written
+
 K1, B = 1.2, 0.75
 PER_RETRIEVER, TOP, FALLBACK, THRESHOLD = 15, 7, 2, 0.5
 #: Queries are broadcast up to this number of rows; more are joined by shuffling.
@@ -29,33 +31,18 @@ def small(df: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
     return F.broadcast(df) if len(df.limit(most + 1).take(most + 1)) <= most else df
 
 
-def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_key") -> DataFrame:
-    """field, term, key, tf, len of every field's terms."""
-    parts = [docs.select(F.col(key), F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    out = out.withColumn("len", F.size("t"))
-    return out.select(key, "field", "len", F.explode("t").alias("term")).groupBy(key, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25(docs: DataFrame, queries: DataFrame, fields: dict[str, float], key: str = "doc_key", k: int | None = PER_RETRIEVER) -> DataFrame:
     """query_id, key, score, pos: the best k rows of docs for each of queries(query_id, query)."""
     q = queries.select("query_id", F.explode(terms(F.col("query"))).alias("term"))
-    wanted = small(q.select("term").distinct())
-    lengths = [docs.select(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("len")) for f in fields]
-    stats = lengths[0]
-    for x in lengths[1:]:
-        stats = stats.unionAll(x)
-    stats = stats.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    # only postings of the queries' terms are counted; an empty corpus has no average
-    parts = []
-    for f, boost in fields.items():
-        t = docs.select(key, tokens(F.col(f)).alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
-        parts.append(t.join(wanted, "term", "left_semi").groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf")).withColumn("field", F.lit(f)).withColumn("boost", F.lit(float(boost))))
-    found = parts[0]
-    for x in parts[1:]:
-        found = found.unionByName(x)
+    # texts are read once: postings of the queries' terms, and for each text's length a posting of the empty term, which no text has
+    wanted = q.select("term").unionByName(q.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    each = docs.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])).alias("x"))
+    posted = each.select(key, "x.field", F.size("x.t").alias("len"), F.explode(F.concat(F.array(F.lit("")), "x.t")).alias("term"))
+    counted = written(posted.join(small(wanted), "term", "left_semi").groupBy(key, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    # an empty corpus has no average
+    stats = counted.filter("term = ''").groupBy("field").agg(F.sum("tf").alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    boosts = F.create_map(*[F.lit(x) for f, boost in fields.items() for x in (f, float(boost))])
+    found = counted.filter("term <> ''").withColumn("boost", boosts[F.col("field")])
     df = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = df.join(F.broadcast(stats), "field").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     scored = found.join(weights, ["field", "term"]).withColumn("w", F.col("boost") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))

@@ -12,6 +12,7 @@ from quillstone.plans import views
 from quillstone.plans.registry import query, table
 from quillstone.plans.relational import paper_index
 from quillstone.plans.scalar import with_papers
+from quillstone.session import written
 
 FIELDS = {"content": 1.0, "title": 2.0}
 
@@ -108,8 +109,8 @@ RERANKED = f"""{UNION}, qs AS (SELECT item_id AS query_id, list_distinct({_tok("
  final AS (SELECT *, n_over = 0 AS weak FROM ranked WHERE CASE WHEN n_over > 0 THEN score > 0.5 AND rank <= 7 ELSE rank <= 2 END)"""
 
 
-def final(spark, sf):
-    c = candidates(spark, sf).join(search.small(questions(spark, sf)), "query_id").join(corpus(spark, sf), "doc_key")
+def final(spark, sf, found=None):
+    c = (candidates(spark, sf) if found is None else found).join(search.small(questions(spark, sf)), "query_id").join(corpus(spark, sf), "doc_key")
     return search.rerank(c.select("query_id", "doc_key", "place", "found_by", search.lexical_score(F.col("query"), F.col("content")).alias("score")))
 
 
@@ -347,7 +348,8 @@ EVAL = f"""{RERANKED}, {views.GOLDEN}, hits AS (SELECT g.item_id, count(c.doc_ke
 
 def eval_items(spark, sf):
     g = views.golden(spark, sf).select(F.col("item_id").alias("query_id"), F.explode("expected").alias("doc_key"))
-    out = g.join(candidates(spark, sf).select("query_id", "doc_key", "found_by"), ["query_id", "doc_key"], "left").join(final(spark, sf).select("query_id", "doc_key", "rank"), ["query_id", "doc_key"], "left")
+    c = written(candidates(spark, sf), "candidates")
+    out = g.join(c.select("query_id", "doc_key", "found_by"), ["query_id", "doc_key"], "left").join(final(spark, sf, c).select("query_id", "doc_key", "rank"), ["query_id", "doc_key"], "left")
     return out.groupBy(F.col("query_id").alias("item_id")).agg(F.count("found_by").alias("in_pool"), F.min("rank").cast("long").alias("final_rank"), F.array_join(F.array_sort(F.collect_set("found_by")), ",").alias("found_via"))
 
 
