@@ -23,7 +23,7 @@ def terms(c: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def small(df: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
