@@ -15,8 +15,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from itertools import accumulate, pairwise
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
@@ -28,7 +29,14 @@ BREAK = re.compile(r"\n[ \t]*\n")
 CAPTION = re.compile(r"\s*(?:table|tab\.)\s*\d+", re.I)
 RULE = re.compile(r"[\s|:-]*-[\s|:-]*$")
 #: Sections that are not worth indexing, by their heading.
-DROPPED = re.compile(r"\s*(?:(?:[ivxlc]+|[a-z]|\d+)(?:\.\d+)*[.)]?\s+)?(?:(?:references|bibliography|acknowledge?ments?)\b|(?:key\s*words?|index\s+terms)\s*[.:]*\s*$)", re.I)
+DROPPED = re.compile(
+    r"\s*(?:(?:[IVXLC]+|[A-Z]|\d+)(?:\.\d+)*[.)]?\s+)?"
+    r"(?:(?:references|bibliography|acknowledge?ments?)\b"
+    r"|(?:key\s*words?|index\s+terms)\s*[.:]*\s*$)",
+    re.I,
+)
+#: A table has so many lines at least, and such a share of them so many bars at least.
+TABLE_LINES, TABLE_BARS, TABLE_SHARE = 3, 3, 0.8
 PIECE = "doc_id long, chunk_index int, headers array<string>, content string, part int, n_parts int, tokens int"
 
 
@@ -49,9 +57,20 @@ def estimate(text: str) -> int:
 
 
 def is_table(paragraph: str) -> bool:
-    """Three lines or more, four in five of them with three bars or more."""
-    barred = [line.count("|") > 2 for line in paragraph.splitlines() if line.strip()]
-    return len(barred) > 2 and 5 * sum(barred) >= 4 * len(barred)
+    """Enough lines, and bars in enough of them; blank lines do not count."""
+    bars = np.array([line.count("|") for line in paragraph.splitlines() if line.strip()])
+    return len(bars) >= TABLE_LINES and bool((bars >= TABLE_BARS).mean() >= TABLE_SHARE)
+
+
+def table_lines(paragraph: Column) -> Column:
+    """The lines of a paragraph that are not blank."""
+    return F.filter(F.split(paragraph, "\n"), lambda line: F.trim(line) != "")
+
+
+def table_of_lines(lines: Column) -> Column:
+    """`is_table` as an expression over the lines that `table_lines` gives."""
+    bars = F.filter(lines, lambda line: F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= TABLE_BARS)
+    return (F.size(lines) >= TABLE_LINES) & (F.size(bars) >= TABLE_SHARE * F.size(lines))
 
 
 def scan(markdown: str) -> Iterator[tuple[str, int, str, bool]]:
@@ -102,7 +121,7 @@ def split_table(table: str, limit: int, count: Callable[[str], int]) -> list[str
     """Pieces of whole rows, each under the table's header."""
     lines = table.splitlines()
     filled = [i for i, x in enumerate(lines) if x.strip()]
-    rule = next((i for i in filled[:3] if RULE.match(lines[i])), None)
+    rule = next((i for i in filled[:3] if "|" in lines[i] and RULE.match(lines[i])), None)
     cut = (rule if rule is not None else filled[0]) + 1
     head, rows = lines[:cut], [x for x in lines[cut:] if x.strip()]
     out, at = [], 0
@@ -159,16 +178,17 @@ def pack(text: str, settings: ChunkSettings = ChunkSettings(), count: Callable[[
     kinds = ["table" if atomic(p) else "long" if n > settings.max else "caption" if CAPTION.match(p) else "text" for p, n in zip(paragraphs, tokens, strict=True)]
     out: list[tuple[str, int]] = []
     for a, b in boundaries(tokens, kinds, settings):
-        size, last = sum(tokens[a:b]), kinds[b - 1]
+        whole, last = "\n\n".join(paragraphs[a:b]), kinds[b - 1]
+        size = count(whole)
         if last == "long":
             out += [(piece, count(piece)) for piece in split_words(paragraphs[a], settings.max, count)]
         elif last == "table" and settings.atomic_max is not None and size > settings.atomic_max:
-            lead, above = paragraphs[a : b - 1], sum(tokens[a : b - 1])
-            first, *rest = split_table(paragraphs[b - 1], settings.atomic_max - above, count)
-            out += [("\n\n".join([*lead, first]), count(first) + above), *((piece, count(piece)) for piece in rest)]
+            lead = paragraphs[a : b - 1]
+            first, *rest = split_table(paragraphs[b - 1], settings.atomic_max - (size - tokens[b - 1]), count)
+            out += [(piece, count(piece)) for piece in ("\n\n".join([*lead, first]), *rest)]
         else:
-            out.append(("\n\n".join(paragraphs[a:b]), size))
-    return coalesce_small(out, settings)
+            out.append((whole, size))
+    return coalesce_small(out, settings, count)
 
 
 def joined(sizes: list[int], least: int, most: int) -> list[tuple[int, int]]:
@@ -187,9 +207,11 @@ def joined(sizes: list[int], least: int, most: int) -> list[tuple[int, int]]:
     return spans
 
 
-def coalesce_small(pieces: list[tuple[str, int]], settings: ChunkSettings) -> list[tuple[str, int]]:
-    """Pieces under the minimum join the next one if both fit, else the one before, else stay."""
-    return [("\n\n".join(t for t, _ in pieces[a:b]), sum(n for _, n in pieces[a:b])) for a, b in joined([n for _, n in pieces], settings.min, settings.max)]
+def coalesce_small(pieces: list[tuple[str, int]], settings: ChunkSettings, count: Callable[[str], int] | None = None) -> list[tuple[str, int]]:
+    """Pieces under the minimum join the next one if both fit, else the one before, else stay; joined ones are counted anew, or their sizes added up."""
+    spans = joined([n for _, n in pieces], settings.min, settings.max)
+    texts = ["\n\n".join(t for t, _ in pieces[a:b]) for a, b in spans]
+    return [(text, count(text) if count and b > a + 1 else sum(n for _, n in pieces[a:b])) for text, (a, b) in zip(texts, spans, strict=True)]
 
 
 def chunks(markdown: str, settings: ChunkSettings = ChunkSettings(), drop: re.Pattern | None = DROPPED, count: Callable[[str], int] = estimate) -> list[tuple[list[str], str, int, int, int]]:

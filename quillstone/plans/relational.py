@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import licences as L
 from quillstone.functions import text as T
 from quillstone.functions import values as V
-from quillstone.operators import answers, records, search
+from quillstone.operators import answers, chunking, records, search
 from quillstone.plans import views
 from quillstone.plans.registry import query, table
 from quillstone.plans.scalar import class_sql, label_sql, openalex_sql, rank_sql, with_papers, word_count_sql, words_sql
@@ -74,7 +74,7 @@ def flt06(spark, sf):
     return views.papers(spark, sf).select("bib", F.when(share < 0.5, "another text").when(T.word_count(F.col("text")) < 100, "too short").alias("problem"))
 
 
-_drop = r"(?i)^\s*((([ivxlc]+|[a-z]|\d+)(\.\d+)*[.)]?\s+)?((references|bibliography|acknowledge?ments?)\b|(key\s*words?|index\s+terms)\s*[.:]*\s*$))"
+_drop = f"(?i)^(?:{chunking.DROPPED.pattern})"
 _heads = "[pub, CASE doc_id % 6 WHEN 0 THEN '9. References and notes' WHEN 1 THEN 'A Reference frames' WHEN 2 THEN 'Key Words:' WHEN 3 THEN 'Keyword search' WHEN 4 THEN 'VIII Acknowledgments' ELSE '9.3 The list of references' END]"
 
 
@@ -86,9 +86,8 @@ def flt07(spark, sf):
 
 @query("flt08_table_paragraphs", "SELECT doc_id, len(l)::BIGINT AS lines, len(l) >= 3 AND len(list_filter(l, lambda x: length(x) - length(replace(x, '|', '')) >= 3)) >= 0.8 * len(l) AS is_table FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)")
 def flt08(spark, sf):
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    piped = F.size(F.filter("l", lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 3))
-    return table(spark, sf, "documents").select("doc_id", lines.alias("l")).select("doc_id", F.size("l").cast("long").alias("lines"), ((F.size("l") >= 3) & (piped >= 0.8 * F.size("l"))).alias("is_table"))
+    lines = table(spark, sf, "documents").select("doc_id", chunking.table_lines(F.col("text")).alias("l"))
+    return lines.select("doc_id", F.size("l").cast("long").alias("lines"), chunking.table_of_lines(F.col("l")).alias("is_table"))
 
 
 @query("flt09_captions", "SELECT doc_id, regexp_matches(t, '(?i)^\\s*(table|tab\\.)\\s*[0-9]+') AS caption FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Table ' || doc_id WHEN 1 THEN ' tab. 2: x' ELSE 'The table 3' END AS t FROM documents)")

@@ -405,9 +405,8 @@ def udf01(spark, sf):
 
 @query("udf02_atomic_predicate", "SELECT doc_id, len(l) >= 3 AND len(list_filter(l, lambda x: length(x) - length(replace(x, '|', '')) >= 3)) >= 0.8 * len(l) AS atomic FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents)")
 def udf02(spark, sf):
-    lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    barred = F.size(F.filter("l", lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) > 2))
-    return table(spark, sf, "documents").select("doc_id", lines.alias("l")).select("doc_id", ((F.size("l") > 2) & (5 * barred >= 4 * F.size("l"))).alias("atomic"))
+    lines = table(spark, sf, "documents").select("doc_id", chunking.table_lines(F.col("text")).alias("l"))
+    return lines.select("doc_id", chunking.table_of_lines(F.col("l")).alias("atomic"))
 
 
 @query("udf03_document_embedder")

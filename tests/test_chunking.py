@@ -108,3 +108,14 @@ def test_false_dates_and_images():
     md = "# T\n(June 21, 2026)\n21 June 2010\n## S\n1 July 2026\n![cap](a.png)"
     assert strip_false_dates(md, later_than(dt.date(2010, 6, 1))) == "# T\n21 June 2010\n## S\n1 July 2026\n![cap](a.png)"
     assert images(md) == [{"path": "a.png", "caption": "cap", "section": ["T", "S"]}]
+
+
+def test_chunks_are_counted_as_texts():
+    """A chunk's size is that of its text, not the sum of its paragraphs' sizes; a table's rule needs a bar."""
+    text = "a b c\n\nd e f\n\nd e f"
+    assert pack(text, ChunkSettings(min=0)) == [(text, estimate(text))]
+    for chunk, n in pack("\n\n".join(f"w{k} " * (k % 40) for k in range(200)), ChunkSettings(max=80, overlap=10, min=20)):
+        assert n == estimate(chunk)
+    table = "| a | b | c |\n---\n" + "\n".join(f"| {k} | x | y |" for k in range(30))
+    assert all(p.startswith("| a | b | c |\n") and not p.startswith("| a | b | c |\n---\n| 0 | x | y |\n---") for p in split_table(table, 60, estimate))
+    assert split_table(table, 60, estimate)[1].startswith("| a | b | c |\n| ")
