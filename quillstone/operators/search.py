@@ -7,6 +7,8 @@ postings of their terms are counted, and every top-k is found per query with a b
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from quillstone.session import written
 
 K1, B = 1.2, 0.75
 PER_RETRIEVER, TOP, FALLBACK, THRESHOLD = 15, 7, 2, 0.5
+#: Paper search: fields with their boosts, candidates of each retriever, papers shown where none is good.
+PAPER_FIELDS, PAPER_CANDIDATES, PAPER_FALLBACK = {"title": 2.0, "abstract": 1.0, "keywords": 1.0}, 20, 3
 #: Queries are broadcast up to this number of rows; more are joined by shuffling.
 MOST_QUERIES = 100_000
 
@@ -113,12 +117,14 @@ def paper_filter(author_key: str | None, first_author_only: bool, year_from: int
     return cond
 
 
-def find_papers(papers: DataFrame, query: str | None = None, author_key: str | None = None, first_author_only: bool = False, year_from: int | None = None, year_to: int | None = None, limit: int | None = None) -> tuple[DataFrame, int, str | None]:
-    """(papers, total, key used). Without a query the newest first; with one BM25 candidates reranked, weak ones if none is good.
+def find_papers(papers: DataFrame, query: str | None = None, author_key: str | None = None, first_author_only: bool = False, year_from: int | None = None, year_to: int | None = None, limit: int | None = None, embed: Callable[[Column], Column] | None = None) -> tuple[DataFrame, int, str | None]:
+    """(papers, total, key used). Without a query the newest first; with one the union of vector and BM25 candidates reranked, weak ones if none is good.
+
+    papers may hold `keywords` and `embedding`; without the latter, title and abstract are embedded.
 
     Filters are applied before anything is scored. An author key of several words that matches nothing is tried again with its last word.
     """
-    limit = max(1, min(limit or 10, 25))
+    limit, embed = max(1, min(limit or 10, 25)), embed or embed_hashing
     query = (query or "").strip()
     rows = papers.filter(paper_filter(author_key, first_author_only, year_from, year_to))
     total = rows.count()
@@ -129,9 +135,12 @@ def find_papers(papers: DataFrame, query: str | None = None, author_key: str | N
     if not query:
         return rows.orderBy(F.col("pub_date").desc_nulls_last(), "bib").limit(limit).withColumn("weak", F.lit(False)), total, author_key
     q = rows.sparkSession.createDataFrame([(1, query)], "query_id int, query string")
-    hits = bm25(rows, q, {"title": 2.0, "abstract": 1.0}, "bib", 20).withColumnRenamed("score", "bm25")
-    scored = hits.join(rows, "bib").withColumn("score", lexical_score(F.lit(query), F.concat_ws("\n\n", "title", "abstract")))
-    return rerank(scored, THRESHOLD, limit, 3, "pos").drop("query_id"), total, author_key
+    text = F.concat_ws("\n\n", "title", "abstract")
+    vectors = rows.select("bib", "embedding" if "embedding" in rows.columns else embed(text).alias("embedding"))
+    near = nearest(vectors, q.select("query_id", embed(F.col("query")).alias("q")), PAPER_CANDIDATES, "bib")
+    hits = bm25(rows, q, {f: w for f, w in PAPER_FIELDS.items() if f in rows.columns}, "bib", PAPER_CANDIDATES)
+    scored = union_candidates(near, hits, "bib").join(rows, "bib").withColumn("score", lexical_score(F.lit(query), text))
+    return rerank(scored, THRESHOLD, limit, PAPER_FALLBACK, "place").drop("query_id", "found_by"), total, author_key
 
 
 def fresh_only(found: DataFrame, given: DataFrame, key: str = "doc_key") -> DataFrame:
@@ -140,9 +149,9 @@ def fresh_only(found: DataFrame, given: DataFrame, key: str = "doc_key") -> Data
 
 
 def embed_hashing(c: Column, dims: int = 64) -> Column:
-    """A deterministic stand-in for an embedder: signed hashed term counts, of unit length."""
+    """A deterministic stand-in for an embedder: counts of terms by a checksum of the term, of unit length."""
     from quillstone.functions.text import let
     from quillstone.functions.values import unit
 
-    at = F.transform(tokens(c), lambda x: F.pmod(F.xxhash64(x), F.lit(dims)).cast("int"))
+    at = F.transform(tokens(c), lambda x: (F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long") % dims).cast("int"))
     return unit(let(at, lambda t: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(t, lambda a: a == i)).cast("double"))))

@@ -113,7 +113,7 @@ def paper_index(spark, sf):
     keys = F.transform("author", lambda a: T.surname_keys(a))
     p = views.papers(spark, sf).select(
         "bib", "title", "abstract", F.array_distinct(F.flatten(keys)).alias("author_keys"), F.get(keys, F.lit(0)).alias("first_author_keys"),
-        F.col("year").cast("int").alias("year"), F.substring("date", 1, 10).alias("pub_date"),
+        F.col("year").cast("int").alias("year"), F.substring("date", 1, 10).alias("pub_date"), F.array_join("keyword", " ").alias("keywords"),
     )
     return p
 

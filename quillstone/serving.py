@@ -14,13 +14,13 @@ from quillstone.operators import answers, search
 
 APOLOGY = "Sorry, there is no answer just now."
 NO_SOURCES = "The answer does not rest on retrieved passages."
-FIELDS = {"content": 1.0, "title": 2.0}
+FIELDS = {"content": 1.0, "title": 2.0, "section_headers": 1.0}
 
 
 def retrieve(spark: SparkSession, corpus: DataFrame, question: str, k: int = search.PER_RETRIEVER) -> list[dict]:
-    """Reranked passages of corpus(doc_key, title, content) for one question, best first."""
+    """Reranked passages of corpus(doc_key, title, content, and section_headers if there) for one question, best first."""
     q = spark.createDataFrame([(1, question)], "query_id int, query string")
-    hits = search.bm25(corpus, q, FIELDS, k=k).select("query_id", "doc_key", F.col("pos").alias("place"))
+    hits = search.bm25(corpus, q, {f: w for f, w in FIELDS.items() if f in corpus.columns}, k=k).select("query_id", "doc_key", F.col("pos").alias("place"))
     scored = hits.join(corpus, "doc_key").withColumn("score", search.lexical_score(F.lit(question), F.col("content")))
     rows = search.rerank(scored).orderBy("rank").select("doc_key", "title").collect()
     return [{"key": r["doc_key"], "title": r["title"]} for r in rows]
