@@ -9,6 +9,7 @@ from quillstone.functions import licences as L
 from quillstone.functions import text as T
 from quillstone.functions import values as V
 from quillstone.operators import answers, chunking, records, search
+from quillstone.operators.aliases import transitive_aliases
 from quillstone.plans import views
 from quillstone.plans.registry import query, table
 from quillstone.plans.scalar import class_sql, label_sql, openalex_sql, rank_sql, with_papers, word_count_sql, words_sql
@@ -255,6 +256,40 @@ def jn02(spark, sf):
     return records.resolve(views.index_state(spark, sf), records.alias_map(views.papers(spark, sf)), "parent_doc").select("chunk_id", "bib")
 
 
+#: Lists of earlier years: a paper of number n was renamed n % 5 times, and each list knows two neighbouring names only.
+_chain = "chain AS (SELECT bib, doc_id, k, CASE WHEN k = 0 THEN bib ELSE 'name' || k || ':' || doc_id END AS new_name, 'name' || (k + 1) || ':' || doc_id AS old_name FROM papers, range(0, 5) t(k) WHERE k < doc_id % 5)"
+
+
+def rename_lists(spark, sf):
+    """The current list, and one for each earlier year: bib and aliases."""
+    p = views.papers(spark, sf)
+    name = lambda k: F.concat(F.lit(f"name{k}:"), F.col("doc_id").cast("string")) if k else F.col("bib")
+    earlier = [p.filter(F.col("doc_id") % 5 > k).select(name(k).alias("bib"), F.array(name(k + 1)).alias("aliases")) for k in range(4)]
+    return p.select("bib", F.array("bib").alias("aliases"), "doc_id"), earlier
+
+
+@query("jn02_rename_chains", f"WITH RECURSIVE {views.PAPERS}, {_chain}, reach AS (SELECT bib AS alias, bib FROM papers UNION SELECT c.old_name, r.bib FROM reach r JOIN chain c ON c.new_name = r.alias) SELECT alias, bib FROM reach")
+def jn02_chains(spark, sf):
+    """Every name that a paper ever had, over chains of renames in several lists."""
+    now, earlier = rename_lists(spark, sf)
+    return transitive_aliases(now.drop("doc_id"), *earlier).select("alias", "bib")
+
+
+@query("inc04_rename_chains", f"WITH RECURSIVE {views.PAPERS}, {_chain}, reach AS (SELECT bib AS alias, bib FROM papers WHERE doc_id % 10 <> 2 UNION SELECT c.old_name, r.bib FROM reach r JOIN chain c ON c.new_name = r.alias), manifest AS (SELECT CASE WHEN doc_id % 5 = 0 THEN bib ELSE 'name' || (doc_id % 5) || ':' || doc_id END AS name FROM papers WHERE doc_id % 10 <> 1), m AS (SELECT name, bib FROM manifest LEFT JOIN reach ON alias = name), changes AS (SELECT CASE WHEN bib IS NULL THEN 'removed' WHEN bib <> name THEN 'renamed' ELSE 'same' END AS change FROM m UNION ALL SELECT 'new' FROM papers p WHERE doc_id % 10 <> 2 AND NOT EXISTS (SELECT 1 FROM m WHERE m.bib = p.bib)) SELECT change, count(*) AS n FROM changes GROUP BY change")
+def inc04_chains(spark, sf):
+    """A manifest that still has every paper's oldest name, against the current list."""
+    now, earlier = rename_lists(spark, sf)
+    listed = now.filter("doc_id % 10 <> 2")
+    names = transitive_aliases(listed.drop("doc_id"), *earlier)
+    oldest = F.when(F.col("doc_id") % 5 == 0, F.col("bib")).otherwise(F.concat(F.lit("name"), (F.col("doc_id") % 5).cast("string"), F.lit(":"), F.col("doc_id").cast("string")))
+    manifest = now.filter("doc_id % 10 <> 1").select(oldest.alias("name"))
+    # a name that leads to no listed paper keeps the root of its own component, which is none
+    own = manifest.join(names.withColumnRenamed("alias", "name"), "name", "left")
+    change = F.when(F.col("bib").isNull(), "removed").when(F.col("bib") != F.col("name"), "renamed").otherwise("same")
+    fresh = listed.select("bib").join(own.select("bib"), "bib", "left_anti").select(F.lit("new").alias("change"))
+    return own.select(change.alias("change")).unionAll(fresh).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("jn03_paper_markdown", with_papers("SELECT bib, CASE WHEN doc_id % 3 = 0 THEN 'abstract only' ELSE 'full text' END AS coverage FROM papers"))
 def jn03(spark, sf):
     p = views.papers(spark, sf)

@@ -15,6 +15,7 @@ from quillstone.plans.relational import TODAY, _remain, _sources, _tried, with_s
 from quillstone.plans.scalar import with_papers
 from quillstone.session import shared_folder, written
 from quillstone.sources import files, site
+from quillstone.sources.ranges import RangeTable
 from quillstone.streaming import sync
 
 # sources -------------------------------------------------------------------------------------------------------------
@@ -298,6 +299,51 @@ def snk05(spark, sf):
     return s.read("t")
 
 
+def _ranges(spark, sf):
+    """The documents' rows in about sixteen ranges of ids."""
+    rows = table(spark, sf, "documents").select("doc_id", "lang", F.lit("old").alias("mark"))
+    return RangeTable(spark, shared_folder(spark, "ranges")).create(rows, "doc_id", max(1, rows.count() // 16))
+
+
+_first = "doc_id < (SELECT max(doc_id) // 100 FROM documents)"
+
+
+def _first_ids(spark, sf):
+    """The first hundredth of the ids."""
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return d.filter(F.col("doc_id") < d.agg(F.max("doc_id")).first()[0] // 100)
+
+
+@query("snk02_range_upsert", f"SELECT doc_id, lang, CASE WHEN {_first} THEN 'new' ELSE 'old' END AS mark, 1 AS ranges FROM documents UNION ALL SELECT -1, 'xx', 'new', 1")
+def snk02_ranges(spark, sf):
+    """A hundredth of the keys and a new one, which lie in one range: the others' files stay."""
+    t = _ranges(spark, sf)
+    new = _first_ids(spark, sf).unionAll(spark.range(1).selectExpr("-1L", "'xx'")).withColumn("mark", F.lit("new"))
+    ranges = t.upsert(new)
+    return t.read().withColumn("ranges", F.lit(len(ranges)))
+
+
+@query("snk03_range_delete", f"SELECT doc_id, lang, 'old' AS mark, 1 AS ranges FROM documents WHERE NOT {_first}")
+def snk03_ranges(spark, sf):
+    t = _ranges(spark, sf)
+    ranges = t.delete(_first_ids(spark, sf))
+    return t.read().withColumn("ranges", F.lit(len(ranges)))
+
+
+@query("snk04_range_groups", "SELECT doc_id, lang, 'old' AS mark FROM documents WHERE lang <> 'de' UNION ALL SELECT doc_id, lang, 'new' FROM documents WHERE lang = 'de' AND doc_id % 2 = 0")
+def snk04_ranges(spark, sf):
+    t = _ranges(spark, sf)
+    t.replace_groups(table(spark, sf, "documents").filter("lang = 'de' AND doc_id % 2 = 0").select("doc_id", "lang", F.lit("new").alias("mark")), "lang")
+    return t.read()
+
+
+@query("snk05_range_patch", f"SELECT doc_id, lang, CASE WHEN {_first} THEN 'old ' || lang ELSE 'old' END AS mark, 1 AS ranges FROM documents")
+def snk05_ranges(spark, sf):
+    t = _ranges(spark, sf)
+    ranges = t.patch(_first_ids(spark, sf), {"mark": F.concat_ws(" ", "mark", "lang")})
+    return t.read().withColumn("ranges", F.lit(len(ranges)))
+
+
 @query("snk06_evolve", "SELECT doc_id, lang, 'old' AS mark, NULL::INTEGER AS year FROM documents WHERE doc_id % 10 <> 3")
 def snk06(spark, sf):
     s = _store(spark, sf)
