@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.operators import records
+from quillstone.operators.spans import span_tree
 from quillstone.plans import relational, views
 from quillstone.plans.registry import query, table
 from quillstone.plans.relational import TODAY, _remain, _sources, _tried, with_state
 from quillstone.plans.scalar import with_papers
 from quillstone.session import shared_folder, written
 from quillstone.sources import files, site
+from quillstone.sources.listing import Listing, land_pages
 from quillstone.sources.ranges import RangeTable
-from quillstone.streaming import sync
+from quillstone.streaming import attempts, sync
 
 # sources -------------------------------------------------------------------------------------------------------------
 
@@ -31,6 +33,52 @@ def src01(spark, sf):
     return p.select(whole.alias("total"), F.explode("p.results").alias("r")).filter("total > 0").select("r.doc_id")
 
 
+LISTED = "doc_id long, lang string, source string"
+
+
+def _land(spark, sf, folder):
+    """The documents' ids as pages of a listing service."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.floor(F.col("doc_id") / 500).alias("page"))
+    land_pages(d, folder, "doc_id", "page", d.count())
+
+
+def _listing(spark):
+    spark.dataSource.register(Listing)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    return spark.read.format("listing").schema(LISTED).option("key", "doc_id")
+
+
+@query("src01_listing_source", "SELECT doc_id, lang, source FROM documents")
+def src01_source(spark, sf):
+    """The whole listing through the data source, a page a task."""
+    folder = shared_folder(spark, "listing")
+    _land(spark, sf, folder)
+    return _listing(spark).load(folder)
+
+
+@query("src02_listing_keys", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT (SELECT max(doc_id) FROM documents) * k // 10 FROM range(0, 11) t(k))")
+def src02_keys(spark, sf):
+    """Eleven keys, looked up in their pages alone."""
+    folder = shared_folder(spark, "listing")
+    _land(spark, sf, folder)
+    most = table(spark, sf, "documents").agg(F.max("doc_id")).first()[0]
+    return _listing(spark).load(folder).filter(F.col("doc_id").isin([most * k // 10 for k in range(11)])).select("doc_id", "lang")
+
+
+@query("src01_listing_stream", "SELECT doc_id, CASE WHEN doc_id // 500 <= (SELECT max(doc_id) // 1000 FROM documents) THEN 1 ELSE 2 END AS run FROM documents")
+def src01_stream(spark, sf):
+    """The listing as a stream in two runs: the second, from the first one's checkpoint, takes only the pages that landed since."""
+    folder, checkpoint, out = (shared_folder(spark, n) for n in ("listing", "checkpoint", "listed"))
+    _listing(spark)
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", F.floor(F.col("doc_id") / 500).alias("page"))
+    middle = d.agg(F.max("doc_id")).first()[0] // 1000
+    for run, own in ((1, d.filter(F.col("page") <= middle)), (2, d.filter(F.col("page") > middle))):
+        land_pages(own, folder, "doc_id", "page", own.count())
+        pages = spark.readStream.format("listing").schema(LISTED).option("key", "doc_id").load(folder)
+        pages.select("doc_id", F.lit(run).alias("run")).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("doc_id long, run int").parquet(out)
+
+
 @query("src02_batched_lookup", with_papers("SELECT bib, doc_id // 2000 AS batch, title FROM papers WHERE doc_id % 3 <> 0"))
 def src02(spark, sf):
     p = views.papers(spark, sf)
@@ -380,6 +428,16 @@ def snk10(spark, sf):
     return spans.groupBy("span").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
 
 
+_spans = "spans AS (SELECT conv_id AS trace, turn AS span, CASE WHEN turn > 0 THEN (turn - 1) // 2 END AS parent, length(text)::BIGINT AS own FROM conversations)"
+
+
+@query("snk10_span_tree", f"WITH RECURSIVE {_spans}, walk AS (SELECT trace, span, own, 0 AS depth, own AS path_time, [span] AS path FROM spans WHERE parent IS NULL UNION ALL SELECT s.trace, s.span, s.own, w.depth + 1, w.path_time + s.own, list_append(w.path, s.span) FROM walk w JOIN spans s ON s.trace = w.trace AND s.parent = w.span), best AS (SELECT trace, path AS longest FROM (SELECT *, row_number() OVER (PARTITION BY trace ORDER BY path_time DESC, span) AS k FROM walk) WHERE k = 1), below AS (SELECT trace, span, sum(own)::BIGINT AS total FROM (SELECT trace, unnest(path) AS span, own FROM walk) GROUP BY ALL) SELECT trace, span, depth, path_time, total, list_contains(longest, span) AS critical FROM walk JOIN below USING (trace, span) JOIN best USING (trace)")
+def snk10_tree(spark, sf):
+    """Turns as spans: turn n was called by turn (n - 1) / 2 and takes as long as its text."""
+    parent = F.when(F.col("turn") > 0, F.expr("(turn - 1) div 2"))
+    return span_tree(table(spark, sf, "conversations").select(F.col("conv_id").alias("trace"), F.col("turn").alias("span"), parent.alias("parent"), F.char_length("text").alias("own")))
+
+
 @query("snk11_response", f"WITH {views.REPLIES} SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'Sorry, there is no answer just now.' ELSE reply END AS reply FROM replies")
 def snk11(spark, sf):
     r = views.replies(spark, sf)
@@ -439,6 +497,68 @@ def inc05(spark, sf):
     return t.select("bib", state.alias("state"))
 
 
+_attempted = "attempted AS (SELECT user_id::VARCHAR AS key, epoch_ms(ts) AS ms, event_type = 'error' AS failed FROM events WHERE event_type IN ('error', 'purchase'))"
+EVENT = "key string, ts timestamp, failed boolean"
+#: A key that no user has, for the event that lets a stream's time go on.
+NOBODY = -(1 << 63)
+
+
+def _utc():
+    """The events' time, which has no zone, as a point of time."""
+    return F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))")
+
+
+def _in_parts(spark, events, name, closing):
+    """A folder for a stream, and a function that lands the first half of events, or the rest and one event (closing) long after all others."""
+    folder = shared_folder(spark, name)
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    middle = F.lit(low) + (F.lit(high) - F.lit(low)) / 2
+
+    def land(first):
+        events.filter(F.col("ts") <= middle if first else F.col("ts") > middle).write.mode("append").parquet(folder)
+        if not first:
+            events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(*[F.col("ts") if c == "ts" else F.lit(closing.get(c)).cast(t).alias(c) for c, t in events.dtypes]).write.mode("append").parquet(folder)
+
+    return folder, land
+
+
+@query("inc05_retry_stream", f"WITH {_attempted}, a AS (SELECT *, count(*) FILTER (NOT failed) OVER (PARTITION BY key ORDER BY ms, failed ROWS UNBOUNDED PRECEDING) AS streak, lead(ms) OVER (PARTITION BY key ORDER BY ms, failed) AS next FROM attempted), b AS (SELECT *, (count(*) FILTER (failed) OVER (PARTITION BY key, streak ORDER BY ms, failed ROWS UNBOUNDED PRECEDING))::INTEGER AS failures FROM a), c AS (SELECT *, ms + 1000 * least(failures * {attempts.STEP}, {attempts.MOST}) AS due FROM b WHERE failed) SELECT key, failures, due FROM c WHERE next IS NULL OR due < next")
+def inc05_stream(spark, sf):
+    """Retries that fall due after failed attempts, from a stream with state and timers that is stopped and resumed half-way."""
+    e = table(spark, sf, "events").filter("event_type IN ('error', 'purchase')").select(F.col("user_id").cast("string").alias("key"), _utc().alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    folder, land = _in_parts(spark, e, "attempts", {"key": "", "failed": False})
+    checkpoint, out = shared_folder(spark, "checkpoint"), shared_folder(spark, "retries")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", attempts.ROCKSDB)
+    try:
+        for first in (True, False):
+            land(first)
+            stream = attempts.retries(spark.readStream.schema(EVENT).parquet(folder))
+            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema(attempts.RETRY).parquet(out).select("key", "failures", F.unix_millis("due").alias("due"))
+
+
+@query("src20_timed_runs", "WITH s AS (SELECT user_id, ts FROM events WHERE event_type = 'click'), e AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase') SELECT s.user_id, epoch_us(s.ts) AS started, epoch_us(e.ts) AS ended FROM s LEFT JOIN e ON e.user_id = s.user_id AND e.ts >= s.ts AND e.ts <= s.ts + INTERVAL 2 HOURS")
+def src20_runs(spark, sf):
+    """Starts and ends of runs as two streams; starts that no end follows in time leave as timed out."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("key"), _utc().alias("ts"), "event_type")
+    streams, lands = [], []
+    for kind in ("click", "purchase"):
+        folder, land = _in_parts(spark, e.filter(F.col("event_type") == kind).select("key", "ts"), kind, {"key": NOBODY})
+        lands.append(land)
+        streams.append(folder)
+    checkpoint, out = shared_folder(spark, "checkpoint"), shared_folder(spark, "runs")
+    for first in (True, False):
+        for land in lands:
+            land(first)
+        starts, ends = (spark.readStream.schema("key long, ts timestamp").parquet(f) for f in streams)
+        attempts.runs(starts, ends).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("key long, started timestamp, ended timestamp").parquet(out).filter(F.col("key") != NOBODY)
+    return rows.select(F.col("key").alias("user_id"), F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"))
+
+
 @query("inc06_licence_step", f"WITH {views.EVIDENCE} SELECT doc_id, source, CASE WHEN source = 'crossref' AND doc_id % 5 = 0 THEN 'kept' ELSE 'new' END AS origin FROM evidence")
 def inc06(spark, sf):
     """Sources that failed in this run keep their earlier evidence."""
