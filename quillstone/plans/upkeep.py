@@ -497,7 +497,7 @@ def inc05(spark, sf):
     return t.select("bib", state.alias("state"))
 
 
-_attempted = "attempted AS (SELECT user_id::VARCHAR AS key, epoch_ms(ts) AS ms, event_type = 'error' AS failed FROM events WHERE event_type IN ('error', 'purchase'))"
+_attempted = "attempted AS (SELECT user_id::VARCHAR AS key, epoch_us(ts) // 1000 AS ms, event_type = 'error' AS failed FROM events WHERE event_type IN ('error', 'purchase'))"
 EVENT = "key string, ts timestamp, failed boolean"
 #: A key that no user has, for the event that lets a stream's time go on.
 NOBODY = -(1 << 63)
