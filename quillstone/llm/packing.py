@@ -1,6 +1,6 @@
 """Best-fit packing of token sequences (operator 10), bulk-synchronous.
 
-Pieces are range-sorted by length and gaps (the free ends of open sequences) by size, both as runs of equal values: equal
+Pieces are sorted by length and gaps (the free ends of open sequences) by size, both as runs of equal values: equal
 pieces are interchangeable, and so are equal gaps. In a sweep every run of pieces looks for its successor among the gaps, the
 smallest that is large enough. Where several runs meet on the same gaps, ranks decide: a run begins at its successor's
 rank or behind the runs before it (a running maximum over prefix sums), so every gap gets one piece, and pieces that find
@@ -8,11 +8,12 @@ no gap wait. Then all gaps are updated and the next sweep begins. Pieces take pa
 length, long ones first (as in best-fit decreasing); short ones of equal length travel in bundles first, so a
 large gap fills in few sweeps. When no piece of a class finds a gap any more, as many sequences are opened as its rest needs.
 
-A sweep is a DataFrame query over the runs (`sweep`). Its state is bounded by the capacity, not by the corpus: at most
-`capacity` runs of pieces, and every sweep adds at most one run of gaps for each run of pieces in its class; between sweeps
-the driver holds these runs. The pieces themselves are never collected or sorted: a piece's rank within its run comes from
-counts by shard and length (prefix sums by length), and its place from the matches of its length, which are broadcast:
-at most `capacity` rows of bounded arrays.
+What is swept are runs, of which there are at most `capacity` of pieces, and in a sweep one more of gaps for each run of pieces that
+takes part, whatever the corpus. So all sweeps together are one small task of one job (`plan_sequences`), and nothing comes to the
+driver; what grows with the corpus is distributed: pieces are cut, counted by shard and length, ranked and placed where they
+lie. The pieces themselves are never collected or sorted: a piece's rank within its run comes from counts by shard and
+length (prefix sums by length), and its place from the matches of its length, which are broadcast: at most `capacity`
+rows of bounded arrays.
 
 Defined results: a null text counts as empty and gives one piece (the end id alone); repeated rows are packed
 like any others, each by itself; ties of length are ordered by input shard and position; an empty table gives
@@ -23,8 +24,10 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import accumulate, batched
 
 import numpy as np
 import pyarrow as pa
@@ -114,28 +117,35 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, json_path: str | Non
 MATCH = "rank long, n long, first long, offset long, q long"
 
 
-def sweep(pieces: DataFrame, gaps: DataFrame, total: int) -> DataFrame:
-    """One sweep over runs of pieces(size, k) and of gaps(size, first, n), `total` gaps in all.
+def sweep(pieces: list[tuple[int, int]], gaps: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int | None, int | None]]:
+    """One sweep over runs of pieces (size, k) and of gaps (size, first, n).
 
     Every gap appears once in the result: first, n and size of a run of gaps, and the size of the pieces they take with the
-    number of pieces of that size before them (at), null where they take none.
+    number of pieces of that size before them, None where they take none.
     """
-    # one partition: the runs are bounded by the capacity
-    both = pieces.selectExpr("size", "0 AS kind", "k", "0L AS first", "0L AS n").unionAll(gaps.selectExpr("size", "1", "0L", "first", "n")).coalesce(1)
-    # by size, pieces before gaps of the same size: the gaps before a piece are those that are too small for it
-    upto = "OVER (ORDER BY size, kind, first ROWS UNBOUNDED PRECEDING)"
-    both = both.selectExpr("*", f"sum(n) {upto} - n AS gap", f"sum(k) {upto} - k AS piece")
-    both = both.selectExpr("*", f"max(CASE WHEN kind = 0 THEN gap - piece END) {upto} AS shift")
-    both = both.selectExpr("*", f"CASE WHEN kind = 0 THEN least(piece + shift, {total}L) ELSE gap END AS start")
-    # the runs of both sides as intervals of ranks of gaps, cut at every start and at every stop of a run of pieces (size 0)
-    none = "cast(null AS long)"
-    named = lambda *v: "struct(" + ", ".join(f"{x} AS {n}" for x, n in zip(v, ("at", "o", "run", "run_at", "gap", "first", "gap_at"), strict=True)) + ")"
-    begin, end = named("start", "1", "size", "start", none, none, none), named(f"least(start + k, {total}L)", "0", "0L", "0L", none, none, none)
-    cut = both.selectExpr(f"inline(CASE WHEN kind = 0 THEN array({begin}, {end}) ELSE array({named('start', '2', none, none, 'size', 'first', 'start')}) END)")
-    held = "OVER (ORDER BY at, o ROWS UNBOUNDED PRECEDING)"
-    kept = [f"last({c}, true) {held} AS {c}" for c in ("run", "run_at", "gap", "first", "gap_at")]
-    cut = cut.selectExpr("at", f"lead(at, 1, {total}L) OVER (ORDER BY at, o) - at AS n", *kept)
-    return cut.filter("n > 0").selectExpr("first + at - gap_at AS first", "n", "gap AS size", "nullif(run, 0L) AS piece", "at - run_at AS at")
+    gaps = sorted(gaps)
+    before = [0, *accumulate(n for *_, n in gaps)]
+    sizes, total = [g[0] for g in gaps], before[-1]
+    taken: list[tuple[int, int, int]] = []
+    end = 0
+    for size, k in sorted(pieces):
+        # its successor's rank, or behind the runs before it
+        begin = max(end, before[bisect_left(sizes, size)])
+        if begin < total:
+            end = min(begin + k, total)
+            taken.append((begin, end, size))
+    taken.append((total, total + 1, 0))
+    out, t = [], 0
+    for (size, first, n), rank in zip(gaps, before, strict=False):
+        at = rank
+        while at < rank + n:
+            while taken[t][1] <= at:
+                t += 1
+            begin, end, piece = taken[t]
+            upto = min(end if begin <= at else begin, rank + n)
+            out.append((first + at - rank, upto - at, size, *((piece, at - begin) if begin <= at else (None, None))))
+            at = upto
+    return out
 
 
 def classes(capacity: int) -> list[tuple[int, int]]:
@@ -145,11 +155,8 @@ def classes(capacity: int) -> list[tuple[int, int]]:
     return list(zip(uppers[1:] + [0], uppers, strict=True))
 
 
-def plan_sequences(counts: dict[int, int], sweep_runs: Callable, capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
-    """Matches (length, rank, n, first, offset, q) of all pieces, counted by length: the pieces of these ranks lie q to a sequence from `first` on.
-
-    sweep_runs maps runs of pieces (size, k) and of gaps (size, first, n) to the rows of `sweep`.
-    """
+def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """Matches (length, rank, n, first, offset, q) of all pieces, counted by length: the pieces of these ranks lie q to a sequence from `first` on."""
     left, rank = {k: n for k, n in counts.items() if n > 0}, dict.fromkeys(counts, 0)
     gaps: list[tuple[int, int, int]] = []
     matches: list[tuple[int, int, int, int, int, int]] = []
@@ -167,7 +174,7 @@ def plan_sequences(counts: dict[int, int], sweep_runs: Callable, capacity: int =
                         break
                     gaps = [g for g in gaps if g[0] < least]
                     took: Counter = Counter()
-                    for first, n, size, piece, at in sweep_runs([(s, left[k] // q) for s, k in lengths.items()], large):
+                    for first, n, size, piece, at in sweep([(s, left[k] // q) for s, k in lengths.items()], large):
                         if piece is not None:
                             length = lengths[piece]
                             matches.append((length, rank[length] + at * q, n * q, first, capacity - size, q))
@@ -188,27 +195,25 @@ def plan_sequences(counts: dict[int, int], sweep_runs: Callable, capacity: int =
     return matches
 
 
-def spark_sweeps(spark: SparkSession) -> Callable:
-    """Sweeps in the session; the runs go in as local relations."""
-
-    def local(rows: list[tuple], names: list[str]) -> DataFrame:
-        return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names))
+def planned(totals: DataFrame, capacity: int) -> DataFrame:
+    """The matches of `plan_sequences` for totals(length, n): at most `capacity` rows, so one task."""
 
-    def run(pieces: list[tuple[int, int]], gaps: list[tuple[int, int, int]]) -> list[tuple]:
-        return [tuple(r) for r in sweep(local(pieces, ["size", "k"]), local(gaps, ["size", "first", "n"]), sum(g[2] for g in gaps)).collect()]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = {k: n for b in batches for k, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+        names = ["length", *(c.split()[0] for c in MATCH.split(", "))]
+        for rows in batched(plan_sequences(counts, capacity), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    return run
+    return totals.select("length", "n").coalesce(1).mapInArrow(run, f"length long, {MATCH}")
 
 
 def best_fit_pack(docs: DataFrame, capacity: int = CAPACITY, json_path: str | None = None, rank_path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece's place in sequences of at most `capacity` ids."""
-    spark = docs.sparkSession
     pieces = materialise(token_pieces(docs, capacity, json_path, rank_path, end_id), "pieces")
     runs = pieces.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = materialise(runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")), "runs")
-    counts = {r["length"]: r["n"] for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    matches = spark.createDataFrame(plan_sequences(counts, spark_sweeps(spark), capacity), f"length long, {MATCH}")
+    matches = planned(runs.groupBy("length").agg(F.sum("n").cast("long").alias("n")), capacity)
     places = matches.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "n", "first", "offset", "q"))).alias("places"))
     places = F.broadcast(materialise(places.coalesce(1), "places"))
     # counts by shard grow with the shards, so they meet the pieces by a shuffle

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillstone.llm.packing import _public, best_fit_pack, classes, op10_best_fit_packing, plan_sequences, spark_sweeps
+from quillstone.llm.packing import _public, best_fit_pack, classes, op10_best_fit_packing, plan_sequences, sweep
 
 
 def whole(rows, cap=2048):
@@ -40,10 +40,10 @@ def brute_sequences(lengths, cap):
     return n
 
 
-def test_sweep_gives_successors(spark):
+def test_sweep_gives_successors():
     """One sweep against the plain form: pieces in order of size, each takes the smallest gap that is left and large enough."""
-    rng, run = random.Random(5), spark_sweeps(spark)
-    for _ in range(8):
+    rng = random.Random(5)
+    for _ in range(400):
         pieces = [(k, rng.randint(1, 6)) for k in rng.sample(range(1, 40), rng.randint(1, 12))]
         gaps, first = [], 0
         for _ in range(rng.randint(1, 12)):
@@ -55,7 +55,7 @@ def test_sweep_gives_successors(spark):
             at = bisect.bisect_left(free, k)
             if at < len(free):
                 want.append((free.pop(at), k))
-        rows = run(pieces, gaps)
+        rows = sweep(pieces, gaps)
         assert sorted((size, piece) for _, n, size, piece, _ in rows if piece for _ in range(n)) == sorted(want)
         seen = sorted(x for f, n, *_ in rows for x in range(f, f + n))
         assert seen == list(range(first))
@@ -65,12 +65,12 @@ def test_sweep_gives_successors(spark):
         assert len(set(ranks)) == len(ranks) and all((p, i) in set(ranks) for p, at in ranks for i in range(at))
 
 
-def test_plan_against_best_fit(spark):
-    rng, run = random.Random(7), spark_sweeps(spark)
+def test_plan_against_best_fit():
+    rng = random.Random(7)
     shapes = [Counter({6: 2, 5: 1, 4: 2, 3: 3, 1: 1}), Counter(rng.randint(1, 100) for _ in range(3000)), Counter(min(100, int(rng.expovariate(0.08)) + 1) for _ in range(3000)), Counter({100: 7}), Counter({3: 500}), Counter({51: 40, 49: 41})]
     for counts in shapes:
         cap = 10 if 6 in counts and len(counts) == 5 else 100
-        rows = placed(plan_sequences(dict(counts), run, cap))
+        rows = placed(plan_sequences(dict(counts), cap))
         assert Counter(r["length"] for r in rows) == counts
         assert sorted((r["length"], r["rank"]) for r in rows) == sorted((k, i) for k, n in counts.items() for i in range(n))
         best = brute_sequences(list(counts.elements()), cap)
