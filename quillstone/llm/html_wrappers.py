@@ -8,13 +8,15 @@ same everywhere stays template text. Wrappers are inferred inside each partition
 of fewer and fewer salts, one wrapper at a time, so no task holds more than the wrapper that it builds.
 
 Every page is then matched against its host's wrapper, and the texts that are bound to slots are candidates; template
-text is left out (only where at least INDEPENDENT different pages agree on it; headings always stay). Of the candidates
+text is left out (only where at least INDEPENDENT different pages agree on it; headings always stay, and paragraphs, list items and
+cells inside an article too). Of the candidates
 those in <article> or <main> are the main text. A page without any takes those in the host's main group, the deepest
 wrapper group that holds MOST of the slot characters (outside links) of the host's pages of that kind, so a menu and an
 article in the same tags are told apart by what varies. A page without text there takes its own such group. A text that
 the wrapper does not know counts as a slot. Groups that HTML itself names as menus, headers, footers, asides or forms, and
-hidden ones, are never main text; groups whose class, id or role names them so (see `marked`) neither, unless they hold
-nearly all slot characters of the host.
+hidden ones, are never main text, but a form that stands around an article or around most of a page is no such form. Groups whose
+class, id or role names them so (see `marked`) neither, unless they hold nearly all slot characters of the host; a compound
+whose last word only may name one (market-share) does so where the group holds no prose (see `_prose`).
 
 Bounds: beyond MOST_NODES a wrapper drops the optional groups of the fewest pages. Their texts are slots then, like any that a
 wrapper does not know, and lie in the main group if what holds them does.
@@ -44,8 +46,6 @@ ROUNDS = (1024, 32, 1)
 SALTS = 32
 MOST = 0.6
 LEAST = 0.1
-#: A group named as furniture counts as main text only where it holds this many characters a page and nearly all there are.
-BODY = 400
 INDEPENDENT = 5
 LONG_RUN = 16
 PERIOD = 8
@@ -75,6 +75,10 @@ SKIP_HEADS = frozenset(
 )
 #: Words that name a group where a class or id begins with them.
 SKIP_FIRST = frozenset("advert breadcrumb breadcrumbs comment comments disqus gdpr nav navbar newsletter pagination paywall sidebar sponsor sponsored".split())
+#: Of these words those that name a group in any compound; a compound with another (market-share, drug-reactions) does so only if the group holds no prose.
+STRONG = frozenset(
+    "advert adverts advertisement advertisements breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer gdpr newsletter notice notices pagination paywall replies respond sidebar sponsor sponsored sponsors".split()
+)
 #: Pairs of a first and a last word that name a group.
 SKIP_PAIRS = {
     **dict.fromkeys(("related", "recommended", "popular"), frozenset("articles content items links news pages posts stories".split())),
@@ -89,12 +93,15 @@ _WORD = re.compile(r"[a-z]+")
 _CLOSE = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
-def marked(value: str) -> bool:
-    """Whether a class or id (one token) names a menu, advert, comment or the like."""
+def marked(value: str) -> str:
+    """'!' if a class or id (one token) names a menu, advert, comment or the like, '^' if it may do so, else ''."""
     words = _WORD.findall(_CAMEL.sub(" ", value).lower())
     if not words:
-        return False
-    return words[-1] in SKIP_HEADS or words[0] in SKIP_FIRST or words[-1] in SKIP_PAIRS.get(words[0], ())
+        return ""
+    if words[-1] in SKIP_PAIRS.get(words[0], ()):
+        return "!"
+    told = {words[-1]} & SKIP_HEADS | {words[0]} & SKIP_FIRST
+    return "" if not told else "!" if told & STRONG or all(w in SKIP_HEADS or w in SKIP_FIRST for w in words) else "^"
 
 
 class Item:
@@ -115,11 +122,11 @@ class Item:
 
 
 def tag_name(key: str) -> str:
-    return key.partition(" ")[0].rstrip("!~")
+    return key.partition(" ")[0].rstrip("!~^")
 
 
 def skipped(key: str, words: bool = True) -> bool:
-    """Furniture: by tag or role or as hidden ('~'), or by its words ('!')."""
+    """Furniture: by tag or role or as hidden ('~'), or by its words ('!'). What may be furniture ('^') is told by its content, see `_prose`."""
     name = key.partition(" ")[0]
     return name.endswith("~") or (words and name.endswith("!"))
 
@@ -128,18 +135,19 @@ _KEYS: dict[str, str] = {}
 
 
 def key_of(tag: str, name: str) -> str:
-    """The name, '~' for furniture by meaning, '!' by words, and the class, id and role words that pages share (no digits)."""
+    """The name, '~' for furniture by meaning, '!' by words, '^' for forms and doubtful words, and the class, id and role words that pages share (no digits)."""
     key = _KEYS.get(tag)
     if key is not None:
         return key
     found = [(k.lower(), a or b or c) for k, a, b, c in _ATTRIBUTE.findall(tag)] if "=" in tag else []
-    by_meaning = name in SKIP_TAGS or (" " in tag and bool(_HIDDEN.search(tag))) or any(k == "role" and v.lower() in SKIP_ROLES for k, v in found)
-    words = name not in HEADINGS and name not in ("html", "body", "main") and any(marked(t) for k, v in found if k != "role" for t in v.split())
+    by_meaning = (name in SKIP_TAGS and name != "form") or (" " in tag and bool(_HIDDEN.search(tag))) or any(k == "role" and v.lower() in SKIP_ROLES for k, v in found)
+    words = {marked(t) for k, v in found if k != "role" for t in v.split()} if name not in HEADINGS and name not in ("html", "body", "main") else set()
+    mark = "~" if by_meaning else "!" if "!" in words else "^" if "^" in words or name == "form" else ""
     shared = () if name in PLAIN else sorted({f"{k}={t}" for k, v in found for t in v.split() if not any(c.isdigit() for c in t)})
     rest = " ".join(shared)
     if len(rest) > 200:
         rest = f"{zlib.crc32(rest.encode('utf-8', 'replace'))}"
-    key = name + ("~" if by_meaning else "!" if words else "") + (" " + rest if rest else "")
+    key = name + mark + (" " + rest if rest else "")
     if len(_KEYS) < 20_000 and len(tag) < 500:
         _KEYS[tag] = key
     return key
@@ -485,8 +493,41 @@ def as_wrapper(page: Item) -> Item:
     return settle(page, True)
 
 
+def _prose(page: Item) -> set[int]:
+    """Of the groups of a page that may be furniture (by id) those that are main text by what they hold.
+
+    A group of doubtful words is if it holds a text of PROSE characters outside links; a form is if it stands around an article, or around
+    MOST of the page's characters, as on sites that put every page into one form.
+    """
+    order: list[tuple[Item, int]] = [(page, -1)]
+    doubt = False
+    for n, (x, _) in enumerate(order):  # grows as it goes
+        doubt = doubt or x.key.partition(" ")[0].endswith("^")
+        order += [(k, n) for k in x.kids]
+    if not doubt:
+        return set()
+    mass, longest, article = ([0] * len(order) for _ in range(3))
+    for n in range(len(order) - 1, -1, -1):
+        x, up = order[n]
+        if x.key == "#":
+            mass[n] = longest[n] = max(0, x.chars - x.link)
+        article[n] |= tag_name(x.key) in ("article", "main")
+        if up >= 0 and not skipped(x.key):
+            mass[up] += mass[n]
+            longest[up] = max(longest[up], longest[n])
+            article[up] |= article[n]
+    out = set()
+    for n, (x, _) in enumerate(order):
+        if x.key.partition(" ")[0].endswith("^"):
+            holds = article[n] or mass[n] >= MOST * mass[0] if tag_name(x.key) == "form" else article[n] or longest[n] >= PROSE
+            if holds and mass[n]:
+                out.add(id(x))
+    return out
+
+
 def _texts(page: Item, words: bool = True) -> Iterator[tuple[bool, bool, bool, Item]]:
     """(not in furniture, in an article, in the host's main group, text) of the texts of a page, in order."""
+    prose = _prose(page)
     todo: list[tuple[Item, bool, bool, bool]] = [(x, True, False, page.root) for x in reversed(page.kids)]
     while todo:
         x, ok, article, root = todo.pop()
@@ -494,7 +535,7 @@ def _texts(page: Item, words: bool = True) -> Iterator[tuple[bool, bool, bool, I
         if x.key == "#":
             yield ok, article, root, x
             continue
-        ok = ok and not skipped(x.key, words)
+        ok = ok and not skipped(x.key, words) and (not x.key.partition(" ")[0].endswith("^") or id(x) in prose)
         article = article or tag_name(x.key) in ("article", "main")
         todo += [(k, ok, article, root) for k in reversed(x.kids)]
 
@@ -557,21 +598,22 @@ def plan(top: Item) -> str:
         del line[depth:]
         up[n] = line[-1] if line else -1
         line.append(n)
-    name, ok, by_words, template = [""] * n_items, [True] * n_items, [False] * n_items, [False] * n_items
+    name, ok, by_words, template, inside = [""] * n_items, [True] * n_items, [False] * n_items, [False] * n_items, [False] * n_items
     for n, (_, x) in enumerate(items):
         above = up[n]
         group = x.key[0] == "\x1e"
         if above >= 0:
-            name[n], ok[n], by_words[n] = name[above], ok[above], by_words[above]
+            name[n], ok[n], by_words[n], inside[n] = name[above], ok[above], by_words[above], inside[above]
         if x.key == "#":
-            template[n] = x.text is not None and x.pages >= INDEPENDENT <= independent and name[n] not in HEADINGS
+            template[n] = x.text is not None and x.pages >= INDEPENDENT <= independent and name[n] not in (PARAGRAPHS if inside[n] else HEADINGS)
         elif not group:
             label = x.key.partition(" ")[0]
             name[n], ok[n], by_words[n] = tag_name(x.key), ok[n] and not label.endswith("~"), by_words[n] or label.endswith("!")
+            inside[n] = inside[n] or name[n] in ("article", "main")
     # characters of slots outside links, of pages without an article; groups marked by words count only where little else is left
     mass = [x.out if x.key == "#" and ok[n] and not template[n] else 0 for n, (_, x) in enumerate(items)]
     plain = sum(m for m, w in zip(mass, by_words, strict=True) if not w)
-    words = plain >= LEAST * sum(mass) or sum(mass) < BODY * top.out
+    words = plain >= LEAST * sum(mass)
     if words:
         mass = [0 if w else m for m, w in zip(mass, by_words, strict=True)]
     whole = sum(mass)
@@ -727,23 +769,19 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, Item] = {}
-        size = 0
+        nodes = lambda top: 32 + sum(1 for _ in _walk(top))
+        size = 0  # of all wrappers, at most
         for whole in batches:
             for batch in slices(whole, "html"):
                 for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     new = as_wrapper(parse(page or ""))
-                    old = known.get(host)
-                    if old is None:
-                        known[host] = new
-                        size += 32 + sum(1 for _ in _walk(new))
-                    else:
-                        known[host] = merge(old, new)
-                        if old.pages % 64 == 0:
-                            bounded(old)
-                            size += 32
-                if size > FLUSH_NODES:
-                    yield _batch(kind, [(h, dump(bounded(w))) for h, w in known.items()])
-                    known, size = {}, 0
+                    size += nodes(new)
+                    known[host] = merge(known[host], new) if host in known else new
+                    if size > FLUSH_NODES:
+                        size = sum(nodes(bounded(w)) for w in known.values())
+                        if size > FLUSH_NODES // 2:
+                            yield _batch(kind, [(h, dump(w)) for h, w in known.items()])
+                            known, size = {}, 0
         if known:
             yield _batch(kind, [(h, dump(bounded(w))) for h, w in known.items()])
 

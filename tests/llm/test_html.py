@@ -157,3 +157,41 @@ def test_bounded_wrapper():
     assert sum(1 for _ in H._walk(wrapper)) <= 30
     plan = H.read_plan(H.plan(wrapper))
     assert [H.main_text(p, plan) for p in pages] == [brute(p) for p in pages]
+
+
+@pytest.mark.parametrize("n", [20, 120])
+def test_no_size_decides(n):
+    """Groups named by a doubtful compound keep their prose, whatever its length and however many pages there are."""
+    for k in (1, 10):
+        pages = [f"<article><div class='elementor-widget'><p>{words(i, n)}</p></div></article>" for i in range(k)]
+        assert host_texts(pages)[0] == [words(i, n) for i in range(k)]
+
+
+def test_lists_never_remove_prose_inside_the_article():
+    for name in ("section id='market-share'", "section id='drug-reactions'", "div id='nav-satellites'"):
+        pages = [f"<article><p>{words(k)}</p><{name}><p>{words(k + 40)}</p></{name.split()[0]}><div class='post-share'><a>x</a> Share it</div><div class='post-comments'><p>{words(k + 80)}</p></div></article>" for k in range(7)]
+        assert host_texts(pages)[0] == [f"{words(k)}\n\n{words(k + 40)}" for k in range(7)]
+
+
+def test_a_form_around_the_page():
+    pages = [f"<form id='aspnetForm'><nav>n</nav><article><p>{words(k)}</p><form><p>Your name</p></form></article></form>" for k in range(6)]
+    assert host_texts(pages)[0] == [words(k) for k in range(6)]
+    pages = [f"<body><form><div id=c><p>{words(k)}</p><p>{words(k + 9)}</p></div></form><form>Search this site</form></body>" for k in range(6)]
+    assert host_texts(pages)[0] == [f"{words(k)}\n\n{words(k + 9)}" for k in range(6)]
+
+
+def test_paragraphs_that_all_pages_share_stay():
+    same = "Methods are those of the first paper."
+    pages = [f"<article><p>{same}</p><p>{words(k)}</p></article>" for k in range(10)]
+    assert host_texts(pages)[0] == [f"{same}\n\n{words(k)}" for k in range(10)]
+
+
+def test_nodes_are_counted_as_wrappers_grow(spark, monkeypatch):
+    """Few hosts of many layouts do not pass the bound unseen: wrappers leave a task early and are merged afterwards."""
+    monkeypatch.setattr(H, "FLUSH_NODES", 2000)
+    tag = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    rows = [(k, f"http://h{k % 3}/", "<article>" + "".join(f"<div class='{tag(k * 31 + i)}'><p>{words(k + i, 5)}</p></div>" for i in range(20)) + "</article>") for k in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    assert H.infer_wrappers(pages).count() == 3
+    got = {r["page_id"]: r["text"] for r in H.extract_main(pages).collect()}
+    assert got == {k: "\n\n".join(words(k + i, 5) for i in range(20)) for k, *_ in rows}
