@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from quillstone.functions import licences as L
 from quillstone.functions import text as T
 from quillstone.functions import values as V
-from quillstone.operators import answers, chunking, records, search
+from quillstone.operators import answers, chunking, ranks, records, search
 from quillstone.operators.aliases import transitive_aliases
+from quillstone.operators.facets import facet_bitmaps, facet_totals
 from quillstone.plans import views
 from quillstone.plans.registry import query, table
 from quillstone.plans.scalar import class_sql, label_sql, openalex_sql, rank_sql, with_papers, word_count_sql, words_sql
+from quillstone.session import written
 from quillstone.sources.files import BOT_CHECK
 
 TODAY = "2026-01-01"
@@ -555,8 +557,8 @@ def win08(spark, sf):
 
 @query("win09_batches", "SELECT doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 20)::BIGINT AS batch FROM documents")
 def win09(spark, sf):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, sf, "documents").select("doc_id", F.floor((F.row_number().over(w) - 1) / 20).alias("batch"))
+    rows = ranks.numbered(table(spark, sf, "documents").select("doc_id", "source"), ["source"], ["doc_id"])
+    return rows.select("doc_id", F.floor((F.col("number") - 1) / 20).alias("batch"))
 
 
 # top-k and sets ------------------------------------------------------------------------------------------------------
@@ -575,15 +577,27 @@ def top06(spark, sf):
     return table(spark, sf, "events").selectExpr("event_id", f"{_limit} AS v").select("event_id", V.clamp_limit(F.col("v")).alias("k"))
 
 
-@query("top07_length_batches", "SELECT doc_id, length(text)::BIGINT AS n FROM documents")
+@query("top07_length_batches", "SELECT doc_id, length(text)::BIGINT AS n, ((row_number() OVER (ORDER BY length(text), doc_id) - 1) // 4)::BIGINT AS batch, row_number() OVER (ORDER BY doc_id) AS place FROM documents")
 def top07(spark, sf):
-    """Rows in order of length within partitions, as a batched scorer wants them; the result keeps every row."""
-    return table(spark, sf, "documents").select("doc_id", F.length("text").cast("long").alias("n")).sortWithinPartitions("n")
+    """Batches of texts of like length for a scorer that pads, and the rows' places in the input's order, in which they come back."""
+    rows = ranks.length_batches(table(spark, sf, "documents").select("doc_id", "text"), "text", ["doc_id"], 4)
+    return rows.select("doc_id", F.length("text").cast("long").alias("n"), "batch", "place").orderBy("place")
 
 
 @query("top09_deterministic_order", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) AS place FROM documents")
 def top09(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("lang", "doc_id")).cast("long").alias("place"))
+    rows = table(spark, sf, "documents").select("doc_id", "source", "lang")
+    return ranks.numbered(rows, ["source"], ["lang", "doc_id"], "place").select("doc_id", "place")
+
+
+@query("agg01_facet_totals", with_papers("SELECT 'nation ' || k AS author, count(*) AS total FROM papers, range(0, 25) t(k) WHERE len(list_filter(author, lambda a: ends_with(lower(string_split(a, ',')[1]), 'nation ' || k))) > 0 AND year::INTEGER BETWEEN 2003 AND 2015 GROUP BY k"))
+def agg01_facets(spark, sf):
+    """How many papers of 2003 to 2015 every surname has, from bitmaps."""
+    papers = written(paper_index(spark, sf), "paper_index")
+    bits = written(facet_bitmaps(papers), "facets")
+    asked = bits.filter("facet = 'author' AND value RLIKE '^nation [0-9]+$'").select(F.col("value").alias("ask")).distinct()
+    asked = asked.select("ask", F.col("ask").alias("author"), F.lit(False).alias("first_author_only"), F.lit(2003).alias("year_from"), F.lit(2015).alias("year_to"))
+    return facet_totals(bits, asked).select(F.col("ask").alias("author"), "total")
 
 
 @query("top10_first_evidence", with_papers("SELECT bib, array_to_string(author[1:6], '; ') AS authors, array_to_string(string_split(markdown, chr(10) || chr(10))[1:3], ' / ') AS opening FROM papers"))

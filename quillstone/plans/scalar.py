@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import licences as L
 from quillstone.functions import text as T
 from quillstone.functions import values as V
+from quillstone.operators.ranks import ranked
 from quillstone.plans import views
 from quillstone.plans.registry import query, table
 
@@ -468,17 +469,11 @@ def mth07(spark, sf):
 
 @query("top11_table_sort_keys", "SELECT event_id, rank() OVER (ORDER BY CASE event_id % 3 WHEN 0 THEN (event_id % 9) + (event_id % 5) / 10 WHEN 1 THEN (event_id % 9)::DOUBLE END NULLS LAST) AS place FROM events WHERE event_type = 'click'")
 def top11(spark, sf):
-    from pyspark.sql import Window
-
     e = F.col("event_id")
     s = lambda c: c.cast("string")
     text = F.when(e % 3 == 0, F.concat(F.lit("Q"), s(e % 9), F.lit("."), s(e % 5))).when(e % 3 == 1, F.concat(F.lit("C"), s(e % 9))).otherwise(F.lit("Q"))
     k = table(spark, sf, "events").filter("event_type = 'click'").select("event_id", V.season(text).alias("k"))
-    # ranks from the distinct keys, of which there are few, so that no task sorts the rows
-    keys = k.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy(F.col("k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
-    keys = keys.withColumn("place", (F.coalesce(before, F.lit(0)) + 1).cast("long")).withColumnRenamed("k", "kk")
-    return k.join(F.broadcast(keys), k["k"].eqNullSafe(keys["kk"])).select("event_id", "place")
+    return ranked(k, "k").select("event_id", "place")
 
 
 # arrays and JSON -----------------------------------------------------------------------------------------------------
