@@ -68,21 +68,25 @@ def opening(markdown: Column, n: int = 8000, headings: int = 3) -> Column:
     return F.concat_ws("\n", F.substring(markdown, 1, n), F.array_join(F.slice(found, 1, headings), "\n"))
 
 
-def shingles(c: Column, n: int = 5) -> Column:
-    """Distinct runs of n words."""
-    none = F.array().cast("array<string>")
+def run_hashes(c: Column, n: int = 5) -> Column:
+    """64-bit hashes of the runs of n words, in order; no run is put together as a string.
+
+    Two of them stand for equal runs: in 10^10 texts of 6,000 runs, each held against 250 others, about one wrong match is expected in a thousand such corpora.
+    """
+    none = F.array().cast("array<bigint>")
 
     def runs(w: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
-        return F.when(F.size(w) >= n, F.array_distinct(each)).otherwise(none)
+        each = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - n, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, each).otherwise(none)
 
     return let(words(c), runs)
 
 
 def abstract_share(abstract: Column, text: Column, n: int = 5, within: int = 30_000) -> Column:
     """Share of the abstract's distinct n-word runs that occur in the opening of the text; 1 where it has none."""
-    rest = shingles(F.substring(text, 1, within), n)
-    return let(shingles(abstract, n), lambda own: F.when(F.size(own) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(own, rest)) / F.size(own)))
+    rest = run_hashes(F.substring(text, 1, within), n)
+    own = F.array_distinct(run_hashes(abstract, n))
+    return let(own, lambda o: F.when(F.size(o) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(o, rest)) / F.size(o)))
 
 
 def shorten(c: Column, limit: int = 400, mark: str = " …") -> Column:
