@@ -124,7 +124,7 @@ def find_papers(papers: DataFrame, query: str | None = None, author_key: str | N
 
     Filters are applied before anything is scored. An author key of several words that matches nothing is tried again with its last word.
     """
-    limit, embed = max(1, min(limit or 10, 25)), embed or embed_hashing
+    limit, embed = max(1, min(limit or 10, 25)), embed or embed_checksums
     query = (query or "").strip()
     rows = papers.filter(paper_filter(author_key, first_author_only, year_from, year_to))
     total = rows.count()
@@ -148,10 +148,20 @@ def fresh_only(found: DataFrame, given: DataFrame, key: str = "doc_key") -> Data
     return found.join(given.select(key).distinct(), key, "left_anti")
 
 
-def embed_hashing(c: Column, dims: int = 64) -> Column:
-    """A deterministic stand-in for an embedder: counts of terms by a checksum of the term, of unit length."""
+def _embedded(c: Column, place: Callable[[Column], Column], dims: int) -> Column:
+    """Counts of terms by the place (from 0) that each has, of unit length."""
     from quillstone.functions.text import let
     from quillstone.functions.values import unit
 
-    at = F.transform(tokens(c), lambda x: (F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long") % dims).cast("int"))
+    at = F.transform(tokens(c), lambda x: F.pmod(place(x), F.lit(dims)).cast("int"))
     return unit(let(at, lambda t: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(t, lambda a: a == i)).cast("double"))))
+
+
+def embed_hashing(c: Column, dims: int = 64) -> Column:
+    """A deterministic stand-in for an embedder: hashed term counts, of unit length."""
+    return _embedded(c, lambda x: F.xxhash64(x), dims)
+
+
+def embed_checksums(c: Column, dims: int = 64) -> Column:
+    """The same with the terms' MD5 in place of Spark's own hash, so that another engine can follow it."""
+    return _embedded(c, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"), dims)

@@ -50,7 +50,7 @@ def bm25_ctes() -> str:
 
 
 def embedded_sql(x: str) -> str:
-    """`search.embed_hashing` of a text."""
+    """`search.embed_checksums` of a text."""
     at = f"list_transform({_tok(x)}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 64)"
     return f"(SELECT CASE WHEN n = 0 THEN v ELSE list_transform(v, lambda c: c / n) END FROM (SELECT v, sqrt(list_sum(list_transform(v, lambda c: c * c))) AS n FROM (SELECT list_transform(range(64), lambda i: len(list_filter(b, lambda a: a = i))::DOUBLE) AS v FROM (SELECT {at} AS b))))"
 
@@ -462,15 +462,28 @@ def udf02(spark, sf):
     return lines.select("doc_id", chunking.table_of_lines(F.col("l")).alias("atomic"))
 
 
-@query("udf03_document_embedder", f"SELECT doc_id, list_transform({embedded_sql('text')}, lambda x: round(x, 6)) AS embedding FROM documents")
+def _rounded(e):
+    return F.transform(e, lambda x: F.round(x, 6)).alias("embedding")
+
+
+@query("udf03_document_embedder")
 def udf03(spark, sf):
-    e = search.embed_hashing(F.col("text"))
-    return table(spark, sf, "documents").select("doc_id", F.transform(e, lambda x: F.round(x, 6)).alias("embedding"))
+    return table(spark, sf, "documents").select("doc_id", _rounded(search.embed_hashing(F.col("text"))))
 
 
-@query("udf04_query_embedder", f"SELECT query_id, list_transform({embedded_sql('query')}, lambda x: round(x, 6)) AS embedding FROM (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark)")
+@query("udf04_query_embedder")
 def udf04(spark, sf):
-    return questions(spark, sf).select("query_id", F.transform(search.embed_hashing(F.col("query")), lambda x: F.round(x, 6)).alias("embedding"))
+    return questions(spark, sf).select("query_id", _rounded(search.embed_hashing(F.col("query"))))
+
+
+@query("udf03_document_checksums", f"SELECT doc_id, list_transform({embedded_sql('text')}, lambda x: round(x, 6)) AS embedding FROM documents")
+def udf03_checksums(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", _rounded(search.embed_checksums(F.col("text"))))
+
+
+@query("udf04_query_checksums", f"SELECT query_id, list_transform({embedded_sql('query')}, lambda x: round(x, 6)) AS embedding FROM (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark)")
+def udf04_checksums(spark, sf):
+    return questions(spark, sf).select("query_id", _rounded(search.embed_checksums(F.col("query"))))
 
 
 @query("udf05_pair_scores", f"WITH {RERANKED} SELECT query_id, doc_key, round(score, 6) AS score FROM pairs")
