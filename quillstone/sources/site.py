@@ -7,7 +7,7 @@ import re
 from collections import deque
 from collections.abc import Callable
 from html.parser import HTMLParser
-from itertools import accumulate, takewhile
+from itertools import accumulate, count, takewhile
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -147,19 +147,23 @@ def crawl(home: str, fetch: Callable[[str], str], links_of: Callable[[str, str],
     return pages, failed
 
 
-def crawl_frontier(links: DataFrame, start: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """url, depth of everything reachable in links(src, dst) from start(url): one join and one anti-join a round.
+def crawl_frontier(links: DataFrame, start: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """url, depth of everything reachable in links(src, dst) from start(url): one join and one anti-join a round, until nothing new is found.
 
-    Every round is written to the shared folder, so its lineage is short. Raises where the rounds do not suffice.
+    Every round is written to the shared folder, and every 32 rounds what has been seen is written as one table, so the plan stays
+    short however long a chain of pages is. Where a limit of rounds is given, it raises beyond it.
     """
     seen = fresh = written(start.select("url", F.lit(0).alias("depth")).distinct(), "frontier")
-    for d in range(1, most_rounds + 1):
+    for d in count(1):
+        if most_rounds is not None and d > most_rounds:
+            raise RuntimeError(f"crawl: not ended after {most_rounds} rounds")
         found = fresh.join(links, F.col("url") == F.col("src")).select(F.col("dst").alias("url")).distinct()
         fresh = written(found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)), "frontier")
         if fresh.isEmpty():
             return seen
         seen = seen.unionAll(fresh)
-    raise RuntimeError(f"crawl: not ended after {most_rounds} rounds")
+        if d % 32 == 0:
+            seen = written(seen, "frontier")
 
 
 def assemble_pages(pages: DataFrame, furniture: float = FURNITURE, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -207,3 +207,14 @@ def test_spans_and_search_summaries():
     assert answers.search_summary({"author": "x"}, 0, 4, 10) == "author: x; 4 papers match the filters, none of them the query"
     assert answers.search_summary({"query": "q"}, 10, 30, 10, given=[1, 3]).endswith("30 papers match, the 10 best follow; at most 10 are shown; given before: 1, 3")
     assert answers.route(lambda q: 1 / 0, "raw")["search_query"] == "raw"
+
+
+def test_crawl_of_a_long_chain(spark):
+    """A chain longer than a batch of rounds, a cycle and a limit."""
+    from quillstone.sources.site import crawl_frontier
+
+    links = spark.createDataFrame([(str(k), str(k + 1)) for k in range(40)] + [("5", "2"), ("x", "y")], "src string, dst string").coalesce(1)
+    start = spark.createDataFrame([("0",)], "url string")
+    assert sorted((int(r["url"]), r["depth"]) for r in crawl_frontier(links, start).collect()) == [(k, k) for k in range(41)]
+    with pytest.raises(RuntimeError, match="not ended after 3 rounds"):
+        crawl_frontier(links, start, 3)
