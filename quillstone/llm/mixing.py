@@ -7,8 +7,13 @@ of each domain, the sum of rate * tokens * posterior, match the targets in the l
 and steps are preconditioned by tokens and domain totals (the largest step that must converge), so the rates settle
 at the solution nearest to 1. A target may be a ceiling: it holds only where the expected share of all documents exceeds
 it, documents of such a domain (their most probable one) are never copied, and those of the others never left out. As posteriors depend on the binned features alone, documents with equal bins have equal
-rates at every step; the steps run distributed over those groups, weighted with their tokens, and a document's rate
-is the same fold over the steps' gradients. Tokens are runs of letters and digits.
+rates at every step; the steps run over those groups, weighted with their tokens, and a document's rate
+is the same fold over the steps' gradients. There are at most 16 * 5 * 5 * 4 ** (domains - 1) groups, so a step is a small job
+however large the corpus is. Tokens are runs of letters and digits.
+
+Steps go on until every target is met within a tolerance, or until it is proven that no rates meet them all and the miss is
+within GAP of the smallest possible one (see fit); the column met says which of the two it was. Closer to a target that cannot be
+met, ever larger rates of ever fewer documents would gain ever less.
 
 Defined results: null and empty texts have no tokens and a rate like their group's; repeated rows have equal rates;
 without labels the posteriors are uniform; an empty table gives no rows; further columns are kept, those
@@ -19,7 +24,7 @@ from __future__ import annotations
 
 import json
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +33,9 @@ from quillstone.llm.common import materialise
 
 SAMPLE = 8000
 WORDS = 48
-STEPS = 80
 TOLERANCE = 1e-5
+GAP = 0.1
+WRITTEN = 32  # steps between two written states, which keep a step's work constant
 SYMBOLS = "[#*$%&|<>]"
 TARGETS = {"clean": 0.85, "poor": 0.05, "toxic": 0.10}
 _BINS = {"length": 16, "symbols": 5, "capitals": 5}
@@ -129,18 +135,21 @@ def with_posteriors(groups: DataFrame, model: Posterior) -> DataFrame:
     return rows.withColumn("_p", F.transform("_e", lambda x: x / total)).drop("_z", "_e")
 
 
+def _capped(ceilings: list[int]) -> Column:
+    """Whether the most probable domain is one with a ceiling."""
+    return (F.array_position("_p", F.array_max("_p")) - 1).isin(ceilings) if ceilings else F.lit(False)
+
+
 def _bounded(rate: Column, ceilings: list[int]) -> Column:
     """The rate's nearest allowed value: at most 1 where a domain with a ceiling is the most probable, else at least 1."""
     r = F.greatest(F.lit(0.0), rate)
-    if not ceilings:
-        return r
-    first = F.array_position("_p", F.array_max("_p")) - 1
-    return F.when(first.isin(ceilings), F.least(F.lit(1.0), r)).otherwise(F.greatest(F.lit(1.0), r))
+    return F.when(_capped(ceilings), F.least(F.lit(1.0), r)).otherwise(F.greatest(F.lit(1.0), r)) if ceilings else r
 
 
-def _fold(steps: list[list[float]], ceilings: list[int]) -> Column:
+def _fold(steps: list[list[float]], ceilings: list[int], start: tuple[Column, Column] | None = None) -> Column:
     """(r, y) after the steps, each a gradient and the momentum that follows it: the rate, and the point of the next gradient."""
     history = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
+    r0, y0 = start or (F.lit(1.0), F.lit(1.0))
 
     def step(at: Column, g: Column) -> Column:
         # zip_with pads the posteriors with a null for the momentum, which the sum leaves out
@@ -148,66 +157,123 @@ def _fold(steps: list[list[float]], ceilings: list[int]) -> Column:
         r = _bounded(at["y"] - move, ceilings)
         return F.struct(r.alias("r"), (r + F.element_at(g, -1) * (r - at["r"])).alias("y"))
 
-    return F.aggregate(history, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)
+    return F.aggregate(history, F.struct(r0.alias("r"), y0.alias("y")), step)
+
+
+@dataclass
+class Fit:
+    """Gradients and momentum of every step; by domain, the share that is missing (negative) or too much."""
+
+    history: list[list[float]] = field(default_factory=list)
+    misses: list[float] = field(default_factory=list)
+    met: bool = True
+
 
+def least_miss(pull: list[float], scales: list[float], weights: list[float], low: float | None, free: tuple[float, float], held: tuple[float, float], floor: float) -> float:
+    """A lower bound for the miss of all allowed rates, in the norm that divides by the domains' shares (weak duality).
+
+    For any multipliers m of the domains, the miss v of rates r is at least (m . totals(r) - m . weights) / |m|. The least value of
+    m . totals(r) is finite if m . p >= 0 for every group whose rate has no upper limit; the gradient, moved by the same number for
+    all domains, is such an m, since posteriors add up to 1. low: the least pull . p of these groups; free, held: (sum of token
+    share * pull . p, of token shares) of the groups without and with an upper limit, of the latter negative values alone.
+    """
+    shift = 0.0 if low is None else -low
+    smallest = floor * (free[0] + shift * free[1]) + held[0] + min(0.0, shift) * held[1]
+    m = [g + shift for g in pull]
+    size = math.sqrt(sum(x * x * s for x, s in zip(m, scales, strict=True)))
+    return (smallest - sum(x * w for x, w in zip(m, weights, strict=True))) / size if size else 0.0
 
-def fit_rates(groups: DataFrame, weights: list[float], steps: int = STEPS, tolerance: float = TOLERANCE, ceilings: list[int] | None = None) -> list[list[float]]:
-    """Gradients and momentum of every step over groups(_p, n_tokens); targets are weights * all tokens.
+
+def fit(groups: DataFrame, weights: list[float], steps: int | None = None, tolerance: float = TOLERANCE, ceilings: list[int] | None = None) -> Fit:
+    """Rates over groups(_p, n_tokens); targets are weights * all tokens.
 
     The weights of domains in ceilings are lowered to their expected shares; the others take what is left, in proportion.
 
-    Accelerated projected gradient (Nesterov). Errors are taken relative to each domain's share, which makes the
-    largest eigenvalue 1, so whole steps converge.
+    Accelerated projected gradient (Nesterov). Errors are taken relative to each domain's share, which makes the largest
+    eigenvalue 1, so whole steps converge. It ends when all targets are met within the tolerance, or when the miss is proven to be
+    at most 1 + GAP times the least one (or within the tolerance of it), or after `steps` where such a limit is given.
     """
+    ceilings = ceilings or []
     k = len(weights)
     part = [F.get("_p", F.lit(i)) * F.col("n_tokens") for i in range(k)]
     first = groups.agg(*[F.sum(p).alias(f"y{i}") for i, p in enumerate(part)], F.sum("n_tokens").alias("n")).first()
     total = first["n"] or 0
-    history: list[list[float]] = []
     if not total:
-        return history
+        return Fit()
     own = [first[f"y{i}"] / total for i in range(k)]
     if ceilings:
         held = {i: min(weights[i], own[i]) for i in ceilings}
         if all(held[i] == own[i] for i in ceilings):
-            return history
-        rest = sum(w for i, w in enumerate(weights) if i not in held)
+            return Fit()
+        rest = sum(w for i, w in enumerate(weights) if i not in held) or 1.0
         weights = [held[i] if i in held else w / rest * (1 - sum(held.values())) for i, w in enumerate(weights)]
-    at, t = list(own), 1.0
-    while len(history) < steps:
+    scales = [max(x, 1e-9) for x in own]
+    capped, share = _capped(ceilings), F.col("n_tokens") / F.lit(float(total))
+    out, recent, state, start = Fit(met=False), [], groups, None
+    at, t, proven = list(own), 1.0, 0.0
+    while steps is None or len(out.history) < steps:
         after = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        history.append([(at[i] - weights[i]) / max(own[i], 1e-9) for i in range(k)] + [(t - 1) / after])
-        rated = groups.withColumn("_f", _fold(history, ceilings or []))
-        row = rated.agg(*[F.sum(p * F.col(f"_f.{c}")).alias(f"{c}{i}") for i, p in enumerate(part) for c in ("r", "y")]).first()
-        at, t = [row[f"y{i}"] / total for i in range(k)], after
-        if max(abs(row[f"r{i}"] / total - weights[i]) for i in range(k)) < tolerance:
+        pull = [(at[i] - weights[i]) / scales[i] for i in range(k)]
+        recent.append([*pull, (t - 1) / after])
+        out.history.append(recent[-1])
+        q = sum(F.get("_p", F.lit(i)) * F.lit(g) for i, g in enumerate(pull))
+        rated = state.withColumn("_f", _fold(recent, ceilings, start))
+        bounds = {
+            "low": F.min(F.when(~capped & (F.col("n_tokens") > 0), q)),
+            "free_q": F.sum(F.when(capped, 0.0).otherwise(share * q)),
+            "free": F.sum(F.when(capped, 0.0).otherwise(share)),
+            "held_q": F.sum(F.when(capped, share * F.least(F.lit(0.0), q)).otherwise(0.0)),
+            "held": F.sum(F.when(capped, share).otherwise(0.0)),
+        }
+        row = rated.agg(*[F.sum(p * F.col(f"_f.{c}")).alias(f"{c}{i}") for i, p in enumerate(part) for c in ("r", "y")], *[c.alias(n) for n, c in bounds.items()]).first()
+        at = [row[f"y{i}"] / total for i in range(k)]
+        out.misses = [row[f"r{i}"] / total - weights[i] for i in range(k)]
+        miss = math.sqrt(sum(x * x / s for x, s in zip(out.misses, scales, strict=True)))
+        proven = max(proven, least_miss(pull, scales, weights, row["low"], (row["free_q"], row["free"]), (row["held_q"], row["held"]), 1.0 if ceilings else 0.0))
+        out.met = max(map(abs, out.misses)) < tolerance
+        if out.met or miss - proven < tolerance or (tolerance < proven and miss <= (1 + GAP) * proven):
             break
-    return history
+        t = after
+        if len(recent) == WRITTEN:
+            state = materialise(rated.select("_p", "n_tokens", F.col("_f.r").alias("_r"), F.col("_f.y").alias("_y")), "mix_state")
+            recent, start = [], (F.col("_r"), F.col("_y"))
+    return out
+
 
+def fit_rates(groups: DataFrame, weights: list[float], steps: int | None = None, tolerance: float = TOLERANCE, ceilings: list[int] | None = None) -> list[list[float]]:
+    """The steps of `fit` alone."""
+    return fit(groups, weights, steps, tolerance, ceilings).history
 
-def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column, steps: int, ceilings: frozenset[str] = frozenset()) -> DataFrame:
-    """docs with _n (tokens), _p (posteriors in order of the targets) and _rate."""
+
+def _rated(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain: Column, steps: int | None = None, ceilings: frozenset[str] = frozenset(), columns: list[str] | None = None) -> DataFrame:
+    """docs with _n (tokens), _p (posteriors in order of the targets), _rate and _met (whether the fit met the targets).
+
+    Where some columns of docs are enough, their rows are written with their groups, so texts are read and counted once.
+    """
     total = sum(targets.values())
     model = train_posterior(docs, labels, tuple(targets), domain)
     rows = with_group(docs, model)
-    groups = materialise(with_posteriors(rows.groupBy("_group").agg(F.sum("_n").alias("n_tokens")), model).coalesce(1), "mix_groups")
+    if columns is not None:
+        rows = materialise(rows.select(*columns, "_n", "_group"), "mix_rows")
+    groups = materialise(with_posteriors(rows.groupBy("_group").agg(F.sum("_n").alias("n_tokens")), model), "mix_groups")
     capped = [i for i, d in enumerate(targets) if d in ceilings]
-    history = fit_rates(groups, [w / total for w in targets.values()], steps, ceilings=capped)
+    found = fit(groups, [w / total for w in targets.values()], steps, ceilings=capped)
     # one row for each combination of bins, so the side is bounded whatever the corpus
-    rates = materialise(groups.select("_group", "_p", _fold(history, capped)["r"].alias("_rate")), "mix_rates")
+    rates = materialise(groups.select("_group", "_p", _fold(found.history, capped)["r"].alias("_rate"), F.lit(found.met).alias("_met")), "mix_rates")
     return rows.join(F.broadcast(rates), "_group", "left").drop("_group")
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, steps: int = STEPS) -> DataFrame:
-    """docs with n_tokens, posteriors (in order of the targets) and rate; columns of these names give way."""
-    rows = _rated(docs, labels, targets or TARGETS, label_domain() if domain is None else domain, steps)
-    kept = [c for c in docs.columns if c not in ("n_tokens", "posteriors", "rate")]
-    return rows.select(*kept, F.col("_n").alias("n_tokens"), F.col("_p").alias("posteriors"), F.col("_rate").alias("rate"))
+def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, steps: int | None = None, columns: list[str] | None = None) -> DataFrame:
+    """docs, or some columns of it, with n_tokens, posteriors (in order of the targets), rate and met; columns of these names give way."""
+    own = ("n_tokens", "posteriors", "rate", "met")
+    kept = [c for c in (docs.columns if columns is None else columns) if c not in own]
+    rows = _rated(docs, labels, targets or TARGETS, label_domain() if domain is None else domain, steps, columns=None if columns is None else kept)
+    return rows.select(*kept, F.col("_n").alias("n_tokens"), F.col("_p").alias("posteriors"), F.col("_rate").alias("rate"), F.col("_met").alias("met"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: Column | None = None, ceilings: frozenset[str] = frozenset()) -> DataFrame:
     """docs in as many copies as their rates say; the fraction is rounded by a hash of the row. Columns stay as they are."""
-    rows = _rated(docs, labels, targets or TARGETS, label_domain() if domain is None else domain, STEPS, ceilings)
+    rows = _rated(docs, labels, targets or TARGETS, label_domain() if domain is None else domain, ceilings=ceilings)
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     copies = F.floor(F.col("_rate") + u).cast("int")
     return rows.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
@@ -215,5 +281,5 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def op7_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = document_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return rows.select("doc_id", "n_tokens", *[F.get("posteriors", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate")
+    rows = document_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), columns=["doc_id"])
+    return rows.select("doc_id", "n_tokens", *[F.get("posteriors", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(TARGETS)], "rate", "met")

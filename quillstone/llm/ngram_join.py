@@ -344,9 +344,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Da
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("z")]
     winners = winners.select(*keys, F.col("th").alias("h"))
     rows = docs.withColumns({"d": keys[0], "z": keys[1], "h": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    joined = rows.join(winners, ["d", "z", "h"], "left_semi")
-    once = joined.withColumn("k", F.row_number().over(Window.partitionBy("d", "z", "h").orderBy(F.lit(1)))).filter("k = 1")
-    return once.select(*docs.columns)
+    # repeated rows are reduced before the shuffle as well as after it, so they never meet in one task
+    return rows.join(winners, ["d", "z", "h"], "left_semi").dropDuplicates(["d", "z", "h"]).select(*docs.columns)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,48 @@ def test_posteriors_against_plain_naive_bayes(spark):
         e = [math.exp(v - max(z)) for v in z]
         assert r["n_tokens"] == n
         assert all(abs(p - v / sum(e)) < 1e-9 for p, v in zip(r["posteriors"], e))
+
+
+def test_targets_that_cannot_be_met(spark):
+    """Without a limit of steps the fit ends near the smallest miss, and says that the targets are not met."""
+    p = np.array([[0.9, 0.1], [0.6, 0.4], [0.5, 0.5]])
+    n = np.array([100, 300, 50])
+    groups = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, _p array<double>")
+    w = np.array([0.2, 0.8])
+    got = mixing.fit(groups, w.tolist())
+    assert not got.met
+    share, own = n[:, None] * p / n.sum(), (n[:, None] * p).sum(0) / n.sum()
+    # plain projected gradient, run long
+    r = np.ones(3)
+    for _ in range(20000):
+        r = np.maximum(0, r - p @ ((r @ share - w) / own))
+    least = np.sqrt(((r @ share - w) ** 2 / own).sum())
+    assert least * (1 - 1e-9) <= np.sqrt((np.array(got.misses) ** 2 / own).sum()) <= least * (1 + mixing.GAP)
+    assert mixing.fit(groups, [0.7, 0.3]).met
+
+
+def test_ceiling_that_cannot_be_reached(spark):
+    """Clean documents carry some toxic probability and always stay, so a low ceiling is missed; the fit still ends."""
+    p = np.array([[0.95, 0.05], [0.7, 0.3], [0.1, 0.9]])
+    n = np.array([400, 300, 200])
+    groups = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, _p array<double>")
+    got = mixing.fit(groups, [0.999, 0.001], ceilings=[1])
+    assert not got.met and got.misses[1] > 0
+    assert mixing.fit(groups, [0.5, 0.5], ceilings=[1]).history == []
+
+
+def test_bound_is_never_above_a_reachable_miss(spark):
+    rnd = np.random.default_rng(8)
+    for floor in (0.0, 1.0):
+        for _ in range(200):
+            k, m = int(rnd.integers(2, 5)), int(rnd.integers(1, 7))
+            p, n, w = rnd.dirichlet(np.ones(k), m), rnd.integers(1, 90, m), rnd.dirichlet(np.ones(k))
+            share, own = n / n.sum(), (n[:, None] * p).sum(0) / n.sum()
+            held = (p.argmax(1) == 0) & (floor > 0)
+            pull = rnd.normal(size=k)
+            q = p @ pull
+            low = q[~held].min() if (~held).any() else None
+            bound = mixing.least_miss(pull.tolist(), own.tolist(), w.tolist(), low, ((share * q)[~held].sum(), share[~held].sum()), (np.minimum(0, share * q)[held].sum(), share[held].sum()), floor)
+            r = np.where(held, rnd.random((50, m)), floor + rnd.exponential(1, (50, m)))
+            v = np.einsum("sm,mk->sk", r * share, p) - w
+            assert bound <= np.sqrt((v**2 / own).sum(1)).min() + 1e-9
