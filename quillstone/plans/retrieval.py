@@ -352,6 +352,29 @@ def chk11(spark, sf):
     return assemble_pages(s, 0.01).select("page_id", "aliases", F.sha2("markdown", 256).alias("digest"))
 
 
+_said = ("This website was last updated on 14 September 2026.", "Last updated on 3 Oct 2025")
+_site_build = (
+    f"WITH {views.SITE}, s AS (SELECT page_id, list_append(blocks, CASE WHEN page_id % 2 = 0 THEN '{_said[0]}' ELSE '{_said[1]}' END) AS blocks, CASE WHEN page_id % 3 = 0 THEN links[1:2] ELSE [] END AS news FROM site), "
+    "e AS (SELECT page_id, unnest(blocks) AS b, unnest(range(0, len(blocks))) AS pos FROM s), furniture AS (SELECT b FROM (SELECT DISTINCT page_id, b FROM e) GROUP BY b HAVING count(*) > 0.3 * (SELECT count(*) FROM s)), "
+    "kept AS (SELECT page_id, b, pos FROM e WHERE b NOT IN (SELECT b FROM furniture) UNION ALL SELECT page_id, '## News items' || chr(10) || chr(10) || array_to_string(list_transform(news, lambda x: '- 2024-01-05: [' || x || '](' || x || ')'), chr(10)), 2147483647 FROM s WHERE len(news) > 0), "
+    "md AS (SELECT page_id, string_agg(b, chr(10) || chr(10) ORDER BY pos) AS md FROM kept WHERE regexp_matches(b, '[^ \\t\\n\\r\\f]') GROUP BY page_id) "
+    "SELECT min(page_id) AS page_id, count(*) - 1 AS aliases, sha256(md) AS digest, DATE '2026-09-14' AS updated FROM md WHERE len(list_filter(regexp_split_to_array(md, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) >= 5 GROUP BY md"
+)
+
+
+@query("chk11_site_build", _site_build)
+def chk11_build(spark, sf):
+    """Pages with their news cards, without furniture, and the date that the furniture gives."""
+    from quillstone.sources.site import assemble_pages, site_updated
+
+    said = F.when(F.col("page_id") % 2 == 0, _said[0]).otherwise(_said[1])
+    card = lambda x: F.struct(x.alias("title"), x.alias("link"), F.lit("2024-01-05").alias("date"))
+    news = F.transform(F.when(F.col("page_id") % 3 == 0, F.slice("links", 1, 2)).otherwise(F.array()), card)
+    s = views.site_pages(spark, sf).select("page_id", "url", F.array_append("blocks", said).alias("blocks"), news.alias("news"))
+    pages = assemble_pages(s, 0.3).select("page_id", "aliases", F.sha2("markdown", 256).alias("digest"))
+    return pages.join(F.broadcast(site_updated(s, 0.3)))
+
+
 @query("chk09_html_to_markdown")
 def chk09(spark, sf):
     from quillstone.sources.site import html_to_markdown_udf

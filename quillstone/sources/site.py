@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable
 from html.parser import HTMLParser
 from itertools import accumulate, count, takewhile
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import word_count
@@ -166,67 +166,233 @@ def crawl_frontier(links: DataFrame, start: DataFrame, most_rounds: int | None =
             seen = written(seen, "frontier")
 
 
-def assemble_pages(pages: DataFrame, furniture: float = FURNITURE, least_words: int = LEAST_WORDS) -> DataFrame:
+NEWS_LAST = 2**31 - 1
+
+
+def news_markdown(news: Column) -> Column:
+    """A page's news cards as a list under its heading; null where there are none."""
+    lines = F.transform(news, lambda c: F.concat(F.lit("- "), c["date"], F.lit(": ["), c["title"], F.lit("]("), c["link"], F.lit(")")))
+    return F.when(F.size(news) > 0, F.concat(F.lit("## News items\n\n"), F.array_join(lines, "\n")))
+
+
+def furniture_blocks(pages: DataFrame, furniture: float = FURNITURE) -> DataFrame:
+    """block of what stands on more than a share of pages(page_id, blocks)."""
+    total = pages.agg(F.count(F.lit(1)).alias("total"))
+    counts = pages.select(F.explode(F.array_distinct("blocks")).alias("block"), "page_id").distinct().groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(F.broadcast(total), F.col("n") > furniture * F.col("total")).select("block")
+
+
+def site_updated(pages: DataFrame, furniture: float = FURNITURE) -> DataFrame:
+    """updated: the latest date that the site's furniture says it was last updated on; null where it says none."""
+    said = F.regexp_extract(F.regexp_replace("block", "<[^>]*>", " "), r"(?i)last\s+updated\s+on\s+(\d{1,2}\s+\w+\s+\d{4})", 1)
+    day = F.regexp_replace(F.initcap(F.lower(said)), r"\s+", " ")
+    when = F.coalesce(F.try_to_date(day, "d MMMM yyyy"), F.try_to_date(day, "d MMM yyyy"))
+    return furniture_blocks(pages, furniture).agg(F.max(F.when(said != "", when)).alias("updated"))
+
+
+def assemble_pages(pages: DataFrame, furniture: float = FURNITURE, least_words: int = LEAST_WORDS, convert: Callable[[Column], Column] | None = None) -> DataFrame:
     """page_id, url, markdown, aliases: blocks on more than a share of the pages dropped, short pages dropped, equal texts merged.
 
-    pages(page_id, url, blocks). The first page of equal texts stays; aliases counts the others.
+    pages(page_id, url, blocks), with the page's news cards where there is a column news: they end the page and are never furniture.
+    convert makes Markdown of a block's source. Blank blocks are left out. The first page of equal texts stays; aliases counts the others.
     """
-    total = pages.agg(F.count(F.lit(1)).alias("total"))
     each = pages.select("page_id", "url", F.posexplode("blocks").alias("pos", "block"))
-    counts = each.select("page_id", "block").distinct().groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    common = counts.join(F.broadcast(total), F.col("n") > furniture * F.col("total")).select("block")
-    kept = each.join(common, "block", "left_anti").groupBy("page_id", "url").agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("b"))
+    kept = each.join(furniture_blocks(pages, furniture), "block", "left_anti").select("page_id", "url", "pos", "block")
+    if convert:
+        kept = kept.withColumn("block", convert(F.col("block")))
+    if "news" in pages.columns:
+        kept = kept.unionByName(pages.select("page_id", "url", F.lit(NEWS_LAST).alias("pos"), news_markdown(F.col("news")).alias("block")).filter("block IS NOT NULL"))
+    kept = kept.filter(F.col("block").rlike(r"\S")).groupBy("page_id", "url").agg(F.array_sort(F.collect_list(F.struct("pos", "block"))).alias("b"))
     md = kept.select("page_id", "url", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("markdown")).filter(word_count(F.col("markdown")) >= least_words)
     first = md.withColumn("h", F.sha2("markdown", 256)).groupBy("h").agg(F.min(F.struct("page_id", "url", "markdown")).alias("p"), (F.count(F.lit(1)) - 1).alias("aliases"))
     return first.select("p.*", "aliases")
 
 
+class _Open:
+    """An element that is not closed yet: finished blocks (kind, text), the line being written, rows or items of tables and lists."""
+
+    def __init__(self, name: str, attrs: dict):
+        self.name, self.attrs = name, attrs
+        self.blocks: list[tuple[str, str]] = []
+        self.line: list[str] = []
+        self.parts: list = []
+
+
 class _Markdown(HTMLParser):
+    """Writes an element when it closes, from what its children have written, so depth costs no recursion."""
+
     SKIP = frozenset("head script style nav footer".split())
+    INLINE = frozenset("a b strong i em code span sub sup small u abbr cite time label".split())
+    MARK = {"b": "**", "strong": "**", "i": "*", "em": "*"}
+    #: a new one of these closes an open one of the second column, unless an element of the third stands between
+    IMPLIED = {
+        "li": ({"li"}, {"ul", "ol"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}),
+        "tr": ({"tr"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    }
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.skip, self.href = 0, []
+        self.open = [_Open("", {})]
+        self.names: Counter[str] = Counter()
+        self.skipped = self.math = 0
 
     def handle_starttag(self, name, attrs):
+        attrs = dict(attrs)
         if name in self.SKIP:
-            self.skip += 1
-        elif not self.skip:
-            if name in ("p", "div", "article", "ul", "ol", "table", "section"):
-                self.out.append("\n\n")
-            elif re.fullmatch("h[1-6]", name):
-                self.out.append("\n\n" + "#" * int(name[1]) + " ")
-            elif name == "li":
-                self.out.append("\n- ")
-            elif name == "br":
-                self.out.append("\n")
-            elif name in ("b", "strong"):
-                self.out.append("")
-            elif name == "a":
-                self.href.append(dict(attrs).get("href") or "")
-                self.out.append("[")
+            self.skipped += 1
+        elif self.skipped:
+            return
+        elif self.math or name == "math":
+            if name == "math":
+                tex, mark = (attrs.get("alttext") or "").strip(), "$$" if attrs.get("display") == "block" else "$"
+                self.open[-1].line.append(f"{mark}{tex}{mark}" if tex and not self.math else "")
+                self.math += 1
+        elif name == "br":
+            self.open[-1].line.append("\n")
+        elif name == "img":
+            alt = re.sub(r"\s+", " ", attrs.get("alt") or "").strip()
+            self.open[-1].line.append(f"![{alt}]({attrs['src']})" if attrs.get("src") else "")
+        elif name == "hr":
+            self._end_line()
+            self.open[-1].blocks.append(("rule", "---"))
+        elif name not in VOID:
+            if name not in self.INLINE:
+                self._end_line()
+                closes, within = self.IMPLIED.get(name, ((), ()))
+                for k in range(len(self.open) - 1, 0, -1) if closes and any(self.names[c] for c in closes) else ():
+                    if self.open[k].name in within:
+                        break
+                    if self.open[k].name in closes:
+                        self._close_to(k)
+                        break
+                if name == "li" and not (self.names["ul"] or self.names["ol"]):
+                    self._push("ul", {})
+            self._push(name, attrs)
+
+    def handle_startendtag(self, name, attrs):
+        self.handle_starttag(name, attrs)
+        if name not in VOID:
+            self.handle_endtag(name)
 
     def handle_endtag(self, name):
         if name in self.SKIP:
-            self.skip = max(0, self.skip - 1)
-        elif not self.skip:
-            if name == "a" and self.href:
-                self.out.append(f"]({self.href.pop()})")
-            elif name in ("p", "div", "article", "h1", "h2", "h3", "h4", "h5", "h6"):
-                self.out.append("\n\n")
+            self.skipped = max(0, self.skipped - 1)
+        elif self.skipped:
+            return
+        elif self.math:
+            self.math -= name == "math"
+        elif self.names[name]:
+            self._close_to(max(k for k, e in enumerate(self.open) if e.name == name))
 
     def handle_data(self, data):
-        if not self.skip:
-            self.out.append(re.sub(r"\s+", " ", data))
-
-
-def html_to_markdown(page: str) -> str:
-    """Headings, paragraphs, lists and links of a page as Markdown."""
+        if not self.skipped and not self.math:
+            self.open[-1].line.append(data if self.names["pre"] else re.sub(r"\s+", " ", data))
+
+    def result(self) -> str:
+        self.close()
+        self._end_line()
+        self._close_to(1)
+        self._flush(self.open[0])
+        return "\n\n".join(text for _, text in self.open[0].blocks).strip()
+
+    def _push(self, name: str, attrs: dict) -> None:
+        self.open.append(_Open(name, attrs))
+        self.names[name] += 1
+
+    def _end_line(self) -> None:
+        """A block begins: inline elements, a paragraph and a heading end here."""
+        while self.open[-1].name in self.INLINE or re.fullmatch("p|h[1-6]", self.open[-1].name):
+            self._close_to(len(self.open) - 1)
+        self._flush(self.open[-1])
+
+    def _close_to(self, k: int) -> None:
+        while len(self.open) > k:
+            e = self.open.pop()
+            self.names[e.name] -= 1
+            if e.name in self.INLINE:
+                self.open[-1].line.append(self._inline(e))
+            else:
+                self._block(e, self.open[-1])
+
+    @staticmethod
+    def _flush(e: _Open) -> None:
+        text = re.sub(r" *\n *", "\n", re.sub(" +", " ", "".join(e.line))).strip()
+        e.line = []
+        if text:
+            e.blocks.append(("text", text))
+
+    def _inline(self, e: _Open) -> str:
+        text = "".join(e.line)
+        if self.names["pre"]:
+            return text
+        inner = text.strip()
+        lead, tail = text[: len(text) - len(text.lstrip())], text[len(text.rstrip()) :] if inner else ""
+        if e.name == "a" and e.attrs.get("href"):
+            return f"{lead}[{inner}]({e.attrs['href']}){tail}"
+        if e.name == "code" and inner:
+            mark = "`" * (1 + max(map(len, re.findall("`+", inner)), default=0))
+            return f"{lead}{mark}{inner}{mark}{tail}"
+        mark = self.MARK.get(e.name, "") if inner else ""
+        return f"{lead}{mark}{inner}{mark}{tail}"
+
+    def _block(self, e: _Open, parent: _Open) -> None:
+        if e.name == "pre":
+            code = "".join(e.line).strip("\n")
+            fence = "`" * max(3, 1 + max(map(len, re.findall("`+", code)), default=0))
+            parent.blocks += [("code", f"{fence}\n{code}\n{fence}")] if code.strip() else []
+            return
+        self._flush(e)
+        if re.fullmatch("h[1-6]", e.name):
+            parent.blocks += [("heading", "#" * int(e.name[1]) + " " + re.sub(r"\s+", " ", text)) for _, text in e.blocks]
+        elif e.name == "blockquote" and e.blocks:
+            parent.blocks.append(("quote", "\n".join(f"> {line}".rstrip() for line in "\n\n".join(t for _, t in e.blocks).split("\n"))))
+        elif e.name == "li" and parent.name in ("ul", "ol"):
+            parent.parts.append(e.blocks)
+        elif e.name in ("ul", "ol"):
+            parent.blocks += e.blocks
+            parent.blocks += [("list", _listed(e.parts, e.name == "ol", e.attrs.get("start")))] if e.parts else []
+        elif e.name in ("td", "th") and parent.name == "tr":
+            wide = int(e.attrs["colspan"]) if re.fullmatch("[1-9][0-9]?", e.attrs.get("colspan") or "") else 1
+            parent.parts += [e.blocks] + [[]] * (wide - 1)
+        elif e.name == "tr" and parent.name in ("table", "thead", "tbody", "tfoot"):
+            parent.parts += [e.parts] if e.parts else []
+        elif e.name in ("thead", "tbody", "tfoot") and parent.name == "table":
+            parent.parts += e.parts
+            parent.blocks += e.blocks
+        elif e.name == "table":
+            parent.blocks += e.blocks + _tabled(e.parts)
+        else:
+            parent.blocks += e.blocks
+
+
+def _listed(items: list[list[tuple[str, str]]], numbered: bool, start: str | None) -> str:
+    first = int(start) if numbered and re.fullmatch("[0-9]{1,9}", start or "") else 1
+    out = []
+    for k, blocks in enumerate(items, first):
+        mark = f"{k}. " if numbered else "- "
+        text = "".join(("" if not i else "\n" if kind == "list" else "\n\n") + t for i, (kind, t) in enumerate(blocks))
+        out.append((mark + text.replace("\n", "\n" + " " * len(mark))).rstrip())
+    return "\n".join(re.sub(r"(?m)^ +$", "", item) for item in out)
+
+
+def _tabled(rows: list[list[list[tuple[str, str]]]]) -> list[tuple[str, str]]:
+    """Rows as a pipe table under the first; a table that only lays out (one column, or blocks in its cells) as its blocks."""
+    width = max(map(len, rows), default=0)
+    if width < 2 or any(kind != "text" for row in rows for cell in row for kind, _ in cell):
+        return [block for row in rows for cell in row for block in cell]
+    cells = [[re.sub(r"\s+", " ", " ".join(t for _, t in cell)).replace("|", r"\|") for cell in row] + [""] * (width - len(row)) for row in rows]
+    lines = ["| " + " | ".join(row) + " |" for row in cells]
+    return [("table", "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]]))]
+
+
+def html_to_markdown(page: str | None) -> str:
+    """A page as Markdown: headings, paragraphs, nested and numbered lists, pipe tables, code, quotes, emphasis, links, images, maths.
+
+    Menus, footers, heads, scripts and styles are left out. Characters that mean something in Markdown are not escaped, save bars in tables.
+    """
     p = _Markdown()
     p.feed(page or "")
-    p.close()
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(p.out))).strip()
+    return p.result()
 
 
 def html_to_markdown_udf():

@@ -218,3 +218,28 @@ def test_crawl_of_a_long_chain(spark):
     assert sorted((int(r["url"]), r["depth"]) for r in crawl_frontier(links, start).collect()) == [(k, k) for k in range(41)]
     with pytest.raises(RuntimeError, match="not ended after 3 rounds"):
         crawl_frontier(links, start, 3)
+
+
+def test_markdown_of_tables_code_lists_and_maths():
+    md = site.html_to_markdown
+    assert md("<table><caption>T</caption><tr><th>a<th>b</tr><tr><td>1|2<td><p>x</p><p>y</p></table>") == "T\n\n| a | b |\n| --- | --- |\n| 1\\|2 | x y |"
+    assert md("<table><thead><tr><th colspan=2>a</th></tr></thead><tbody><tr><td>1<td>2</tbody></table>z") == "| a |  |\n| --- | --- |\n| 1 | 2 |\n\nz"
+    assert md("<table><tr><td><ul><li>x</ul><td>y</table>") == "- x\n\ny"
+    assert md("<ul><li>a<ul><li>b<ol start=3><li>c<li>d</ol></ul><li>e<p>f</p></ul>") == "- a\n  - b\n    3. c\n    4. d\n- e\n\n  f"
+    assert md("<pre><code>if a:\n    b  ``` c\n</code></pre><p>so <code>x`y</code>.") == "````\nif a:\n    b  ``` c\n````\n\nso ``x`y``."
+    assert md("<p>a <b>bold <p>b <em> it </em>c<br>d") == "a **bold**\n\nb *it* c\nd"
+    assert md("<blockquote><p>a<p>b</blockquote><hr><img alt='A  b' src='/i.png'><li>z") == "> a\n>\n> b\n\n---\n\n![A b](/i.png)\n\n- z"
+    assert md("<p>so <math alttext='a^2'><mi>a</mi></math> is</p><math display=block alttext='b'></math>") == "so $a^2$ is\n\n$$b$$"
+    assert md(None) == md("</td></p>") == md("<table></table><ul></ul>") == ""
+    assert md("<div>" * 20000 + "x") == "x"
+
+
+def test_pages_with_news_and_the_date_of_the_site(spark):
+    card = [("N 1", "/n/1", "1 May")]
+    rows = [(1, "u1", ["<p>foot, last  updated on 3  MAY 2024</p>", "<p>one <b>two</b> three four five</p>"], []), (2, "u2", ["<p>foot, last  updated on 3  MAY 2024</p>", " "], card), (3, "u3", ["<p>foot, last  updated on 3  MAY 2024</p>"], []), (4, "u4", None, card)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, blocks array<string>, news array<struct<title: string, link: string, date: string>>")
+    got = {r["page_id"]: (r["markdown"], r["aliases"]) for r in site.assemble_pages(pages, convert=site.html_to_markdown_udf()).collect()}
+    assert got == {1: ("one **two** three four five", 0), 2: ("## News items\n\n- 1 May: [N 1](/n/1)", 1)}
+    assert str(site.site_updated(pages).first()["updated"]) == "2024-05-03"
+    assert site.site_updated(pages.drop("blocks").withColumn("blocks", F.array(F.lit("x")))).first()["updated"] is None
+    assert site.assemble_pages(pages.limit(0)).count() == 0
