@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents for the models that are trained on the driver."""
+"""Bounded samples of labelled documents for the models that are trained."""
 
 from __future__ import annotations
 
@@ -16,8 +16,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, label: str, bound: int, features: Callable, name: str) -> tuple[list[bytes], np.ndarray]:
-    """(features, label 0/1) of about `bound` labelled documents outside the held-out fold, in order of id.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, features: Callable, name: str) -> DataFrame:
+    """doc_id, y (label 0/1), f (features) of about `bound` labelled documents outside the held-out fold.
 
     Labels of one id are averaged and rounded; rows without an id or a label are left out. If there are more
     labelled ids than the bound, those with the smallest hashes of the id are taken. features maps an iterator of
@@ -31,6 +31,11 @@ def labelled_features(docs: DataFrame, labels: DataFrame, label: str, bound: int
     known = materialise(known.coalesce(1), name)
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
     rows = picked.select("doc_id", "text", "y").mapInArrow(features, "doc_id long, y int, f binary")
-    rows = rows.groupBy("doc_id").agg(F.min(F.struct("y", "f")).alias("r")).select("doc_id", "r.*").collect()
+    return rows.groupBy("doc_id").agg(F.min(F.struct("y", "f")).alias("r")).select("doc_id", "r.*")
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str, bound: int, features: Callable, name: str) -> tuple[list[bytes], np.ndarray]:
+    """(features, label 0/1) of `labelled_rows` in order of id, on the driver: for features of a few numbers only."""
+    rows = labelled_rows(docs, labels, label, bound, features, name).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [bytes(r["f"]) for r in rows], np.array([r["y"] for r in rows], np.int64)

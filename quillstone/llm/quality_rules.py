@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import slices, utf8
-from quillstone.llm.labelled import labelled_features
+from quillstone.llm.labelled import labelled_rows
 from quillstone.llm.textstats import SPACE, SYMBOL, Words, count, line_counts, repeat_words, windows, words_of
 
 SAMPLE = 3000
@@ -108,7 +108,6 @@ def fit_ngram_model(rows: list[bytes], y: np.ndarray, rounds: int = 80, rate: fl
     weights = np.zeros(1 << BITS)
     if len(set(y.tolist())) < 2:
         return weights.astype(np.float32), 0.0, 30.0
-    rows = list(rows)
     fold = np.arange(len(y)) % 5 == 4
 
     def blocks(which: np.ndarray, most: int = 256) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -121,7 +120,7 @@ def fit_ngram_model(rows: list[bytes], y: np.ndarray, rounds: int = 80, rate: fl
         return out
 
     train, check = blocks(~fold), blocks(fold) if fold.any() else None
-    rows.clear()
+    rows.clear()  # the blocks hold them now; the list is the caller's
     goal = y.astype(float)
     share = goal[~fold].mean()
     cost = np.where(goal == 1, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
@@ -144,9 +143,28 @@ def fit_ngram_model(rows: list[bytes], y: np.ndarray, rounds: int = 80, rate: fl
     return weights.astype(np.float32), *platt(z, goal, bias)
 
 
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float, float]:
+    """`fit_ngram_model` of the sample, in order of id; its n-grams stay on the executors, and the driver takes the weights alone."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, y = [], []
+        for batch in batches:
+            rows += batch.column("f").to_pylist()
+            y += batch.column("y").to_pylist()
+        weights, a, b = fit_ngram_model(rows, np.array(y, np.int64))
+        yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary()), "a": [a], "b": [b]})
+
+    rows = labelled_rows(docs, labels, "quality", sample, _features, "rules")
+    # one task, since the sample is bounded; an empty sample may have no task at all
+    model = rows.coalesce(1).sortWithinPartitions("doc_id").mapInArrow(fit, "weights binary, a double, b double").first()
+    if model is None:
+        return fit_ngram_model([], np.zeros(0, np.int64))
+    return np.frombuffer(bytes(model["weights"]), np.float32), model["a"], model["b"]
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
     """doc_id, the counts, base_failed, probability and kept of every row."""
-    weights, a, b = fit_ngram_model(*labelled_features(docs, labels, "quality", sample, _features, "rules"))
+    weights, a, b = train(docs, labels, sample)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -166,7 +184,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    weights, a, b = fit_ngram_model(*labelled_features(docs, labels, "quality", sample, _features, "rules"))
+    weights, a, b = train(docs, labels, sample)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

@@ -74,3 +74,23 @@ def test_gam_is_the_sum_of_its_tables():
         z = gam.bias + sum(t[k] for t, k in zip(gam.tables, b)) + sum(t[b[i], b[j]] for (i, j), t in zip(gam.pairs, gam.pair_tables))
         assert abs(score - 1 / (1 + math.exp(-z))) < 1e-9
     assert ((gam.score(x) > 0.5) == y).mean() > 0.9 and (0, 1) in {tuple(sorted(p)) for p in gam.pairs}
+
+
+def test_the_rules_model_is_trained_off_the_driver(spark, sf_dir, monkeypatch):
+    """The n-grams of the sample never come to the driver, and the model is that of the sample in order of id."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from quillstone.llm import quality_rules as rules
+    from quillstone.llm.labelled import labelled_features
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    want = rules.fit_ngram_model(*labelled_features(docs, labels, "quality", 100, rules._features, "want"))
+    calls = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: calls.append(df.columns) or collect(df))
+    rules.quality_rules(docs, labels, sample=100)
+    rules.keep_good(docs, labels, sample=100)
+    assert not any("f" in c for c in calls)
+    monkeypatch.undo()
+    weights, a, b = rules.train(docs, labels, 100)
+    assert np.array_equal(weights, want[0]) and weights.any() and (a, b) == want[1:]
