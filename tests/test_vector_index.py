@@ -107,3 +107,35 @@ def test_probes_are_measured():
 def test_registered_recall(spark, sf_dir):
     found = retrieval.rt01_index(spark, sf_dir).withColumnRenamed("doc_key", "key")
     assert recall(found, retrieval.rt01(spark, sf_dir)) >= 0.9
+
+
+def plain_nearest(rows, asked, k):
+    """The definition, by Spark's own expressions over all pairs."""
+    from pyspark.sql import functions as F
+
+    from quillstone.functions.values import dot
+
+    pairs = rows.crossJoin(asked).select("query_id", "doc_key", F.round(dot(F.col("embedding"), F.col("q")), 6).alias("score"))
+    return search.top_k(pairs, k)
+
+
+def test_nearest_is_the_plain_search(spark, monkeypatch):
+    """Groups of rows and queries, many copies, ties of rounded scores, nulls, NaN and other lengths: equal to the plain search, without a plan of all pairs."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 3)), np.tile([[0.5, 0.25, 1.0]], (90, 1)), np.round(rng.normal(size=(60, 3)), 1), 0.5 + rng.normal(size=(60, 3)) * 1e-7])
+    odd = [("a", None), ("b", [1.0]), ("c", [1.0, None, 2.0]), ("d", [float("nan"), 0.0, 1.0]), ("e", []), (None, [9.0, 9.0, 9.0])]
+    rows = frame(spark, x).unionByName(spark.createDataFrame(odd, "doc_key string, embedding array<double>"))
+    q = [(i, v) for i, v in enumerate(np.round(rng.normal(size=(12, 3)), 2).tolist())] + [(50, None), (51, [2.0]), (52, []), (53, [1e9, 1.0, 1.0]), (None, [0.0, 0.0, 0.0])]
+    asked = spark.createDataFrame(q, "query_id long, q array<double>")
+    for k in (4, 400):
+        want = sorted(map(str, plain_nearest(rows, asked, k).collect()))
+        for per_part, per_block in ((32_768, 16_384), (40, 5)):
+            monkeypatch.setattr(search, "VECTOR_ROWS", per_part)
+            monkeypatch.setattr(search, "QUERY_ROWS", per_block)
+            found = search.nearest(rows, asked, k)
+            assert sorted(map(str, found.collect())) == want
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+    monkeypatch.setattr(search, "SCORES", 64)
+    assert sorted(map(str, search.nearest(rows, asked, 400).collect())) == want
+    assert search.nearest(rows.filter("doc_key = 'none'"), asked).count() == 0
