@@ -77,16 +77,19 @@ def serve(answer: Callable[[str, list[dict]], tuple[str | None, str | None]], po
 
 def convert_documents(files: DataFrame, convert: Callable[[bytes], str]) -> DataFrame:
     """doc_id, markdown, error of files(doc_id, content): a converter run file by file, so that one failure stays with its file."""
-    import pandas as pd
+    import pyarrow as pa
 
-    def run(frames):
-        for f in frames:
+    from quillstone.functions.batches import in_slices
+
+    def run(batches):
+        for doc_ids, contents in in_slices(batches):
             rows = []
-            for doc_id, content in zip(f["doc_id"], f["content"], strict=True):
+            for doc_id, content in zip(doc_ids, contents, strict=True):
                 try:
                     rows.append((doc_id, convert(bytes(content)), None))
                 except Exception as e:  # the converter is foreign code
                     rows.append((doc_id, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["doc_id", "markdown", "error"])
+            ids, texts, errors = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["doc_id", "markdown", "error"])
 
-    return files.select("doc_id", "content").mapInPandas(run, "doc_id long, markdown string, error string")
+    return files.select(F.col("doc_id").cast("long").alias("doc_id"), "content").mapInArrow(run, "doc_id long, markdown string, error string")
