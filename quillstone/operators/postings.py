@@ -23,6 +23,8 @@ from quillstone.operators.search import B, K1, PER_RETRIEVER, small, terms, toke
 from quillstone.session import written
 
 BLOCK_DOCS, GROUP_DOCS = 128, 65_536
+#: Documents of a strip: the blocks of a group that are built in one task, into one file of the group.
+STRIP_DOCS = 4_096
 #: Blocks of a query that are scored before there is a threshold.
 FIRST_BLOCKS = 8
 #: Distinct terms up to which the scan's filter names them; more are found by a join alone.
@@ -52,20 +54,35 @@ class PostingsIndex:
 
     def _dealt(self, docs: DataFrame, key: str, fields: list[str], groups: int, blocks: int) -> DataFrame:
         """doc, group, block, field, len, t (tokens) of every field of every document; of rows with the same key all count as one each."""
+        return self._each(self._placed(docs, key, fields, groups, blocks))
+
+    def _placed(self, docs: DataFrame, key: str, fields: list[str], groups: int, blocks: int) -> DataFrame:
+        """doc, group, block and texts (field, text) of every document."""
         doc = F.col(key).cast("string")
         place = [doc.alias("doc"), F.pmod(F.xxhash64(doc), F.lit(groups)).cast("int").alias("group"), F.pmod(F.xxhash64(doc, F.lit(1)), F.lit(blocks)).cast("int").alias("block")]
-        each = docs.select(*place, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("t")) for f in fields])).alias("x"))
-        return each.select("doc", "group", "block", "x.field", F.size("x.t").alias("len"), "x.t")
+        return docs.select(*place, F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields]).alias("texts"))
+
+    def _each(self, placed: DataFrame) -> DataFrame:
+        """A row of `_placed` as a row a field, with its tokens."""
+        each = placed.withColumn("x", F.explode("texts")).drop("texts").withColumn("t", tokens(F.col("x.text")))
+        return each.select(*[c for c in placed.columns if c != "texts"], "x.field", F.size("t").alias("len"), "t")
+
+    def _counted(self, each: DataFrame) -> DataFrame:
+        """How often each document's fields hold each term."""
+        by = [c for c in each.columns if c != "t"]
+        return each.select(*by, F.explode("t").alias("term")).groupBy(*by, "term").agg(F.count(F.lit(1)).alias("tf"))
 
     def _rows(self, counted: DataFrame) -> DataFrame:
-        """Index rows of counted(doc, group, block, field, len, term, tf)."""
+        """Index rows of counted(doc, group, block, field, len, term, tf, and strip if there)."""
         listed = F.array_sort(F.collect_list(F.struct("doc", "tf", "len")))  # at most a block's documents
-        return counted.groupBy("group", "term", "field", "block").agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), listed.alias("postings"))
+        by = [c for c in ("group", "strip", "block", "term", "field") if c in counted.columns]
+        rows = counted.groupBy(*by).agg(F.count(F.lit(1)).alias("df"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), listed.alias("postings"))
+        return rows.select("group", "term", "field", "block", "df", "max_tf", "min_len", "postings")
 
     def _write(self, rows: DataFrame, lengths: DataFrame, mode: str) -> None:
         """Both tables, of their groups only where they exist; sorted by term, so statistics of row groups tell terms apart."""
-        for df, name, order in ((rows, "postings", ["group", "term", "field", "block"]), (lengths, "lengths", ["group", "doc"])):
-            out = df.repartition("group").sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        for df, name, order in ((rows, "postings", ["group", "term", "field", "block"]), (lengths.repartition("group"), "lengths", ["group", "doc"])):
+            out = df.sortWithinPartitions(*order).write.mode(mode).option("partitionOverwriteMode", "dynamic")
             out.option("parquet.block.size", str(16 << 20)).partitionBy("group").parquet(f"{self.folder}/{name}")
 
     def build(self, docs: DataFrame, fields: dict[str, float], key: str = "doc_key", block_docs: int = BLOCK_DOCS, group_docs: int = GROUP_DOCS) -> PostingsIndex:
@@ -74,9 +91,11 @@ class PostingsIndex:
         blocks = max(1, -(-n // (groups * block_docs)))
         kept = self.spark.createDataFrame([(f, float(w), groups, blocks) for f, w in fields.items()], "field string, boost double, groups int, blocks int")
         kept.coalesce(1).write.parquet(f"{self.folder}/settings")
-        dealt = self._dealt(docs, key, list(fields), groups, blocks)
-        counted = dealt.select("doc", "group", "block", "field", "len", F.explode("t").alias("term")).groupBy("doc", "group", "block", "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-        self._write(self._rows(counted), dealt.drop("t"), "overwrite")
+        # texts meet by strips of a group's blocks; counting, listing, sorting and writing follow in the same task, so no posting is shuffled
+        strips = max(1, -(-min(n, group_docs) // STRIP_DOCS))
+        placed = self._placed(docs, key, list(fields), groups, blocks).withColumn("strip", F.pmod("block", F.lit(strips)))
+        dealt = placed.repartition(groups * strips, "group", "strip")
+        self._write(self._rows(self._counted(self._each(dealt))), self._each(placed.drop("strip")).drop("t"), "overwrite")
         return self
 
     def settings(self) -> tuple[dict[str, float], int, int]:
@@ -99,12 +118,12 @@ class PostingsIndex:
         held = self._read("postings").filter(F.col("group").isin(touched)).select("group", "term", "field", "block", F.inline("postings"))
         lengths = self._read("lengths").filter(F.col("group").isin(touched))
         dealt = self._dealt(changed, key, list(fields), groups, blocks)
-        fresh = dealt.select("doc", "group", "block", "field", "len", F.explode("t").alias("term")).groupBy("doc", "group", "block", "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        fresh = self._counted(dealt)
         counted = held.join(gone, "doc", "left_anti").unionByName(fresh)
         # written elsewhere first: a table is not overwritten while it is read
         rows = written(self._rows(counted), "index_rows")
         lengths = written(lengths.join(gone, "doc", "left_anti").unionByName(dealt.drop("t")), "index_lengths")
-        self._write(rows, lengths, "overwrite")
+        self._write(rows.repartition("group"), lengths, "overwrite")
         for name, left in (("postings", rows), ("lengths", lengths)):
             empty = set(touched) - {r["group"] for r in left.select("group").distinct().collect()}
             for g in empty:  # a group that has lost all its rows is not overwritten by a dynamic overwrite

@@ -79,3 +79,21 @@ def test_edge_cases(spark, tmp_path):
     assert rows_of(index.search(q)) == rows_of(search.bm25(one, q, FIELDS))
     index.update(one.limit(0), removed=one.select("doc_key"))
     assert index.search(q).count() == 0
+
+
+def test_postings_are_built_without_shuffling_them(spark, tmp_path, monkeypatch):
+    """Documents meet once, as texts; what they are counted and listed into is written where it arises."""
+    from quillstone.operators import postings
+
+    monkeypatch.setattr(postings, "STRIP_DOCS", 64)
+    d, q = docs(spark, 900), asked(spark, *QUERIES)
+    plans = []
+    write = PostingsIndex._write
+    monkeypatch.setattr(PostingsIndex, "_write", lambda self, rows, lengths, mode: plans.append(rows._jdf.queryExecution().executedPlan().toString().count("Exchange")) or write(self, rows, lengths, mode))
+    index = PostingsIndex(spark, f"file://{tmp_path}/p").build(d, FIELDS, block_docs=16, group_docs=300)
+    assert plans == [1]
+    assert rows_of(index.search(q, 15, first=2)) == rows_of(search.bm25(d, q, FIELDS, k=15))
+    # of a term, a field and a block there is one row, and a group has several files
+    rows = index._read("postings")
+    assert rows.count() == rows.select("group", "term", "field", "block").distinct().count()
+    assert all(1 < len(os.listdir(tmp_path / "p" / "postings" / g)) for g in os.listdir(tmp_path / "p" / "postings") if g.startswith("group="))
