@@ -1,6 +1,7 @@
 import re
 
 from quillstone.operators import search
+from quillstone.plans import retrieval
 
 
 def exchanges(df):
@@ -25,3 +26,11 @@ def test_text_search_ships_postings_by_document(spark, monkeypatch):
     assert results[0] == results[1] == results[2] and len(results[0]) == 9 * 4
     whole = search.top_k(search.bm25(rows, asked, fields, k=None), 4)
     assert sorted(map(str, whole.collect())) == results[0]
+
+
+def test_texts_stay_where_they_are(spark, sf_dir):
+    """The candidates go to the texts: no shuffle holds a text."""
+    found = spark.createDataFrame([(i, f"doc:{7 * i:08d}", i, "bm25") for i in range(30)], "query_id long, doc_key string, place int, found_by string")
+    df = retrieval.with_texts(spark, sf_dir, found)
+    assert df.count() == 30
+    assert not [x for x in exchanges(df) if "doc_key" in x]
