@@ -6,8 +6,8 @@ which counts once from there on. Signatures of BANDS * ROWS MinHash values, kept
 classes that share a band are candidates. Within a band's group the values of two signatures are compared STEP at a
 time, and a pair is dropped once the posterior probability that its Jaccard similarity reaches the threshold falls
 below TOLERANCE. What is left is verified exactly on the features. A pair is looked at only in the first band that
-it shares. Groups of more than BLOCK classes are cut into blocks, and pairs of blocks are compared in tasks of their
-own. Tasks give each class its number of links and a spanning forest of the links, never all pairs, so the output
+it shares. Groups of more than BLOCK classes, or of more than BLOCK_BYTES of features, are cut into blocks, and pairs of
+blocks are compared in tasks of their own, whose memory follows neither the group nor the length of its texts. Tasks give each class its number of links and a spanning forest of the links, never all pairs, so the output
 is linear in the rows even where a group is dense.
 
 Result: one row per input row with class_id (the smallest doc_id of the connected component of its links) and
@@ -17,7 +17,7 @@ A pair at the threshold shares no band with a probability of 3e-6 (32 bands of 5
 
 Defined results: null texts count as empty; a text without words has no features and is a class by itself without
 links; repeated rows are copies of each other; a null doc_id is ignored when the smallest is taken and gives a null
-class where there is no other; an empty table gives no rows; further columns are ignored.
+class where there is no other; an empty table gives no rows; further columns are ignored; bytes that are not UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ BANDS, ROWS = 32, 5
 STEP = 16
 TOLERANCE = 1e-6
 BLOCK = 1024
+BLOCK_BYTES = 64 << 20
+AT_ONCE = 1 << 21  # features that are compared at once
 BROADCAST_ROWS = 2_000_000
 _MULT = (np.random.default_rng(20240607).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _XOR = np.random.default_rng(20240608).integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -110,27 +112,33 @@ def _keys(data: np.ndarray, off: np.ndarray) -> list[tuple[int, int]]:
 
 def _whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """(rows, start of each run) with all rows of a key together, from batches sorted by the keys."""
-    kept: pa.Table | None = None
+    held: list[pa.Table] = []
 
-    def starts(t: pa.Table) -> np.ndarray:
+    def changes(t: pa.Table) -> np.ndarray:
         change = np.zeros(t.num_rows, bool)
         change[0] = True
         for k in keys:
             v = t.column(k).to_numpy()
             change[1:] |= v[1:] != v[:-1]
-        return np.flatnonzero(change)
+        return change
+
+    def whole(parts: list[pa.Table]) -> tuple[pa.Table, np.ndarray]:
+        t = pa.concat_tables(parts).combine_chunks()
+        return t, np.flatnonzero(changes(t))
 
     for b in batches:
         if not b.num_rows:
             continue
         t = pa.Table.from_batches([b])
-        kept = t if kept is None else pa.concat_tables([kept, t]).combine_chunks()
-        at = starts(kept)
-        if len(at) > 1:
-            yield kept.slice(0, at[-1]).combine_chunks(), at[:-1]
-            kept = kept.slice(at[-1])
-    if kept is not None:
-        yield kept.combine_chunks(), starts(kept)
+        cut = int(np.flatnonzero(changes(t))[-1])
+        if held and not cut and not changes(pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), t.slice(0, 1)]))[1]:
+            held.append(t)
+            continue
+        if held or cut:
+            yield whole([*held, t.slice(0, cut)])
+        held = [t.slice(cut)]
+    if held:
+        yield whole(held)
 
 
 def _fixed(column: pa.ChunkedArray, width: int) -> np.ndarray:
@@ -138,6 +146,11 @@ def _fixed(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _sets(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The features of every row, as views of the column's bytes."""
+    return [data[i:j].view(np.uint64) for data, off in map(utf8, column.chunks) for i, j in zip(off[:-1], off[1:], strict=True)]
+
+
 def candidate_pairs(band: np.ndarray, n: np.ndarray, own: np.ndarray, crossed: np.ndarray, starts: np.ndarray, values: np.ndarray, threshold: float, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of the same run that survive the pruning. crossed: only pairs of different blocks count."""
     rows = len(n)
@@ -176,30 +189,38 @@ def candidate_pairs(band: np.ndarray, n: np.ndarray, own: np.ndarray, crossed: n
         yield prune(np.concatenate(pending_a), np.concatenate(pending_b))
 
 
-def exact_links(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs reach the threshold; intersections are counted against a marked vocabulary, one left side at a time."""
-    out = np.zeros(len(a), bool)
+def exact_links(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], threshold: float, at_once: int = AT_ONCE) -> np.ndarray:
+    """Which pairs reach the threshold. sets: sorted features of each row.
+
+    Intersections are counted against a marked vocabulary, one left side at a time, and for one range of the features after the other,
+    so that about `at_once` of them are copied.
+    """
     if not len(a):
-        return out
+        return np.zeros(0, bool)
     order = np.argsort(a, kind="stable")
+    groups = np.split(order, np.flatnonzero(np.diff(a[order])) + 1)
     used = np.unique(np.concatenate((a, b)))
-    flat = np.concatenate([sets[i] for i in used])
-    vocabulary, ids = np.unique(flat, return_inverse=True)
-    bounds = np.concatenate(([0], np.cumsum([len(sets[i]) for i in used])))
-    place = {int(i): ids[bounds[k] : bounds[k + 1]] for k, i in enumerate(used)}
-    marked = np.zeros(len(vocabulary), bool)
-    cuts = np.flatnonzero(np.diff(a[order])) + 1
-    for group in np.split(order, cuts):
-        left = place[int(a[group[0]])]
-        marked[left] = True
-        for part in np.array_split(group, max(1, len(group) // 256)):
-            rights = [place[int(x)] for x in b[part]]
-            first = np.concatenate(([0], np.cumsum([len(x) for x in rights])))
-            hits = np.concatenate(([0], np.cumsum(marked[np.concatenate(rights)])))
-            common = hits[first[1:]] - hits[first[:-1]]
-            out[part] = common >= threshold * (len(left) + np.diff(first) - common) - 1e-9
-        marked[left] = False
-    return out
+    size = np.array([len(sets[i]) for i in used])
+    ranges = max(1, -(-int(size.sum()) // at_once))
+    ends = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    cuts = np.array([[0, *np.searchsorted(sets[i], ends), n] for i, n in zip(used, size, strict=True)])
+    common = np.zeros(len(a), np.int64)
+    for k in range(ranges):
+        vocabulary, ids = np.unique(np.concatenate([sets[i][x:y] for i, x, y in zip(used, cuts[:, k], cuts[:, k + 1], strict=True)]), return_inverse=True)
+        bounds = np.concatenate(([0], np.cumsum(cuts[:, k + 1] - cuts[:, k])))
+        place = {int(i): ids[x:y] for i, x, y in zip(used, bounds[:-1], bounds[1:], strict=True)}
+        marked = np.zeros(len(vocabulary), bool)
+        for group in groups:
+            left = place[int(a[group[0]])]
+            marked[left] = True
+            for part in np.array_split(group, max(1, len(group) // 256)):
+                rights = [place[int(x)] for x in b[part]]
+                first = np.concatenate(([0], np.cumsum([len(x) for x in rights])))
+                hits = np.concatenate(([0], np.cumsum(marked[np.concatenate(rights)])))
+                common[part] += hits[first[1:]] - hits[first[:-1]]
+            marked[left] = False
+    total = size[np.searchsorted(used, a)] + size[np.searchsorted(used, b)]
+    return common >= threshold * (total - common) - 1e-9
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -235,22 +256,22 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 
 def _raw(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.make_valid_utf8(text).alias("text"))
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, block: int = BLOCK, tolerance: float = TOLERANCE) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, block: int = BLOCK, tolerance: float = TOLERANCE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, th (xxhash64 of the text), group (a name of the class), class_id and n_links of every row."""
     least = least_matches(threshold, tolerance)
     base = materialise(_profile(docs, n), "profiles")
     reps = base.filter("size > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("th").alias("th"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     reps = materialise(reps, "classes")
 
-    exploded = reps.select("k1", "k2", F.explode("bands").alias("band"))
-    groups = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("k1", "k2")).alias("who")).filter("members > 1")
-    groups = groups.groupBy("members", "who").agg(F.min("band").alias("band"))  # of bands with the same members the first is enough
-    groups = materialise(groups.select("band", "members"), "groups")
-    members = exploded.join(groups, "band")
-    n_blocks = F.ceil(F.col("members") / F.lit(block)).cast("int")
+    exploded = reps.select("k1", "k2", "size", F.explode("bands").alias("band"))
+    groups = exploded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("features"), F.bit_xor(F.xxhash64("k1", "k2")).alias("who")).filter("members > 1")
+    groups = groups.groupBy("members", "features", "who").agg(F.min("band").alias("band"))  # of bands with the same members the first is enough
+    groups = materialise(groups.select("band", "members", "features"), "groups")
+    members = exploded.drop("size").join(groups, "band")
+    n_blocks = F.ceil(F.greatest(F.col("members") / F.lit(block), F.col("features") * 8 / F.lit(block_bytes))).cast("int")
     members = members.withColumn("own", F.pmod(F.xxhash64("k1", "k2", F.lit("block")), n_blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     members = members.select("band", F.least("own", "other").alias("gi"), F.greatest("own", "other").alias("gj"), "own", "k1", "k2")
 
@@ -292,8 +313,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, n: int = N, bloc
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, starts in _whole_runs(batches, keys):
             found = [np.zeros((2, 0), np.int64)]
-            f = t.column("f").to_pylist()
-            feats = [np.frombuffer(x, np.uint64) for x in f]
+            feats = _sets(t.column("f"))
             for a, b in pairs_of(t, starts):
                 yes = exact_links(a, b, feats, threshold)
                 found.append(np.stack((a[yes], b[yes])))
@@ -341,11 +361,13 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, n: int = N) -> Da
     # nulls are the smallest in a struct; an id counts as smaller than none
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("w")
     winners = near.groupBy("group").agg(best).select("w.doc_id", "w.th")
-    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), F.col("doc_id").isNull().alias("z")]
-    winners = winners.select(*keys, F.col("th").alias("h"))
-    rows = docs.withColumns({"d": keys[0], "z": keys[1], "h": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    # the row goes into a struct, so its columns may have any names
+    keys = {"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "z": F.col("doc_id").isNull()}
+    winners = winners.select(*[c.alias(k) for k, c in keys.items()], F.col("th").alias("h"))
+    row = F.struct(*docs.columns).alias("row")
+    rows = docs.select(*[c.alias(k) for k, c in keys.items()], F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"), row)
     # repeated rows are reduced before the shuffle as well as after it, so they never meet in one task
-    return rows.join(winners, ["d", "z", "h"], "left_semi").dropDuplicates(["d", "z", "h"]).select(*docs.columns)
+    return rows.join(winners, ["d", "z", "h"], "left_semi").dropDuplicates(["d", "z", "h"]).select("row.*")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

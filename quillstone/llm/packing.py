@@ -17,7 +17,7 @@ rows of bounded arrays.
 
 Defined results: a null text counts as empty and gives one piece (the end id alone); repeated rows are packed
 like any others, each by itself; ties of length are ordered by input shard and position; an empty table gives
-no pieces; further columns of the input are ignored.
+no pieces; further columns of the input are ignored; bytes that are not UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -111,7 +111,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, json_path: str | Non
                     types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8(F.col("text").cast("string")).alias("text")).mapInArrow(cut, _PIECES)
 
 
 MATCH = "rank long, n long, first long, offset long, q long"

@@ -80,3 +80,35 @@ def test_components_of_a_chain(spark):
     edges = spark.range(300).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).unionAll(spark.createDataFrame([(900, 901)], "u long, v long"))
     got = {r["v"]: r["root"] for r in components(edges).collect()}
     assert got == {**dict.fromkeys(range(301), 0), 900: 900, 901: 900}
+
+
+def test_blocks_are_bounded_by_bytes_and_links_by_ranges(spark, monkeypatch):
+    """A group of few but long texts is cut into blocks too; the answers are those of one block and of one range."""
+    rnd = random.Random(6)
+    base = [f"w{rnd.randint(0, 900)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(rnd.randint(0, 14)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randint(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_classes(docs, block_bytes=20_000).collect()}
+    assert got == brute(rows)
+    sets = [np.unique(np.array([hash(x) % 2**64 for x in zip(t.split(), t.split()[1:])], np.uint64)) for _, t in rows]
+    a, b = (x.astype(np.int64) for x in np.triu_indices(len(sets), 1))
+    exact = [len(np.intersect1d(sets[i], sets[j])) >= 0.9 * len(np.union1d(sets[i], sets[j])) - 1e-9 for i, j in zip(a, b)]
+    taken, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **k: (taken.append(len(x)), unique(x, **k))[1])
+    assert 0 < sum(exact) < len(exact) and ngram_join.exact_links(a, b, sets, 0.9, at_once=1000).tolist() == exact
+    assert max(taken[1:]) <= 2000
+
+
+def test_whole_runs():
+    import pyarrow as pa
+
+    for cuts in ([0, 9], [0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [0, 2, 4, 9], [0, 3, 3, 8, 9]):
+        key, x = [1, 1, 1, 1, 2, 2, 3, 4, 4], list(range(9))
+        batches = [pa.RecordBatch.from_pydict({"key": pa.array(key[i:j], pa.int64()), "x": pa.array(x[i:j], pa.int64())}) for i, j in zip(cuts, cuts[1:])]
+        got = [(t.column("x").to_pylist()[i:j]) for t, s in ngram_join._whole_runs(batches, ["key"]) for i, j in zip(s, [*s[1:], t.num_rows])]
+        assert got == [[0, 1, 2, 3], [4, 5], [6], [7, 8]]

@@ -1,7 +1,10 @@
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quillstone.llm.common import materialise
+from quillstone.llm.ngram_join import jaccard_join
 from tests.llm.test_ngram_join import brute
 from tests.llm.test_packing import whole
 from tests.llm.test_quality import counted
@@ -71,3 +74,24 @@ def test_classifier_removes_what_the_rules_kept(spark):
     assert corpus_pipeline.classifier(spark, good, d).count() >= 0.95 * n_good
     both = corpus_pipeline.classifier(spark, poor.unionAll(good), d)
     assert both.join(labels, "doc_id").filter("quality = 0").count() <= 0.1 * n_poor
+
+
+def test_stages_on_bytes_that_are_not_utf8(spark, sf_dir):
+    """They count as U+FFFD from the third stage on; no stage fails, and the row keeps its bytes."""
+    plain = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, plain, False), (2, plain + " É \ufffd", False), (3, plain + " É ", True), (4, " ".join(f"other{i}" for i in range(80)), True)]
+    text = F.when(F.col("bad"), F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF"))).cast("string")).otherwise(F.col("text"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad boolean").withColumn("text", text).withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.lit(9)})
+    near = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join(docs).collect()}
+    assert near == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
+    single = materialise(corpus_pipeline.near_duplicates(spark, docs, sf_dir), "bytes")
+    assert sorted((r["doc_id"], r["x"][-2:]) for r in single.select("doc_id", F.hex("text").alias("x")).collect()) == [(1, "39"), (4, "FF")]
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), "bytes")
+    whole(docs.collect())
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "a b c", "x", "y", "v"), (2, "d e f", None, "z", "w")], "doc_id long, text string, d string, H string, z string")
+    got = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    assert got.columns == docs.columns and sorted(got.collect()) == sorted(docs.collect())
