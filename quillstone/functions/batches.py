@@ -10,8 +10,8 @@ import pyarrow as pa
 SLICE = 1 << 20
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list, ...]]:
-    """The columns of each slice as lists of Python values; a slice holds at most `most` bytes, one row at least."""
+def sliced(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `most` bytes, one row at least."""
     most = most or SLICE
     for batch in batches:
         at = 0
@@ -19,5 +19,11 @@ def in_slices(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Ite
             n = batch.num_rows - at
             while n > 1 and (size := batch.slice(at, n).nbytes) > most:
                 n = max(1, min(n // 2, n * most // size + 1))
-            yield tuple(c.to_pylist() for c in batch.slice(at, n).columns)
+            yield batch.slice(at, n)
             at += n
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[list, ...]]:
+    """The columns of each slice as lists of Python values."""
+    for batch in sliced(batches, most):
+        yield tuple(c.to_pylist() for c in batch.columns)

@@ -20,9 +20,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillstone.functions import text as T
-from quillstone.functions.batches import in_slices
+from quillstone.functions import values as V
+from quillstone.functions.batches import sliced
 
 #: Forms of Markdown headings, fences, paragraph breaks, table captions and rules.
 ATX = re.compile(r" {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
@@ -114,7 +116,7 @@ def split_words(text: str, limit: int, count: Callable[[str], int]) -> list[str]
     while at < len(words):
         n = min(step, len(words) - at)
         while n > 1 and count(" ".join(words[at : at + n])) > limit:
-            n = max(1, int(n * 0.9))
+            n -= 1
         out.append(" ".join(words[at : at + n]))
         at += n
     return out
@@ -186,9 +188,9 @@ def pack(text: str, settings: ChunkSettings = ChunkSettings(), count: Callable[[
         if last == "long":
             out += [(piece, count(piece)) for piece in split_words(paragraphs[a], settings.max, count)]
         elif last == "table" and settings.atomic_max is not None and size > settings.atomic_max:
-            lead = paragraphs[a : b - 1]
-            first, *rest = split_table(paragraphs[b - 1], settings.atomic_max - (size - tokens[b - 1]), count)
-            out += [(piece, count(piece)) for piece in ("\n\n".join([*lead, first]), *rest)]
+            lead = "".join(f"{p}\n\n" for p in paragraphs[a : b - 1])
+            first, *rest = split_table(paragraphs[b - 1], settings.atomic_max - count(lead), count)
+            out += [(piece, count(piece)) for piece in (lead + first, *rest)]
         else:
             out.append((whole, size))
     return coalesce_small(out, settings, count)
@@ -228,21 +230,78 @@ def chunks(markdown: str, settings: ChunkSettings = ChunkSettings(), drop: re.Pa
     return out
 
 
-def chunk_documents(docs: DataFrame, settings: ChunkSettings = ChunkSettings(), drop_sections: bool = True) -> DataFrame:
-    """Chunks of docs(doc_id, markdown), numbered from 1 within each document; a null text has none."""
+def chunk_documents(docs: DataFrame, settings: ChunkSettings = ChunkSettings(), drop_sections: bool = True, keep: tuple[str, ...] = (), count: Callable[[str], int] = estimate) -> DataFrame:
+    """Chunks of docs(doc_id, markdown), numbered from 1 within each row, with the columns of `keep`; a null text has none."""
     drop = DROPPED if drop_sections else None
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, texts in in_slices(batches):
+        for batch in sliced(batches):
+            doc_ids, texts = (batch.column(k).to_pylist() for k in (0, 1))
             rows = [
-                (doc_id, i, headers, text, part, parts, n)
-                for doc_id, md in zip(doc_ids, texts, strict=True)
-                for i, (headers, text, part, parts, n) in enumerate(chunks(md or "", settings, drop), 1)
+                (at, doc_id, i, headers, text, part, parts, n)
+                for at, (doc_id, md) in enumerate(zip(doc_ids, texts, strict=True))
+                for i, (headers, text, part, parts, n) in enumerate(chunks(md or "", settings, drop, count), 1)
             ]
-            columns = zip(*rows, strict=True) if rows else [()] * len(_PIECE)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PIECE, strict=True)], schema=_PIECE)
+            at, *columns = zip(*rows, strict=True) if rows else [()] * (len(_PIECE) + 1)
+            kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, f.type) for c, f in zip(columns, _PIECE, strict=True)), *kept], names=[*_PIECE.names, *keep])
+
+    out = StructType([*StructType.fromDDL(PIECE), *(docs.schema[k] for k in keep)])
+    return docs.select("doc_id", F.col("markdown").cast("string").alias("markdown"), *keep).mapInArrow(cut, out)
+
+
+# papers -------------------------------------------------------------------------------------------------------------
+
+#: A text with a smaller share of its title's words is another one, one with fewer words is none; an abstract of which a text holds a smaller share is lost in it.
+TITLE_SHARE, MIN_WORDS, ABSTRACT_SHARE = 0.5, 100, 0.4
+FULL_TEXT, ABSTRACT_ONLY = "full text", "abstract only"
+#: What every object of a paper carries.
+PROPERTIES = ("title", "authors", "short_ref", "journal", "year", "pubdate", "pub_date", "link", "doi", "arxiv_id")
+
+
+def text_problem(title: Column, text: Column) -> Column:
+    """Why a text cannot be that of the paper with this title, or null."""
+    return F.when(T.title_share(title, T.opening(text)) < TITLE_SHARE, "another text").when(T.word_count(text) < MIN_WORDS, "too short")
+
+
+def without_false_dates(docs: DataFrame, slack: int = 31) -> DataFrame:
+    """docs with all columns, of which `markdown` loses date lines later than `published` and the slack."""
+    names = docs.columns
+    text, day = names.index("markdown"), names.index("published")
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            rows = zip(batch.column(text).to_pylist(), batch.column(day).to_pylist(), strict=True)
+            kept = [md if md is None or published is None else strip_false_dates(md, later_than(published, slack)) for md, published in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, c.type) if k == text else c for k, c in enumerate(batch.columns)], names=names)
+
+    return docs.mapInArrow(strip, docs.schema)
+
+
+def paper_objects(papers: DataFrame, settings: ChunkSettings = ChunkSettings(), drop_sections: bool = True, count: Callable[[str], int] = estimate) -> DataFrame:
+    """Every object of papers(doc_id, bib, abstract, markdown, published, full, and PROPERTIES): chunks of the full texts, and abstracts.
+
+    A paper without a full text is its abstract, or its title where it has none; one whose text does not hold its abstract has that
+    as well. The fingerprint is a hash of all that a paper's objects are made from: properties, abstract, text and settings. `embed` is
+    the text to embed: title and headings before the content. False dates go before the text is cut. Every row is a paper.
+    """
+    full = F.coalesce(F.col("full"), F.lit(False)) & F.col("markdown").isNotNull()
+    made_from = [*PROPERTIES, "bib", "abstract", F.when(full, F.sha2("markdown", 256)), F.lit(settings.signature()), F.lit(DROPPED.pattern if drop_sections else None)]
+    mark = T.fingerprint(*(F.col(c) if isinstance(c, str) else c for c in made_from)).alias("fingerprint")
+    rows = papers.select("doc_id", "bib", *PROPERTIES, F.coalesce("abstract", F.lit("")).alias("abstract"), F.when(full, F.col("markdown")).alias("markdown"), "published", full.alias("full"), mark)
+    rows = without_false_dates(rows)
+    own = ("bib", *PROPERTIES, "fingerprint")
+
+    def objects(part: DataFrame, key: Column, n: Column, headers: Column, content: Column, coverage: Column) -> DataFrame:
+        title = F.coalesce("title", F.lit(""))
+        embed = F.concat_ws("\n", title, V.header_path(headers), F.lit(""), content)
+        return part.select(key.alias("chunk_id"), n.cast("int").alias("chunk_index"), headers.alias("section_headers"), content.alias("content"), embed.alias("embed"), coverage.alias("coverage"), *own)
 
-    return docs.select("doc_id", F.col("markdown").cast("string").alias("markdown")).mapInArrow(cut, PIECE)
+    lost = ~F.col("full") | ((F.col("abstract") != "") & (T.abstract_share(F.col("abstract"), F.col("markdown")) < ABSTRACT_SHARE))
+    said = F.coalesce(F.nullif("abstract", F.lit("")), "title", F.lit(""))
+    abstracts = objects(rows.filter(lost), F.concat("bib", F.lit("#abstract")), F.lit(0), F.array(F.lit("Abstract")), said, F.when(F.col("full"), FULL_TEXT).otherwise(ABSTRACT_ONLY))
+    pieces = chunk_documents(rows.filter("full"), settings, drop_sections, own, count)
+    return abstracts.unionByName(objects(pieces, T.chunk_id(F.col("bib"), F.col("chunk_index")), F.col("chunk_index"), F.col("headers"), F.col("content"), F.lit(FULL_TEXT)))
 
 
 # headings -----------------------------------------------------------------------------------------------------------
@@ -295,10 +354,12 @@ def date_of_line(line: str) -> dt.date | None:
 
 def strip_false_dates(markdown: str, rejected: Callable[[dt.date], bool]) -> str:
     """Lines before the second heading that hold nothing but a rejected date go."""
-    out, headings = [], 0
-    for line in markdown.split("\n"):
+    out, headings, lines = [], 0, markdown.split("\n")
+    for k, line in enumerate(lines):
         headings += bool(ATX.match(line))
-        day = date_of_line(line) if headings < 2 else None
+        if headings == 2:
+            return "\n".join(out + lines[k:])
+        day = date_of_line(line)
         if not (day and rejected(day)):
             out.append(line)
     return "\n".join(out)

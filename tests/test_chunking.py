@@ -1,9 +1,12 @@
 import datetime as dt
+from itertools import pairwise
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from quillstone.operators.chunking import ChunkSettings, boundaries, chunks, coalesce_small, estimate, images, is_table, joined, later_than, pack, renumber_documents, sections, split_table, strip_false_dates
+from quillstone.functions.text import abstract_share
+from quillstone.operators.chunking import PROPERTIES, ChunkSettings, boundaries, chunks, coalesce_small, estimate, images, is_table, joined, later_than, pack, paper_objects, renumber_documents, sections, split_table, split_words, strip_false_dates, text_problem
 
 MD = """intro
 
@@ -119,3 +122,50 @@ def test_chunks_are_counted_as_texts():
     table = "| a | b | c |\n---\n" + "\n".join(f"| {k} | x | y |" for k in range(30))
     assert all(p.startswith("| a | b | c |\n") and not p.startswith("| a | b | c |\n---\n| 0 | x | y |\n---") for p in split_table(table, 60, estimate))
     assert split_table(table, 60, estimate)[1].startswith("| a | b | c |\n| ")
+
+
+def test_paper_objects(spark):
+    """Abstract-only papers are one object, full texts their chunks, with an abstract that the text lacks; all carry the paper's fingerprint."""
+    body = " ".join(f"word{k}" for k in range(120))
+    said = " ".join(f"said{k}" for k in range(12))
+    md = f"# T\n\n(June 21, 2026)\n\n## S\n\n{body}\n\n## References\n\n[1] x"
+    held = md.replace(body, f"{said} {body}")
+    rows = [(1, "a", "T", said, md, True), (2, "b", "T", said, held, True), (3, "c", "T", said, md, False), (4, "d", "T", "", None, True), (5, "e", "T", None, md, None), (6, "f", "T", "", md, True), (6, "f", "T", "", md, True)]
+    papers = spark.createDataFrame(rows, "doc_id long, bib string, title string, abstract string, markdown string, full boolean").withColumn("published", F.lit("2020-01-01").cast("date"))
+    papers = papers.withColumns({c: F.lit("x") for c in PROPERTIES if c != "title"})
+    got = paper_objects(papers).collect()
+    assert sorted((r["chunk_id"], r["chunk_index"], r["section_headers"], r["content"], r["coverage"]) for r in got) == sorted([
+        ("a#abstract", 0, ["Abstract"], said, "full text"), ("a#0001", 1, ["T", "S"], body, "full text"), ("b#0001", 1, ["T", "S"], f"{said} {body}", "full text"),
+        ("c#abstract", 0, ["Abstract"], said, "abstract only"), ("d#abstract", 0, ["Abstract"], "T", "abstract only"), ("e#abstract", 0, ["Abstract"], "T", "abstract only"),
+        ("f#0001", 1, ["T", "S"], body, "full text"), ("f#0001", 1, ["T", "S"], body, "full text"),
+    ])
+    marks = {r["bib"]: r["fingerprint"] for r in got}
+    assert len(set(marks.values())) == 6 and all(r["fingerprint"] == marks[r["bib"]] and len(r["fingerprint"]) == 20 for r in got)
+    assert {r["chunk_id"]: r["embed"] for r in got}["f#0001"] == f"T\nT > S\n\n{body}"
+    assert not {r["fingerprint"] for r in paper_objects(papers, ChunkSettings(max=100)).collect()} & set(marks.values())
+
+
+def test_corpus_build_counts(spark):
+    from quillstone.plans import catalogue, views
+    from quillstone.plans.relational import arxiv
+
+    sf = "/root/testdata/sf0.001"
+    rows = views.papers(spark, sf).withColumn("arxiv", arxiv()).withColumn("held", abstract_share(F.col("abstract"), F.col("markdown"))).withColumn("problem", text_problem(F.col("title"), F.col("text"))).collect()
+    allowed = [r for r in rows if r["arxiv"] or {"PUB_OPENACCESS", "EPRINT_OPENACCESS"} & set(r["property"])]
+    full = [r for r in allowed if r["problem"] is None]
+    n = len(rows) - len(full) + sum(len(chunks(r["markdown"])) + (r["held"] < 0.4) for r in full)
+    got = catalogue.QUERIES["chk08_corpus_build"](spark, sf).first()
+    assert got[:6] == (len(rows), len(full), len(rows) - len(full), n, len(rows) - len(allowed), len(allowed) - len(full))
+    assert 0 < len(full) < len(allowed) < len(rows)
+
+
+def test_hard_splits_and_table_pieces_fill_their_limit():
+    text = "a " * 300 + "bbbbbbbbbbbbbbbbbbbb " * 300
+    pieces = split_words(text, 64, estimate)
+    step = int(600 * 64 / estimate(text) * 0.9)
+    for piece, after in pairwise(pieces):
+        taken = len(piece.split())
+        assert taken == step or estimate(f"{piece} {after.split()[0]}") > 64
+    table = "| a | b | c |\n|---|---|---|\n" + "\n".join(f"| {k:03} | x | y |" for k in range(60))
+    s = ChunkSettings(max=60, overlap=8, min=6, atomic_max=100)
+    assert [t for t, _ in pack(table, s)] == split_table(table, 100 - estimate(""), estimate)
